@@ -43,17 +43,22 @@ def only_shots(events: DataFrame) -> DataFrame:
 
 
 def with_location_xy(df: DataFrame, location: str = "location") -> DataFrame:
-    """Add ``x, y`` parsed from the location."""
+    """Add ``x, y`` parsed from the location.
+
+    The location is parsed exactly once per row.  A one-element ``explode``
+    sits between the parse and its uses: filters on ``x``/``y`` (or on
+    anything computed from them) cannot be pushed below a Generate, so
+    Catalyst cannot inline -- and so repeat -- the parse into each predicate.
+    """
     dtype = df.schema[location].dataType
-    if isinstance(dtype, T.VariantType):
-        x, y = location_xy_variant(location)
-    elif isinstance(dtype, T.ArrayType):
+    if isinstance(dtype, T.ArrayType):
         arr = F.col(location)
-        x, y = (F.get(arr, 0).try_cast("double"), F.get(arr, 1).try_cast("double"))
-        # [x] alone has no y: both dropped by F3 anyway
-    else:
-        x, y = location_xy(location)
-    return df.withColumn("x", x).withColumn("y", y)
+        return (df.withColumn("x", F.get(arr, 0).try_cast("double"))
+                  .withColumn("y", F.get(arr, 1).try_cast("double")))
+    parsed = F.col(location) if isinstance(dtype, T.VariantType) else F.try_parse_json(F.col(location))
+    v = df.select("*", F.explode(F.array(parsed)).alias("__loc"))
+    x, y = location_xy_variant("__loc")
+    return v.withColumn("x", x).withColumn("y", y).drop("__loc")
 
 
 def drop_bad_location(df: DataFrame) -> DataFrame:

@@ -118,12 +118,21 @@ def validate_json(df: DataFrame, json_col: str = "body", mode: str = "strict") -
     and ``angle_degrees`` (parsed values, NULL where not numbers),
     ``errors`` and ``status``.
     """
-    v = F.try_parse_json(F.col(json_col))
+    # Parse once: a one-element explode keeps Catalyst from inlining (and so
+    # repeating) the parse into every expression and predicate that uses it.
+    parsed = df.select("*", F.explode(F.array(F.try_parse_json(F.col(json_col)))).alias("__body"))
+    v = F.col("__body")
     body_ok = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     dp, dn, dv = _json_field(v, DISTANCE, mode)
     ap, an, av = _json_field(v, ANGLE, mode)
-    out = df.withColumn(DISTANCE, dv).withColumn(ANGLE, av)
-    return _finish(out, _distance_message(dv, dp, dn, mode), _angle_message(av, ap, an, mode), body_ok)
+    staged = parsed.select(*df.columns, body_ok.alias("__ok"),
+                           dp.alias("__dp"), dn.alias("__dn"), dv.alias("__dv"),
+                           ap.alias("__ap"), an.alias("__an"), av.alias("__av"))
+    d, a = F.col("__dv"), F.col("__av")
+    out = staged.withColumn(DISTANCE, d).withColumn(ANGLE, a)
+    res = _finish(out, _distance_message(d, F.col("__dp"), F.col("__dn"), mode),
+                  _angle_message(a, F.col("__ap"), F.col("__an"), mode), F.col("__ok"))
+    return res.drop("__ok", "__dp", "__dn", "__dv", "__ap", "__an", "__av")
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
