@@ -1,0 +1,70 @@
+import json
+
+import pytest
+
+from xgspark.operators.validation import split_valid, validate_json, validate_shots
+
+# body, strict result, lax result ("ok" or a dict of field -> messages / "rejected")
+BODIES = [
+    ('{"distance_meters": 11.0, "angle_degrees": 37}', "ok", "ok"),
+    ('{"distance_meters": 0, "angle_degrees": 37}',
+     {"distance_meters": ["distance_meters must be greater than 0"]}, "rejected"),
+    ('{"distance_meters": 11, "angle_degrees": 0}', "ok", "ok"),
+    ('{"distance_meters": 11, "angle_degrees": 180}', "ok", "ok"),
+    ('{"distance_meters": 11, "angle_degrees": 180.1}',
+     {"angle_degrees": ["angle_degrees must be <= 180"]}, "rejected"),
+    ('{"distance_meters": 11, "angle_degrees": -1}',
+     {"angle_degrees": ["angle_degrees must be >= 0"]}, "rejected"),
+    ('{"angle_degrees": 37}', {"distance_meters": ["distance_meters is required"]}, "rejected"),
+    ('{"distance_meters": null, "angle_degrees": 37}',
+     {"distance_meters": ["distance_meters must be a number"]}, "rejected"),
+    ('{"distance_meters": "11", "angle_degrees": 37}',
+     {"distance_meters": ["distance_meters must be a number"]}, "ok"),
+    ('{"distance_meters": true, "angle_degrees": 37}',
+     {"distance_meters": ["distance_meters must be a number"]}, "ok"),
+    ("{}", {"distance_meters": ["distance_meters is required"],
+            "angle_degrees": ["angle_degrees is required"]}, "rejected"),
+    ("[1, 2]", {}, "rejected"),
+    ("not json", {}, "rejected"),
+]
+
+
+@pytest.mark.parametrize("mode", ["strict", "lax"])
+def test_json_bodies(spark, mode):
+    df = spark.createDataFrame([(i, b) for i, (b, _, _) in enumerate(BODIES)], "i int, body string")
+    out = {r.i: r for r in validate_json(df, "body", mode).collect()}
+    for i, (body, strict, lax) in enumerate(BODIES):
+        r = out[i]
+        expected = strict if mode == "strict" else lax
+        if expected == "ok":
+            assert r.status == "ok", body
+            assert r.errors == {}
+        else:
+            assert r.status == "rejected", body
+            if mode == "strict":
+                assert r.errors == expected, body
+
+
+def test_lax_coercions(spark):
+    df = spark.createDataFrame([('{"distance_meters": true, "angle_degrees": "37"}',)], "body string")
+    r = validate_json(df, "body", "lax").first()
+    assert (r.distance_meters, r.angle_degrees, r.status) == (1.0, 37.0, "ok")
+
+
+def test_all_failing_fields_reported(spark):
+    df = spark.createDataFrame([(-1.0, 200.0), (None, None), (float("nan"), 10.0)],
+                               "distance_meters double, angle_degrees double")
+    rows = validate_shots(df).collect()
+    assert rows[0].errors == {"distance_meters": ["distance_meters must be greater than 0"],
+                              "angle_degrees": ["angle_degrees must be <= 180"]}
+    assert set(rows[1].errors) == {"distance_meters", "angle_degrees"}
+    assert rows[2].errors == {"distance_meters": ["distance_meters must be a number"]}
+    lax = validate_shots(df, "lax").collect()
+    assert lax[2].errors == {"distance_meters": ["Input should be greater than 0"]}
+
+
+def test_split_valid(spark):
+    df = spark.createDataFrame([(11.0, 37.0), (0.0, 37.0)], "distance_meters double, angle_degrees double")
+    ok, bad = split_valid(validate_shots(df))
+    assert ok.count() == 1 and bad.count() == 1
+    assert json.loads(bad.selectExpr("to_json(errors) AS j").first().j)["distance_meters"]

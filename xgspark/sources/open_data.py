@@ -9,8 +9,8 @@ Layout (paths configurable)::
 Each file is one multi-line JSON document, so one file is one read task:
 parallelism is the number of files, which suits one-file-per-match.  The
 per-season and per-match fetch loops become single multi-file scans; a
-corrupt file becomes one ``_corrupt_record`` row (dropped) and does not fail
-the job; identifiers missing from payloads come from ``_metadata.file_path``.
+corrupt file yields no rows and does not fail the job; identifiers missing
+from payloads come from ``_metadata.file_path``.
 For repeated use, compact the events once to Parquet (:func:`compact_events`)
 and run everything after that on Parquet.
 """
@@ -33,15 +33,12 @@ class NoDataError(RuntimeError):
     """A stage produced no rows where the job cannot continue."""
 
 
-def _with_corrupt(schema: T.StructType) -> T.StructType:
-    return T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
-
-
 def _read_json(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
-    return (spark.read.schema(_with_corrupt(schema))
+    # DROPMALFORMED: a corrupt file yields no rows and the other files of the
+    # scan carry on (one multi-line document is one record).
+    return (spark.read.schema(schema)
                  .option("multiLine", True)
-                 .option("mode", "PERMISSIVE")
-                 .option("columnNameOfCorruptRecord", "_corrupt_record")
+                 .option("mode", "DROPMALFORMED")
                  .option("ignoreMissingFiles", True)
                  .json(path))
 
@@ -53,7 +50,8 @@ def _file_id(pattern: str = r"(\d+)\.json$"):
 def read_competitions(spark: SparkSession, root: str) -> DataFrame:
     """Competitions catalogue (S1).  An empty or unreadable catalogue is an error."""
     df = _read_json(spark, COMPETITIONS_SCHEMA, f"{root.rstrip('/')}/{COMPETITIONS_FILE}")
-    df = df.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    # A catalogue row without its ids is unusable.
+    df = df.filter(F.col("competition_id").isNotNull() & F.col("season_id").isNotNull())
     if df.isEmpty():
         raise NoDataError("competitions catalogue is empty or unreadable")
     return df
@@ -66,9 +64,14 @@ def read_matches(spark: SparkSession, root: str, seasons: DataFrame,
     One multi-file scan over the competition's folder; the season id comes
     from the file name.  A corrupt or missing season file is skipped.
     """
+    from pyspark.errors import AnalysisException
+
     path = f"{root.rstrip('/')}/" + MATCHES_GLOB.format(competition_id=competition_id)
-    df = _read_json(spark, MATCHES_SCHEMA, path)
-    df = (df.filter(F.col("_corrupt_record").isNull())
+    try:
+        df = _read_json(spark, MATCHES_SCHEMA, path)
+    except AnalysisException as e:  # no match file for the competition at all
+        raise NoDataError(f"no match files under {path}") from e
+    df = (df.filter(F.col("match_id").isNotNull())
             .select(F.col("match_id"), _file_id().alias("season_id")))
     return attach_season(df, seasons)
 
@@ -81,8 +84,7 @@ def read_events(spark: SparkSession, root: str, match_ids: DataFrame | None = No
     records, ``shot_statsbomb_xg``); ``location`` stays VARIANT.
     """
     df = _read_json(spark, EVENTS_SCHEMA, f"{root.rstrip('/')}/{EVENTS_GLOB}")
-    df = (df.filter(F.col("_corrupt_record").isNull())
-            .select(_file_id().alias("match_id"),
+    df = (df.select(_file_id().alias("match_id"),
                     F.col("type"), F.col("period"), F.col("minute"), F.col("location"),
                     F.col("player"), F.col("team"),
                     F.col("shot.type").alias("shot_type"),
