@@ -64,39 +64,47 @@ def _greedy_assign(pdf: pd.DataFrame, group: str, k: int) -> pd.DataFrame:
 def fold_map(df: DataFrame, group: str = GROUP_COLUMN, k: int = N_SPLITS,
              method: str = "greedy", max_greedy_groups: int = MAX_GREEDY_GROUPS) -> DataFrame:
     """One row per group: ``group, n, fold`` (G1, with G2 applied)."""
+    return _fold_map(df, group, k, method, max_greedy_groups)[0]
+
+
+def _fold_map(df: DataFrame, group: str, k: int, method: str,
+              max_greedy_groups: int) -> tuple[DataFrame, int]:
+    """The fold map and the number of groups (counted once, bounded)."""
     counts = group_counts(df, group)
-    n_groups = counts.limit(max_greedy_groups + 1).count() if method == "greedy" else None
+    if method not in ("greedy", "hash"):
+        raise ValueError(f"unknown fold method {method!r}")
+    # Bounded count: never scans past max_greedy_groups + 1 groups.
+    n_groups = counts.limit(max_greedy_groups + 1).count()
     if method == "greedy" and n_groups > max_greedy_groups:
         log.warning("%d+ groups: switching fold assignment to the hash method.", n_groups)
         method = "hash"
     if method == "hash":
-        if n_groups is None or n_groups > max_greedy_groups:
+        if n_groups > max_greedy_groups:
             n_groups = counts.count()
         kk = effective_folds(n_groups, k)
-        return counts.withColumn("fold", F.pmod(F.xxhash64(F.col(group)), F.lit(kk)).cast("int"))
-    if method != "greedy":
-        raise ValueError(f"unknown fold method {method!r}")
+        return counts.withColumn("fold", F.pmod(F.xxhash64(F.col(group)), F.lit(kk)).cast("int")), n_groups
     kk = effective_folds(n_groups, k)
     gtype = counts.schema[group].dataType
     schema = T.StructType([T.StructField(group, gtype), T.StructField("n", T.LongType()),
                            T.StructField("fold", T.IntegerType())])
     # The counts (bounded above) are gathered in one task for the sequential pass.
-    return (counts.withColumn("__all", F.lit(0))
-                  .groupBy("__all")
-                  .applyInPandas(lambda pdf: _greedy_assign(pdf.drop(columns="__all"), group, kk),
-                                 schema))
+    fm = (counts.withColumn("__all", F.lit(0))
+                .groupBy("__all")
+                .applyInPandas(lambda pdf: _greedy_assign(pdf.drop(columns="__all"), group, kk),
+                               schema))
+    return fm, n_groups
 
 
 def group_kfold(df: DataFrame, group: str = GROUP_COLUMN, k: int = N_SPLITS,
                 method: str = "greedy", max_greedy_groups: int = MAX_GREEDY_GROUPS) -> DataFrame:
     """``df`` plus a ``fold`` column, whole groups per fold (G1 + J4).
 
-    The fold map has one row per group; it is broadcast only when that count
-    is checked to be small, else joined with a shuffle (AQE splits a skewed
-    hot group on the large side).
+    The fold map has one row per group; it is broadcast only when that
+    (already counted) number is small, else joined with a shuffle (AQE
+    splits a skewed hot group on the large side).
     """
-    fm = fold_map(df, group, k, method, max_greedy_groups).select(group, "fold")
-    return df.join(broadcast_if_small(fm), group, "inner")
+    fm, n_groups = _fold_map(df, group, k, method, max_greedy_groups)
+    return df.join(broadcast_if_small(fm.select(group, "fold"), known_rows=n_groups), group, "inner")
 
 
 def assert_no_leakage(df: DataFrame, group: str = GROUP_COLUMN, fold: str = "fold") -> DataFrame:

@@ -40,27 +40,25 @@ def brier_term(p: Column, y: Column) -> Column:
     return d * d
 
 
-def roc_auc(df: DataFrame, p: str = "p", y: str = "is_goal",
-            by: str | Sequence[str] | None = None, buckets: int = AUC_BUCKETS) -> DataFrame:
-    """Exact ROC-AUC per ``by`` group; ties count one half (M4).
+def score_counts(df: DataFrame, p: str = "p", y: str = "is_goal",
+                 by: str | Sequence[str] | None = None) -> DataFrame:
+    """Distinct scores per group with positive / negative counts.
 
-    ``AUC = sum_pos(neg_below + neg_equal / 2) / (P * N)``; NULL when a group
-    has no positive or no negative.  Steps:
-
-    1. distinct scores: ``groupBy(by, p)`` -> ``pos, neg`` (partial agg);
-    2. score range buckets from approximate quantiles of the distinct scores;
-    3. negatives below each score = bucket offset (window over the small
-       per-bucket table) + prefix sum inside the bucket (window per bucket).
+    Partial-aggregated before the shuffle; a hot score (or a hot group) is
+    one row here, whatever its row count.
     """
     keys = _by_cols(by)
     yd = F.col(y).cast("long")
-    scores = (df.groupBy(*keys, F.col(p).alias("__p"))
-                .agg(F.sum(yd).alias("__pos"), F.sum(F.lit(1) - yd).alias("__neg")))
+    return (df.groupBy(*keys, F.col(p).alias("__p"))
+              .agg(F.sum(yd).alias("__pos"), F.sum(F.lit(1) - yd).alias("__neg")))
+
+
+def _auc_from_counts(scores: DataFrame, keys: list[str], buckets: int) -> DataFrame:
     # Quantile split points over the distinct scores (all groups together):
-    # a single small distributed aggregate.
+    # one small distributed aggregate; only the split points reach the driver.
     qs = [i / buckets for i in range(1, buckets)]
-    splits_row = scores.agg(F.percentile_approx("__p", qs, 10_000).alias("s")).first()
-    splits = sorted({float(v) for v in (splits_row["s"] or []) if v is not None})
+    splits_row = scores.agg(F.percentile_approx("__p", qs, 10_000).alias("s")).first() if qs else None
+    splits = sorted({float(v) for v in ((splits_row["s"] if splits_row else None) or []) if v is not None})
     bucket = F.lit(0)
     for s in splits:
         bucket = bucket + F.when(F.col("__p") > F.lit(s), 1).otherwise(0)
@@ -68,6 +66,7 @@ def roc_auc(df: DataFrame, p: str = "p", y: str = "is_goal",
     per_bucket = scores.groupBy(*keys, "__b").agg(F.sum("__neg").alias("__bneg"))
     w_off = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))) \
         .orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    # groups x buckets rows: bounded by the bucket count per group.
     offsets = per_bucket.select(*keys, "__b", F.coalesce(F.sum("__bneg").over(w_off), F.lit(0)).alias("__off"))
     w_in = Window.partitionBy(*keys, "__b").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     ranked = scores.withColumn("__below_in", F.coalesce(F.sum("__neg").over(w_in), F.lit(0)))
@@ -82,19 +81,47 @@ def roc_auc(df: DataFrame, p: str = "p", y: str = "is_goal",
     return grouped.agg(auc.alias("roc_auc"))
 
 
+def roc_auc(df: DataFrame, p: str = "p", y: str = "is_goal",
+            by: str | Sequence[str] | None = None, buckets: int = AUC_BUCKETS) -> DataFrame:
+    """Exact ROC-AUC per ``by`` group; ties count one half (M4).
+
+    ``AUC = sum_pos(neg_below + neg_equal / 2) / (P * N)``; NULL when a group
+    has no positive or no negative.  Steps:
+
+    1. distinct scores: ``groupBy(by, p)`` -> ``pos, neg`` (partial agg);
+    2. score range buckets from approximate quantiles of the distinct scores
+       (the quantiles only balance the buckets; the result is exact);
+    3. negatives below each score = bucket offset (window over the small
+       per-bucket table) + prefix sum inside the bucket (window per bucket),
+       so no task holds all scores of a group.
+    """
+    keys = _by_cols(by)
+    return _auc_from_counts(score_counts(df, p, y, keys), keys, buckets)
+
+
 def fold_metrics(scored: DataFrame, p: str = "p", y: str = "is_goal",
-                 by: str | Sequence[str] = "fold") -> DataFrame:
-    """Per group: ``n, goals, log_loss, roc_auc, brier`` (M1-M3)."""
+                 by: str | Sequence[str] = "fold", buckets: int = AUC_BUCKETS) -> DataFrame:
+    """Per group: ``n, goals, log_loss, roc_auc, brier`` (M1-M3).
+
+    Every metric comes from the one distinct-score aggregate: log loss and
+    Brier are count-weighted sums over distinct scores, so the rows are
+    scanned and shuffled once.
+    """
     keys = _by_cols(by)
-    pc, yc = F.col(p), F.col(y)
-    base = scored.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(yc.cast("long")).alias("goals"),
-        F.avg(log_loss_term(pc, yc)).alias("log_loss"),
-        F.avg(brier_term(pc, yc)).alias("brier"),
+    sc = score_counts(scored, p, y, keys)
+    pc, pos, neg = F.col("__p"), F.col("__pos").cast("double"), F.col("__neg").cast("double")
+    one, zero = F.lit(1), F.lit(0)
+    ll = pos * log_loss_term(pc, one) + neg * log_loss_term(pc, zero)
+    br = pos * brier_term(pc, one) + neg * brier_term(pc, zero)
+    n = F.sum(F.col("__pos") + F.col("__neg"))
+    base = sc.groupBy(*keys).agg(
+        n.alias("n"),
+        F.sum("__pos").alias("goals"),
+        (F.sum(ll) / n.cast("double")).alias("log_loss"),
+        (F.sum(br) / n.cast("double")).alias("brier"),
     )
-    # k (at most a handful of) rows per side: broadcast is bounded by k.
-    return base.join(F.broadcast(roc_auc(scored, p, y, keys)), keys, "left") \
+    # groups (k folds) rows per side: broadcast is bounded by k.
+    return base.join(F.broadcast(_auc_from_counts(sc, keys, buckets)), keys, "left") \
                .select(*keys, "n", "goals", "log_loss", "roc_auc", "brier")
 
 

@@ -53,36 +53,46 @@ def class_counts(df: DataFrame, label: str = TARGET_COLUMN, fold: str = "fold")
 
 def fit_folds(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
               label: str = TARGET_COLUMN, fold: str = "fold",
-              max_iter: int = 100, tol: float = 1e-9) -> DataFrame:
+              max_iter: int = 100, tol: float = 1e-6, parallelism: int | None = None) -> DataFrame:
     """Fit one model per fold on the complement of the fold.
 
     Returns the model table keyed by ``fold``.  A training side with a
-    single class raises :class:`DegenerateFoldError` before any fit.
+    single class raises :class:`DegenerateFoldError` before any fit.  The k
+    fits are independent distributed jobs; up to ``parallelism`` of them are
+    submitted at once (as ``CrossValidator(parallelism=...)`` does) so that
+    small fits do not leave the cluster idle.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     spark = df.sparkSession
-    cc = class_counts(df, label, fold).collect()          # k rows
+    cc = sorted(class_counts(df, label, fold).collect(), key=lambda r: r[fold])  # k rows
     total_rows = sum(r["rows"] for r in cc)
     total_pos = sum(r["pos"] or 0 for r in cc)
+    plans = []
+    for r in cc:
+        n_train = total_rows - r["rows"]
+        pos_train = total_pos - (r["pos"] or 0)
+        if n_train == 0 or pos_train == 0 or pos_train == n_train:
+            raise DegenerateFoldError(
+                f"fold {r[fold]}: training side has a single class "
+                f"({pos_train} positives of {n_train})")
+        plans.append((int(r[fold]), n_train))
     work = df.select(fold, *features, label).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        rows = []
-        for r in sorted(cc, key=lambda r: r[fold]):
-            n_train = total_rows - r["rows"]
-            pos_train = total_pos - (r["pos"] or 0)
-            if n_train == 0 or pos_train == 0 or pos_train == n_train:
-                raise DegenerateFoldError(
-                    f"fold {r[fold]}: training side has a single class "
-                    f"({pos_train} positives of {n_train})")
-            m = _fit(work.filter(F.col(fold) != F.lit(r[fold])), features, label,
-                     n_train, max_iter, tol)
-            rows.append(_model_row(m, int(r[fold]), n_train, features))
+        def one(plan):
+            f, n_train = plan
+            m = _fit(work.filter(F.col(fold) != F.lit(f)), features, label, n_train, max_iter, tol)
+            return _model_row(m, f, n_train, features)
+
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism or len(plans), len(plans)))) as ex:
+            rows = list(ex.map(one, plans))
     finally:
         work.unpersist()
     return spark.createDataFrame(rows, MODEL_TABLE_SCHEMA)
 
 
 def fit_final(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
-              label: str = TARGET_COLUMN, max_iter: int = 100, tol: float = 1e-9) -> DataFrame:
+              label: str = TARGET_COLUMN, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
     """Fit the final model on all rows (G5); one-row model table, ``fold`` NULL."""
     agg = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos")).first()
     n, pos = agg["n"], agg["pos"] or 0

@@ -34,6 +34,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when a scan yields fewer splits than the
+    cluster can run at once (e.g. one Parquet row group).
+
+    For CPU-heavy per-row work (JSON parsing).  On large inputs the scan
+    already has thousands of splits and this is a no-op: no extra shuffle.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    n = df.rdd.getNumPartitions()
+    return df.repartition(target) if n < target else df
+
+
 def _x(eid: Column) -> Column:
     return F.lit(60.0) + (eid * 37 % 600) / F.lit(10.0)
 
@@ -78,7 +90,7 @@ def raw_events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     struct<id,name>, player struct<id,name>, team_name, team struct<id,name>,
     shot_statsbomb_xg``.
     """
-    e = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    e = spread(read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"))
     eid, uid = F.col("event_id"), F.col("user_id")
     kx, ky = eid * 37 % 600, eid * 53 % 800
     xt, yt = _dec_text(kx, 60), _dec_text(ky, 0)
@@ -160,7 +172,7 @@ def json_requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     Mixes valid bodies, absent fields, JSON nulls, numeric text, booleans,
     fractional numbers, non-object and non-JSON bodies.
     """
-    e = read_table(spark, sf_dir, "events").select("event_id")
+    e = spread(read_table(spark, sf_dir, "events").select("event_id"))
     eid = F.col("event_id")
     d = ((eid % 50) - 2).cast("string")
     a = ((eid * 7 % 200) - 5).cast("string")
