@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from xgspark.config import GROUP_COLUMN, N_SPLITS
 from xgspark.operators.joins import broadcast_if_small
+from xgspark.session import materialize
 
 log = logging.getLogger(__name__)
 
@@ -70,17 +71,16 @@ def fold_map(df: DataFrame, group: str = GROUP_COLUMN, k: int = N_SPLITS,
 def _fold_map(df: DataFrame, group: str, k: int, method: str,
               max_greedy_groups: int) -> tuple[DataFrame, int]:
     """The fold map and the number of groups (counted once, bounded)."""
-    counts = group_counts(df, group)
     if method not in ("greedy", "hash"):
         raise ValueError(f"unknown fold method {method!r}")
-    # Bounded count: never scans past max_greedy_groups + 1 groups.
-    n_groups = counts.limit(max_greedy_groups + 1).count()
+    # One pass over the rows; the per-group counts (one small row per group)
+    # are written to the checkpoint folder and read from there afterwards.
+    counts = materialize(group_counts(df, group), "group-counts")
+    n_groups = counts.count()
     if method == "greedy" and n_groups > max_greedy_groups:
-        log.warning("%d+ groups: switching fold assignment to the hash method.", n_groups)
+        log.warning("%d groups: switching fold assignment to the hash method.", n_groups)
         method = "hash"
     if method == "hash":
-        if n_groups > max_greedy_groups:
-            n_groups = counts.count()
         kk = effective_folds(n_groups, k)
         return counts.withColumn("fold", F.pmod(F.xxhash64(F.col(group)), F.lit(kk)).cast("int")), n_groups
     kk = effective_folds(n_groups, k)
@@ -92,7 +92,7 @@ def _fold_map(df: DataFrame, group: str, k: int, method: str,
                 .groupBy("__all")
                 .applyInPandas(lambda pdf: _greedy_assign(pdf.drop(columns="__all"), group, kk),
                                schema))
-    return fm, n_groups
+    return materialize(fm, "fold-map"), n_groups
 
 
 def group_kfold(df: DataFrame, group: str = GROUP_COLUMN, k: int = N_SPLITS,

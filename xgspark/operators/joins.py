@@ -31,11 +31,13 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
 def attach_season(matches: DataFrame, seasons: DataFrame) -> DataFrame:
     """Matches of the chosen seasons, tagged with ``season_name``.
 
-    The season list of one competition is a catalogue (tens of rows), checked
-    before it is broadcast.
+    No hint: the season list of one competition is a catalogue read from a
+    small file, so Catalyst's size estimate already plans a broadcast, and
+    AQE re-checks the materialised size at run time before broadcasting
+    (``spark.sql.adaptive.autoBroadcastJoinThreshold``); a large list falls
+    back to a shuffle join without a pre-counting job.
     """
-    s = broadcast_if_small(seasons.select("season_id", "season_name"))
-    return matches.join(s, "season_id", "inner")
+    return matches.join(seasons.select("season_id", "season_name"), "season_id", "inner")
 
 
 def events_of_matches(events: DataFrame, matches: DataFrame, key: str = "match_id") -> DataFrame:

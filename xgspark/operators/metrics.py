@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from xgspark.config import LOG_LOSS_EPS
+from xgspark.session import materialize
 
 # Score buckets for the distributed prefix sum of the AUC.
 AUC_BUCKETS = 64
@@ -96,7 +97,7 @@ def roc_auc(df: DataFrame, p: str = "p", y: str = "is_goal",
        so no task holds all scores of a group.
     """
     keys = _by_cols(by)
-    return _auc_from_counts(score_counts(df, p, y, keys), keys, buckets)
+    return _auc_from_counts(materialize(score_counts(df, p, y, keys), "score-counts"), keys, buckets)
 
 
 def fold_metrics(scored: DataFrame, p: str = "p", y: str = "is_goal",
@@ -108,7 +109,8 @@ def fold_metrics(scored: DataFrame, p: str = "p", y: str = "is_goal",
     scanned and shuffled once.
     """
     keys = _by_cols(by)
-    sc = score_counts(scored, p, y, keys)
+    # One pass over the rows; everything after reads the distinct-score table.
+    sc = materialize(score_counts(scored, p, y, keys), "score-counts")
     pc, pos, neg = F.col("__p"), F.col("__pos").cast("double"), F.col("__neg").cast("double")
     one, zero = F.lit(1), F.lit(0)
     ll = pos * log_loss_term(pc, one) + neg * log_loss_term(pc, zero)

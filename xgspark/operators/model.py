@@ -79,6 +79,8 @@ def fit_folds(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
         plans.append((int(r[fold]), n_train))
     work = df.select(fold, *features, label).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        work.count()  # materialise once; the concurrent fits then all read the cache
+
         def one(plan):
             f, n_train = plan
             m = _fit(work.filter(F.col(fold) != F.lit(f)), features, label, n_train, max_iter, tol)

@@ -30,6 +30,8 @@ def build_session(master: str | None = None, app_name: str = "xgspark",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Checkpoint files of DataFrames that went out of scope are removed.
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # Broadcasts are explicit and size-checked in code; keep the automatic
         # threshold at its default so Catalyst may still pick small sides.
         "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
@@ -62,6 +64,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or current
 
 
+def materialize(df, name: str = "stage"):
+    """Write ``df`` once as a Parquet table in the shared checkpoint folder
+    and read it back: the lineage is cut there.
+
+    For small derived tables read several times (group counts, fold maps,
+    distinct-score tables): one job computes them, later jobs read columnar
+    files with exact size statistics instead of re-running the scan, and a
+    lost executor does not replay the upstream work.  The folder belongs to
+    the job's checkpoint location and is removed with it.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path of the checkpoint folder for one written table."""
     base = checkpoint_dir(spark)
