@@ -41,9 +41,16 @@ def attach_season(matches: DataFrame, seasons: DataFrame) -> DataFrame:
 
 
 def events_of_matches(events: DataFrame, matches: DataFrame, key: str = "match_id") -> DataFrame:
-    """Events whose match is in ``matches`` (J2, left semi join)."""
+    """Events whose match is in ``matches`` (J2, left semi join).
+
+    The id list of a competition is small next to the events: it is
+    broadcast after a bounded count (at most ``BROADCAST_MAX_ROWS + 1`` ids
+    are counted), so the events are never shuffled for this join.  A larger
+    list falls back to a shuffle join (AQE splits a hot match on the events
+    side).
+    """
     ids = matches.select(key).filter(F.col(key).isNotNull())
-    return events.join(ids, key, "left_semi")
+    return events.join(broadcast_if_small(ids), key, "left_semi")
 
 
 def matches_without_shots(matches: DataFrame, shots: DataFrame, key: str = "match_id") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from xgspark.config import FEATURE_COLUMNS, TARGET_COLUMN
+from xgspark.config import FEATURE_COLUMNS, GROUP_COLUMN, TARGET_COLUMN
 from xgspark.functions.scoring import logistic_probability
 from xgspark.schemas import MODEL_TABLE_SCHEMA
 
@@ -24,16 +24,30 @@ class DegenerateFoldError(ValueError):
     """A training fold holds a single class: the intercept has no finite optimum."""
 
 
+def assemble(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
+             label: str = TARGET_COLUMN, group: str | None = GROUP_COLUMN,
+             out: str = "features") -> DataFrame:
+    """Feature vector, label and group by name in the trained order (P5).
+
+    Only these columns are selected, so Catalyst prunes every other column
+    down to the scan.
+    """
+    from pyspark.ml.feature import VectorAssembler
+
+    cols = [*[F.col(c).cast("double") for c in features], F.col(label).cast("double").alias(label)]
+    if group:
+        cols.append(F.col(group))
+    assembled = VectorAssembler(inputCols=list(features), outputCol=out,
+                                handleInvalid="error").transform(df.select(*cols))
+    return assembled.select(out, label, *([group] if group else []))
+
+
 def _fit(df: DataFrame, features: Sequence[str], label: str, n_train: int,
          max_iter: int, tol: float):
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
 
-    assembled = VectorAssembler(inputCols=list(features), outputCol="__features",
-                                handleInvalid="error").transform(
-        df.select(*[F.col(c).cast("double") for c in features],
-                  F.col(label).cast("double").alias("__label")))
-    lr = LogisticRegression(featuresCol="__features", labelCol="__label",
+    assembled = assemble(df, features, label, None, "__features")
+    lr = LogisticRegression(featuresCol="__features", labelCol=label,
                             regParam=1.0 / float(n_train), elasticNetParam=0.0,
                             standardization=False, fitIntercept=True,
                             maxIter=max_iter, tol=tol, family="binomial")

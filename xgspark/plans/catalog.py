@@ -240,6 +240,14 @@ def q_fit_folds(spark, sf_dir) -> DataFrame:
     return model.fit_folds(_folded_shots(spark, sf_dir))
 
 
+def q_train_cv_metrics(spark, sf_dir) -> DataFrame:
+    """Per-fold metrics of the out-of-fold scores of the fitted fold models
+    (rows-only check: fits are iterative)."""
+    folded = _folded_shots(spark, sf_dir)
+    scored = model.score_oof(folded, model.fit_folds(folded))
+    return _metrics_out(metrics.fold_metrics(scored))
+
+
 def q_final_model(spark, sf_dir) -> DataFrame:
     """Final fit, coefficients by name (rows-only check)."""
     return model.coefficients(model.fit_final(tables.shots_view(spark, sf_dir)))
@@ -299,6 +307,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cv_summary": q_cv_summary,
     "oof_scores": q_oof_scores,
     "fit_folds": q_fit_folds,
+    "train_cv_metrics": q_train_cv_metrics,
     "final_model": q_final_model,
     "csv_round_trip": q_csv_round_trip,
     "model_round_trip": q_model_round_trip,

@@ -36,15 +36,14 @@ def train(shots: DataFrame, out: str | None = None, k: int = N_SPLITS,
           method: str = "greedy") -> TrainingReport:
     """Grouped CV with MLlib fits per fold, metrics, final fit, optional save.
 
-    The folded frame is checkpointed to the shared checkpoint folder so the
-    k fits and the metric jobs restart from it after an executor loss
-    instead of re-reading the source.
+    The folded training columns are written once to the shared checkpoint
+    folder, so the k fits and the metric jobs read them (and restart from
+    them after an executor loss) instead of re-reading the source.
     """
-    from xgspark.session import checkpoint_dir
+    from xgspark.session import materialize
 
     folded, obs = prepare(shots, k, method)
-    checkpoint_dir(folded.sparkSession)
-    folded = folded.checkpoint(eager=True)
+    folded = materialize(folded, "training-folds")
     dropped = int((obs.get or {}).get("rows_dropped") or 0)
     check_no_leakage(folded)
     models = fit_folds(folded)
