@@ -49,6 +49,8 @@ def group_counts(df: DataFrame, group: str = GROUP_COLUMN) -> DataFrame:
 
 
 def _greedy_assign(pdf: pd.DataFrame, group: str, k: int) -> pd.DataFrame:
+    # Runs inside a Python worker: this module is pickled by value (see the
+    # end of the module), so executors need pandas but not this package.
     # Largest group first (ties: larger group id first); each goes to the
     # currently lightest fold (ties: lowest fold index).
     pdf = pdf.sort_values(["n", group], ascending=[False, False], kind="mergesort")
@@ -139,3 +141,18 @@ def fold_sizes(df: DataFrame, group: str = GROUP_COLUMN, fold: str = "fold") ->
     total = F.sum("test_rows").over(Window.partitionBy(F.lit(0)))
     return per.select(fold, (total - F.col("test_rows")).alias("train_rows"),
                       "test_rows", "test_matches")
+
+
+def _ship_by_value() -> None:
+    """Send this module's task functions to executors by value, so workers
+    need pandas but not this package on their path."""
+    import sys
+
+    try:
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # older cloudpickle: fall back to shipping the package (--py-files)
+        pass
+
+
+_ship_by_value()
