@@ -88,3 +88,11 @@ def test_csv_round_trip_and_required_columns(spark, tmp_path):
     write_shots(df.drop("shot_angle"), str(tmp_path / "csv2"), "csv")
     with pytest.raises(MissingColumnsError):
         read_shots(spark, str(tmp_path / "csv2"), "csv")
+
+
+def test_event_files_are_pruned_to_chosen_matches(spark, open_data):
+    ids = spark.createDataFrame([(100,), (201,)], "match_id long")   # 201 has no file
+    ev = read_events(spark, open_data, ids)
+    files = {r.match_id for r in ev.select("match_id").distinct().collect()}
+    assert files == {100}
+    assert "300.json" not in " ".join(ev.inputFiles())

@@ -59,4 +59,5 @@ def test_model_unavailable(spark):
                                "request_id long, distance_meters double, angle_degrees double")
     out = {r.request_id: r for r in score_batch(df, None).collect()}
     assert out[1].status == "model_unavailable" and out[1].http_status == 503
+    assert out[1].gateway_status == 502 and out[2].gateway_status == 422
     assert out[2].status == "rejected"

@@ -49,7 +49,7 @@ def build_shots(spark: SparkSession, root: str, out: str | None = None,
     matches = read_matches(spark, root, seasons, competition_id)
     if matches.isEmpty():
         raise NoDataError(f"no matches for competition {competition_id}")
-    events = read_events(spark, root)
+    events = read_events(spark, root, distinct_ids(matches, "match_id"))
     res = shots_from_catalogue(comps, matches, events, competition_id)
     if res.shots.isEmpty():
         raise NoDataError("no valid shots after cleaning")

@@ -218,6 +218,7 @@ def _score_sql(model: dict | None) -> str:
 sc AS (SELECT *, {p} AS p, {status} AS st FROM validated)
 SELECT request_id, distance_meters, angle_degrees, st AS status,
        CASE WHEN st = 'ok' THEN 200 WHEN st = 'model_unavailable' THEN 503 ELSE 422 END AS http_status,
+       CASE WHEN st = 'ok' THEN 200 WHEN st = 'rejected' THEN 422 ELSE 502 END AS gateway_status,
        errors_json,
        CASE WHEN st = 'ok' THEN {r4('p')} END AS xg_probability,
        CASE WHEN st = 'ok' THEN {r4(yards)} END AS distance_yards,

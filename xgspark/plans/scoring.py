@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xgspark.config import HTTP_STATUS, STATUS_MODEL_UNAVAILABLE, STATUS_OK
+from xgspark.config import (
+    GATEWAY_RELAY_STATUS, HTTP_STATUS, STATUS_MODEL_UNAVAILABLE, STATUS_OK, STATUS_REJECTED,
+)
 from xgspark.functions.geometry import to_yards
 from xgspark.functions.scoring import interpret_xg, logistic_probability, round_half_up
 from xgspark.operators.validation import ANGLE, DISTANCE, validate_shots
 
-RESPONSE_COLUMNS = ("status", "http_status", "errors", "xg_probability", "distance_yards",
-                    "interpretation")
+RESPONSE_COLUMNS = ("status", "http_status", "gateway_status", "errors", "xg_probability",
+                    "distance_yards", "interpretation")
 
 
 def score_requests(validated: DataFrame, model: dict | None) -> DataFrame:
@@ -41,9 +43,15 @@ def score_requests(validated: DataFrame, model: dict | None) -> DataFrame:
     http = F.when(F.col("status") == STATUS_OK, F.lit(HTTP_STATUS[STATUS_OK])) \
             .when(F.col("status") == STATUS_MODEL_UNAVAILABLE, F.lit(HTTP_STATUS[STATUS_MODEL_UNAVAILABLE])) \
             .otherwise(F.lit(HTTP_STATUS["rejected"]))
+    # The gateway answers its own validation failures (422) and relays any
+    # non-2xx answer of the service as 502.
+    gateway = F.when(F.col("status") == STATUS_OK, F.lit(HTTP_STATUS[STATUS_OK])) \
+               .when(F.col("status") == STATUS_REJECTED, F.lit(HTTP_STATUS[STATUS_REJECTED])) \
+               .otherwise(F.lit(GATEWAY_RELAY_STATUS))
     served = F.col("status") == F.lit(STATUS_OK)
     return (scored
             .withColumn("http_status", http)
+            .withColumn("gateway_status", gateway)
             .withColumn("xg_probability", F.when(served, round_half_up(F.col("__p"), 4)))
             .withColumn("distance_yards", F.when(served, round_half_up(yards, 4)))
             .withColumn("interpretation", F.when(served, interpret_xg(F.col("__p"))))

@@ -76,6 +76,30 @@ def read_matches(spark: SparkSession, root: str, seasons: DataFrame,
     return attach_season(df, seasons)
 
 
+# Up to this many chosen match ids, only their files are listed and read.
+MAX_PRUNED_IDS = 20_000
+
+
+def _events_path(root: str, match_ids: DataFrame | None) -> str:
+    """Glob of the event files to read.
+
+    With a bounded id list (checked with a bounded count) the glob names
+    only those files (``events/{id1,id2,...}.json``), so other matches'
+    files are never listed or opened -- file pruning for a layout without
+    partition columns.  Absent files simply do not match.  Otherwise every
+    file is read and the semi join (J2) keeps the chosen matches.
+    """
+    base = f"{root.rstrip('/')}/events"
+    if match_ids is not None:
+        ids = match_ids.select(F.col("match_id").cast("bigint").alias("match_id")) \
+                       .filter(F.col("match_id").isNotNull()).distinct()
+        if ids.limit(MAX_PRUNED_IDS + 1).count() <= MAX_PRUNED_IDS:
+            values = sorted(r["match_id"] for r in ids.collect())
+            if values:
+                return f"{base}/{{{','.join(str(v) for v in values)}}}.json"
+    return f"{root.rstrip('/')}/{EVENTS_GLOB}"
+
+
 def read_events(spark: SparkSession, root: str, match_ids: DataFrame | None = None) -> DataFrame:
     """Events of the chosen matches with ``match_id`` attached.
 
@@ -83,7 +107,12 @@ def read_events(spark: SparkSession, root: str, match_ids: DataFrame | None = No
     (``shot_type``, ``shot_outcome``, ``shot_body_part`` as ``{id, name}``
     records, ``shot_statsbomb_xg``); ``location`` stays VARIANT.
     """
-    df = _read_json(spark, EVENTS_SCHEMA, f"{root.rstrip('/')}/{EVENTS_GLOB}")
+    from pyspark.errors import AnalysisException
+
+    try:
+        df = _read_json(spark, EVENTS_SCHEMA, _events_path(root, match_ids))
+    except AnalysisException as e:  # no event file for any chosen match
+        raise NoDataError(f"no event files for the chosen matches under {root}") from e
     df = (df.select(_file_id().alias("match_id"),
                     F.col("type"), F.col("period"), F.col("minute"), F.col("location"),
                     F.col("player"), F.col("team"),
