@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from xgspark.config import LOG_LOSS_EPS
 from xgspark.session import materialize
 
-# Score buckets for the distributed prefix sum of the AUC.
-AUC_BUCKETS = 64
+# Score buckets for the distributed prefix sum of the AUC: about this many
+# distinct scores per bucket, between the two bounds below.
+AUC_ROWS_PER_BUCKET = 1_000_000
+AUC_MIN_BUCKETS = 64
+AUC_MAX_BUCKETS = 16_384
 
 
 def _by_cols(by: str | Sequence[str] | None) -> list[str]:
@@ -54,16 +57,32 @@ def score_counts(df: DataFrame, p: str = "p", y: str = "is_goal",
               .agg(F.sum(yd).alias("__pos"), F.sum(F.lit(1) - yd).alias("__neg")))
 
 
-def _auc_from_counts(scores: DataFrame, keys: list[str], buckets: int) -> DataFrame:
+def auc_buckets(n_scores: int) -> int:
+    """Bucket count for ``n_scores`` distinct scores (bounded both ways)."""
+    want = -(-n_scores // AUC_ROWS_PER_BUCKET)
+    return int(min(max(want, AUC_MIN_BUCKETS), AUC_MAX_BUCKETS))
+
+
+def _auc_from_counts(scores: DataFrame, keys: list[str], buckets: int | None) -> DataFrame:
+    from pyspark.ml.feature import Bucketizer
+
+    if buckets is None:
+        buckets = auc_buckets(scores.count())
     # Quantile split points over the distinct scores (all groups together):
     # one small distributed aggregate; only the split points reach the driver.
     qs = [i / buckets for i in range(1, buckets)]
-    splits_row = scores.agg(F.percentile_approx("__p", qs, 10_000).alias("s")).first() if qs else None
-    splits = sorted({float(v) for v in ((splits_row["s"] if splits_row else None) or []) if v is not None})
-    bucket = F.lit(0)
-    for s in splits:
-        bucket = bucket + F.when(F.col("__p") > F.lit(s), 1).otherwise(0)
-    scores = scores.withColumn("__b", bucket)
+    splits_row = scores.agg(F.percentile_approx("__p", qs, max(10_000, 10 * buckets)).alias("s")).first() \
+        if qs else None
+    inner = sorted({float(v) for v in ((splits_row["s"] if splits_row else None) or [])
+                    if v is not None and v == v and abs(v) != float("inf")})
+    # Bucketizer: binary search in the JVM; buckets are [s_i, s_i+1), monotone
+    # in the score, so equal scores always share a bucket.
+    if inner:
+        splits = [float("-inf"), *inner, float("inf")]
+        scores = Bucketizer(splits=splits, inputCol="__p", outputCol="__bd", handleInvalid="keep") \
+            .transform(scores).withColumn("__b", F.col("__bd").cast("int")).drop("__bd")
+    else:
+        scores = scores.withColumn("__b", F.lit(0))
     per_bucket = scores.groupBy(*keys, "__b").agg(F.sum("__neg").alias("__bneg"))
     w_off = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))) \
         .orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,7 +102,7 @@ def _auc_from_counts(scores: DataFrame, keys: list[str], buckets: int) -> DataFr
 
 
 def roc_auc(df: DataFrame, p: str = "p", y: str = "is_goal",
-            by: str | Sequence[str] | None = None, buckets: int = AUC_BUCKETS) -> DataFrame:
+            by: str | Sequence[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Exact ROC-AUC per ``by`` group; ties count one half (M4).
 
     ``AUC = sum_pos(neg_below + neg_equal / 2) / (P * N)``; NULL when a group
@@ -91,7 +110,9 @@ def roc_auc(df: DataFrame, p: str = "p", y: str = "is_goal",
 
     1. distinct scores: ``groupBy(by, p)`` -> ``pos, neg`` (partial agg);
     2. score range buckets from approximate quantiles of the distinct scores
-       (the quantiles only balance the buckets; the result is exact);
+       (the quantiles only balance the buckets; the result is exact); the
+       bucket count grows with the number of distinct scores
+       (:func:`auc_buckets`), so a bucket stays near a million rows;
     3. negatives below each score = bucket offset (window over the small
        per-bucket table) + prefix sum inside the bucket (window per bucket),
        so no task holds all scores of a group.
@@ -101,7 +122,7 @@ def roc_auc(df: DataFrame, p: str = "p", y: str = "is_goal",
 
 
 def fold_metrics(scored: DataFrame, p: str = "p", y: str = "is_goal",
-                 by: str | Sequence[str] = "fold", buckets: int = AUC_BUCKETS) -> DataFrame:
+                 by: str | Sequence[str] = "fold", buckets: int | None = None) -> DataFrame:
     """Per group: ``n, goals, log_loss, roc_auc, brier`` (M1-M3).
 
     Every metric comes from the one distinct-score aggregate: log loss and
