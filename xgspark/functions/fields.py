@@ -11,26 +11,26 @@ from pyspark.sql import types as T
 from xgspark.config import GOAL_OUTCOME
 
 
-def _field_type(df: DataFrame, name: str):
-    for f in df.schema.fields:
-        if f.name == name:
-            return f.dataType
-    return None
+def _field_types(df_or_schema) -> dict:
+    schema = df_or_schema if isinstance(df_or_schema, T.StructType) else df_or_schema.schema
+    return {f.name: f.dataType for f in schema.fields}
 
 
-def name_field(df: DataFrame, candidates: Sequence[str]) -> Column:
+def name_field(df: DataFrame | T.StructType, candidates: Sequence[str]) -> Column:
     """Ordered candidate lookup of a display name.
 
     For each candidate column that exists, in order:
       * a record column (``struct<id, name>``) that is present returns its
         ``name`` -- even when that name is NULL, later candidates are not tried;
+      (``df`` may also be a schema, to inspect it once for several lookups)
       * a flat column returns its value when it is not NULL / NaN.
     Absent candidates are skipped; with none usable the result is NULL.
     The schema is inspected once on the driver; the result is one ``CASE``.
     """
+    types = _field_types(df)
     expr: Column = F.lit(None).cast("string")
     for name in reversed(list(candidates)):
-        dtype = _field_type(df, name)
+        dtype = types.get(name)
         if dtype is None:
             continue
         c = F.col(name)

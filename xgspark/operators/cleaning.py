@@ -24,7 +24,6 @@ from xgspark.config import (
 )
 from xgspark.functions.fields import goal_label, location_xy, location_xy_variant, name_field
 from xgspark.functions.geometry import distance_to_goal, shot_angle
-from xgspark.schemas import CLEAN_SHOTS_SCHEMA
 
 
 def seasons_of(competitions: DataFrame, competition_id: int = DEFAULT_COMPETITION_ID) -> DataFrame:
@@ -58,7 +57,8 @@ def with_location_xy(df: DataFrame, location: str = "location") -> DataFrame:
     parsed = F.col(location) if isinstance(dtype, T.VariantType) else F.try_parse_json(F.col(location))
     v = df.select("*", F.explode(F.array(parsed)).alias("__loc"))
     x, y = location_xy_variant("__loc")
-    return v.withColumn("x", x).withColumn("y", y).drop("__loc")
+    keep = [c for c in df.columns if c not in ("x", "y")]
+    return v.select(*keep, x.alias("x"), y.alias("y"))
 
 
 def drop_bad_location(df: DataFrame) -> DataFrame:
@@ -113,8 +113,8 @@ def drop_missing_plain(df: DataFrame, cols: Sequence[str] = CRITICAL_COLUMNS) ->
     return df.filter(~missing_mask(df, cols))
 
 
-def _column_or_null(df: DataFrame, name: str, dtype: str) -> Column:
-    if name in df.columns:
+def _column_or_null(columns, name: str, dtype: str) -> Column:
+    if name in columns:
         return F.col(name).cast(dtype)
     return F.lit(None).cast(dtype)
 
@@ -128,25 +128,29 @@ def flatten_shots(events: DataFrame) -> DataFrame:
     optional columns become NULL.  No exception can be raised per row:
     every parse is a ``try_*`` expression (F8).
     """
-    df = drop_bad_location(with_location_xy(events))
-    df = df.withColumn("__shot_type", name_field(df, SHOT_TYPE_CANDIDATES))
-    df = drop_shootout(drop_penalties(df, "__shot_type"), "period") if "period" in df.columns \
-        else drop_penalties(df, "__shot_type")
-    out = df.select(
-        _column_or_null(df, "match_id", "bigint").alias("match_id"),
-        name_field(df, PLAYER_CANDIDATES).alias("player_name"),
-        name_field(df, TEAM_CANDIDATES).alias("team_name"),
-        _column_or_null(df, "minute", "int").alias("minute"),
-        _column_or_null(df, "period", "int").alias("period"),
-        name_field(df, BODY_PART_CANDIDATES).alias("body_part"),
-        F.col("__shot_type").alias("shot_type"),
-        _column_or_null(df, "shot_statsbomb_xg", "double").alias("statsbomb_xg"),
+    df = with_location_xy(events)
+    schema = df.schema                      # inspected once for every lookup below
+    cols = set(schema.names)
+    shot_type = name_field(schema, SHOT_TYPE_CANDIDATES)
+    keep = (F.col("x").isNotNull() & F.col("y").isNotNull()                      # F3
+            & ~shot_type.eqNullSafe(F.lit(PENALTY_SHOT_TYPE)))                   # F4
+    if "period" in cols:
+        keep = keep & ~F.col("period").eqNullSafe(F.lit(SHOOTOUT_PERIOD))        # F5
+    out = df.filter(keep).select(
+        _column_or_null(cols, "match_id", "bigint").alias("match_id"),
+        name_field(schema, PLAYER_CANDIDATES).alias("player_name"),
+        name_field(schema, TEAM_CANDIDATES).alias("team_name"),
+        _column_or_null(cols, "minute", "int").alias("minute"),
+        _column_or_null(cols, "period", "int").alias("period"),
+        name_field(schema, BODY_PART_CANDIDATES).alias("body_part"),
+        shot_type.alias("shot_type"),
+        _column_or_null(cols, "shot_statsbomb_xg", "double").alias("statsbomb_xg"),
         F.col("x"), F.col("y"),
-        goal_label(name_field(df, SHOT_OUTCOME_CANDIDATES)).cast("int").alias("is_goal"),
+        goal_label(name_field(schema, SHOT_OUTCOME_CANDIDATES)).cast("int").alias("is_goal"),
         distance_to_goal("x", "y").alias("distance_to_goal"),
         shot_angle("x", "y").alias("shot_angle"),
     )
-    return out.select([F.col(f.name).cast(f.dataType) for f in CLEAN_SHOTS_SCHEMA.fields])
+    return out
 
 
 def clean_shots(events: DataFrame) -> DataFrame:

@@ -30,8 +30,22 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "conversations")
 
 
+# FIXED VALUES: the columns of the benchmark tables that are read, with their
+# stored types.  Declared, not inferred: no footer-reading job per read, and
+# only these columns can ever be requested from the files.
+TABLE_SCHEMAS = {
+    "events": "event_id bigint, user_id bigint, event_type string, value double, props string",
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_nationkey int",
+}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    reader = spark.read
+    if name in TABLE_SCHEMAS:
+        reader = reader.schema(TABLE_SCHEMAS[name])
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
@@ -54,12 +68,6 @@ def _y(eid: Column) -> Column:
     return (eid * 53 % 800) / F.lit(10.0)
 
 
-def _dec_text(k: Column, offset: int) -> Column:
-    """Decimal text ``offset + k/10`` built from integers ('60.3')."""
-    return F.concat((F.lit(offset) + F.floor(k / 10)).cast("string"), F.lit("."),
-                    (k % 10).cast("string"))
-
-
 def shots_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean, featured shots: ``shot_id, match_id, x, y, distance_to_goal,
     shot_angle, is_goal`` (is_goal drawn from the fixture model)."""
@@ -82,6 +90,50 @@ def fixture_probability() -> Column:
     return logistic_probability(b0, (b1, b2), ("distance_to_goal", "shot_angle"))
 
 
+def _dec_sql(k: str, offset: int) -> str:
+    """SQL for the decimal text ``offset + k/10`` built from integers ('60.3')."""
+    return f"concat(cast({offset} + floor(({k}) / 10) AS STRING), '.', cast(({k}) % 10 AS STRING))"
+
+
+_XT = _dec_sql("event_id * 37 % 600", 60)
+_YT = _dec_sql("event_id * 53 % 800", 0)
+_NAMED_NULL = "CAST(NULL AS STRUCT<id: BIGINT, name: STRING>)"
+
+# The raw shot-shaped event view as SQL expressions over ``events``: one
+# parse on the JVM side instead of hundreds of Column calls.
+RAW_EVENT_EXPRS = (
+    "event_id",
+    "user_id AS match_id",
+    f"""CASE WHEN event_id % 53 = 0 THEN {_NAMED_NULL}
+             ELSE named_struct('id', CAST(16 AS BIGINT), 'name',
+                               CASE WHEN event_id % 47 = 0 THEN 'Pass' ELSE 'Shot' END) END AS type""",
+    "CASE WHEN event_id % 37 = 0 THEN CAST(NULL AS INT) ELSE CAST(1 + event_id % 5 AS INT) END AS period",
+    "CAST(event_id % 95 AS INT) AS minute",
+    f"""CASE WHEN event_id % 31 = 0 THEN CAST(NULL AS STRING)
+             WHEN event_id % 41 = 0 THEN '[100.0]'
+             WHEN event_id % 67 = 0 THEN '"oops"'
+             WHEN event_id % 73 = 0 THEN concat('[null, ', {_YT}, ']')
+             WHEN event_id % 71 = 0 THEN concat('["', {_XT}, '", ', {_YT}, ', 0.3]')
+             WHEN event_id % 79 = 0 THEN concat('["nan", ', {_YT}, ']')
+             ELSE concat('[', {_XT}, ', ', {_YT}, ']') END AS location""",
+    """CASE WHEN event_id % 23 = 0 THEN 'Penalty' WHEN event_id % 29 = 0 THEN CAST(NULL AS STRING)
+             ELSE 'Open Play' END AS shot_type""",
+    """CASE WHEN event_type = 'purchase' THEN 'Goal' WHEN event_type = 'error' THEN CAST(NULL AS STRING)
+             ELSE 'Saved' END AS shot_outcome""",
+    f"""CASE WHEN event_id % 59 = 0 THEN {_NAMED_NULL}
+             ELSE named_struct('id', event_id % 3, 'name',
+                               CASE WHEN event_id % 3 = 0 THEN 'Right Foot'
+                                    WHEN event_id % 3 = 1 THEN 'Left Foot' ELSE 'Head' END) END AS shot_body_part""",
+    """named_struct('id', user_id, 'name',
+                    CASE WHEN user_id % 11 = 0 THEN CAST(NULL AS STRING)
+                         ELSE concat('Player ', CAST(user_id AS STRING)) END) AS player""",
+    """CASE WHEN event_id % 13 = 0 THEN CAST(NULL AS STRING)
+             ELSE concat('Team ', CAST(user_id % 32 AS STRING)) END AS team_name""",
+    "named_struct('id', user_id % 32, 'name', concat('Club ', CAST(user_id % 32 AS STRING))) AS team",
+    "value / 100.0D AS shot_statsbomb_xg",
+)
+
+
 def raw_events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw shot-shaped events, flat and nested fields mixed as they arrive.
 
@@ -91,51 +143,7 @@ def raw_events_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     shot_statsbomb_xg``.
     """
     e = spread(read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"))
-    eid, uid = F.col("event_id"), F.col("user_id")
-    kx, ky = eid * 37 % 600, eid * 53 % 800
-    xt, yt = _dec_text(kx, 60), _dec_text(ky, 0)
-    location = (F.when(eid % 31 == 0, F.lit(None).cast("string"))
-                 .when(eid % 41 == 0, F.lit("[100.0]"))
-                 .when(eid % 67 == 0, F.lit('"oops"'))
-                 .when(eid % 73 == 0, F.concat(F.lit("[null, "), yt, F.lit("]")))
-                 .when(eid % 71 == 0, F.concat(F.lit('["'), xt, F.lit('", '), yt, F.lit(", 0.3]")))
-                 .when(eid % 79 == 0, F.concat(F.lit('["nan", '), yt, F.lit("]")))
-                 .otherwise(F.concat(F.lit("["), xt, F.lit(", "), yt, F.lit("]"))))
-    type_rec = F.when(eid % 53 == 0, F.lit(None).cast("struct<id:bigint,name:string>")).otherwise(
-        F.struct(F.lit(16).cast("bigint").alias("id"),
-                 F.when(eid % 47 == 0, F.lit("Pass")).otherwise(F.lit("Shot")).alias("name")))
-    body = F.when(eid % 59 == 0, F.lit(None).cast("struct<id:bigint,name:string>")).otherwise(
-        F.struct((eid % 3).alias("id"),
-                 F.when(eid % 3 == 0, F.lit("Right Foot"))
-                  .when(eid % 3 == 1, F.lit("Left Foot"))
-                  .otherwise(F.lit("Head")).alias("name")))
-    player = F.struct(uid.alias("id"),
-                      F.when(uid % 11 == 0, F.lit(None).cast("string"))
-                       .otherwise(F.concat(F.lit("Player "), uid.cast("string"))).alias("name"))
-    team_name = F.when(eid % 13 == 0, F.lit(None).cast("string")).otherwise(
-        F.concat(F.lit("Team "), (uid % 32).cast("string")))
-    team = F.struct((uid % 32).alias("id"),
-                    F.concat(F.lit("Club "), (uid % 32).cast("string")).alias("name"))
-    return e.select(
-        eid.alias("event_id"),
-        uid.alias("match_id"),
-        type_rec.alias("type"),
-        F.when(eid % 37 == 0, F.lit(None).cast("int"))
-         .otherwise((F.lit(1) + eid % 5).cast("int")).alias("period"),
-        (eid % 95).cast("int").alias("minute"),
-        location.alias("location"),
-        F.when(eid % 23 == 0, F.lit("Penalty"))
-         .when(eid % 29 == 0, F.lit(None).cast("string"))
-         .otherwise(F.lit("Open Play")).alias("shot_type"),
-        F.when(F.col("event_type") == "purchase", F.lit("Goal"))
-         .when(F.col("event_type") == "error", F.lit(None).cast("string"))
-         .otherwise(F.lit("Saved")).alias("shot_outcome"),
-        body.alias("shot_body_part"),
-        player.alias("player"),
-        team_name.alias("team_name"),
-        team.alias("team"),
-        (F.col("value") / F.lit(100.0)).alias("shot_statsbomb_xg"),
-    )
+    return e.selectExpr(*RAW_EVENT_EXPRS)
 
 
 def competitions_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,6 +174,21 @@ def requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
                     ((eid * 7 % 200) - 5).cast("double").alias("angle_degrees"))
 
 
+_D = "CAST((event_id % 50) - 2 AS STRING)"
+_A = "CAST((event_id * 7 % 200) - 5 AS STRING)"
+JSON_BODY_EXPR = f"""CASE
+    WHEN event_id % 97 = 0 THEN '[1, 2]'
+    WHEN event_id % 89 = 0 THEN 'not json'
+    WHEN event_id % 83 = 0 THEN '{{}}'
+    WHEN event_id % 13 = 0 THEN concat('{{"angle_degrees": ', {_A}, '}}')
+    WHEN event_id % 17 = 0 THEN concat('{{"distance_meters": ', {_D}, '}}')
+    WHEN event_id % 19 = 0 THEN concat('{{"distance_meters": null, "angle_degrees": ', {_A}, '}}')
+    WHEN event_id % 11 = 0 THEN concat('{{"distance_meters": "', {_D}, '", "angle_degrees": ', {_A}, '}}')
+    WHEN event_id % 7 = 0 THEN concat('{{"distance_meters": true, "angle_degrees": ', {_A}, '}}')
+    WHEN event_id % 5 = 0 THEN concat('{{"distance_meters": ', {_D}, '.5, "angle_degrees": "', {_A}, '"}}')
+    ELSE concat('{{"distance_meters": ', {_D}, ', "angle_degrees": ', {_A}, '}}') END AS body"""
+
+
 def json_requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw JSON request bodies: ``request_id, body``.
 
@@ -173,18 +196,4 @@ def json_requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     fractional numbers, non-object and non-JSON bodies.
     """
     e = spread(read_table(spark, sf_dir, "events").select("event_id"))
-    eid = F.col("event_id")
-    d = ((eid % 50) - 2).cast("string")
-    a = ((eid * 7 % 200) - 5).cast("string")
-    dfrac = F.concat(d, F.lit(".5"))
-    body = (F.when(eid % 97 == 0, F.lit("[1, 2]"))
-             .when(eid % 89 == 0, F.lit("not json"))
-             .when(eid % 83 == 0, F.lit("{}"))
-             .when(eid % 13 == 0, F.concat(F.lit('{"angle_degrees": '), a, F.lit("}")))
-             .when(eid % 17 == 0, F.concat(F.lit('{"distance_meters": '), d, F.lit("}")))
-             .when(eid % 19 == 0, F.concat(F.lit('{"distance_meters": null, "angle_degrees": '), a, F.lit("}")))
-             .when(eid % 11 == 0, F.concat(F.lit('{"distance_meters": "'), d, F.lit('", "angle_degrees": '), a, F.lit("}")))
-             .when(eid % 7 == 0, F.concat(F.lit('{"distance_meters": true, "angle_degrees": '), a, F.lit("}")))
-             .when(eid % 5 == 0, F.concat(F.lit('{"distance_meters": '), dfrac, F.lit(', "angle_degrees": "'), a, F.lit('"}')))
-             .otherwise(F.concat(F.lit('{"distance_meters": '), d, F.lit(', "angle_degrees": '), a, F.lit("}"))))
-    return e.select(eid.alias("request_id"), body.alias("body"))
+    return e.selectExpr("event_id AS request_id", JSON_BODY_EXPR)
