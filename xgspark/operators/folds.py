@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from xgspark.config import GROUP_COLUMN, N_SPLITS
 from xgspark.operators.joins import broadcast_if_small
-from xgspark.session import materialize
+from xgspark.session import materialize, materialize_counted
 
 log = logging.getLogger(__name__)
 
@@ -77,8 +77,7 @@ def _fold_map(df: DataFrame, group: str, k: int, method: str,
         raise ValueError(f"unknown fold method {method!r}")
     # One pass over the rows; the per-group counts (one small row per group)
     # are written to the checkpoint folder and read from there afterwards.
-    counts = materialize(group_counts(df, group), "group-counts")
-    n_groups = counts.count()
+    counts, n_groups = materialize_counted(group_counts(df, group), "group-counts")
     if method == "greedy" and n_groups > max_greedy_groups:
         log.warning("%d groups: switching fold assignment to the hash method.", n_groups)
         method = "hash"

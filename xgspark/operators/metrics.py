@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from xgspark.config import LOG_LOSS_EPS
-from xgspark.session import materialize
+from xgspark.session import materialize_counted
 
 # Score buckets for the distributed prefix sum of the AUC: about this many
 # distinct scores per bucket, between the two bounds below.
@@ -63,11 +63,12 @@ def auc_buckets(n_scores: int) -> int:
     return int(min(max(want, AUC_MIN_BUCKETS), AUC_MAX_BUCKETS))
 
 
-def _auc_from_counts(scores: DataFrame, keys: list[str], buckets: int | None) -> DataFrame:
+def _auc_from_counts(scores: DataFrame, keys: list[str], buckets: int | None,
+                     n_scores: int | None = None) -> DataFrame:
     from pyspark.ml.feature import Bucketizer
 
     if buckets is None:
-        buckets = auc_buckets(scores.count())
+        buckets = auc_buckets(scores.count() if n_scores is None else n_scores)
     # Quantile split points over the distinct scores (all groups together):
     # one small distributed aggregate; only the split points reach the driver.
     qs = [i / buckets for i in range(1, buckets)]
@@ -118,7 +119,8 @@ def roc_auc(df: DataFrame, p: str = "p", y: str = "is_goal",
        so no task holds all scores of a group.
     """
     keys = _by_cols(by)
-    return _auc_from_counts(materialize(score_counts(df, p, y, keys), "score-counts"), keys, buckets)
+    sc, n = materialize_counted(score_counts(df, p, y, keys), "score-counts")
+    return _auc_from_counts(sc, keys, buckets, n)
 
 
 def fold_metrics(scored: DataFrame, p: str = "p", y: str = "is_goal",
@@ -131,7 +133,7 @@ def fold_metrics(scored: DataFrame, p: str = "p", y: str = "is_goal",
     """
     keys = _by_cols(by)
     # One pass over the rows; everything after reads the distinct-score table.
-    sc = materialize(score_counts(scored, p, y, keys), "score-counts")
+    sc, n_scores = materialize_counted(score_counts(scored, p, y, keys), "score-counts")
     pc, pos, neg = F.col("__p"), F.col("__pos").cast("double"), F.col("__neg").cast("double")
     one, zero = F.lit(1), F.lit(0)
     ll = pos * log_loss_term(pc, one) + neg * log_loss_term(pc, zero)
@@ -144,7 +146,7 @@ def fold_metrics(scored: DataFrame, p: str = "p", y: str = "is_goal",
         (F.sum(br) / n.cast("double")).alias("brier"),
     )
     # groups (k folds) rows per side: broadcast is bounded by k.
-    return base.join(F.broadcast(_auc_from_counts(sc, keys, buckets)), keys, "left") \
+    return base.join(F.broadcast(_auc_from_counts(sc, keys, buckets, n_scores)), keys, "left") \
                .select(*keys, "n", "goals", "log_loss", "roc_auc", "brier")
 
 

@@ -74,10 +74,20 @@ def materialize(df, name: str = "stage"):
     lost executor does not replay the upstream work.  The folder belongs to
     the job's checkpoint location and is removed with it.
     """
+    return materialize_counted(df, name)[0]
+
+
+def materialize_counted(df, name: str = "stage"):
+    """:func:`materialize` that also returns the row count, observed while
+    writing (no second job)."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    obs = Observation(f"rows-{name}")
+    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path), int(obs.get["rows"])
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
