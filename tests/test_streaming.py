@@ -1,10 +1,8 @@
 import os
 
-from pyspark.sql import functions as F
-
 from tests.conftest import SF_SMALL
 from xgspark.plans.scoring import score_batch
-from xgspark.sources.tables import read_table, requests_view
+from xgspark.sources.tables import REQUEST_EXPRS, read_table, requests_view
 from xgspark.streaming.scoring_stream import score_stream
 
 MODEL = {"intercept": -1.0, "coef_distance": -0.1, "coef_angle": 0.03}
@@ -12,10 +10,7 @@ MODEL = {"intercept": -1.0, "coef_distance": -0.1, "coef_angle": 0.03}
 
 def _requests_stream(spark, src):
     e = spark.readStream.schema("event_id bigint").option("maxFilesPerTrigger", 1).parquet(src)
-    eid = F.col("event_id")
-    return e.select(eid.alias("request_id"),
-                    ((eid % 50) - 2).cast("double").alias("distance_meters"),
-                    ((eid * 7 % 200) - 5).cast("double").alias("angle_degrees"))
+    return e.selectExpr(*REQUEST_EXPRS)
 
 
 def test_multi_batch_stream_equals_batch_and_replay_adds_nothing(spark, tmp_path):

@@ -22,7 +22,7 @@ from xgspark.config import (
     PLAYER_CANDIDATES, SHOOTOUT_PERIOD, SHOT_OUTCOME_CANDIDATES, SHOT_TYPE_CANDIDATES,
     SHOT_TYPE_NAME, TEAM_CANDIDATES,
 )
-from xgspark.functions.fields import goal_label, location_xy, location_xy_variant, name_field
+from xgspark.functions.fields import goal_label, location_xy_variant, name_field
 from xgspark.functions.geometry import distance_to_goal, shot_angle
 
 

@@ -8,7 +8,6 @@ Doubles compared against the SQL oracle are rounded half-up to 6 decimals
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession

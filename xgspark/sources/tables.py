@@ -164,14 +164,19 @@ def matches_view(spark: SparkSession, sf_dir: str) -> DataFrame:
                     c.c_nationkey.cast("bigint").alias("season_id"))
 
 
+# Typed score requests derived from ``events`` (shared by the batch view and
+# the streaming source, so the two always see the same requests).
+REQUEST_EXPRS = (
+    "event_id AS request_id",
+    "CAST((event_id % 50) - 2 AS DOUBLE) AS distance_meters",
+    "CAST((event_id * 7 % 200) - 5 AS DOUBLE) AS angle_degrees",
+)
+
+
 def requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed score requests: ``request_id, distance_meters, angle_degrees``
     (includes out-of-range values on purpose)."""
-    e = read_table(spark, sf_dir, "events").select("event_id")
-    eid = F.col("event_id")
-    return e.select(eid.alias("request_id"),
-                    ((eid % 50) - 2).cast("double").alias("distance_meters"),
-                    ((eid * 7 % 200) - 5).cast("double").alias("angle_degrees"))
+    return read_table(spark, sf_dir, "events").select("event_id").selectExpr(*REQUEST_EXPRS)
 
 
 _D = "CAST((event_id % 50) - 2 AS STRING)"

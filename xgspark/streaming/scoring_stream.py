@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from xgspark.operators.validation import split_valid
 from xgspark.plans.scoring import score_batch
-from xgspark.schemas import SCORE_REQUEST_SCHEMA
 from xgspark.session import scratch_path
+from xgspark.sources.tables import REQUEST_EXPRS
 
 
 def requests_stream_from_events(spark: SparkSession, sf_dir: str,
@@ -30,11 +30,7 @@ def requests_stream_from_events(spark: SparkSession, sf_dir: str,
                    .option("pathGlobFilter", "events.parquet"))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    e = reader.parquet(sf_dir.rstrip("/"))
-    eid = F.col("event_id")
-    return e.select(eid.alias("request_id"),
-                    ((eid % 50) - 2).cast("double").alias("distance_meters"),
-                    ((eid * 7 % 200) - 5).cast("double").alias("angle_degrees"))
+    return reader.parquet(sf_dir.rstrip("/")).selectExpr(*REQUEST_EXPRS)
 
 
 def score_stream(stream: DataFrame, model: dict | None, out_dir: str, checkpoint: str,
