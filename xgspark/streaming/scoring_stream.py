@@ -15,7 +15,6 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from xgspark.operators.validation import split_valid
 from xgspark.plans.scoring import score_batch
