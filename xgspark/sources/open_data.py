@@ -76,8 +76,10 @@ def read_matches(spark: SparkSession, root: str, seasons: DataFrame,
     return attach_season(df, seasons)
 
 
-# Up to this many chosen match ids, only their files are listed and read.
-MAX_PRUNED_IDS = 20_000
+# Up to this many chosen match ids, only their files are read.  The glob's
+# alternation is matched against every listed file name, so it is kept
+# short; beyond it one listing plus the broadcast semi join is cheaper.
+MAX_PRUNED_IDS = 2_000
 
 
 def _events_path(root: str, match_ids: DataFrame | None) -> str:

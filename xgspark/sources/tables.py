@@ -55,8 +55,11 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     For CPU-heavy per-row work (JSON parsing).  On large inputs the scan
     already has thousands of splits and this is a no-op: no extra shuffle.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    n = df.rdd.getNumPartitions()
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view of the plan (e.g. a Connect session): leave as is
+        return df
     return df.repartition(target) if n < target else df
 
 
