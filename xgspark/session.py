@@ -15,9 +15,10 @@ def build_session(master: str | None = None, app_name: str = "xgspark",
                   extra: dict[str, str] | None = None) -> SparkSession:
     """Session with the settings the jobs assume (AQE on, UTC, no UI).
 
-    On a cluster leave ``master`` unset: the launcher decides.  Shuffle
-    partitions default to AQE-coalesced 2x cores; on a large cluster set it
-    from the input size (about 128-256 MB of shuffle data per partition).
+    On a cluster leave ``master`` unset: the launcher decides.  Set
+    ``shuffle_partitions`` from the largest shuffle (input bytes / ~128 MB,
+    e.g. tens of thousands for 100 TB); AQE coalesces the small ones, so a
+    high value costs little on small stages.
     """
     b = SparkSession.builder.appName(app_name)
     if master:
@@ -29,6 +30,14 @@ def build_session(master: str | None = None, app_name: str = "xgspark",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # A partition holding several times the median is split (a hot match
+        # can hold a third of all rows).
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
+        # Post-shuffle partitions of about 128 MB after AQE coalescing; scan
+        # splits of 256 MB keep task counts sane on 100 TB inputs.
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+        "spark.sql.files.maxPartitionBytes": "256m",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # Checkpoint files of DataFrames that went out of scope are removed.
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
