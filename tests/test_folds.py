@@ -57,11 +57,35 @@ def test_whole_groups_and_balance(spark, method):
         assert spread <= largest
 
 
-def test_greedy_falls_back_to_hash_beyond_bound(spark):
-    df = spark.range(0, 50).select(F.col("id").alias("match_id"))
-    fm = fold_map(df, "match_id", 5, "greedy", max_greedy_groups=10)
-    assert fm.select("fold").distinct().count() <= 5
-    assert fm.count() == 50
+def test_greedy_falls_back_to_fill_beyond_bound(spark, monkeypatch):
+    import xgspark.operators.folds as folds_mod
+
+    monkeypatch.setattr(folds_mod, "FILL_ROWS_PER_BUCKET", 20)   # several hash buckets
+    rows = _rows(seed=9, groups=400)
+    df = spark.createDataFrame(rows, "match_id long")
+    fm = {r.match_id: (r.n, r.fold) for r in fold_map(df, "match_id", 5, "greedy",
+                                                      max_greedy_groups=30).collect()}
+    assert len(fm) == 401                                   # every group, once
+    loads = [0] * 5
+    for n, f in fm.values():
+        loads[f] += n
+    assert sum(loads) == len(rows)
+    # the hot group (a third of the rows) is alone in its fold, the rest balanced
+    hot_fold = fm[999][1]
+    others = [v for f, v in enumerate(loads) if f != hot_fold]
+    assert loads[hot_fold] == fm[999][0]
+    tail_max = max(n for g, (n, f) in fm.items() if g != 999)
+    assert max(others) - min(others) <= 2 * tail_max
+    folded = group_kfold(df, "match_id", 5, "greedy", max_greedy_groups=30)
+    assert assert_no_leakage(folded).first().n_leaking_groups == 0
+
+
+def test_water_level():
+    from xgspark.operators.folds import water_level
+
+    assert water_level([10, 0, 0], 10) == 5
+    assert water_level([10, 0, 0], 40) == pytest.approx(50 / 3)
+    assert water_level([3, 3, 3], 0) == 3
 
 
 def test_effective_folds():

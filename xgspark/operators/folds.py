@@ -4,8 +4,10 @@ Whole groups go to one fold; folds are balanced by row count.  The work over
 rows is distributed (a partial-aggregated ``groupBy(group).count()`` and a
 join back); only the per-group counts -- one small row per group -- enter
 the greedy pass, and only when their number is below a checked bound.
-Beyond it, ``method='hash'`` assigns folds by hashing the group key: a pure
-projection, no shuffle, balanced in expectation.
+Beyond it, ``method='fill'`` assigns the largest groups greedily and fills
+the folds with the rest through a distributed prefix sum (no task holds all
+groups); ``method='hash'`` hashes the group key: a pure projection, balanced
+in expectation only.
 """
 
 from __future__ import annotations
@@ -24,8 +26,12 @@ from xgspark.session import materialize, materialize_counted
 log = logging.getLogger(__name__)
 
 # Greedy assignment is sequential over group counts; above this many groups
-# the counts are not gathered into one task and the hash method is used.
+# the counts are not gathered into one task: the 'fill' method is used.
 MAX_GREEDY_GROUPS = 2_000_000
+# 'fill': the largest groups assigned greedily, in one bounded task ...
+HEAD_GROUPS = 100_000
+# ... and the rest by a distributed prefix sum, about this many per bucket.
+FILL_ROWS_PER_BUCKET = 1_000_000
 
 
 class FoldError(ValueError):
@@ -70,17 +76,98 @@ def fold_map(df: DataFrame, group: str = GROUP_COLUMN, k: int = N_SPLITS,
     return _fold_map(df, group, k, method, max_greedy_groups)[0]
 
 
+def water_level(loads: list[float], extra: float) -> float:
+    """Level L with sum(max(0, L - load)) == extra: pouring ``extra`` rows into
+    the folds raises the lightest ones to a common level."""
+    ls = sorted(loads)
+    acc = 0.0
+    for i, v in enumerate(ls):
+        acc += v
+        level = (extra + acc) / (i + 1)
+        if i + 1 == len(ls) or level <= ls[i + 1]:
+            return level
+    return ls[-1]
+
+
+def _fill_folds(counts: DataFrame, group: str, k: int, head_groups: int) -> DataFrame:
+    """Balanced folds without gathering all groups (the 'fill' method).
+
+    1. The ``head_groups`` largest groups (a distributed top-k) are assigned
+       greedily, exactly as the greedy method would, in one bounded task.
+    2. The fold loads after the head (k numbers) set a water level; fold f
+       may take ``max(0, level - load_f)`` more rows.
+    3. The remaining groups, in a pseudo-random order (``xxhash64``), get a
+       start position from a distributed prefix sum (hash-range buckets,
+       bucket offsets over a small table, running sums per bucket); a group
+       goes to the fold whose capacity segment holds its start.
+
+    A hot group is in the head, placed first like every large one; the tail
+    holds groups no larger than the smallest head group, and each fold's
+    tail share is off by less than one tail group, so fold loads that the
+    head leaves below the level end within two tail groups of each other.
+    """
+    import math
+
+    head = counts.orderBy(F.col("n").desc(), F.col(group).desc()).limit(head_groups)
+    gtype = counts.schema[group].dataType
+    schema = T.StructType([T.StructField(group, gtype), T.StructField("n", T.LongType()),
+                           T.StructField("fold", T.IntegerType())])
+    head_fm = materialize(
+        head.withColumn("__all", F.lit(0)).groupBy("__all")
+            .applyInPandas(lambda pdf: _greedy_assign(pdf.drop(columns="__all"), group, k), schema),
+        "fold-head")
+    loads = [0.0] * k
+    for r in head_fm.groupBy("fold").agg(F.sum("n").alias("rows")).collect():   # k rows
+        loads[r["fold"]] = float(r["rows"])
+    tail = counts.join(F.broadcast(head_fm.select(group)), group, "left_anti")
+    tail_rows, tail_groups = tail.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    if not tail_groups:
+        return head_fm
+    level = water_level(loads, float(tail_rows))
+    bounds, acc = [], 0.0
+    for f in range(k):
+        acc += max(0.0, level - loads[f])
+        bounds.append(acc)
+    bits = max(0, min(14, math.ceil(math.log2(max(1, tail_groups / FILL_ROWS_PER_BUCKET)))))
+    # Order-preserving hash-range bucket: the top ``bits`` bits of the hash.
+    h = F.xxhash64(F.col(group))
+    bucket = (F.shiftright(h, 64 - bits) + F.lit(1 << (bits - 1))) if bits else F.lit(0)
+    t = tail.withColumn("__h", h).withColumn("__b", bucket.cast("int"))
+    from pyspark.sql import Window
+
+    per_b = t.groupBy("__b").agg(F.sum("n").alias("__bn"))
+    offsets = per_b.select("__b", F.coalesce(F.sum("__bn").over(
+        Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)),
+        F.lit(0)).alias("__off"))                                             # <= 2^bits rows
+    w = Window.partitionBy("__b").orderBy("__h", group).rowsBetween(Window.unboundedPreceding, -1)
+    # A group goes where its midpoint falls: each fold boundary is off by at
+    # most half a group on either side.
+    start = (F.col("__off") + F.coalesce(F.sum("n").over(w), F.lit(0))).cast("double") \
+        + F.col("n").cast("double") / 2.0
+    fold = F.lit(k - 1)
+    for f in reversed(range(k - 1)):
+        fold = F.when(F.col("__start") < F.lit(bounds[f]), F.lit(f)).otherwise(fold)
+    tail_fm = (t.join(F.broadcast(offsets), "__b")
+                .withColumn("__start", start)
+                .select(group, "n", fold.cast("int").alias("fold")))
+    return head_fm.unionByName(tail_fm)
+
+
 def _fold_map(df: DataFrame, group: str, k: int, method: str,
               max_greedy_groups: int) -> tuple[DataFrame, int]:
     """The fold map and the number of groups (counted once, bounded)."""
-    if method not in ("greedy", "hash"):
+    if method not in ("greedy", "fill", "hash"):
         raise ValueError(f"unknown fold method {method!r}")
     # One pass over the rows; the per-group counts (one small row per group)
     # are written to the checkpoint folder and read from there afterwards.
     counts, n_groups = materialize_counted(group_counts(df, group), "group-counts")
     if method == "greedy" and n_groups > max_greedy_groups:
-        log.warning("%d groups: switching fold assignment to the hash method.", n_groups)
-        method = "hash"
+        log.warning("%d groups: switching fold assignment to the fill method.", n_groups)
+        method = "fill"
+    if method == "fill":
+        kk = effective_folds(n_groups, k)
+        head = min(HEAD_GROUPS, max_greedy_groups)
+        return materialize(_fill_folds(counts, group, kk, head), "fold-map"), n_groups
     if method == "hash":
         kk = effective_folds(n_groups, k)
         return counts.withColumn("fold", F.pmod(F.xxhash64(F.col(group)), F.lit(kk)).cast("int")), n_groups
