@@ -98,7 +98,9 @@ def drop_missing(df: DataFrame, cols: Sequence[str] = CRITICAL_COLUMNS,
     """
     from pyspark.sql import Observation
 
-    obs = Observation(metrics_name or "drop_missing")
+    import uuid
+
+    obs = Observation(metrics_name or f"drop_missing-{uuid.uuid4().hex}")
     flagged = df.withColumn("__missing", missing_mask(df, cols))
     observed = flagged.observe(
         obs,

@@ -94,20 +94,14 @@ def materialize_counted(df, name: str = "stage"):
 
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    obs = Observation(f"rows-{name}")
+    obs = Observation(f"rows-{os.path.basename(path)}")     # unique per write
     df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path), int(obs.get["rows"])
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh sub-path of the checkpoint folder for one written table."""
-    base = checkpoint_dir(spark)
-    return os.path.join(base, f"{name}-{os.getpid()}-{_next_id()}")
+    """A fresh sub-path of the checkpoint folder for one written table
+    (unique across threads and processes)."""
+    import uuid
 
-
-_counter = [0]
-
-
-def _next_id() -> int:
-    _counter[0] += 1
-    return _counter[0]
+    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
