@@ -83,3 +83,7 @@ STATUS_MODEL_UNAVAILABLE = "model_unavailable"
 HTTP_STATUS = {STATUS_OK: 200, STATUS_REJECTED: 422, STATUS_MODEL_UNAVAILABLE: 503}
 # The gateway relays any non-2xx answer of the service as 502.
 GATEWAY_RELAY_STATUS = 502
+
+# --- FIXED VALUES: the gateway's error titles ---
+GATEWAY_VALIDATION_ERROR = "Validation failed"
+GATEWAY_SERVICE_ERROR = "ML service error"

@@ -175,7 +175,7 @@ def q_valid_json_requests(spark, sf_dir) -> DataFrame:
 
 def _score_out(df: DataFrame) -> DataFrame:
     return _errors_json(df).select("request_id", "distance_meters", "angle_degrees", "status",
-                                   "http_status", "gateway_status", "errors_json", "xg_probability",
+                                   "http_status", "gateway_status", "error", "errors_json", "xg_probability",
                                    "distance_yards", "interpretation")
 
 

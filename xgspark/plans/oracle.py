@@ -9,7 +9,10 @@ exactly as the Spark side does.
 
 from __future__ import annotations
 
-from xgspark.config import INTERPRETATION_THRESHOLDS, LAX_MESSAGES, LOG_LOSS_EPS, STRICT_MESSAGES, YARDS_PER_METER
+from xgspark.config import (
+    GATEWAY_SERVICE_ERROR, GATEWAY_VALIDATION_ERROR, INTERPRETATION_THRESHOLDS, LAX_MESSAGES,
+    LOG_LOSS_EPS, STRICT_MESSAGES, YARDS_PER_METER,
+)
 from xgspark.plans.catalog import ETL_COMPETITION_ID, FOLD_MODELS, SERVICE_MODEL
 from xgspark.sources.tables import FIXTURE_MODEL
 
@@ -219,6 +222,7 @@ sc AS (SELECT *, {p} AS p, {status} AS st FROM validated)
 SELECT request_id, distance_meters, angle_degrees, st AS status,
        CASE WHEN st = 'ok' THEN 200 WHEN st = 'model_unavailable' THEN 503 ELSE 422 END AS http_status,
        CASE WHEN st = 'ok' THEN 200 WHEN st = 'rejected' THEN 422 ELSE 502 END AS gateway_status,
+       CASE WHEN st = 'rejected' THEN '{GATEWAY_VALIDATION_ERROR}' WHEN st <> 'ok' THEN '{GATEWAY_SERVICE_ERROR}' END AS error,
        errors_json,
        CASE WHEN st = 'ok' THEN {r4('p')} END AS xg_probability,
        CASE WHEN st = 'ok' THEN {r4(yards)} END AS distance_yards,

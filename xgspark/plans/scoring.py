@@ -12,14 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from xgspark.config import (
-    GATEWAY_RELAY_STATUS, HTTP_STATUS, STATUS_MODEL_UNAVAILABLE, STATUS_OK, STATUS_REJECTED,
+    GATEWAY_RELAY_STATUS, GATEWAY_SERVICE_ERROR, GATEWAY_VALIDATION_ERROR, HTTP_STATUS,
+    STATUS_MODEL_UNAVAILABLE, STATUS_OK, STATUS_REJECTED,
 )
 from xgspark.functions.geometry import to_yards
 from xgspark.functions.scoring import interpret_xg, logistic_probability, round_half_up
 from xgspark.operators.validation import ANGLE, DISTANCE, validate_shots
 
-RESPONSE_COLUMNS = ("status", "http_status", "gateway_status", "errors", "xg_probability",
-                    "distance_yards", "interpretation")
+RESPONSE_COLUMNS = ("status", "http_status", "gateway_status", "error", "errors",
+                    "xg_probability", "distance_yards", "interpretation")
 
 
 def score_requests(validated: DataFrame, model: dict | None) -> DataFrame:
@@ -52,6 +53,8 @@ def score_requests(validated: DataFrame, model: dict | None) -> DataFrame:
     return (scored
             .withColumn("http_status", http)
             .withColumn("gateway_status", gateway)
+            .withColumn("error", F.when(F.col("status") == STATUS_REJECTED, F.lit(GATEWAY_VALIDATION_ERROR))
+                                  .when(F.col("status") != STATUS_OK, F.lit(GATEWAY_SERVICE_ERROR)))
             .withColumn("xg_probability", F.when(served, round_half_up(F.col("__p"), 4)))
             .withColumn("distance_yards", F.when(served, round_half_up(yards, 4)))
             .withColumn("interpretation", F.when(served, interpret_xg(F.col("__p"))))
