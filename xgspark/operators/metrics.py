@@ -21,7 +21,6 @@ from xgspark.session import materialize_counted
 # Score buckets for the distributed prefix sum of the AUC: about this many
 # distinct scores per bucket, between the two bounds below.
 AUC_ROWS_PER_BUCKET = 1_000_000
-AUC_MIN_BUCKETS = 64
 AUC_MAX_BUCKETS = 16_384
 
 
@@ -58,9 +57,11 @@ def score_counts(df: DataFrame, p: str = "p", y: str = "is_goal",
 
 
 def auc_buckets(n_scores: int) -> int:
-    """Bucket count for ``n_scores`` distinct scores (bounded both ways)."""
+    """Bucket count for ``n_scores`` distinct scores: about a million per
+    bucket.  Up to a million scores one bucket (per group) is already a
+    bounded window task, and no quantile pass is needed."""
     want = -(-n_scores // AUC_ROWS_PER_BUCKET)
-    return int(min(max(want, AUC_MIN_BUCKETS), AUC_MAX_BUCKETS))
+    return int(min(max(want, 1), AUC_MAX_BUCKETS))
 
 
 def _auc_from_counts(scores: DataFrame, keys: list[str], buckets: int | None,
