@@ -83,3 +83,71 @@ def test_geometry_matches_math(spark, pts):
             a = 2 * math.pi - a
         assert r.d == pytest.approx(d, rel=1e-12, abs=1e-12)
         assert r.a == pytest.approx(math.degrees(a), rel=1e-9, abs=1e-9)
+
+
+_ABSENT = object()
+field_value = st.one_of(st.just(_ABSENT), st.none(), st.booleans(),
+                        st.integers(-5, 200), st.floats(-5, 200, allow_nan=False).map(lambda v: round(v, 3)),
+                        st.integers(-5, 200).map(str))
+
+
+def _body(d, a):
+    obj = {}
+    if d is not _ABSENT:
+        obj["distance_meters"] = d
+    if a is not _ABSENT:
+        obj["angle_degrees"] = a
+    return json.dumps(obj)
+
+
+def _coerce(v, mode):
+    """(present, number or None) under the contract's typing rules."""
+    if v is _ABSENT:
+        return False, None
+    if isinstance(v, bool):
+        return True, (float(v) if mode == "lax" else None)
+    if isinstance(v, (int, float)):
+        return True, float(v)
+    if isinstance(v, str) and mode == "lax":
+        try:
+            return True, float(v)
+        except ValueError:
+            return True, None
+    return True, None
+
+
+def _expected(d, a, mode):
+    from xgspark.config import LAX_MESSAGES, STRICT_MESSAGES
+
+    m = STRICT_MESSAGES if mode == "strict" else LAX_MESSAGES
+    errors = {}
+    dp, dv = _coerce(d, mode)
+    if not dp:
+        errors["distance_meters"] = [m["distance_meters"]["required"]]
+    elif dv is None:
+        errors["distance_meters"] = [m["distance_meters"]["type"]]
+    elif not dv > 0:
+        errors["distance_meters"] = [m["distance_meters"]["gt"]]
+    ap, av = _coerce(a, mode)
+    if not ap:
+        errors["angle_degrees"] = [m["angle_degrees"]["required"]]
+    elif av is None:
+        errors["angle_degrees"] = [m["angle_degrees"]["type"]]
+    elif av < 0:
+        errors["angle_degrees"] = [m["angle_degrees"]["ge"]]
+    elif av > 180:
+        errors["angle_degrees"] = [m["angle_degrees"]["le"]]
+    return errors
+
+
+@pytest.mark.parametrize("mode", ["strict", "lax"])
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(pairs=st.lists(st.tuples(field_value, field_value), min_size=1, max_size=60))
+def test_json_validation_matches_contract_model(spark, mode, pairs):
+    from xgspark.operators.validation import validate_json
+
+    df = spark.createDataFrame([(i, _body(d, a)) for i, (d, a) in enumerate(pairs)], "i int, body string")
+    got = {r.i: (r.status, r.errors) for r in validate_json(df, "body", mode).collect()}
+    for i, (d, a) in enumerate(pairs):
+        errors = _expected(d, a, mode)
+        assert got[i] == ("ok" if not errors else "rejected", errors), (_body(d, a), mode)
