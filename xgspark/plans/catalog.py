@@ -103,6 +103,25 @@ def _etl(spark, sf_dir):
                                 ETL_COMPETITION_ID)
 
 
+def q_missing_value_counts(spark, sf_dir) -> DataFrame:
+    """rows reaching the final missing-value drop, and rows it removes
+    (NULL or NaN in x, y, is_goal, distance_to_goal)."""
+    flat = cleaning.flatten_shots(cleaning.only_shots(tables.raw_events_view(spark, sf_dir)))
+    miss = cleaning.missing_mask(flat, ("x", "y", "is_goal", "distance_to_goal"))
+    return flat.agg(F.count(F.lit(1)).alias("rows_in"),
+                    F.count(F.when(miss, 1)).alias("rows_dropped"))
+
+
+def q_assembled_features(spark, sf_dir) -> DataFrame:
+    """P5: feature vector in trained order, label and group, by name."""
+    from pyspark.ml.functions import vector_to_array
+
+    a = model.assemble(tables.shots_view(spark, sf_dir))
+    v = vector_to_array("features")
+    return a.select(r6(v[0]).alias("f_distance_to_goal"), r6(v[1]).alias("f_shot_angle"),
+                    F.col("is_goal").alias("label"), "match_id")
+
+
 def q_etl_shots(spark, sf_dir) -> DataFrame:
     """E1 over the catalogue views: F1, J1, U2, J2, F2, clean."""
     return _clean_out(_etl(spark, sf_dir).shots)
@@ -286,6 +305,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clean_shots": q_clean_shots,
     "null_safe_filters": q_null_safe_filters,
     "bad_locations": q_bad_locations,
+    "missing_value_counts": q_missing_value_counts,
+    "assembled_features": q_assembled_features,
     "etl_shots": q_etl_shots,
     "ingest_audit": q_ingest_audit,
     "season_matches": q_season_matches,

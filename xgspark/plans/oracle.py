@@ -315,6 +315,14 @@ SELECT event_id, shot_type, period FROM raw
 WHERE shot_type IS DISTINCT FROM 'Penalty' AND period IS DISTINCT FROM 5""",
     "bad_locations": f"""WITH {RAW}
 SELECT event_id, location, x, y, (x IS NOT NULL AND y IS NOT NULL) AS valid FROM raw_xy""",
+    "missing_value_counts": f"""WITH {RAW}, {_clean_from('raw_xy')}
+SELECT count(*) AS rows_in,
+       count(CASE WHEN isnan(x) OR isnan(y) OR isnan(distance_to_goal) THEN 1 END) AS rows_dropped
+FROM featured""",
+    "assembled_features": f"""WITH {SHOTS}
+SELECT {r6('distance_to_goal')} AS f_distance_to_goal, {r6('shot_angle')} AS f_shot_angle,
+       CAST(is_goal AS DOUBLE) AS label, match_id
+FROM shots""",
     "etl_shots": f"WITH {RAW}, {CATALOGUE}, {_clean_from('etl_raw')}\n{CLEAN_SELECT}",
     "ingest_audit": f"""WITH {RAW}, {CATALOGUE}, {_clean_from('etl_raw')},
 per_match AS (SELECT match_id, count(*) AS raw_shots FROM etl_raw GROUP BY match_id),
