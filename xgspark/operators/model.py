@@ -91,6 +91,9 @@ def fit_folds(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
                 f"fold {r[fold]}: training side has a single class "
                 f"({pos_train} positives of {n_train})")
         plans.append((int(r[fold]), n_train))
+    # One narrow (fold, features, label) copy is cached for the k fits; each
+    # fit then caches its training instances from it instead of rescanning
+    # and re-joining the source.
     work = df.select(fold, *features, label).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         work.count()  # materialise once; the concurrent fits then all read the cache

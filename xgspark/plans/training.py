@@ -48,7 +48,7 @@ def train(shots: DataFrame, out: str | None = None, k: int = N_SPLITS,
     check_no_leakage(folded)
     models = fit_folds(folded)
     scored = score_oof(folded, models)
-    metrics = fold_metrics(scored).cache()
+    metrics = fold_metrics(scored)
     final = fit_final(folded)
     if out:
         save_model(final, out)
