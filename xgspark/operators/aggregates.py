@@ -26,35 +26,33 @@ def shot_summary(df: DataFrame, label: str = TARGET_COLUMN, group: str = GROUP_C
     )
 
 
-def per_match_shots(shots: DataFrame, group: str = GROUP_COLUMN) -> DataFrame:
-    """Raw shot count per match (input of the ingest audit)."""
-    return shots.groupBy(group).agg(F.count(F.lit(1)).alias("raw_shots"))
-
-
-def ingest_audit(matches: DataFrame, raw_shots: DataFrame, clean: DataFrame,
-                 group: str = GROUP_COLUMN) -> DataFrame:
-    """One-row ingest audit (A3).
-
-    matches total / with shots / without shots (J2, J3 as a left join of
-    the per-match counts), raw shots, kept shots, dropped shots, goals.
-    ``matches`` must hold distinct ids.
+def ingest_audit(matches: DataFrame, raw_shots: DataFrame, group: str = GROUP_COLUMN) -> DataFrame:
+    """One-row ingest audit (A3, with J2/J3 inside).
+
+    matches total / with shots / without shots, raw shots, kept shots,
+    dropped shots, goals.  ``matches`` holds distinct ids; ``raw_shots`` are
+    the shot events of those matches.  The events are read once: each shot
+    is flagged kept or dropped by the cleaning rules, one partial-aggregated
+    ``groupBy(match)`` counts both, and a left join to the match ids tells
+    matches with and without shots apart.
     """
-    per_match = per_match_shots(raw_shots, group)
+    from xgspark.operators.cleaning import shot_flags
+
+    flags = shot_flags(raw_shots)
+    kept = F.col("kept")
+    per_match = flags.groupBy(group).agg(
+        F.count(F.lit(1)).alias("raw_shots"),
+        F.count(F.when(kept, 1)).alias("kept_shots"),
+        F.sum(F.when(kept, F.col(TARGET_COLUMN)).cast("long")).alias("goals"))
     joined = matches.select(group).join(per_match, group, "left")
-    # One aggregate over both inputs (tagged union): no join of one-row frames.
-    tagged = joined.select(F.lit(1).alias("__m"), F.col("raw_shots").cast("long").alias("__raw"),
-                           F.lit(None).cast("long").alias("__goal")).unionByName(
-        clean.select(F.lit(0).alias("__m"), F.lit(None).cast("long").alias("__raw"),
-                     F.col(TARGET_COLUMN).cast("long").alias("__goal")))
-    is_m = F.col("__m") == 1
     zero = F.lit(0).cast("long")
-    out = tagged.agg(
-        F.count(F.when(is_m, 1)).alias("matches_total"),
-        F.count(F.when(is_m & F.col("__raw").isNotNull(), 1)).alias("matches_with_shots"),
-        F.count(F.when(is_m & F.col("__raw").isNull(), 1)).alias("matches_without_shots"),
-        F.coalesce(F.sum("__raw"), zero).alias("raw_shots"),
-        F.count(F.when(~is_m, 1)).alias("kept_shots"),
-        F.coalesce(F.sum("__goal"), zero).alias("goals"),
+    out = joined.agg(
+        F.count(F.lit(1)).alias("matches_total"),
+        F.count(F.col("raw_shots")).alias("matches_with_shots"),
+        F.count(F.when(F.col("raw_shots").isNull(), 1)).alias("matches_without_shots"),
+        F.coalesce(F.sum("raw_shots"), zero).alias("raw_shots"),
+        F.coalesce(F.sum("kept_shots"), zero).alias("kept_shots"),
+        F.coalesce(F.sum("goals"), zero).alias("goals"),
     )
     return out.select("matches_total", "matches_with_shots", "matches_without_shots",
                       "raw_shots", "kept_shots",

@@ -121,15 +121,8 @@ def _column_or_null(columns, name: str, dtype: str) -> Column:
     return F.lit(None).cast(dtype)
 
 
-def flatten_shots(events: DataFrame) -> DataFrame:
-    """Raw shot events to the 13-column clean-shots schema.
-
-    Order follows the behaviour reproduced: location first (malformed ->
-    dropped), then penalties and shoot-outs are dropped null-safely, the
-    outcome is labelled, names are looked up, geometry is added.  Absent
-    optional columns become NULL.  No exception can be raised per row:
-    every parse is a ``try_*`` expression (F8).
-    """
+def _shot_rows(events: DataFrame) -> tuple[DataFrame, Column, list[Column]]:
+    """Every event with its 13 clean-shot columns, and the F3-F5 condition."""
     df = with_location_xy(events)
     schema = df.schema                      # inspected once for every lookup below
     cols = set(schema.names)
@@ -138,7 +131,7 @@ def flatten_shots(events: DataFrame) -> DataFrame:
             & ~shot_type.eqNullSafe(F.lit(PENALTY_SHOT_TYPE)))                   # F4
     if "period" in cols:
         keep = keep & ~F.col("period").eqNullSafe(F.lit(SHOOTOUT_PERIOD))        # F5
-    out = df.filter(keep).select(
+    return df, keep, [
         _column_or_null(cols, "match_id", "bigint").alias("match_id"),
         name_field(schema, PLAYER_CANDIDATES).alias("player_name"),
         name_field(schema, TEAM_CANDIDATES).alias("team_name"),
@@ -151,8 +144,32 @@ def flatten_shots(events: DataFrame) -> DataFrame:
         goal_label(name_field(schema, SHOT_OUTCOME_CANDIDATES)).cast("int").alias("is_goal"),
         distance_to_goal("x", "y").alias("distance_to_goal"),
         shot_angle("x", "y").alias("shot_angle"),
-    )
-    return out
+    ]
+
+
+def flatten_shots(events: DataFrame) -> DataFrame:
+    """Raw shot events to the 13-column clean-shots schema.
+
+    Order follows the behaviour reproduced: location first (malformed ->
+    dropped), then penalties and shoot-outs are dropped null-safely, the
+    outcome is labelled, names are looked up, geometry is added.  Absent
+    optional columns become NULL.  No exception can be raised per row:
+    every parse is a ``try_*`` expression (F8).
+    """
+    df, keep, columns = _shot_rows(events)
+    return df.filter(keep).select(*columns)
+
+
+def shot_flags(events: DataFrame) -> DataFrame:
+    """Every shot event with its clean-shot columns and a ``kept`` flag:
+    true where :func:`clean_shots` would keep the row (F3-F6).
+
+    For audits: raw and kept counts come from one pass over the events
+    instead of one pass per count.
+    """
+    df, keep, columns = _shot_rows(events)
+    out = df.select(*columns, keep.alias("__pre"))
+    return out.withColumn("kept", F.col("__pre") & ~missing_mask(out, CRITICAL_COLUMNS)).drop("__pre")
 
 
 def clean_shots(events: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def shots_from_catalogue(competitions: DataFrame, matches: DataFrame, events: Da
     ids = distinct_ids(matches, "match_id")
     raw = only_shots(events_of_matches(events, ids))
     clean = clean_shots(raw)
-    return EtlResult(clean, ingest_audit(ids, raw, clean))
+    return EtlResult(clean, ingest_audit(ids, raw))
 
 
 def build_shots(spark: SparkSession, root: str, out: str | None = None,
