@@ -26,7 +26,8 @@ def shot_summary(df: DataFrame, label: str = TARGET_COLUMN, group: str = GROUP_C
     )
 
 
-def ingest_audit(matches: DataFrame, raw_shots: DataFrame, group: str = GROUP_COLUMN) -> DataFrame:
+def ingest_audit(matches: DataFrame, raw_shots: DataFrame | None = None, group: str = GROUP_COLUMN,
+                 flags: DataFrame | None = None) -> DataFrame:
     """One-row ingest audit (A3, with J2/J3 inside).
 
     matches total / with shots / without shots, raw shots, kept shots,
@@ -38,7 +39,8 @@ def ingest_audit(matches: DataFrame, raw_shots: DataFrame, group: str = GROUP_CO
     """
     from xgspark.operators.cleaning import shot_flags
 
-    flags = shot_flags(raw_shots)
+    if flags is None:               # else: precomputed shot_flags (e.g. a written table)
+        flags = shot_flags(raw_shots)
     kept = F.col("kept")
     per_match = flags.groupBy(group).agg(
         F.count(F.lit(1)).alias("raw_shots"),

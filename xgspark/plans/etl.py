@@ -5,12 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from xgspark.config import DEFAULT_COMPETITION_ID
 from xgspark.operators.aggregates import ingest_audit
-from xgspark.operators.cleaning import clean_shots, only_shots, seasons_of
+from xgspark.operators.cleaning import clean_shots, only_shots, seasons_of, shot_flags
 from xgspark.operators.joins import attach_season, events_of_matches
 from xgspark.operators.sets import distinct_ids
+from xgspark.session import materialize
 from xgspark.sources.open_data import NoDataError, read_competitions, read_events, read_matches
 from xgspark.sources.shots_io import write_shots
 
@@ -22,19 +24,25 @@ class EtlResult:
 
 
 def shots_from_catalogue(competitions: DataFrame, matches: DataFrame, events: DataFrame,
-                         competition_id: int) -> EtlResult:
-    """The ETL plan over already-read inputs (lazy; no action here).
+                         competition_id: int, write_flags: bool = False) -> EtlResult:
+    """The ETL plan over already-read inputs.
 
     F1 seasons -> J1 matches with season -> U2 distinct ids -> J2 events of
     those matches -> F2 shots -> clean (P1-P4, F3-F6, X1, X2) ; A3 audit.
+    Lazy by default.  With ``write_flags`` the flagged shot rows are written
+    once to the checkpoint folder and both outputs read that table, so the
+    events are scanned once for the clean table and the audit together.
     """
     seasons = seasons_of(competitions, competition_id)
     if "season_name" not in matches.columns:
         matches = attach_season(matches, seasons)
     ids = distinct_ids(matches, "match_id")
     raw = only_shots(events_of_matches(events, ids))
-    clean = clean_shots(raw)
-    return EtlResult(clean, ingest_audit(ids, raw))
+    if not write_flags:
+        return EtlResult(clean_shots(raw), ingest_audit(ids, raw))
+    flags = materialize(shot_flags(raw), "shot-flags")
+    clean = flags.filter(F.col("kept")).drop("kept")
+    return EtlResult(clean, ingest_audit(ids, flags=flags))
 
 
 def build_shots(spark: SparkSession, root: str, out: str | None = None,
@@ -50,7 +58,7 @@ def build_shots(spark: SparkSession, root: str, out: str | None = None,
     if matches.isEmpty():
         raise NoDataError(f"no matches for competition {competition_id}")
     events = read_events(spark, root, distinct_ids(matches, "match_id"))
-    res = shots_from_catalogue(comps, matches, events, competition_id)
+    res = shots_from_catalogue(comps, matches, events, competition_id, write_flags=True)
     if res.shots.isEmpty():
         raise NoDataError("no valid shots after cleaning")
     if out:
