@@ -64,15 +64,16 @@ def error_map(d_msg: Column, a_msg: Column) -> Column:
 
 
 def _finish(df: DataFrame, d_msg: Column, a_msg: Column, body_ok: Column | None = None) -> DataFrame:
+    """Add ``errors`` (failing fields only) and ``status``; a body that is not
+    an object is rejected with an empty map."""
     errors = error_map(d_msg, a_msg)
     if body_ok is not None:
         errors = F.when(body_ok, errors).otherwise(F.create_map().cast(_ERRORS_TYPE))
-    out = df.withColumn("errors", errors)
-    return out.withColumn("status", F.when(F.size("errors") == 0, F.lit(STATUS_OK))
-                                      .otherwise(F.lit(STATUS_REJECTED))) \
-              if body_ok is None else \
-           out.withColumn("status", F.when(body_ok & (F.size("errors") == 0), F.lit(STATUS_OK))
-                                      .otherwise(F.lit(STATUS_REJECTED)))
+    ok = F.size("errors") == 0
+    if body_ok is not None:
+        ok = body_ok & ok
+    return (df.withColumn("errors", errors)
+              .withColumn("status", F.when(ok, F.lit(STATUS_OK)).otherwise(F.lit(STATUS_REJECTED))))
 
 
 def validate_shots(df: DataFrame, mode: str = "strict") -> DataFrame:
