@@ -96,3 +96,16 @@ def test_event_files_are_pruned_to_chosen_matches(spark, open_data):
     files = {r.match_id for r in ev.select("match_id").distinct().collect()}
     assert files == {100}
     assert "300.json" not in " ".join(ev.inputFiles())
+
+
+def test_compacted_events_keep_variant_location(spark, open_data, tmp_path):
+    from xgspark.operators.cleaning import clean_shots
+    from xgspark.sources.open_data import compact_events
+
+    out = str(tmp_path / "compact")
+    compact_events(read_events(spark, open_data), out, partition_by="match_id")
+    back = spark.read.parquet(out)
+    assert back.schema["location"].dataType.typeName() == "variant"
+    direct = sorted((r.match_id, r.x, r.y) for r in clean_shots(read_events(spark, open_data)).collect())
+    again = sorted((r.match_id, r.x, r.y) for r in clean_shots(back).collect())
+    assert direct == again and len(direct) == 4
