@@ -50,3 +50,13 @@ def test_single_class_training_fold_is_an_error(spark):
                                "fold int, distance_to_goal double, shot_angle double, is_goal int")
     with pytest.raises(DegenerateFoldError):
         fit_folds(df)
+
+
+def test_final_model_mllib_artifact(spark, tmp_path):
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    path = str(tmp_path / "mllib")
+    table = fit_final(shots_view(spark, SF_MID), mllib_out=path).first()
+    m = LogisticRegressionModel.load(path)
+    assert list(m.coefficients) == pytest.approx([table.coef_distance, table.coef_angle])
+    assert m.intercept == pytest.approx(table.intercept)

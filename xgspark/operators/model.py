@@ -111,13 +111,20 @@ def fit_folds(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
 
 
 def fit_final(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
-              label: str = TARGET_COLUMN, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
-    """Fit the final model on all rows (G5); one-row model table, ``fold`` NULL."""
+              label: str = TARGET_COLUMN, max_iter: int = 100, tol: float = 1e-6,
+              mllib_out: str | None = None) -> DataFrame:
+    """Fit the final model on all rows (G5); one-row model table, ``fold`` NULL.
+
+    ``mllib_out`` also saves the fitted MLlib model (``write().overwrite()``)
+    for use in MLlib pipelines.
+    """
     agg = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos")).first()
     n, pos = agg["n"], agg["pos"] or 0
     if n == 0 or pos == 0 or pos == n:
         raise DegenerateFoldError(f"training data has a single class ({pos} positives of {n})")
     m = _fit(df, features, label, n, max_iter, tol)
+    if mllib_out:
+        m.write().overwrite().save(mllib_out)
     return df.sparkSession.createDataFrame([_model_row(m, None, n, features)], MODEL_TABLE_SCHEMA)
 
 
