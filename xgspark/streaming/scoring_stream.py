@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from xgspark.operators.validation import split_valid
@@ -41,9 +42,14 @@ def score_stream(stream: DataFrame, model: dict | None, out_dir: str, checkpoint
     scored = score_batch(stream, model, validate, mode)
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        ok, bad = split_valid(batch)
-        ok.write.mode("overwrite").parquet(os.path.join(out_dir, "scored", f"batch={batch_id}"))
-        bad.write.mode("overwrite").parquet(os.path.join(out_dir, "rejected", f"batch={batch_id}"))
+        # Two sinks from one micro-batch: persist so the source is read once.
+        held = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            ok, bad = split_valid(held)
+            ok.write.mode("overwrite").parquet(os.path.join(out_dir, "scored", f"batch={batch_id}"))
+            bad.write.mode("overwrite").parquet(os.path.join(out_dir, "rejected", f"batch={batch_id}"))
+        finally:
+            held.unpersist()
 
     w = scored.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
