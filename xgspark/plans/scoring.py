@@ -23,13 +23,16 @@ RESPONSE_COLUMNS = ("status", "http_status", "gateway_status", "error", "errors"
                     "xg_probability", "distance_yards", "interpretation")
 
 
-def score_requests(validated: DataFrame, model: dict | None) -> DataFrame:
+def score_requests(validated: DataFrame, model: dict | DataFrame | None) -> DataFrame:
     """Score rows that passed validation.
 
     ``interpretation`` uses the unrounded probability; the response shows
     probability and yards rounded half-up to 4 decimals.  Without a model,
     valid rows get ``status = 'model_unavailable'``.
     """
+    if isinstance(model, DataFrame):      # a model table as returned by load_model
+        from xgspark.operators.model import model_as_dict
+        model = model_as_dict(model)
     ok = F.col("status") == F.lit(STATUS_OK)
     yards = to_yards(F.col(DISTANCE))
     if model is None:
@@ -61,7 +64,7 @@ def score_requests(validated: DataFrame, model: dict | None) -> DataFrame:
             .drop("__p"))
 
 
-def score_batch(requests: DataFrame, model: dict | None, validate: bool = True,
+def score_batch(requests: DataFrame, model: dict | DataFrame | None, validate: bool = True,
                 mode: str = "strict") -> DataFrame:
     """Validate (optional, as the command-line path skips it) and score."""
     if validate:

@@ -33,7 +33,7 @@ def prepare(shots: DataFrame, k: int = N_SPLITS, method: str = "greedy") -> tupl
 
 
 def train(shots: DataFrame, out: str | None = None, k: int = N_SPLITS,
-          method: str = "greedy") -> TrainingReport:
+          method: str = "greedy", mllib_out: str | None = None) -> TrainingReport:
     """Grouped CV with MLlib fits per fold, metrics, final fit, optional save.
 
     The folded training columns are written once to the shared checkpoint
@@ -49,7 +49,7 @@ def train(shots: DataFrame, out: str | None = None, k: int = N_SPLITS,
     models = fit_folds(folded)
     scored = score_oof(folded, models)
     metrics = fold_metrics(scored)
-    final = fit_final(folded)
+    final = fit_final(folded, mllib_out=mllib_out)
     if out:
         save_model(final, out)
     return TrainingReport(models, metrics, fold_sizes(folded), cv_summary(metrics), final, dropped)
