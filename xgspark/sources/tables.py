@@ -48,15 +48,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+# A scan with very few splits holds at most a few row groups: this many
+# pieces are plenty for it, whatever the cluster size.
+SPREAD_MAX_PARTITIONS = 64
+
+
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Round-robin repartition only when a scan yields fewer splits than the
-    cluster can run at once (e.g. one Parquet row group).
+    cluster can run at once (e.g. one Parquet row group), up to
+    ``SPREAD_MAX_PARTITIONS`` pieces.
 
     For CPU-heavy per-row work (JSON parsing).  On large inputs the scan
     already has thousands of splits and this is a no-op: no extra shuffle.
     """
     try:
-        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        target = min_partitions or min(df.sparkSession.sparkContext.defaultParallelism,
+                                       SPREAD_MAX_PARTITIONS)
         n = df.rdd.getNumPartitions()
     except Exception:  # no RDD view of the plan (e.g. a Connect session): leave as is
         return df
