@@ -93,3 +93,11 @@ def test_effective_folds():
     assert effective_folds(3) == 3
     with pytest.raises(FoldError):
         effective_folds(1)
+
+
+def test_fewer_groups_than_folds_reduces_k(spark):
+    df = spark.createDataFrame([(1,), (1,), (2,), (3,), (3,), (3,)], "match_id long")
+    folded = group_kfold(df, "match_id", 5)
+    assert sorted(r.fold for r in folded.select("fold").distinct().collect()) == [0, 1, 2]
+    with pytest.raises(FoldError):
+        group_kfold(spark.createDataFrame([(1,), (1,)], "match_id long"), "match_id", 5)
