@@ -151,3 +151,37 @@ def test_json_validation_matches_contract_model(spark, mode, pairs):
     for i, (d, a) in enumerate(pairs):
         errors = _expected(d, a, mode)
         assert got[i] == ("ok" if not errors else "rejected", errors), (_body(d, a), mode)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(1, 30), min_size=2, max_size=40))
+def test_greedy_folds_match_python_greedy(spark, sizes):
+    from xgspark.operators.folds import fold_map
+
+    rows = [(g,) for g, n in enumerate(sizes) for _ in range(n)]
+    got = {r.match_id: r.fold for r in fold_map(spark.createDataFrame(rows, "match_id long")).collect()}
+    k = min(5, len(sizes))
+    loads, want = [0] * k, {}
+    for g, n in sorted(enumerate(sizes), key=lambda t: (-t[1], -t[0])):
+        f = loads.index(min(loads))
+        loads[f] += n
+        want[g] = f
+    assert got == want
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 9), st.integers(0, 1)), min_size=1, max_size=80),
+       st.sampled_from([1, 3, 8]))
+def test_auc_matches_pair_count(spark, rows, buckets):
+    from xgspark.operators.metrics import roc_auc
+
+    df = spark.createDataFrame([(f, p / 10.0, y) for f, p, y in rows], "fold int, p double, is_goal int")
+    got = {r.fold: r.roc_auc for r in roc_auc(df, "p", "is_goal", "fold", buckets=buckets).collect()}
+    for f in {f for f, _, _ in rows}:
+        pos = [p for g, p, y in rows if g == f and y == 1]
+        neg = [p for g, p, y in rows if g == f and y == 0]
+        if not pos or not neg:
+            assert got[f] is None
+            continue
+        s = sum(1.0 if a > b else 0.5 if a == b else 0.0 for a in pos for b in neg)
+        assert got[f] == pytest.approx(s / (len(pos) * len(neg)), abs=1e-12)
