@@ -98,3 +98,10 @@ def test_variant_location_column(spark):
     assert isinstance(df.schema["location"].dataType, T.VariantType)
     r = with_location_xy(df).first()
     assert (r.x, r.y) == (101.5, 39.0)
+
+
+def test_array_location_column(spark):
+    df = spark.createDataFrame([(["101.5", "39", "7"],), (["5"],), (None,), (["a", "1"],)],
+                               "location array<string>")
+    got = [(r.x, r.y) for r in with_location_xy(df).collect()]
+    assert got == [(101.5, 39.0), (5.0, None), (None, None), (None, 1.0)]

@@ -71,3 +71,10 @@ def test_log_loss_clips_extremes(spark):
     df = spark.createDataFrame([(0, 1.0, 0), (0, 0.0, 1)], "fold int, p double, is_goal int")
     r = fold_metrics(df).first()
     assert math.isfinite(r.log_loss) and r.log_loss > 30
+
+
+def test_global_auc_without_group_key(spark):
+    rows = [(0, p, y) for _, p, y in _fixture(seed=3, n=600)]
+    df = spark.createDataFrame(rows, "fold int, p double, is_goal int")
+    got = roc_auc(df, "p", "is_goal", None, buckets=4).first().roc_auc
+    assert got == pytest.approx(_brute_auc([p for _, p, _ in rows], [y for _, _, y in rows]), abs=1e-12)
