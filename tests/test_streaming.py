@@ -36,3 +36,20 @@ def test_multi_batch_stream_equals_batch_and_replay_adds_nothing(spark, tmp_path
     q2 = score_stream(_requests_stream(spark, src), MODEL, out, ckpt)
     q2.awaitTermination()
     assert streamed().count() == expected.count()
+
+
+def test_json_body_stream_equals_batch(spark, tmp_path):
+    from xgspark.plans.scoring import score_json
+    from xgspark.sources.tables import json_requests_view
+
+    src = str(tmp_path / "bodies")
+    json_requests_view(spark, SF_SMALL).repartition(3).write.parquet(src)
+    stream = spark.readStream.schema("request_id bigint, body string").option("maxFilesPerTrigger", 1).parquet(src)
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    score_stream(stream, MODEL, out, ckpt, json_col="body").awaitTermination()
+    cols = ["request_id", "status", "gateway_status", "xg_probability", "interpretation"]
+    got = spark.read.parquet(os.path.join(out, "scored")).select(*cols).unionByName(
+        spark.read.parquet(os.path.join(out, "rejected")).select(*cols))
+    want = score_json(json_requests_view(spark, SF_SMALL), MODEL).select(*cols)
+    assert got.count() == want.count() == 1000
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0

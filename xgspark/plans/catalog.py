@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from xgspark.functions.scoring import interpret_xg, round_half_up
 from xgspark.operators import aggregates, cleaning, folds, joins, metrics, model, sets, validation
 from xgspark.plans.etl import shots_from_catalogue
-from xgspark.plans.scoring import score_batch
+from xgspark.plans.scoring import score_batch, score_json
 from xgspark.schemas import MODEL_TABLE_SCHEMA
 from xgspark.session import scratch_path
 from xgspark.sources import model_io, shots_io, tables
@@ -203,6 +203,11 @@ def q_score_requests(spark, sf_dir) -> DataFrame:
     return _score_out(score_batch(tables.requests_view(spark, sf_dir), SERVICE_MODEL))
 
 
+def q_score_json_requests(spark, sf_dir) -> DataFrame:
+    """V2 + E3: raw JSON bodies validated by the gateway contract, then scored."""
+    return _score_out(score_json(tables.json_requests_view(spark, sf_dir), SERVICE_MODEL))
+
+
 def q_score_requests_no_model(spark, sf_dir) -> DataFrame:
     """V5: a missing model marks valid rows ``model_unavailable``."""
     return _score_out(score_batch(tables.requests_view(spark, sf_dir), None))
@@ -319,6 +324,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "valid_json_requests": q_valid_json_requests,
     "score_requests": q_score_requests,
     "score_requests_no_model": q_score_requests_no_model,
+    "score_json_requests": q_score_json_requests,
     "interpretation_buckets": q_interpretation_buckets,
     "group_kfold_greedy": q_group_kfold_greedy,
     "fold_sizes": q_fold_sizes,

@@ -208,7 +208,10 @@ def _interp(p: str) -> str:
     return f"CASE WHEN {p} IS NULL OR isnan({p}) THEN '{last}' {whens} ELSE '{last}' END"
 
 
-def _score_sql(model: dict | None) -> str:
+def _score_sql(model: dict | None, prefix: str | None = None, source: str = "validated") -> str:
+    """Scoring over a validated relation (request_id, distance_meters,
+    angle_degrees, status, errors_json); ``prefix`` is its WITH clause."""
+    prefix = prefix or f"WITH {REQUESTS}, {VALIDATED}"
     yards = f"(distance_meters * {_lit(YARDS_PER_METER)})"
     if model is None:
         p = "CAST(NULL AS DOUBLE)"
@@ -217,8 +220,8 @@ def _score_sql(model: dict | None) -> str:
         p = (f"CASE WHEN status = 'ok' THEN "
              f"{_prob(model['intercept'], model['coef_distance'], model['coef_angle'], yards, 'angle_degrees')} END")
         status = "status"
-    return f"""WITH {REQUESTS}, {VALIDATED},
-sc AS (SELECT *, {p} AS p, {status} AS st FROM validated)
+    return f"""{prefix},
+sc AS (SELECT *, {p} AS p, {status} AS st FROM {source})
 SELECT request_id, distance_meters, angle_degrees, st AS status,
        CASE WHEN st = 'ok' THEN 200 WHEN st = 'model_unavailable' THEN 503 ELSE 422 END AS http_status,
        CASE WHEN st = 'ok' THEN 200 WHEN st = 'rejected' THEN 422 ELSE 502 END AS gateway_status,
@@ -262,6 +265,14 @@ _NUM = "('UBIGINT', 'BIGINT', 'DOUBLE')"
 
 
 def _json_validate_sql(mode: str, valid_only: bool = False) -> str:
+    sql = _json_validated_ctes(mode)
+    if valid_only:
+        return sql + "\nSELECT request_id, distance_meters, angle_degrees FROM jo WHERE status = 'ok'"
+    return sql + "\nSELECT request_id, body, distance_meters, angle_degrees, status, errors_json FROM jo"
+
+
+def _json_validated_ctes(mode: str) -> str:
+    """WITH clause ending in ``jo``: validated JSON requests."""
     if mode == "strict":
         dv = f"CASE WHEN d_t IN {_NUM} THEN CAST(dx AS DOUBLE) END"
         av = f"CASE WHEN a_t IN {_NUM} THEN CAST(ax AS DOUBLE) END"
@@ -282,9 +293,7 @@ jo AS (
          CASE WHEN body_ok AND d_msg IS NULL AND a_msg IS NULL THEN 'ok' ELSE 'rejected' END AS status,
          CASE WHEN body_ok THEN {_errors_json()} ELSE '{{}}' END AS errors_json
   FROM jm)"""
-    if valid_only:
-        return sql + "\nSELECT request_id, distance_meters, angle_degrees FROM jo WHERE status = 'ok'"
-    return sql + "\nSELECT request_id, body, distance_meters, angle_degrees, status, errors_json FROM jo"
+    return sql
 
 
 _FOLD_MODEL_VALUES = ", ".join(f"({f}, {_lit(b0)}, {_lit(b1)}, {_lit(b2)})" for f, b0, b1, b2 in FOLD_MODELS)
@@ -354,6 +363,7 @@ SELECT request_id, distance_meters, angle_degrees, status, errors_json FROM vali
     "valid_json_requests": _json_validate_sql("strict", valid_only=True),
     "score_requests": _score_sql(SERVICE_MODEL),
     "score_requests_no_model": _score_sql(None),
+    "score_json_requests": _score_sql(SERVICE_MODEL, _json_validated_ctes("strict"), "jo"),
     "interpretation_buckets": f"""WITH {SHOTS}
 SELECT {_interp(_FP)} AS interpretation, count(*) AS shots, CAST(sum(is_goal) AS BIGINT) AS goals
 FROM shots GROUP BY 1""",

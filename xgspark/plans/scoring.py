@@ -17,7 +17,7 @@ from xgspark.config import (
 )
 from xgspark.functions.geometry import to_yards
 from xgspark.functions.scoring import interpret_xg, logistic_probability, round_half_up
-from xgspark.operators.validation import ANGLE, DISTANCE, validate_shots
+from xgspark.operators.validation import ANGLE, DISTANCE, validate_json, validate_shots
 
 RESPONSE_COLUMNS = ("status", "http_status", "gateway_status", "error", "errors",
                     "xg_probability", "distance_yards", "interpretation")
@@ -73,3 +73,10 @@ def score_batch(requests: DataFrame, model: dict | DataFrame | None, validate: b
         v = requests.withColumn("errors", F.create_map().cast("map<string,array<string>>")) \
                     .withColumn("status", F.lit(STATUS_OK))
     return score_requests(v, model)
+
+
+def score_json(requests: DataFrame, model: dict | DataFrame | None, json_col: str = "body",
+               mode: str = "strict") -> DataFrame:
+    """Raw JSON request bodies end to end: the gateway's validation of the
+    body (strict by default, V2), then scoring of the valid rows (E3)."""
+    return score_requests(validate_json(requests, json_col, mode), model)

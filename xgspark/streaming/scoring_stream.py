@@ -18,7 +18,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from xgspark.operators.validation import split_valid
-from xgspark.plans.scoring import score_batch
+from xgspark.plans.scoring import score_batch, score_json
 from xgspark.session import scratch_path
 from xgspark.sources.tables import REQUEST_EXPRS
 
@@ -34,12 +34,16 @@ def requests_stream_from_events(spark: SparkSession, sf_dir: str,
 
 
 def score_stream(stream: DataFrame, model: dict | None, out_dir: str, checkpoint: str,
-                 validate: bool = True, mode: str = "strict", available_now: bool = True):
+                 validate: bool = True, mode: str = "strict", available_now: bool = True,
+                 json_col: str | None = None):
     """Start the scoring stream; returns the ``StreamingQuery``.
 
-    Writes ``<out_dir>/scored/batch=<id>`` and ``<out_dir>/rejected/batch=<id>``.
+    Typed request rows, or raw JSON bodies in ``json_col`` (validated as the
+    gateway does).  Writes ``<out_dir>/scored/batch=<id>`` and
+    ``<out_dir>/rejected/batch=<id>``.
     """
-    scored = score_batch(stream, model, validate, mode)
+    scored = (score_json(stream, model, json_col, mode) if json_col
+              else score_batch(stream, model, validate, mode))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         # Two sinks from one micro-batch: persist so the source is read once.
