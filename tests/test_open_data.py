@@ -58,7 +58,8 @@ def test_build_shots_end_to_end(spark, open_data, tmp_path):
     assert [r.player_name for r in shots if r.x == 105.0] == [None]
     audit = res.audit.first().asDict()
     assert audit == {"matches_total": 4, "matches_with_shots": 1, "matches_without_shots": 3,
-                     "raw_shots": 6, "kept_shots": 3, "dropped_shots": 3, "goals": 1}
+                     "raw_shots": 6, "kept_shots": 3, "dropped_shots": 3, "dropped_missing": 0,
+                     "goals": 1}
     back = read_shots(spark, out)
     assert back.count() == 3
 

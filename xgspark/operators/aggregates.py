@@ -31,7 +31,8 @@ def ingest_audit(matches: DataFrame, raw_shots: DataFrame | None = None, group:
     """One-row ingest audit (A3, with J2/J3 inside).
 
     matches total / with shots / without shots, raw shots, kept shots,
-    dropped shots, goals.  ``matches`` holds distinct ids; ``raw_shots`` are
+    dropped shots (all reasons), dropped for missing critical values (F6),
+    goals.  ``matches`` holds distinct ids; ``raw_shots`` are
     the shot events of those matches.  The events are read once: each shot
     is flagged kept or dropped by the cleaning rules, one partial-aggregated
     ``groupBy(match)`` counts both, and a left join to the match ids tells
@@ -45,6 +46,7 @@ def ingest_audit(matches: DataFrame, raw_shots: DataFrame | None = None, group:
     per_match = flags.groupBy(group).agg(
         F.count(F.lit(1)).alias("raw_shots"),
         F.count(F.when(kept, 1)).alias("kept_shots"),
+        F.count(F.when(F.col("passes_filters") & ~kept, 1)).alias("dropped_missing"),
         F.sum(F.when(kept, F.col(TARGET_COLUMN)).cast("long")).alias("goals"))
     joined = matches.select(group).join(per_match, group, "left")
     zero = F.lit(0).cast("long")
@@ -54,9 +56,10 @@ def ingest_audit(matches: DataFrame, raw_shots: DataFrame | None = None, group:
         F.count(F.when(F.col("raw_shots").isNull(), 1)).alias("matches_without_shots"),
         F.coalesce(F.sum("raw_shots"), zero).alias("raw_shots"),
         F.coalesce(F.sum("kept_shots"), zero).alias("kept_shots"),
+        F.coalesce(F.sum("dropped_missing"), zero).alias("dropped_missing"),
         F.coalesce(F.sum("goals"), zero).alias("goals"),
     )
     return out.select("matches_total", "matches_with_shots", "matches_without_shots",
                       "raw_shots", "kept_shots",
                       (F.col("raw_shots") - F.col("kept_shots")).alias("dropped_shots"),
-                      "goals")
+                      "dropped_missing", "goals")

@@ -161,15 +161,16 @@ def flatten_shots(events: DataFrame) -> DataFrame:
 
 
 def shot_flags(events: DataFrame) -> DataFrame:
-    """Every shot event with its clean-shot columns and a ``kept`` flag:
-    true where :func:`clean_shots` would keep the row (F3-F6).
+    """Every shot event with its clean-shot columns, ``passes_filters``
+    (F3-F5) and ``kept``: true where :func:`clean_shots` would keep the row
+    (F3-F6).
 
     For audits: raw and kept counts come from one pass over the events
     instead of one pass per count.
     """
     df, keep, columns = _shot_rows(events)
-    out = df.select(*columns, keep.alias("__pre"))
-    return out.withColumn("kept", F.col("__pre") & ~missing_mask(out, CRITICAL_COLUMNS)).drop("__pre")
+    out = df.select(*columns, keep.alias("passes_filters"))                    # F3-F5
+    return out.withColumn("kept", F.col("passes_filters") & ~missing_mask(out, CRITICAL_COLUMNS))
 
 
 def clean_shots(events: DataFrame) -> DataFrame:

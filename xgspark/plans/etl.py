@@ -41,7 +41,7 @@ def shots_from_catalogue(competitions: DataFrame, matches: DataFrame, events: Da
     if not write_flags:
         return EtlResult(clean_shots(raw), ingest_audit(ids, raw))
     flags = materialize(shot_flags(raw), "shot-flags")
-    clean = flags.filter(F.col("kept")).drop("kept")
+    clean = flags.filter(F.col("kept")).drop("kept", "passes_filters")
     return EtlResult(clean, ingest_audit(ids, flags=flags))
 
 

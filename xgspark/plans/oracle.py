@@ -340,10 +340,11 @@ m AS (
          count(*) - count(p.raw_shots) AS matches_without_shots,
          CAST(coalesce(sum(p.raw_shots), 0) AS BIGINT) AS raw_shots
   FROM match_ids i LEFT JOIN per_match p USING (match_id)),
-c AS (SELECT count(*) AS kept_shots, CAST(coalesce(sum(is_goal), 0) AS BIGINT) AS goals FROM clean)
+c AS (SELECT count(*) AS kept_shots, CAST(coalesce(sum(is_goal), 0) AS BIGINT) AS goals FROM clean),
+f AS (SELECT count(*) AS passed FROM featured)
 SELECT matches_total, matches_with_shots, matches_without_shots, raw_shots, kept_shots,
-       raw_shots - kept_shots AS dropped_shots, goals
-FROM m, c""",
+       raw_shots - kept_shots AS dropped_shots, passed - kept_shots AS dropped_missing, goals
+FROM m, c, f""",
     "season_matches": f"WITH {RAW}, {CATALOGUE}\nSELECT match_id, season_id, season_name FROM season_matches",
     "matches_without_shots": f"""WITH {RAW}, {CATALOGUE}
 SELECT match_id, season_id, season_name FROM season_matches
