@@ -101,3 +101,17 @@ def test_fewer_groups_than_folds_reduces_k(spark):
     assert sorted(r.fold for r in folded.select("fold").distinct().collect()) == [0, 1, 2]
     with pytest.raises(FoldError):
         group_kfold(spark.createDataFrame([(1,), (1,)], "match_id long"), "match_id", 5)
+
+
+def test_pandas_greedy_path_matches_jvm_path(spark, monkeypatch):
+    import xgspark.operators.folds as folds_mod
+
+    rows = _rows(seed=21, groups=120)
+    df = spark.createDataFrame(rows, "match_id long")
+    jvm = {r.match_id: r.fold for r in fold_map(df).collect()}
+    monkeypatch.setattr(folds_mod, "JVM_GREEDY_GROUPS", 0)
+    pandas_path = {r.match_id: r.fold for r in fold_map(df).collect()}
+    counts = {}
+    for (g,) in rows:
+        counts[g] = counts.get(g, 0) + 1
+    assert jvm == pandas_path == _reference_greedy(counts, 5)

@@ -28,6 +28,10 @@ log = logging.getLogger(__name__)
 # Greedy assignment is sequential over group counts; above this many groups
 # the counts are not gathered into one task: the 'fill' method is used.
 MAX_GREEDY_GROUPS = 2_000_000
+# Up to this many groups the greedy pass runs in the JVM (a SQL ``aggregate``
+# over the sorted counts; its array appends are quadratic, so it stays small);
+# above it, in one pandas task.
+JVM_GREEDY_GROUPS = 2_000
 # 'fill': the largest groups assigned greedily, in one bounded task ...
 HEAD_GROUPS = 100_000
 # ... and the rest by a distributed prefix sum, about this many per bucket.
@@ -89,6 +93,27 @@ def water_level(loads: list[float], extra: float) -> float:
     return ls[-1]
 
 
+def _greedy_assign_jvm(counts: DataFrame, group: str, k: int) -> DataFrame:
+    """The greedy pass as one SQL ``aggregate`` over the sorted counts.
+
+    ``sort_array`` of ``struct(n, group)`` descending gives the greedy order
+    (largest first, ties: larger group id first); the accumulator holds the
+    k fold loads and the folds chosen so far; the lightest fold is the first
+    position of the minimum load.  Same result as :func:`_greedy_assign`.
+    """
+    lightest = "array_position(acc.loads, array_min(acc.loads)) - 1"
+    step = f"""aggregate(g,
+        named_struct('loads', array_repeat(CAST(0 AS BIGINT), {int(k)}), 'folds', CAST(array() AS ARRAY<INT>)),
+        (acc, x) -> named_struct(
+            'loads', transform(acc.loads, (l, i) -> l + IF(i = {lightest}, x.n, CAST(0 AS BIGINT))),
+            'folds', concat(acc.folds, array(CAST({lightest} AS INT)))),
+        acc -> acc.folds)"""
+    one = counts.agg(F.sort_array(F.collect_list(F.struct(F.col("n"), F.col(group).alias("grp"))),
+                                  asc=False).alias("g"))
+    return (one.select(F.inline(F.arrays_zip(F.col("g"), F.expr(step).alias("fold"))))
+               .select(F.col("g.grp").alias(group), F.col("g.n").alias("n"), F.col("fold")))
+
+
 def _fill_folds(counts: DataFrame, group: str, k: int, head_groups: int) -> DataFrame:
     """Balanced folds without gathering all groups (the 'fill' method).
 
@@ -172,6 +197,8 @@ def _fold_map(df: DataFrame, group: str, k: int, method: str,
         kk = effective_folds(n_groups, k)
         return counts.withColumn("fold", F.pmod(F.xxhash64(F.col(group)), F.lit(kk)).cast("int")), n_groups
     kk = effective_folds(n_groups, k)
+    if n_groups <= JVM_GREEDY_GROUPS:
+        return materialize(_greedy_assign_jvm(counts, group, kk), "fold-map"), n_groups
     gtype = counts.schema[group].dataType
     schema = T.StructType([T.StructField(group, gtype), T.StructField("n", T.LongType()),
                            T.StructField("fold", T.IntegerType())])
