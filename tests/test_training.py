@@ -12,6 +12,7 @@ def test_train_end_to_end_and_score_with_saved_model(spark, tmp_path):
     out = str(tmp_path / "model")
     rep = train(shots_view(spark, SF_MID), out)
     assert rep.rows_dropped == 0
+    assert (rep.n_rows, rep.n_groups) == (10000, 150)
     metrics = rep.fold_metrics.collect()
     assert len(metrics) == 5
     assert all(0.5 < r.roc_auc <= 1.0 and 0 < r.brier < 0.25 for r in metrics)

@@ -40,7 +40,8 @@ def cmd_train(a) -> dict:
     summary = rep.cv_summary.first().asDict()
     final = rep.final_model.first()
     summary.update(coef_distance=final.coef_distance, coef_angle=final.coef_angle,
-                   intercept=final.intercept, rows_dropped=rep.rows_dropped)
+                   intercept=final.intercept, rows_dropped=rep.rows_dropped,
+                   shots=rep.n_rows, matches=rep.n_groups)
     return summary
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from xgspark.config import FEATURE_COLUMNS, GROUP_COLUMN, N_SPLITS, TARGET_COLUMN
 from xgspark.operators.cleaning import drop_missing
@@ -22,6 +23,8 @@ class TrainingReport:
     cv_summary: DataFrame
     final_model: DataFrame
     rows_dropped: int
+    n_rows: int          # training rows after the missing-value drop
+    n_groups: int        # distinct groups (matches), exact
 
 
 def prepare(shots: DataFrame, k: int = N_SPLITS, method: str = "greedy") -> tuple[DataFrame, object]:
@@ -52,4 +55,7 @@ def train(shots: DataFrame, out: str | None = None, k: int = N_SPLITS,
     final = fit_final(folded, mllib_out=mllib_out)
     if out:
         save_model(final, out)
-    return TrainingReport(models, metrics, fold_sizes(folded), cv_summary(metrics), final, dropped)
+    sizes = fold_sizes(folded)
+    totals = sizes.agg(F.sum("test_rows").alias("rows"), F.sum("test_matches").alias("groups")).first()
+    return TrainingReport(models, metrics, sizes, cv_summary(metrics), final, dropped,
+                          int(totals["rows"]), int(totals["groups"]))
