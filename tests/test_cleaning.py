@@ -105,3 +105,16 @@ def test_array_location_column(spark):
                                "location array<string>")
     got = [(r.x, r.y) for r in with_location_xy(df).collect()]
     assert got == [(101.5, 39.0), (5.0, None), (None, None), (None, 1.0)]
+
+
+def test_name_field_map_and_numeric_candidates(spark):
+    from xgspark.functions.fields import name_field
+
+    df = spark.createDataFrame([({"name": "M"}, None), (None, "flat"), ({"id": "1"}, "flat2")],
+                               "player map<string,string>, player_name string")
+    got = [r.n for r in df.select(name_field(df, ["player", "player_name"]).alias("n")).collect()]
+    # a present map returns its 'name' (NULL when absent), no fall-through; NULL map falls through
+    assert got == ["M", "flat", None]
+    nums = spark.createDataFrame([(float("nan"), "b"), (1.5, "c")], "a double, b string")
+    got = [r.n for r in nums.select(name_field(nums, ["a", "b"]).alias("n")).collect()]
+    assert got == ["b", "1.5"]
