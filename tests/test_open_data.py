@@ -110,3 +110,21 @@ def test_compacted_events_keep_variant_location(spark, open_data, tmp_path):
     direct = sorted((r.match_id, r.x, r.y) for r in clean_shots(read_events(spark, open_data)).collect())
     again = sorted((r.match_id, r.x, r.y) for r in clean_shots(back).collect())
     assert direct == again and len(direct) == 4
+
+
+def test_csv_hand_over_from_etl_to_training(spark, open_data, tmp_path):
+    from tests.conftest import SF_MID
+    from xgspark.plans.training import train
+    from xgspark.sources.tables import shots_view
+
+    out = str(tmp_path / "shots_csv")
+    build_shots(spark, open_data, out, competition_id=43, fmt="csv")
+    shots = read_shots(spark, out, "csv")
+    assert dict(shots.dtypes)["match_id"] == "bigint" and dict(shots.dtypes)["is_goal"] == "int"
+    assert shots.count() == 3
+    # the CSV hand-over feeds training: a larger shot table through the same format
+    big = str(tmp_path / "big_csv")
+    write_shots(shots_view(spark, SF_MID), big, "csv")
+    rep = train(read_shots(spark, big, "csv"))
+    assert rep.n_rows == 10000 and rep.n_groups == 150
+    assert rep.cv_summary.first().folds == 5
