@@ -53,3 +53,17 @@ def test_json_body_stream_equals_batch(spark, tmp_path):
     want = score_json(json_requests_view(spark, SF_SMALL), MODEL).select(*cols)
     assert got.count() == want.count() == 1000
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_processing_time_trigger(spark, tmp_path):
+    src = str(tmp_path / "events")
+    read_table(spark, SF_SMALL, "events").select("event_id").write.parquet(src)
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    q = score_stream(_requests_stream(spark, src), MODEL, out, ckpt, available_now=False)
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    n = spark.read.parquet(os.path.join(out, "scored")).count() + \
+        spark.read.parquet(os.path.join(out, "rejected")).count()
+    assert n == 1000
