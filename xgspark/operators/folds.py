@@ -198,7 +198,8 @@ def _fold_map(df: DataFrame, group: str, k: int, method: str,
         return counts.withColumn("fold", F.pmod(F.xxhash64(F.col(group)), F.lit(kk)).cast("int")), n_groups
     kk = effective_folds(n_groups, k)
     if n_groups <= JVM_GREEDY_GROUPS:
-        return materialize(_greedy_assign_jvm(counts, group, kk), "fold-map"), n_groups
+        # Cheap to recompute from the written counts: not written itself.
+        return _greedy_assign_jvm(counts, group, kk), n_groups
     gtype = counts.schema[group].dataType
     schema = T.StructType([T.StructField(group, gtype), T.StructField("n", T.LongType()),
                            T.StructField("fold", T.IntegerType())])
