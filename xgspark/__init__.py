@@ -12,3 +12,22 @@ streaming  Structured Streaming scoring.
 """
 
 __version__ = "0.1.0"
+
+# The composed jobs, importable from the package root (loaded on first use).
+_EXPORTS = {
+    "build_session": "xgspark.session",
+    "build_shots": "xgspark.plans.etl",
+    "train": "xgspark.plans.training",
+    "score_batch": "xgspark.plans.scoring",
+    "score_json": "xgspark.plans.scoring",
+    "score_stream": "xgspark.streaming.scoring_stream",
+}
+__all__ = sorted(_EXPORTS)
+
+
+def __getattr__(name):
+    if name in _EXPORTS:
+        import importlib
+
+        return getattr(importlib.import_module(_EXPORTS[name]), name)
+    raise AttributeError(f"module 'xgspark' has no attribute {name!r}")
