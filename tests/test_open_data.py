@@ -128,3 +128,16 @@ def test_csv_hand_over_from_etl_to_training(spark, open_data, tmp_path):
     rep = train(read_shots(spark, big, "csv"))
     assert rep.n_rows == 10000 and rep.n_groups == 150
     assert rep.cv_summary.first().folds == 5
+
+
+def test_no_valid_shots_is_an_error(spark, tmp_path):
+    root = tmp_path / "only_penalties"
+    (root / "matches" / "43").mkdir(parents=True)
+    (root / "events").mkdir(parents=True)
+    (root / "competitions.json").write_text(json.dumps(
+        [{"competition_id": 43, "season_id": 3, "season_name": "2018", "competition_name": "World Cup"}]))
+    (root / "matches" / "43" / "3.json").write_text(json.dumps([{"match_id": 500}]))
+    (root / "events" / "500.json").write_text(json.dumps([_shot([110.0, 40.0], shot_type="Penalty"),
+                                                          _shot([100.0, 40.0], period=5)]))
+    with pytest.raises(NoDataError):
+        build_shots(spark, str(root), None, competition_id=43)
