@@ -2,15 +2,22 @@
 
 from xgspark.llm.decontaminate import op7_decontaminate
 from xgspark.llm.language_id import op1_language_id
+from xgspark.llm import mixing
+from xgspark.llm.mixing import op2_mixing
 from xgspark.llm.quality import op10_quality
+from xgspark.llm.sharding import op9_sharding
 from xgspark.llm.simhash import op6_simhash
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_mixing": op2_mixing,
     "op6_simhash": op6_simhash,
     "op7_decontaminate": op7_decontaminate,
+    "op9_sharding": op9_sharding,
     "op10_quality": op10_quality,
 }
 
 # DuckDB SQL, where SQL expresses the query.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_mixing": mixing.oracle_sql(),
+}
