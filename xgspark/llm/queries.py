@@ -4,13 +4,17 @@ from xgspark.llm.decontaminate import op7_decontaminate
 from xgspark.llm.language_id import op1_language_id
 from xgspark.llm import mixing
 from xgspark.llm.mixing import op2_mixing
+from xgspark.llm.phrase_dedup import op5_phrase_dedup
 from xgspark.llm.quality import op10_quality
 from xgspark.llm.sharding import op9_sharding
 from xgspark.llm.simhash import op6_simhash
+from xgspark.llm.suffix_dedup import op4_suffix_dedup
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_mixing": op2_mixing,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_phrase_dedup": op5_phrase_dedup,
     "op6_simhash": op6_simhash,
     "op7_decontaminate": op7_decontaminate,
     "op9_sharding": op9_sharding,
