@@ -5,9 +5,8 @@ written as Parquet and read again as the next stage's documents.
 """
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from xgspark.llm import decontaminate, language_id, simhash
+from xgspark.llm import decontaminate, language_id, mixing, sharding, simhash
 from xgspark.session import scratch_path
 from xgspark.sources.tables import read_table
 
@@ -27,10 +26,23 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontaminate.decontaminate(docs, read_table(spark, sf_dir, "benchmark"))
 
 
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources at their target weights: a document once per
+    copy the mix takes of it, the last one of a source cut to its words."""
+    return mixing.mix_documents(docs)
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with the shard its id belongs to."""
+    return sharding.with_shard(docs, sharding.layout())
+
+
 STAGES = [
     ("language_id", identify_language),
     ("simhash", drop_near_copies),
     ("decontaminate", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", shard),
 ]
 
 # Compression sizes and fingerprints are not SQL: tested by brute force instead.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,3 +17,46 @@ def free_name(df: DataFrame, base: str) -> str:
 def row_key(doc_id: str, text: str) -> Column:
     """A 64-bit key of a document row (id and text); never null."""
     return F.xxhash64(F.col(doc_id), F.col(text))
+
+
+def as_of(probes: DataFrame, bases: DataFrame, keys: list[str], ranges: int = 4096) -> DataFrame:
+    """For each probe, the latest base strictly before it with equal keys.
+
+    Both tables have the key columns (never null), ``at`` (long, order) and
+    ``id`` (long, unique in its table).  Returns ``id, base_id`` (null: none)
+    for every probe.  Bases with equal ``at`` are ordered by id; a base at the
+    probe's own ``at`` counts when its id is smaller.
+
+    No pairs are formed, and a hot key is no single task: the order axis is cut
+    into ``ranges`` equal ranges; rows are scanned within (key, range), and the
+    last base of every range is carried on over the ranges of a key.
+    """
+    both = probes.select(*keys, "at", "id", F.lit(None).cast("long").alias("base")) \
+        .unionAll(bases.select(*keys, "at", "id", F.col("id").alias("base"))).filter("at is not null")
+    ends = both.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
+    width = max(1, ((ends["hi"] or 0) - (ends["lo"] or 0)) // ranges + 1)
+    both = both.withColumn("range", F.floor((F.col("at") - F.lit(ends["lo"] or 0)) / F.lit(width)))
+    inside = Window.partitionBy(*keys, "range").orderBy("at", "id", F.col("base").asc_nulls_first())
+    scanned = both.withColumn("near", F.last("base", ignorenulls=True).over(
+        inside.rowsBetween(Window.unboundedPreceding, -1)))
+    last = both.groupBy(*keys, "range").agg(
+        F.max(F.when(F.col("base").isNotNull(), F.struct("at", "base"))).alias("b"))
+    ahead = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(*keys, "range", F.last("b.base", ignorenulls=True).over(ahead).alias("far"))
+    return (scanned.filter("base is null").join(carried, [*keys, "range"])
+                   .select("id", F.coalesce("near", "far").alias("base_id")))
+
+
+def position(rows: DataFrame, key: str, at: str, tie: str, ranges: int = 4096) -> DataFrame:
+    """All columns plus ``position``: the gapless rank (from 0) of each row of
+    a key by ``at`` (long, not null), then ``tie``; ranked within ranges of
+    ``at``, so a hot key is no single task."""
+    ends = rows.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
+    width = max(1, ((ends["hi"] or 0) - (ends["lo"] or 0)) // ranges + 1)
+    cut = rows.withColumn("range", F.floor((F.col(at) - F.lit(ends["lo"] or 0)) / F.lit(width)))
+    sizes = cut.groupBy(key, "range").agg(F.count(F.lit(1)).alias("rows"))
+    ahead = Window.partitionBy(key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(key, "range", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("offset"))
+    inside = Window.partitionBy(key, "range").orderBy(at, tie)
+    return (cut.withColumn("n", F.row_number().over(inside)).join(offsets, [key, "range"])
+               .withColumn("position", F.col("offset") + F.col("n") - 1).drop("n", "offset", "range"))
