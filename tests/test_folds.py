@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from xgspark.operators.folds import (
     FoldError, assert_no_leakage, effective_folds, fold_map, fold_sizes, group_kfold,
+    run_segments,
 )
 
 
@@ -57,35 +58,48 @@ def test_whole_groups_and_balance(spark, method):
         assert spread <= largest
 
 
-def test_greedy_falls_back_to_fill_beyond_bound(spark, monkeypatch):
-    import xgspark.operators.folds as folds_mod
-
-    monkeypatch.setattr(folds_mod, "FILL_ROWS_PER_BUCKET", 20)   # several hash buckets
-    rows = _rows(seed=9, groups=400)
-    df = spark.createDataFrame(rows, "match_id long")
-    fm = {r.match_id: (r.n, r.fold) for r in fold_map(df, "match_id", 5, "greedy",
-                                                      max_greedy_groups=30).collect()}
-    assert len(fm) == 401                                   # every group, once
-    loads = [0] * 5
-    for n, f in fm.values():
+def _one_by_one(loads, n, count):
+    loads, out = list(loads), []
+    for _ in range(count):
+        f = loads.index(min(loads))
         loads[f] += n
-    assert sum(loads) == len(rows)
-    # the hot group (a third of the rows) is alone in its fold, the rest balanced
-    hot_fold = fm[999][1]
-    others = [v for f, v in enumerate(loads) if f != hot_fold]
-    assert loads[hot_fold] == fm[999][0]
-    tail_max = max(n for g, (n, f) in fm.items() if g != 999)
-    assert max(others) - min(others) <= 2 * tail_max
-    folded = group_kfold(df, "match_id", 5, "greedy", max_greedy_groups=30)
-    assert assert_no_leakage(folded).first().n_leaking_groups == 0
-
-
-def test_water_level():
-    from xgspark.operators.folds import water_level
+        out.append(f)
+    return loads, out
+
+
+def test_run_segments_equal_one_by_one():
+    rnd = random.Random(11)
+    for _ in range(1500):
+        k = rnd.randint(2, 7)
+        loads = [rnd.randrange(rnd.choice([2, 50])) + 400 * (rnd.random() < 0.1) for _ in range(k)]
+        n, count = rnd.randint(1, 9), rnd.randrange(70)
+        walked = list(loads)
+        segments = run_segments(walked, n, count)
+        assert len(segments) <= k
+        got = []
+        for rank in range(count):
+            start, folds = [x for x in segments if x[0] <= rank][-1]
+            got.append(folds[(rank - start) % len(folds)])
+        assert (walked, got) == _one_by_one(loads, n, count)
+
+
+@pytest.mark.parametrize("shape", ["random", "one size", "hot"])
+def test_greedy_over_several_ranges(spark, monkeypatch, shape):
+    """The same folds when groups are ranked in many ranges as one by one."""
+    import xgspark.operators.folds as folds_mod
 
-    assert water_level([10, 0, 0], 10) == 5
-    assert water_level([10, 0, 0], 40) == pytest.approx(50 / 3)
-    assert water_level([3, 3, 3], 0) == 3
+    monkeypatch.setattr(folds_mod, "GROUPS_PER_RANGE", 25)
+    if shape == "random":
+        rnd = random.Random(5)
+        counts = {g: rnd.randint(1, 9) for g in range(300)}
+    else:
+        counts = {g: 3 for g in range(300)}
+    if shape == "hot":
+        counts[1000] = 450
+    df = spark.createDataFrame([(g,) for g, n in counts.items() for _ in range(n)], "match_id long")
+    got = {r.match_id: (r.n, r.fold) for r in fold_map(df, "match_id", 5).collect()}
+    want = _reference_greedy(counts, 5)
+    assert got == {g: (n, want[g]) for g, n in counts.items()}
 
 
 def test_effective_folds():
@@ -101,17 +115,3 @@ def test_fewer_groups_than_folds_reduces_k(spark):
     assert sorted(r.fold for r in folded.select("fold").distinct().collect()) == [0, 1, 2]
     with pytest.raises(FoldError):
         group_kfold(spark.createDataFrame([(1,), (1,)], "match_id long"), "match_id", 5)
-
-
-def test_pandas_greedy_path_matches_jvm_path(spark, monkeypatch):
-    import xgspark.operators.folds as folds_mod
-
-    rows = _rows(seed=21, groups=120)
-    df = spark.createDataFrame(rows, "match_id long")
-    jvm = {r.match_id: r.fold for r in fold_map(df).collect()}
-    monkeypatch.setattr(folds_mod, "JVM_GREEDY_GROUPS", 0)
-    pandas_path = {r.match_id: r.fold for r in fold_map(df).collect()}
-    counts = {}
-    for (g,) in rows:
-        counts[g] = counts.get(g, 0) + 1
-    assert jvm == pandas_path == _reference_greedy(counts, 5)

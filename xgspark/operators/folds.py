@@ -1,23 +1,29 @@
 """Grouped k-fold assignment and its checks.
 
-Whole groups go to one fold; folds are balanced by row count.  The work over
-rows is distributed (a partial-aggregated ``groupBy(group).count()`` and a
-join back); only the per-group counts -- one small row per group -- enter
-the greedy pass, and only when their number is below a checked bound.
-Beyond it, ``method='fill'`` assigns the largest groups greedily and fills
-the folds with the rest through a distributed prefix sum (no task holds all
-groups); ``method='hash'`` hashes the group key: a pure projection, balanced
-in expectation only.
+Whole groups go to one fold; folds are balanced by row count: groups are taken
+largest first (ties: larger group id first) and each goes to the lightest fold
+(ties: lowest fold index).
+
+One plan at every size, and no task or driver ever holds the groups:
+
+* Rows are counted per group (partial aggregates before the shuffle).
+* Groups of one size ``n`` form a *run*.  Within a run the greedy rule merges
+  the k progressions ``load_f + j * n`` by (value, fold), which is at most k
+  cyclic segments.  So the sequential walk needs only the pairs (size, number
+  of groups): at most ``sqrt(2 * rows)`` of them, as the sizes are distinct.
+* A group's fold follows from its rank in its run, a distributed prefix sum
+  over range buckets of (size, id).
+
+``method='hash'`` hashes the group key instead: balanced in expectation only.
 """
 
 from __future__ import annotations
 
 import logging
+import math
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from xgspark.config import GROUP_COLUMN, N_SPLITS
 from xgspark.operators.joins import broadcast_if_small
@@ -25,17 +31,8 @@ from xgspark.session import materialize, materialize_counted
 
 log = logging.getLogger(__name__)
 
-# Greedy assignment is sequential over group counts; above this many groups
-# the counts are not gathered into one task: the 'fill' method is used.
-MAX_GREEDY_GROUPS = 2_000_000
-# Up to this many groups the greedy pass runs in the JVM (a SQL ``aggregate``
-# over the sorted counts; its array appends are quadratic, so it stays small);
-# above it, in one pandas task.
-JVM_GREEDY_GROUPS = 2_000
-# 'fill': the largest groups assigned greedily, in one bounded task ...
-HEAD_GROUPS = 100_000
-# ... and the rest by a distributed prefix sum, about this many per bucket.
-FILL_ROWS_PER_BUCKET = 1_000_000
+# Groups ranked by one task, about.
+GROUPS_PER_RANGE = 1_000_000
 
 
 class FoldError(ValueError):
@@ -58,168 +55,93 @@ def group_counts(df: DataFrame, group: str = GROUP_COLUMN) -> DataFrame:
     return df.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _greedy_assign(pdf: pd.DataFrame, group: str, k: int) -> pd.DataFrame:
-    # Runs inside a Python worker: this module is pickled by value (see the
-    # end of the module), so executors need pandas but not this package.
-    # Largest group first (ties: larger group id first); each goes to the
-    # currently lightest fold (ties: lowest fold index).
-    pdf = pdf.sort_values(["n", group], ascending=[False, False], kind="mergesort")
-    loads = [0] * k
-    folds = []
-    for n in pdf["n"].tolist():
-        f = min(range(k), key=loads.__getitem__)
-        loads[f] += n
-        folds.append(f)
-    return pd.DataFrame({group: pdf[group].to_numpy(), "n": pdf["n"].to_numpy(),
-                         "fold": pd.Series(folds, dtype="int32").to_numpy()})
+def run_segments(loads: list[int], n: int, count: int) -> list[tuple[int, list[int]]]:
+    """Where ``count`` groups of size ``n`` go, one after the other, each to the
+    lightest fold: ``[(first rank, folds in turn), ...]``.  ``loads`` is
+    updated.
+
+    The lightest folds take groups in turn until the next fold up joins them;
+    between two such joins the turn order does not change.
+    """
+    waiting = sorted(range(len(loads)), key=lambda f: (loads[f], f))
+    active: list[int] = []
+    segments: list[tuple[int, list[int]]] = []
+    rank = 0
+    while rank < count:
+        if waiting:
+            active.append(waiting.pop(0))
+        turn = sorted(active, key=lambda f: (loads[f], f))
+        take = count - rank
+        if waiting:                                  # groups placed before the next fold joins
+            g = waiting[0]
+            gap = [loads[g] - loads[f] for f in turn]
+            take = min(take, sum(max(0, d // n + 1 if f < g else -(-d // n)) for f, d in zip(turn, gap)))
+        if take:
+            segments.append((rank, turn))
+            for i, f in enumerate(turn):
+                loads[f] += n * (take // len(turn) + (i < take % len(turn)))
+            rank += take
+    return segments
 
 
 def fold_map(df: DataFrame, group: str = GROUP_COLUMN, k: int = N_SPLITS,
-             method: str = "greedy", max_greedy_groups: int = MAX_GREEDY_GROUPS) -> DataFrame:
+             method: str = "greedy") -> DataFrame:
     """One row per group: ``group, n, fold`` (G1, with G2 applied)."""
-    return _fold_map(df, group, k, method, max_greedy_groups)[0]
-
-
-def water_level(loads: list[float], extra: float) -> float:
-    """Level L with sum(max(0, L - load)) == extra: pouring ``extra`` rows into
-    the folds raises the lightest ones to a common level."""
-    ls = sorted(loads)
-    acc = 0.0
-    for i, v in enumerate(ls):
-        acc += v
-        level = (extra + acc) / (i + 1)
-        if i + 1 == len(ls) or level <= ls[i + 1]:
-            return level
-    return ls[-1]
-
-
-def _greedy_assign_jvm(counts: DataFrame, group: str, k: int) -> DataFrame:
-    """The greedy pass as one SQL ``aggregate`` over the sorted counts.
-
-    ``sort_array`` of ``struct(n, group)`` descending gives the greedy order
-    (largest first, ties: larger group id first); the accumulator holds the
-    k fold loads and the folds chosen so far; the lightest fold is the first
-    position of the minimum load.  Same result as :func:`_greedy_assign`.
-    """
-    lightest = "array_position(acc.loads, array_min(acc.loads)) - 1"
-    step = f"""aggregate(g,
-        named_struct('loads', array_repeat(CAST(0 AS BIGINT), {int(k)}), 'folds', CAST(array() AS ARRAY<INT>)),
-        (acc, x) -> named_struct(
-            'loads', transform(acc.loads, (l, i) -> l + IF(i = {lightest}, x.n, CAST(0 AS BIGINT))),
-            'folds', concat(acc.folds, array(CAST({lightest} AS INT)))),
-        acc -> acc.folds)"""
-    one = counts.agg(F.sort_array(F.collect_list(F.struct(F.col("n"), F.col(group).alias("grp"))),
-                                  asc=False).alias("g"))
-    return (one.select(F.inline(F.arrays_zip(F.col("g"), F.expr(step).alias("fold"))))
-               .select(F.col("g.grp").alias(group), F.col("g.n").alias("n"), F.col("fold")))
-
-
-def _fill_folds(counts: DataFrame, group: str, k: int, head_groups: int) -> DataFrame:
-    """Balanced folds without gathering all groups (the 'fill' method).
-
-    1. The ``head_groups`` largest groups (a distributed top-k) are assigned
-       greedily, exactly as the greedy method would, in one bounded task.
-    2. The fold loads after the head (k numbers) set a water level; fold f
-       may take ``max(0, level - load_f)`` more rows.
-    3. The remaining groups, in a pseudo-random order (``xxhash64``), get a
-       start position from a distributed prefix sum (hash-range buckets,
-       bucket offsets over a small table, running sums per bucket); a group
-       goes to the fold whose capacity segment holds its start.
-
-    A hot group is in the head, placed first like every large one; the tail
-    holds groups no larger than the smallest head group, and each fold's
-    tail share is off by less than one tail group, so fold loads that the
-    head leaves below the level end within two tail groups of each other.
-    """
-    import math
-
-    head = counts.orderBy(F.col("n").desc(), F.col(group).desc()).limit(head_groups)
-    gtype = counts.schema[group].dataType
-    schema = T.StructType([T.StructField(group, gtype), T.StructField("n", T.LongType()),
-                           T.StructField("fold", T.IntegerType())])
-    head_fm = materialize(
-        head.withColumn("__all", F.lit(0)).groupBy("__all")
-            .applyInPandas(lambda pdf: _greedy_assign(pdf.drop(columns="__all"), group, k), schema),
-        "fold-head")
-    loads = [0.0] * k
-    for r in head_fm.groupBy("fold").agg(F.sum("n").alias("rows")).collect():   # k rows
-        loads[r["fold"]] = float(r["rows"])
-    tail = counts.join(F.broadcast(head_fm.select(group)), group, "left_anti")
-    tail_rows, tail_groups = tail.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    if not tail_groups:
-        return head_fm
-    level = water_level(loads, float(tail_rows))
-    bounds, acc = [], 0.0
-    for f in range(k):
-        acc += max(0.0, level - loads[f])
-        bounds.append(acc)
-    bits = max(0, min(14, math.ceil(math.log2(max(1, tail_groups / FILL_ROWS_PER_BUCKET)))))
-    # Order-preserving hash-range bucket: the top ``bits`` bits of the hash.
-    h = F.xxhash64(F.col(group))
-    bucket = (F.shiftright(h, 64 - bits) + F.lit(1 << (bits - 1))) if bits else F.lit(0)
-    t = tail.withColumn("__h", h).withColumn("__b", bucket.cast("int"))
-    from pyspark.sql import Window
-
-    per_b = t.groupBy("__b").agg(F.sum("n").alias("__bn"))
-    offsets = per_b.select("__b", F.coalesce(F.sum("__bn").over(
-        Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)),
-        F.lit(0)).alias("__off"))                                             # <= 2^bits rows
-    w = Window.partitionBy("__b").orderBy("__h", group).rowsBetween(Window.unboundedPreceding, -1)
-    # A group goes where its midpoint falls: each fold boundary is off by at
-    # most half a group on either side.
-    start = (F.col("__off") + F.coalesce(F.sum("n").over(w), F.lit(0))).cast("double") \
-        + F.col("n").cast("double") / 2.0
-    fold = F.lit(k - 1)
-    for f in reversed(range(k - 1)):
-        fold = F.when(F.col("__start") < F.lit(bounds[f]), F.lit(f)).otherwise(fold)
-    tail_fm = (t.join(F.broadcast(offsets), "__b")
-                .withColumn("__start", start)
-                .select(group, "n", fold.cast("int").alias("fold")))
-    return head_fm.unionByName(tail_fm)
-
-
-def _fold_map(df: DataFrame, group: str, k: int, method: str,
-              max_greedy_groups: int) -> tuple[DataFrame, int]:
-    """The fold map and the number of groups (counted once, bounded)."""
-    if method not in ("greedy", "fill", "hash"):
+    return _fold_map(df, group, k, method)[0]
+
+
+def _ranked(counts: DataFrame, group: str, n_groups: int) -> DataFrame:
+    """``counts`` plus ``__rank``: the rank (from 0) of a group among those of
+    its size, larger ids first."""
+    ranges = max(1, math.ceil(n_groups / GROUPS_PER_RANGE))
+    # Written once, so that every use sees the same range of each group.
+    cut = materialize(counts.repartitionByRange(ranges, F.col("n").desc(), F.col(group).desc())
+                            .withColumn("__range", F.spark_partition_id()), "group-ranges")
+    sizes = cut.groupBy("n", "__range").agg(F.count(F.lit(1)).alias("__groups"))
+    ahead = Window.partitionBy("n").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("n", "__range", F.coalesce(F.sum("__groups").over(ahead), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy("__range", "n").orderBy(F.col(group).desc())
+    return (cut.withColumn("__row", F.row_number().over(inside)).join(offsets, ["n", "__range"])
+               .select(group, "n", (F.col("__offset") + F.col("__row") - 1).alias("__rank")))
+
+
+def _greedy_folds(counts: DataFrame, group: str, k: int, n_groups: int) -> DataFrame:
+    spark = counts.sparkSession
+    runs = counts.groupBy("n").agg(F.count(F.lit(1)).alias("groups")).collect()   # <= sqrt(2 * rows)
+    loads, rows = [0] * k, []
+    for n, groups in sorted(((r["n"], r["groups"]) for r in runs), reverse=True):
+        rows.append((n, [{"start": a, "folds": f} for a, f in run_segments(loads, n, groups)]))
+    turns = spark.createDataFrame(rows, "n long, segments array<struct<start: long, folds: array<int>>>")
+    segment = F.element_at(F.filter("segments", lambda x: x["start"] <= F.col("__rank")), -1)
+    at = F.pmod(F.col("__rank") - F.col("__segment.start"), F.size("__segment.folds"))
+    return (_ranked(counts, group, n_groups).join(broadcast_if_small(turns, known_rows=len(rows)), "n")
+            .withColumn("__segment", segment)
+            .select(group, "n", F.element_at("__segment.folds", (at + 1).cast("int")).alias("fold")))
+
+
+def _fold_map(df: DataFrame, group: str, k: int, method: str) -> tuple[DataFrame, int]:
+    """The fold map and the number of groups."""
+    if method not in ("greedy", "hash"):
         raise ValueError(f"unknown fold method {method!r}")
     # One pass over the rows; the per-group counts (one small row per group)
     # are written to the checkpoint folder and read from there afterwards.
     counts, n_groups = materialize_counted(group_counts(df, group), "group-counts")
-    if method == "greedy" and n_groups > max_greedy_groups:
-        log.warning("%d groups: switching fold assignment to the fill method.", n_groups)
-        method = "fill"
-    if method == "fill":
-        kk = effective_folds(n_groups, k)
-        head = min(HEAD_GROUPS, max_greedy_groups)
-        return materialize(_fill_folds(counts, group, kk, head), "fold-map"), n_groups
+    kk = effective_folds(n_groups, k)
     if method == "hash":
-        kk = effective_folds(n_groups, k)
         return counts.withColumn("fold", F.pmod(F.xxhash64(F.col(group)), F.lit(kk)).cast("int")), n_groups
-    kk = effective_folds(n_groups, k)
-    if n_groups <= JVM_GREEDY_GROUPS:
-        # Cheap to recompute from the written counts: not written itself.
-        return _greedy_assign_jvm(counts, group, kk), n_groups
-    gtype = counts.schema[group].dataType
-    schema = T.StructType([T.StructField(group, gtype), T.StructField("n", T.LongType()),
-                           T.StructField("fold", T.IntegerType())])
-    # The counts (bounded above) are gathered in one task for the sequential pass.
-    fm = (counts.withColumn("__all", F.lit(0))
-                .groupBy("__all")
-                .applyInPandas(lambda pdf: _greedy_assign(pdf.drop(columns="__all"), group, kk),
-                               schema))
-    return materialize(fm, "fold-map"), n_groups
+    return materialize(_greedy_folds(counts, group, kk, n_groups), "fold-map"), n_groups
 
 
 def group_kfold(df: DataFrame, group: str = GROUP_COLUMN, k: int = N_SPLITS,
-                method: str = "greedy", max_greedy_groups: int = MAX_GREEDY_GROUPS) -> DataFrame:
+                method: str = "greedy") -> DataFrame:
     """``df`` plus a ``fold`` column, whole groups per fold (G1 + J4).
 
     The fold map has one row per group; it is broadcast only when that
     (already counted) number is small, else joined with a shuffle (AQE
-    splits a skewed hot group on the large side).
+    splits a skewed hot group on the large side).  Rows without a group key
+    have no fold and are left out.
     """
-    fm, n_groups = _fold_map(df, group, k, method, max_greedy_groups)
+    fm, n_groups = _fold_map(df, group, k, method)
     return df.join(broadcast_if_small(fm.select(group, "fold"), known_rows=n_groups), group, "inner")
 
 
@@ -230,9 +152,9 @@ def assert_no_leakage(df: DataFrame, group: str = GROUP_COLUMN, fold: str = "fol
     for all folds in a single aggregate.  Columns: ``n_groups,
     n_leaking_groups``.
     """
-    per_group = df.groupBy(group).agg(F.count_distinct(F.col(fold)).alias("n_folds"))
+    per_group = df.groupBy(group).agg(F.min(fold).alias("lo"), F.max(fold).alias("hi"))
     return per_group.agg(F.count(F.lit(1)).alias("n_groups"),
-                         F.count(F.when(F.col("n_folds") > 1, 1)).alias("n_leaking_groups"))
+                         F.count(F.when(F.col("lo") != F.col("hi"), 1)).alias("n_leaking_groups"))
 
 
 def check_no_leakage(df: DataFrame, group: str = GROUP_COLUMN, fold: str = "fold") -> None:
@@ -248,25 +170,9 @@ def fold_sizes(df: DataFrame, group: str = GROUP_COLUMN, fold: str = "fold") ->
     ``train_rows`` is total minus the fold's rows: a window over the k
     per-fold rows only (never over the data).
     """
-    from pyspark.sql import Window
-
-    per = df.groupBy(fold).agg(F.count(F.lit(1)).alias("test_rows"),
-                               F.count_distinct(F.col(group)).alias("test_matches"))
+    per_group = df.groupBy(fold, group).agg(F.count(F.lit(1)).alias("rows"))
+    per = per_group.groupBy(fold).agg(F.sum("rows").alias("test_rows"),
+                                      F.count(F.col(group)).alias("test_matches"))
     total = F.sum("test_rows").over(Window.partitionBy(F.lit(0)))
     return per.select(fold, (total - F.col("test_rows")).alias("train_rows"),
                       "test_rows", "test_matches")
-
-
-def _ship_by_value() -> None:
-    """Send this module's task functions to executors by value, so workers
-    need pandas but not this package on their path."""
-    import sys
-
-    try:
-        from pyspark import cloudpickle
-        cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    except Exception:  # older cloudpickle: fall back to shipping the package (--py-files)
-        pass
-
-
-_ship_by_value()
