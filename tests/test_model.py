@@ -60,3 +60,37 @@ def test_final_model_mllib_artifact(spark, tmp_path):
     m = LogisticRegressionModel.load(path)
     assert list(m.coefficients) == pytest.approx([table.coef_distance, table.coef_angle])
     assert m.intercept == pytest.approx(table.intercept)
+
+
+def test_swapped_feature_order_scores_the_same(spark):
+    from xgspark.operators.model import model_as_dict
+    from xgspark.plans.scoring import score_batch
+    from xgspark.sources.tables import requests_view
+
+    shots = shots_view(spark, SF_MID)
+    usual = model_as_dict(fit_final(shots, tol=1e-10))
+    swapped = model_as_dict(fit_final(shots, features=("shot_angle", "distance_to_goal"), tol=1e-10))
+    for c in ("coef_distance", "coef_angle", "intercept"):
+        assert swapped[c] == pytest.approx(usual[c], abs=1e-6)
+    a, b = (score_batch(requests_view(spark, SF_MID), m).agg(F.sum("xg_probability")).first()[0]
+            for m in (usual, swapped))
+    assert a == pytest.approx(b, abs=0.5)
+
+
+def test_unknown_order_and_missing_final_model_are_errors(spark):
+    from pyspark.errors import PySparkException
+    from xgspark.operators.model import NoFinalModelError, UnknownFeaturesError, model_as_dict
+    from xgspark.schemas import MODEL_TABLE_SCHEMA
+
+    fold_only = spark.createDataFrame([(0, -0.1, 0.03, -1.0, ["distance_to_goal", "shot_angle"], 5)], MODEL_TABLE_SCHEMA)
+    with pytest.raises(NoFinalModelError):
+        model_as_dict(fold_only)
+    odd = spark.createDataFrame([(None, -0.1, 0.03, -1.0, ["x", "y"], 5)], MODEL_TABLE_SCHEMA)
+    with pytest.raises(UnknownFeaturesError):
+        model_as_dict(odd)
+    odd_fold = spark.createDataFrame([(0, -0.1, 0.03, -1.0, ["x", "y"], 5)], MODEL_TABLE_SCHEMA)
+    shots = shots_view(spark, SF_MID).limit(5).withColumn("fold", F.lit(0))
+    with pytest.raises(PySparkException):
+        score_oof(shots, odd_fold).collect()
+    with pytest.raises(UnknownFeaturesError):
+        fit_final(shots_view(spark, SF_MID), features=("x", "y"))

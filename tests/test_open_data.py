@@ -59,7 +59,7 @@ def test_build_shots_end_to_end(spark, open_data, tmp_path):
     audit = res.audit.first().asDict()
     assert audit == {"matches_total": 4, "matches_with_shots": 1, "matches_without_shots": 3,
                      "raw_shots": 6, "kept_shots": 3, "dropped_shots": 3, "dropped_missing": 0,
-                     "goals": 1}
+                     "goals": 1, "seasons_without_matches": 1, "event_files_skipped": 1}
     back = read_shots(spark, out)
     assert back.count() == 3
 
@@ -71,6 +71,45 @@ def test_events_carry_match_id_and_variant_location(spark, open_data):
     assert ev.schema["location"].dataType.typeName() == "variant"
 
 
+def test_one_odd_field_never_costs_an_event(spark, tmp_path):
+    """Flat and nested shapes, text for numbers, fractions: every event stays,
+    whatever columns are read."""
+    root = tmp_path / "odd"
+    (root / "events").mkdir(parents=True)
+    plain = [_shot([100.0 + i, 40.0]) for i in range(3)]
+    odd = {1: [*plain[:2], {**_shot([101.0, 40.0]), "minute": "12"}],
+           2: [plain[0], {**_shot([102.0, 40.0]), "player": "Flat Player"}],
+           3: [plain[0], {**_shot([103.0, 40.0]), "type": "Shot"}],
+           4: [plain[0], {**_shot([104.0, 40.0]), "period": 1.0, "minute": "45+2"}],
+           5: [plain[0], {"type": "Shot", "period": 1, "minute": 3, "location": [105.0, 40.0],
+                          "player_name": "P", "team": "T", "shot_type": "Open Play",
+                          "shot_outcome_name": "Goal", "shot_statsbomb_xg": "0.25"}]}
+    for m, events in odd.items():
+        (root / "events" / f"{m}.json").write_text(json.dumps(events))
+    from xgspark.operators.cleaning import clean_shots
+
+    shots = clean_shots(read_events(spark, str(root)))
+    rows = shots.collect()
+    assert len(rows) == shots.count() == shots.select("match_id").count() == 11
+    by = {(r.match_id, r.x): r for r in rows}
+    assert by[(1, 101.0)].minute == 12 and by[(2, 102.0)].player_name == "Flat Player"
+    assert by[(4, 104.0)].period == 1 and by[(4, 104.0)].minute is None
+    last = by[(5, 105.0)]
+    assert (last.player_name, last.team_name, last.is_goal, last.statsbomb_xg) == ("P", "T", 1, 0.25)
+
+
+def test_empty_id_list_reads_nothing(spark, open_data):
+    none = spark.createDataFrame([], "match_id long")
+    assert read_events(spark, open_data, none).count() == 0
+
+
+def test_missing_catalogue_is_no_data(spark, tmp_path):
+    from xgspark.sources.open_data import read_competitions
+
+    with pytest.raises(NoDataError):
+        read_competitions(spark, str(tmp_path / "nowhere"))
+
+
 def test_no_matches_is_an_error(spark, open_data):
     with pytest.raises(NoDataError):
         build_shots(spark, open_data, None, competition_id=77)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from xgspark.functions.scoring import interpret_xg, round_half_up
 from xgspark.plans.scoring import score_batch
 
+# FIXED VALUES: bucket labels and the three preset shots.
 BUCKETS = [
     (0.5, "High quality chance"), (0.9, "High quality chance"),
     (0.2, "Good chance"), (0.49999, "Good chance"),
@@ -54,6 +55,14 @@ def test_command_line_path_scores_without_validation(spark):
     assert r.status == "ok" and r.xg_probability is not None
 
 
+def test_missing_input_has_no_bucket(spark):
+    df = spark.createDataFrame([(1, None, 37.0), (2, float("nan"), 37.0), (3, 11.0, None)],
+                               "request_id long, distance_meters double, angle_degrees double")
+    for r in score_batch(df, MODEL, validate=False).collect():
+        assert (r.status, r.xg_probability, r.interpretation) == ("rejected", None, None)
+    assert spark.range(1).select(interpret_xg(F.lit(None).cast("double")).alias("x")).first().x is None
+
+
 def test_model_unavailable(spark):
     df = spark.createDataFrame([(1, 11.0, 37.0), (2, 0.0, 37.0)],
                                "request_id long, distance_meters double, angle_degrees double")

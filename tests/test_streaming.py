@@ -1,9 +1,11 @@
 import os
 
+import pytest
+
 from tests.conftest import SF_SMALL
 from xgspark.plans.scoring import score_batch
 from xgspark.sources.tables import REQUEST_EXPRS, read_table, requests_view
-from xgspark.streaming.scoring_stream import score_stream
+from xgspark.streaming.scoring_stream import score_stream, score_stream_to_table
 
 MODEL = {"intercept": -1.0, "coef_distance": -0.1, "coef_angle": 0.03}
 
@@ -19,14 +21,12 @@ def test_multi_batch_stream_equals_batch_and_replay_adds_nothing(spark, tmp_path
     out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
     q = score_stream(_requests_stream(spark, src), MODEL, out, ckpt)
     q.awaitTermination()
-    batches = sorted(os.listdir(os.path.join(out, "scored")))
+    batches = sorted(os.listdir(out))
     assert len([b for b in batches if b.startswith("batch=")]) >= 4
     cols = ["request_id", "status", "xg_probability", "distance_yards", "interpretation"]
 
     def streamed():
-        a = spark.read.parquet(os.path.join(out, "scored")).select(*cols)
-        b = spark.read.parquet(os.path.join(out, "rejected")).select(*cols)
-        return a.unionByName(b)
+        return spark.read.parquet(out).select(*cols)
 
     expected = score_batch(requests_view(spark, SF_SMALL), MODEL).select(*cols)
     got = streamed()
@@ -48,8 +48,7 @@ def test_json_body_stream_equals_batch(spark, tmp_path):
     out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
     score_stream(stream, MODEL, out, ckpt, json_col="body").awaitTermination()
     cols = ["request_id", "status", "gateway_status", "xg_probability", "interpretation"]
-    got = spark.read.parquet(os.path.join(out, "scored")).select(*cols).unionByName(
-        spark.read.parquet(os.path.join(out, "rejected")).select(*cols))
+    got = spark.read.parquet(out).select(*cols)
     want = score_json(json_requests_view(spark, SF_SMALL), MODEL).select(*cols)
     assert got.count() == want.count() == 1000
     assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
@@ -64,6 +63,19 @@ def test_processing_time_trigger(spark, tmp_path):
         q.processAllAvailable()
     finally:
         q.stop()
-    n = spark.read.parquet(os.path.join(out, "scored")).count() + \
-        spark.read.parquet(os.path.join(out, "rejected")).count()
-    assert n == 1000
+    assert spark.read.parquet(out).count() == 1000
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_stream_over_a_file_or_a_folder_table(spark, tmp_path, folder):
+    sf = tmp_path / "sf"
+    sf.mkdir()
+    if folder:
+        read_table(spark, SF_SMALL, "events").select("event_id").repartition(3).write.parquet(str(sf / "events.parquet"))
+    else:
+        os.symlink(f"{SF_SMALL}/events.parquet", sf / "events.parquet")
+    got = score_stream_to_table(spark, str(sf), MODEL)
+    want = score_batch(requests_view(spark, SF_SMALL), MODEL)
+    cols = ["request_id", "status", "xg_probability"]
+    assert got.count() == 1000
+    assert got.select(*cols).exceptAll(want.select(*cols)).count() == 0

@@ -37,6 +37,27 @@ def test_missing_model(spark, tmp_path):
     assert load_model(spark, missing, on_missing="mark") is None
 
 
+def test_empty_model_table_is_missing(spark, tmp_path):
+    from xgspark.schemas import MODEL_TABLE_SCHEMA
+
+    path = str(tmp_path / "empty")
+    spark.createDataFrame([], MODEL_TABLE_SCHEMA).write.parquet(path)
+    assert load_model(spark, path, on_missing="mark") is None
+    with pytest.raises(ModelUnavailable):
+        load_model(spark, path)
+
+
+def test_training_drops_rows_with_missing_values(spark):
+    from pyspark.sql import functions as F
+
+    shots = shots_view(spark, SF_MID).withColumn(
+        "shot_angle", F.when(F.col("shot_id") % 101 == 0, None).when(F.col("shot_id") % 103 == 0, float("nan"))
+                       .otherwise(F.col("shot_angle")))
+    bad = shots.filter(F.col("shot_angle").isNull() | F.isnan("shot_angle")).count()
+    rep = train(shots)
+    assert rep.rows_dropped == bad > 0 and rep.n_rows == 10000 - bad
+
+
 def test_assemble_order(spark):
     a = assemble(shots_view(spark, SF_MID).limit(3))
     assert a.columns == ["features", "is_goal", "match_id"]

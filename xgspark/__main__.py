@@ -93,7 +93,15 @@ def main(argv: list[str] | None = None) -> int:
         p.error("score needs --requests/--out, or both --distance and --angle")
     if a.cmd == "score" and a.requests and not a.out:
         p.error("score --requests needs --out")
-    out = {"etl": cmd_etl, "train": cmd_train, "score": cmd_score}[a.cmd](a)
+    try:
+        out = {"etl": cmd_etl, "train": cmd_train, "score": cmd_score}[a.cmd](a)
+    finally:
+        from pyspark.sql import SparkSession
+
+        from xgspark.session import clear_scratch
+
+        if SparkSession.getActiveSession() is not None:
+            clear_scratch(SparkSession.getActiveSession())
     print(json.dumps(out, default=str))
     return 0
 

@@ -5,8 +5,6 @@ stated here plainly and in one place.
 """
 
 # --- FIXED VALUES: pitch and goal geometry (yards, attacking towards x = 120) ---
-PITCH_LENGTH = 120.0
-PITCH_WIDTH = 80.0
 GOAL_CENTER = (120.0, 40.0)
 GOAL_POST_NEAR = (120.0, 36.0)
 GOAL_POST_FAR = (120.0, 44.0)

@@ -2,13 +2,13 @@
 stays inside whole-stage code generation; there is no Python UDF."""
 
 from xgspark.functions.geometry import distance_to_goal, shot_angle, to_yards
-from xgspark.functions.fields import name_field, location_xy, goal_label, nan_to_null
+from xgspark.functions.fields import goal_label, location_xy_variant, name_field, named_of_variant
 from xgspark.functions.scoring import (
     logistic_probability, interpret_xg, round_half_up,
 )
 
 __all__ = [
-    "distance_to_goal", "shot_angle", "to_yards", "name_field", "location_xy",
-    "goal_label", "nan_to_null", "logistic_probability", "interpret_xg",
+    "distance_to_goal", "shot_angle", "to_yards", "name_field", "location_xy_variant",
+    "named_of_variant", "goal_label", "logistic_probability", "interpret_xg",
     "round_half_up",
 ]

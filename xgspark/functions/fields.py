@@ -48,23 +48,14 @@ def name_field(df: DataFrame | T.StructType, candidates: Sequence[str]) -> Colum
     return expr
 
 
-def location_xy(location: Column | str) -> tuple[Column, Column]:
-    """Location to numeric (x, y).
+def location_xy_variant(location: Column | str) -> tuple[Column, Column]:
+    """A VARIANT location ``[x, y, ...]`` to numeric (x, y).
 
-    ``location`` is JSON text or a VARIANT holding ``[x, y, ...]``.  Elements
-    go through a lenient cast (numbers and numeric text are accepted, extra
-    elements ignored); anything else -- NULL, a non-array, fewer than two
-    elements, a non-numeric element -- gives NULL for that coordinate.
+    Elements go through a lenient cast (numbers and numeric text are accepted,
+    extra elements ignored); anything else -- NULL, a non-array, fewer than
+    two elements, a non-numeric element -- gives NULL for that coordinate.
     """
     c = F.col(location) if isinstance(location, str) else location
-    v = F.try_parse_json(c)
-    return (F.try_variant_get(v, "$[0]", "double"),
-            F.try_variant_get(v, "$[1]", "double"))
-
-
-def location_xy_variant(location: Column | str) -> tuple[Column, Column]:
-    """Same as :func:`location_xy` for a column that is already VARIANT."""
-    c = F.col(location) if isinstance(location, str) else location
     return (F.try_variant_get(c, "$[0]", "double"),
             F.try_variant_get(c, "$[1]", "double"))
 
@@ -74,6 +65,14 @@ def goal_label(outcome: Column) -> Column:
     return F.when(outcome == F.lit(GOAL_OUTCOME), F.lit(1)).otherwise(F.lit(0))
 
 
-def nan_to_null(c: Column) -> Column:
-    """NaN becomes SQL NULL (for writers and missing-value checks)."""
-    return F.when(F.isnan(c), F.lit(None)).otherwise(c)
+def named_of_variant(v: Column) -> Column:
+    """A ragged name field (VARIANT: a record or a flat value) as ``{id, name}``.
+
+    A present record keeps its name even when that is NULL (P1: no
+    fall-through); a flat value is a record of that name; JSON null is absent.
+    """
+    record = F.schema_of_variant(v).startswith("OBJECT")
+    return F.when(v.isNotNull() & ~F.is_variant_null(v), F.struct(
+        F.when(record, F.try_variant_get(v, "$.id", "bigint")).alias("id"),
+        F.when(record, F.try_variant_get(v, "$.name", "string"))
+         .otherwise(F.try_variant_get(v, "$", "string")).alias("name")))

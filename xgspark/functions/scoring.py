@@ -36,7 +36,7 @@ def interpret_xg(p, thresholds: Sequence[tuple[float, str]] = INTERPRETATION_THR
     """
     pc = _col(p)
     last = thresholds[-1][1]
-    expr = F.when(pc.isNull() | F.isnan(pc), F.lit(last))
+    expr = F.when(pc.isNull(), F.lit(None).cast("string")).when(F.isnan(pc), F.lit(last))
     for t, label in thresholds:
         expr = expr.when(pc >= F.lit(float(t)), F.lit(label))
     return expr.otherwise(F.lit(last))

@@ -61,11 +61,6 @@ def with_location_xy(df: DataFrame, location: str = "location") -> DataFrame:
     return v.select(*keep, x.alias("x"), y.alias("y"))
 
 
-def drop_bad_location(df: DataFrame) -> DataFrame:
-    """Drop rows whose location gave no numeric x or y."""
-    return df.filter(F.col("x").isNotNull() & F.col("y").isNotNull())
-
-
 def drop_penalties(df: DataFrame, shot_type: str = "shot_type") -> DataFrame:
     """Drop penalties; a NULL shot type is kept."""
     return df.filter(~F.col(shot_type).eqNullSafe(F.lit(PENALTY_SHOT_TYPE)))
@@ -73,7 +68,7 @@ def drop_penalties(df: DataFrame, shot_type: str = "shot_type") -> DataFrame:
 
 def drop_shootout(df: DataFrame, period: str = "period") -> DataFrame:
     """Drop shoot-out attempts; a NULL period is kept."""
-    return df.filter(~F.col(period).eqNullSafe(F.lit(SHOOTOUT_PERIOD)))
+    return df.filter(~F.col(period).try_cast("int").eqNullSafe(F.lit(SHOOTOUT_PERIOD)))
 
 
 def missing_mask(df: DataFrame, cols: Sequence[str]) -> Column:
@@ -117,7 +112,7 @@ def drop_missing_plain(df: DataFrame, cols: Sequence[str] = CRITICAL_COLUMNS) ->
 
 def _column_or_null(columns, name: str, dtype: str) -> Column:
     if name in columns:
-        return F.col(name).cast(dtype)
+        return F.col(name).try_cast(dtype)
     return F.lit(None).cast(dtype)
 
 
@@ -130,7 +125,7 @@ def _shot_rows(events: DataFrame) -> tuple[DataFrame, Column, list[Column]]:
     keep = (F.col("x").isNotNull() & F.col("y").isNotNull()                      # F3
             & ~shot_type.eqNullSafe(F.lit(PENALTY_SHOT_TYPE)))                   # F4
     if "period" in cols:
-        keep = keep & ~F.col("period").eqNullSafe(F.lit(SHOOTOUT_PERIOD))        # F5
+        keep = keep & ~F.col("period").try_cast("int").eqNullSafe(F.lit(SHOOTOUT_PERIOD))  # F5
     return df, keep, [
         _column_or_null(cols, "match_id", "bigint").alias("match_id"),
         name_field(schema, PLAYER_CANDIDATES).alias("player_name"),

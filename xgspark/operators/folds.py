@@ -145,8 +145,17 @@ def group_kfold(df: DataFrame, group: str = GROUP_COLUMN, k: int = N_SPLITS,
     return df.join(broadcast_if_small(fm.select(group, "fold"), known_rows=n_groups), group, "inner")
 
 
+def group_summary(df: DataFrame, group: str = GROUP_COLUMN, fold: str = "fold",
+                  label: str | None = None) -> DataFrame:
+    """``group, fold, rows`` (and ``pos`` with a label): the one pass over the
+    rows that the checks, sizes and class counts below are read from."""
+    pos = [] if label is None else [F.sum(F.col(label).cast("long")).alias("pos")]
+    return df.groupBy(group, fold).agg(F.count(F.lit(1)).alias("rows"), *pos)
+
+
 def assert_no_leakage(df: DataFrame, group: str = GROUP_COLUMN, fold: str = "fold") -> DataFrame:
-    """One-row check that no group sits in two folds.
+    """One-row check that no group sits in two folds (U3), over the rows or
+    their :func:`group_summary`.
 
     Equivalent to "train groups and test groups are disjoint in every fold",
     for all folds in a single aggregate.  Columns: ``n_groups,
@@ -165,14 +174,18 @@ def check_no_leakage(df: DataFrame, group: str = GROUP_COLUMN, fold: str = "fold
 
 
 def fold_sizes(df: DataFrame, group: str = GROUP_COLUMN, fold: str = "fold") -> DataFrame:
-    """Per fold: ``train_rows, test_rows, test_matches`` (A4).
+    """Per fold: ``train_rows, test_rows, test_matches`` (A4)."""
+    return sizes_of_summary(group_summary(df, group, fold), group, fold)
+
+
+def sizes_of_summary(summary: DataFrame, group: str = GROUP_COLUMN, fold: str = "fold") -> DataFrame:
+    """:func:`fold_sizes` from a :func:`group_summary`.
 
     ``train_rows`` is total minus the fold's rows: a window over the k
     per-fold rows only (never over the data).
     """
-    per_group = df.groupBy(fold, group).agg(F.count(F.lit(1)).alias("rows"))
-    per = per_group.groupBy(fold).agg(F.sum("rows").alias("test_rows"),
-                                      F.count(F.col(group)).alias("test_matches"))
+    per = summary.groupBy(fold).agg(F.sum("rows").alias("test_rows"),
+                                    F.count(F.col(group)).alias("test_matches"))
     total = F.sum("test_rows").over(Window.partitionBy(F.lit(0)))
     return per.select(fold, (total - F.col("test_rows")).alias("train_rows"),
                       "test_rows", "test_matches")

@@ -40,7 +40,8 @@ def attach_season(matches: DataFrame, seasons: DataFrame) -> DataFrame:
     return matches.join(seasons.select("season_id", "season_name"), "season_id", "inner")
 
 
-def events_of_matches(events: DataFrame, matches: DataFrame, key: str = "match_id") -> DataFrame:
+def events_of_matches(events: DataFrame, matches: DataFrame, key: str = "match_id",
+                      known_rows: int | None = None) -> DataFrame:
     """Events whose match is in ``matches`` (J2, left semi join).
 
     The id list of a competition is small next to the events: it is
@@ -50,7 +51,7 @@ def events_of_matches(events: DataFrame, matches: DataFrame, key: str = "match_i
     side).
     """
     ids = matches.select(key).filter(F.col(key).isNotNull())
-    return events.join(broadcast_if_small(ids), key, "left_semi")
+    return events.join(broadcast_if_small(ids, known_rows=known_rows), key, "left_semi")
 
 
 def matches_without_shots(matches: DataFrame, shots: DataFrame, key: str = "match_id") -> DataFrame:

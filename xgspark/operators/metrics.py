@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from xgspark.config import LOG_LOSS_EPS
+from xgspark.operators.joins import broadcast_if_small
 from xgspark.session import materialize_counted
 
 # Score buckets for the distributed prefix sum of the AUC: about this many
@@ -88,11 +89,11 @@ def _auc_from_counts(scores: DataFrame, keys: list[str], buckets: int | None,
     per_bucket = scores.groupBy(*keys, "__b").agg(F.sum("__neg").alias("__bneg"))
     w_off = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))) \
         .orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    # groups x buckets rows: bounded by the bucket count per group.
+    # groups x buckets rows; broadcast only behind a count of them.
     offsets = per_bucket.select(*keys, "__b", F.coalesce(F.sum("__bneg").over(w_off), F.lit(0)).alias("__off"))
     w_in = Window.partitionBy(*keys, "__b").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     ranked = scores.withColumn("__below_in", F.coalesce(F.sum("__neg").over(w_in), F.lit(0)))
-    joined = ranked.join(F.broadcast(offsets), [*keys, "__b"], "inner")
+    joined = ranked.join(broadcast_if_small(offsets), [*keys, "__b"], "inner")
     below = F.col("__off") + F.col("__below_in")
     pos_total = F.sum("__pos")
     neg_total = F.sum("__neg")
@@ -146,8 +147,8 @@ def fold_metrics(scored: DataFrame, p: str = "p", y: str = "is_goal",
         (F.sum(ll) / n.cast("double")).alias("log_loss"),
         (F.sum(br) / n.cast("double")).alias("brier"),
     )
-    # groups (k folds) rows per side: broadcast is bounded by k.
-    return base.join(F.broadcast(_auc_from_counts(sc, keys, buckets, n_scores)), keys, "left") \
+    # One row per group on either side: Spark's own size estimate decides.
+    return base.join(_auc_from_counts(sc, keys, buckets, n_scores), keys, "left") \
                .select(*keys, "n", "goals", "log_loss", "roc_auc", "brier")
 
 

@@ -12,11 +12,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from xgspark.config import FEATURE_COLUMNS, GROUP_COLUMN, TARGET_COLUMN
 from xgspark.functions.scoring import logistic_probability
+from xgspark.operators.joins import broadcast_if_small
 from xgspark.schemas import MODEL_TABLE_SCHEMA
 
 
@@ -24,6 +25,14 @@ class DegenerateFoldError(ValueError):
     """A training fold holds a single class: the intercept has no finite optimum."""
 
 
+class UnknownFeaturesError(ValueError):
+    """A model table whose feature order is not known."""
+
+
+class NoFinalModelError(LookupError):
+    """A model table without a final (fold-less) model."""
+
+
 def assemble(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
              label: str = TARGET_COLUMN, group: str | None = GROUP_COLUMN,
              out: str = "features") -> DataFrame:
@@ -55,71 +64,77 @@ def _fit(df: DataFrame, features: Sequence[str], label: str, n_train: int,
 
 
 def _model_row(m, fold, n_train: int, features: Sequence[str]) -> tuple:
-    coef = m.coefficients.toArray().tolist()
-    return (fold, float(coef[0]), float(coef[1]), float(m.intercept), list(features), int(n_train))
+    """Coefficients by feature name, whatever the order they were fitted in."""
+    coef = dict(zip(features, m.coefficients.toArray().tolist()))
+    check_order(features)
+    distance, angle = FEATURE_COLUMNS
+    return (fold, float(coef[distance]), float(coef[angle]), float(m.intercept), list(features), int(n_train))
 
 
-def class_counts(df: DataFrame, label: str = TARGET_COLUMN, fold: str = "fold") -> DataFrame:
-    """Positives and rows per fold (one small aggregate)."""
-    return df.groupBy(fold).agg(F.count(F.lit(1)).alias("rows"),
-                                F.sum(F.col(label).cast("long")).alias("pos"))
+def check_order(features: Sequence[str] | None) -> None:
+    """A model table's feature order must name the known features, each once."""
+    if sorted(features or ()) != sorted(FEATURE_COLUMNS):
+        raise UnknownFeaturesError(f"unknown feature order {features!r}; expected {FEATURE_COLUMNS}")
+
+
+def class_counts(df: DataFrame, label: str = TARGET_COLUMN, fold: str = "fold") -> list[tuple[int, int, int]]:
+    """``(fold, rows, positives)`` of the k folds (one small aggregate)."""
+    rows = df.groupBy(fold).agg(F.count(F.lit(1)).alias("rows"),
+                                F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0)).alias("pos")).collect()
+    return sorted((int(r[fold]), r["rows"], r["pos"]) for r in rows)
 
 
 def fit_folds(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
               label: str = TARGET_COLUMN, fold: str = "fold",
-              max_iter: int = 100, tol: float = 1e-6, parallelism: int | None = None) -> DataFrame:
+              max_iter: int = 100, tol: float = 1e-6, parallelism: int = 2,
+              counts: list[tuple[int, int, int]] | None = None) -> DataFrame:
     """Fit one model per fold on the complement of the fold.
 
     Returns the model table keyed by ``fold``.  A training side with a
-    single class raises :class:`DegenerateFoldError` before any fit.  The k
-    fits are independent distributed jobs; up to ``parallelism`` of them are
-    submitted at once (as ``CrossValidator(parallelism=...)`` does) so that
-    small fits do not leave the cluster idle.
+    single class raises :class:`DegenerateFoldError` before any fit.  One
+    narrow (fold, features, label) copy is cached before any action; class
+    counts (unless given) and all fits read it.  Each fit caches its own
+    training side while it runs, so ``parallelism`` bounds the copies.
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    spark = df.sparkSession
-    cc = sorted(class_counts(df, label, fold).collect(), key=lambda r: r[fold])  # k rows
-    total_rows = sum(r["rows"] for r in cc)
-    total_pos = sum(r["pos"] or 0 for r in cc)
-    plans = []
-    for r in cc:
-        n_train = total_rows - r["rows"]
-        pos_train = total_pos - (r["pos"] or 0)
-        if n_train == 0 or pos_train == 0 or pos_train == n_train:
-            raise DegenerateFoldError(
-                f"fold {r[fold]}: training side has a single class "
-                f"({pos_train} positives of {n_train})")
-        plans.append((int(r[fold]), n_train))
-    # One narrow (fold, features, label) copy is cached for the k fits; each
-    # fit then caches its training instances from it instead of rescanning
-    # and re-joining the source.
+    check_order(features)
     work = df.select(fold, *features, label).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        work.count()  # materialise once; the concurrent fits then all read the cache
-
-        def one(plan):
-            f, n_train = plan
-            m = _fit(work.filter(F.col(fold) != F.lit(f)), features, label, n_train, max_iter, tol)
-            return _model_row(m, f, n_train, features)
-
-        with ThreadPoolExecutor(max_workers=max(1, min(parallelism or len(plans), len(plans)))) as ex:
-            rows = list(ex.map(one, plans))
+        counts = counts or class_counts(work, label, fold)
+        total_rows, total_pos = sum(c[1] for c in counts), sum(c[2] for c in counts)
+
+        def one(f_rows_pos):
+            f, rows, pos = f_rows_pos
+            m = _fit(work.filter(F.col(fold) != F.lit(f)), features, label, total_rows - rows, max_iter, tol)
+            return _model_row(m, f, total_rows - rows, features)
+
+        for f, rows, pos in counts:
+            n_train, pos_train = total_rows - rows, total_pos - pos
+            if n_train == 0 or pos_train == 0 or pos_train == n_train:
+                raise DegenerateFoldError(
+                    f"fold {f}: training side has a single class ({pos_train} positives of {n_train})")
+        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(counts)))) as ex:
+            rows = list(ex.map(one, counts))
     finally:
         work.unpersist()
-    return spark.createDataFrame(rows, MODEL_TABLE_SCHEMA)
+    return df.sparkSession.createDataFrame(rows, MODEL_TABLE_SCHEMA)
 
 
 def fit_final(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
               label: str = TARGET_COLUMN, max_iter: int = 100, tol: float = 1e-6,
-              mllib_out: str | None = None) -> DataFrame:
+              mllib_out: str | None = None, counts: tuple[int, int] | None = None) -> DataFrame:
     """Fit the final model on all rows (G5); one-row model table, ``fold`` NULL.
 
-    ``mllib_out`` also saves the fitted MLlib model (``write().overwrite()``)
-    for use in MLlib pipelines.
+    ``counts`` are (rows, positives) when already known.  ``mllib_out`` also
+    saves the fitted MLlib model (``write().overwrite()``) for use in MLlib
+    pipelines.
     """
-    agg = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos")).first()
-    n, pos = agg["n"], agg["pos"] or 0
+    check_order(features)
+    if counts is None:
+        agg = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos")).first()
+        counts = agg["n"], agg["pos"] or 0
+    n, pos = counts
     if n == 0 or pos == 0 or pos == n:
         raise DegenerateFoldError(f"training data has a single class ({pos} positives of {n})")
     m = _fit(df, features, label, n, max_iter, tol)
@@ -139,42 +154,29 @@ def coefficients(model_table: DataFrame) -> DataFrame:
         )).alias("t")).select("fold", "t.term", "t.value")
 
 
-def score_with(df: DataFrame, model: dict | None, out: str = "p",
-               features: Sequence[str] = FEATURE_COLUMNS) -> DataFrame:
-    """Add the probability of a single model held as literals.
-
-    ``model`` is a dict with ``intercept, coef_distance, coef_angle``; None
-    gives a NULL probability (model unavailable).
-    """
-    if model is None:
-        return df.withColumn(out, F.lit(None).cast("double"))
-    return df.withColumn(out, logistic_probability(
-        model["intercept"], (model["coef_distance"], model["coef_angle"]), features))
-
-
-def score_oof(df: DataFrame, fold_models: DataFrame, fold: str = "fold", out: str = "p",
-              features: Sequence[str] = FEATURE_COLUMNS) -> DataFrame:
+def score_oof(df: DataFrame, fold_models: DataFrame, fold: str = "fold", out: str = "p") -> DataFrame:
     """Out-of-fold probabilities: each row scored by its fold's model.
 
-    The model table has one row per fold (k rows), so broadcasting it is
-    bounded by k, whatever the data size.
+    Coefficients apply by feature name; a model whose feature order is not
+    known fails the job.  The model table has one row per fold; it is
+    broadcast after a bounded count.
     """
-    m = fold_models.select(F.col("fold").alias(fold), F.col("intercept").alias("__b0"),
-                           F.col("coef_distance").alias("__b1"), F.col("coef_angle").alias("__b2"))
-    j = df.join(F.broadcast(m), fold, "inner")
-    return j.withColumn(out, logistic_probability("__b0", ("__b1", "__b2"), features)) \
+    known = F.array_sort("feature_order").eqNullSafe(F.array(*[F.lit(c) for c in sorted(FEATURE_COLUMNS)]))
+    m = fold_models.filter(F.col("fold").isNotNull()).select(
+        F.col("fold").alias(fold),
+        F.when(known, F.col("intercept")).otherwise(
+            F.raise_error(F.lit("unknown feature order in the model table")).cast("double")).alias("__b0"),
+        F.col("coef_distance").alias("__b1"), F.col("coef_angle").alias("__b2"))
+    j = df.join(broadcast_if_small(m), fold, "inner")
+    return j.withColumn(out, logistic_probability("__b0", ("__b1", "__b2"), FEATURE_COLUMNS)) \
             .drop("__b0", "__b1", "__b2")
 
 
 def model_as_dict(model_table: DataFrame) -> dict:
-    """The single final-model row as a dict (one row to the driver)."""
-    row = model_table.filter(F.col("fold").isNull()).first() or model_table.first()
+    """The final-model row as a dict (one row to the driver); a table without
+    one raises, as does an unknown feature order."""
+    row = model_table.filter(F.col("fold").isNull()).first()
+    if row is None:
+        raise NoFinalModelError("the model table has no final model (fold NULL)")
+    check_order(row["feature_order"])
     return row.asDict()
-
-
-def fixed_model_table(spark: SparkSession, intercept: float, coef_distance: float,
-                      coef_angle: float, folds: Sequence[int | None] = (None,)) -> DataFrame:
-    """A model table from given coefficients (one row per fold)."""
-    rows = [(f, float(coef_distance), float(coef_angle), float(intercept),
-             list(FEATURE_COLUMNS), 0) for f in folds]
-    return spark.createDataFrame(rows, MODEL_TABLE_SCHEMA)

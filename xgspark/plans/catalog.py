@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 
 from xgspark.functions.scoring import interpret_xg, round_half_up
 from xgspark.operators import aggregates, cleaning, folds, joins, metrics, model, sets, validation
-from xgspark.plans.etl import shots_from_catalogue
+from xgspark.plans.etl import build_shots, shots_from_catalogue
 from xgspark.plans.scoring import score_batch, score_json
+from xgspark.plans.training import train
 from xgspark.schemas import MODEL_TABLE_SCHEMA
 from xgspark.session import scratch_path
 from xgspark.sources import model_io, shots_io, tables
+from xgspark.sources.open_data import Layout, read_competitions, read_events, read_matches
 
 # --- FIXED VALUES: fixture parameters of the registered queries ---
 ETL_COMPETITION_ID = 1
@@ -186,10 +188,12 @@ def q_validate_json_requests_lax(spark, sf_dir) -> DataFrame:
 
 
 def q_valid_json_requests(spark, sf_dir) -> DataFrame:
-    """V4: the valid side of the split goes on to scoring."""
+    """V4: both sides of the split, with the detail map of the rejected."""
     v = validation.validate_json(tables.json_requests_view(spark, sf_dir), "body", "strict")
-    ok, _ = validation.split_valid(v)
-    return ok.select("request_id", "distance_meters", "angle_degrees")
+    ok, bad = validation.split_valid(v)
+    cols = ["request_id", "distance_meters", "angle_degrees"]
+    return ok.select(*cols, F.lit("valid").alias("side"), F.lit(None).cast("string").alias("errors_json")) \
+             .unionByName(_errors_json(bad).select(*cols, F.lit("rejected").alias("side"), "errors_json"))
 
 
 def _score_out(df: DataFrame) -> DataFrame:
@@ -209,8 +213,9 @@ def q_score_json_requests(spark, sf_dir) -> DataFrame:
 
 
 def q_score_requests_no_model(spark, sf_dir) -> DataFrame:
-    """V5: a missing model marks valid rows ``model_unavailable``."""
-    return _score_out(score_batch(tables.requests_view(spark, sf_dir), None))
+    """A missing model table marks valid rows ``model_unavailable``."""
+    missing = model_io.load_model(spark, scratch_path(spark, "no-model"), on_missing="mark")
+    return _score_out(score_batch(tables.requests_view(spark, sf_dir), missing))
 
 
 def q_interpretation_buckets(spark, sf_dir) -> DataFrame:
@@ -258,22 +263,105 @@ def q_oof_scores(spark, sf_dir) -> DataFrame:
     return o.select("shot_id", "match_id", "fold", r6("p").alias("p"))
 
 
+# Fits run until they agree with the exact optimum to well below the compared digits.
+FIT = {"tol": 1e-10, "max_iter": 400}
+
+
+def r4(c) -> F.Column:
+    return round_half_up(c, 4)
+
+
 def q_fit_folds(spark, sf_dir) -> DataFrame:
-    """One MLlib fit per fold (rows-only check; unit-tested against Newton)."""
-    return model.fit_folds(_folded_shots(spark, sf_dir))
+    """One MLlib fit per fold."""
+    m = model.fit_folds(_folded_shots(spark, sf_dir), **FIT)
+    return m.select("fold", r4("coef_distance").alias("coef_distance"), r4("coef_angle").alias("coef_angle"),
+                    r4("intercept").alias("intercept"), "n_train")
+
+
+def gappy_shots_view(spark, sf_dir) -> DataFrame:
+    """Shots of which some lack an angle (NULL or NaN): F7 must drop them."""
+    angle = F.when(F.col("shot_id") % 101 == 0, F.lit(None).cast("double")) \
+             .when(F.col("shot_id") % 103 == 0, F.lit(float("nan"))).otherwise(F.col("shot_angle"))
+    return tables.shots_view(spark, sf_dir).withColumn("shot_angle", angle)
 
 
 def q_train_cv_metrics(spark, sf_dir) -> DataFrame:
-    """Per-fold metrics of the out-of-fold scores of the fitted fold models
-    (rows-only check: fits are iterative)."""
-    folded = _folded_shots(spark, sf_dir)
-    scored = model.score_oof(folded, model.fit_folds(folded))
-    return _metrics_out(metrics.fold_metrics(scored))
+    """E2 as one run (F7, G1-G4, U3, M1-M4): per-fold metrics of the
+    out-of-fold scores of the fitted fold models."""
+    m = train(gappy_shots_view(spark, sf_dir), **FIT).fold_metrics
+    return m.select("fold", "n", "goals", r4("log_loss").alias("log_loss"),
+                    r4("roc_auc").alias("roc_auc"), r4("brier").alias("brier"))
+
+
+def q_train_report(spark, sf_dir) -> DataFrame:
+    """E2 as one run: rows dropped (F7) and used, matches, the saved and
+    reloaded final model (G5, S7, S8)."""
+    path = scratch_path(spark, "trained-model")
+    rep = train(gappy_shots_view(spark, sf_dir), path, **FIT)
+    return model_io.load_model(spark, path).select(
+        F.lit(rep.rows_dropped).cast("bigint").alias("rows_dropped"), F.lit(rep.n_rows).cast("bigint").alias("n_rows"),
+        F.lit(rep.n_groups).cast("bigint").alias("n_groups"), r4("coef_distance").alias("coef_distance"),
+        r4("coef_angle").alias("coef_angle"), r4("intercept").alias("intercept"))
 
 
 def q_final_model(spark, sf_dir) -> DataFrame:
-    """Final fit, coefficients by name (rows-only check)."""
-    return model.coefficients(model.fit_final(tables.shots_view(spark, sf_dir)))
+    """Final fit, coefficients by name."""
+    m = model.coefficients(model.fit_final(tables.shots_view(spark, sf_dir), **FIT))
+    return m.select("term", r4("value").alias("value"))
+
+
+# The files that the open-data queries write: JSON lines, one folder per match or season.
+WRITTEN_LAYOUT = Layout(competitions="competitions", matches="matches/season_id=*/*.json",
+                        events="events/match_id=*/*.json", event_files="events/match_id={match_ids}/*.json",
+                        season_id=r"season_id=(\d+)/", match_id=r"match_id=(\d+)/", multi_line=False)
+
+
+def _open_data(spark, sf_dir, *parts: str) -> str:
+    """The catalogue views written as open-data JSON under the shared folder."""
+    root = scratch_path(spark, "open-data")
+    if "competitions" in parts:
+        tables.competitions_view(spark, sf_dir).write.json(f"{root}/competitions")
+    if "matches" in parts:
+        tables.matches_view(spark, sf_dir).repartition("season_id").write.partitionBy("season_id").json(f"{root}/matches")
+    if "events" in parts:
+        raw = tables.raw_events_view(spark, sf_dir)
+        shot = F.struct(F.struct(F.lit(0).alias("id"), F.col("shot_outcome").alias("name")).alias("outcome"),
+                        F.col("shot_body_part").alias("body_part"), F.col("shot_statsbomb_xg").alias("statsbomb_xg"))
+        raw.select("match_id", "type", "period", "minute", F.try_parse_json("location").alias("location"), "player",
+                   "team_name", "team", "shot_type", shot.alias("shot")) \
+           .repartition("match_id").write.partitionBy("match_id").json(f"{root}/events")
+    return root
+
+
+def q_open_data_competitions(spark, sf_dir) -> DataFrame:
+    """The catalogue read from JSON."""
+    root = _open_data(spark, sf_dir, "competitions")
+    return read_competitions(spark, root, WRITTEN_LAYOUT).select(
+        "competition_id", "competition_name", "season_id", "season_name")
+
+
+def q_open_data_matches(spark, sf_dir) -> DataFrame:
+    """Match files of one competition, tagged with their season."""
+    root = _open_data(spark, sf_dir, "competitions", "matches")
+    seasons = cleaning.seasons_of(read_competitions(spark, root, WRITTEN_LAYOUT), ETL_COMPETITION_ID)
+    return read_matches(spark, root, seasons, ETL_COMPETITION_ID, WRITTEN_LAYOUT) \
+        .select("match_id", "season_id", "season_name")
+
+
+def q_open_data_events(spark, sf_dir) -> DataFrame:
+    """Every event of every match file, names resolved."""
+    root = _open_data(spark, sf_dir, "events")
+    e = read_events(spark, root, layout=WRITTEN_LAYOUT)
+    return e.select("match_id", F.col("type.name").alias("type_name"), "period", "minute",
+                    F.col("player.name").alias("player_name"), F.col("shot_type.name").alias("shot_type"),
+                    F.col("shot_outcome.name").alias("outcome"), F.col("shot_body_part.name").alias("body_part"),
+                    r6("shot_statsbomb_xg").alias("statsbomb_xg"))
+
+
+def q_build_shots(spark, sf_dir) -> DataFrame:
+    """E1 on files."""
+    root = _open_data(spark, sf_dir, "competitions", "matches", "events")
+    return _clean_out(build_shots(spark, root, competition_id=ETL_COMPETITION_ID, layout=WRITTEN_LAYOUT).shots)
 
 
 def q_csv_round_trip(spark, sf_dir) -> DataFrame:
@@ -335,6 +423,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fit_folds": q_fit_folds,
     "train_cv_metrics": q_train_cv_metrics,
     "final_model": q_final_model,
+    "train_report": q_train_report,
+    "open_data_competitions": q_open_data_competitions,
+    "open_data_matches": q_open_data_matches,
+    "open_data_events": q_open_data_events,
+    "build_shots": q_build_shots,
     "csv_round_trip": q_csv_round_trip,
     "model_round_trip": q_model_round_trip,
     "stream_scores": q_stream_scores,

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from xgspark.config import DEFAULT_COMPETITION_ID
@@ -12,8 +13,10 @@ from xgspark.operators.aggregates import ingest_audit
 from xgspark.operators.cleaning import clean_shots, only_shots, seasons_of, shot_flags
 from xgspark.operators.joins import attach_season, events_of_matches
 from xgspark.operators.sets import distinct_ids
-from xgspark.session import materialize
-from xgspark.sources.open_data import NoDataError, read_competitions, read_events, read_matches
+from xgspark.session import materialize, materialize_counted
+from xgspark.sources.open_data import (
+    DEFAULT_LAYOUT, Layout, NoDataError, read_competitions, read_events, read_matches,
+)
 from xgspark.sources.shots_io import write_shots
 
 
@@ -24,43 +27,46 @@ class EtlResult:
 
 
 def shots_from_catalogue(competitions: DataFrame, matches: DataFrame, events: DataFrame,
-                         competition_id: int, write_flags: bool = False) -> EtlResult:
+                         competition_id: int) -> EtlResult:
     """The ETL plan over already-read inputs.
 
     F1 seasons -> J1 matches with season -> U2 distinct ids -> J2 events of
     those matches -> F2 shots -> clean (P1-P4, F3-F6, X1, X2) ; A3 audit.
-    Lazy by default.  With ``write_flags`` the flagged shot rows are written
-    once to the checkpoint folder and both outputs read that table, so the
-    events are scanned once for the clean table and the audit together.
+    Lazy, but for the match ids, which are written once.
     """
     seasons = seasons_of(competitions, competition_id)
     if "season_name" not in matches.columns:
         matches = attach_season(matches, seasons)
-    ids = distinct_ids(matches, "match_id")
-    raw = only_shots(events_of_matches(events, ids))
-    if not write_flags:
-        return EtlResult(clean_shots(raw), ingest_audit(ids, raw))
-    flags = materialize(shot_flags(raw), "shot-flags")
-    clean = flags.filter(F.col("kept")).drop("kept", "passes_filters")
-    return EtlResult(clean, ingest_audit(ids, flags=flags))
+    ids, count = materialize_counted(distinct_ids(matches, "match_id"), "match-ids")
+    raw = only_shots(events_of_matches(events, ids, known_rows=count))
+    return EtlResult(clean_shots(raw), ingest_audit(ids, raw))
 
 
 def build_shots(spark: SparkSession, root: str, out: str | None = None,
-                competition_id: int = DEFAULT_COMPETITION_ID, fmt: str = "parquet") -> EtlResult:
+                competition_id: int = DEFAULT_COMPETITION_ID, fmt: str = "parquet",
+                layout: Layout = DEFAULT_LAYOUT) -> EtlResult:
     """Open-data files to the clean-shots table.
 
     Stops with :class:`NoDataError` when there are no matches, no shots, or
-    no valid shots -- each checked with a bounded ``isEmpty`` probe.
+    no valid shots.  The match ids are written once; the event files are
+    parsed once, into the flagged shots that the clean table and the audit
+    read.  The audit also counts ``seasons_without_matches`` and
+    ``event_files_skipped`` (unreadable event files).
     """
-    comps = read_competitions(spark, root)
-    seasons = seasons_of(comps, competition_id)
-    matches = read_matches(spark, root, seasons, competition_id)
-    if matches.isEmpty():
+    seasons = materialize(seasons_of(read_competitions(spark, root, layout), competition_id), "seasons")
+    matches, n_matches = materialize_counted(read_matches(spark, root, seasons, competition_id, layout), "matches")
+    if not n_matches:
         raise NoDataError(f"no matches for competition {competition_id}")
-    events = read_events(spark, root, distinct_ids(matches, "match_id"))
-    res = shots_from_catalogue(comps, matches, events, competition_id, write_flags=True)
-    if res.shots.isEmpty():
+    ids = materialize(distinct_ids(matches, "match_id"), "match-ids")
+    skipped = Observation(f"skipped-{uuid.uuid4().hex}")
+    flags = materialize(shot_flags(only_shots(read_events(spark, root, ids, layout, skipped))), "shot-flags")
+    shots = flags.filter(F.col("kept")).drop("kept", "passes_filters")
+    if shots.isEmpty():
         raise NoDataError("no valid shots after cleaning")
+    without = seasons.join(matches, "season_id", "left_anti").select("season_id").distinct().count()
+    audit = ingest_audit(ids, flags=flags).select(
+        "*", F.lit(without).cast("bigint").alias("seasons_without_matches"),
+        F.lit(int(skipped.get["event_files_skipped"])).cast("bigint").alias("event_files_skipped"))
     if out:
-        write_shots(res.shots, out, fmt)
-    return res
+        write_shots(shots, out, fmt)
+    return EtlResult(shots, audit)

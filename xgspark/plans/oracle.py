@@ -205,7 +205,7 @@ validated AS (
 def _interp(p: str) -> str:
     last = INTERPRETATION_THRESHOLDS[-1][1]
     whens = " ".join(f"WHEN {p} >= {_lit(t)} THEN '{label}'" for t, label in INTERPRETATION_THRESHOLDS)
-    return f"CASE WHEN {p} IS NULL OR isnan({p}) THEN '{last}' {whens} ELSE '{last}' END"
+    return f"CASE WHEN {p} IS NULL THEN NULL WHEN isnan({p}) THEN '{last}' {whens} ELSE '{last}' END"
 
 
 def _score_sql(model: dict | None, prefix: str | None = None, source: str = "validated") -> str:
@@ -267,7 +267,9 @@ _NUM = "('UBIGINT', 'BIGINT', 'DOUBLE')"
 def _json_validate_sql(mode: str, valid_only: bool = False) -> str:
     sql = _json_validated_ctes(mode)
     if valid_only:
-        return sql + "\nSELECT request_id, distance_meters, angle_degrees FROM jo WHERE status = 'ok'"
+        return sql + """
+SELECT request_id, distance_meters, angle_degrees, CASE WHEN status = 'ok' THEN 'valid' ELSE 'rejected' END AS side,
+       CASE WHEN status <> 'ok' THEN errors_json END AS errors_json FROM jo"""
     return sql + "\nSELECT request_id, body, distance_meters, angle_degrees, status, errors_json FROM jo"
 
 
@@ -305,6 +307,44 @@ oof AS (
   FROM folded f JOIN fmodels m ON f.fold = m.fold)
 SELECT shot_id, match_id, fold, {r6('p')} AS p FROM oof"""
 
+NEWTON_STEPS = 14
+
+
+def _newton(rows: str, sides: str, train: str) -> str:
+    """CTEs ending in ``fitted(side, b0, b1, b2, n_train)``: logistic fits of
+    ``rows`` (distance_to_goal, shot_angle, is_goal, fold) by unrolled Newton
+    steps on ``sum(log loss) + (b1^2 + b2^2) / 2``, one for each row of
+    ``sides``; ``train`` tells which rows a side trains on.  A step solves the
+    3 x 3 system by Cramer's rule."""
+    ctes = [f"w0 AS MATERIALIZED (SELECT side, 0.0E0 AS b0, 0.0E0 AS b1, 0.0E0 AS b2 FROM ({sides}))"]
+    for t in range(NEWTON_STEPS):
+        ctes.append(f"""
+g{t} AS MATERIALIZED (
+  SELECT side, b0, b1, b2, sum(q) AS a00, sum(q * d) AS a01, sum(q * a) AS a02,
+         sum(q * d * d) + 1 AS a11, sum(q * d * a) AS a12, sum(q * a * a) + 1 AS a22,
+         sum(p - y) AS r0, sum((p - y) * d) + b1 AS r1, sum((p - y) * a) + b2 AS r2, count(*) AS n_train
+  FROM (SELECT *, p * (1 - p) AS q FROM (
+    SELECT w.*, r.distance_to_goal AS d, r.shot_angle AS a, CAST(r.is_goal AS DOUBLE) AS y,
+           1.0E0 / (1.0E0 + exp(-(b0 + b1 * r.distance_to_goal + b2 * r.shot_angle))) AS p
+    FROM w{t} w JOIN {rows} r ON {train}))
+  GROUP BY side, b0, b1, b2),
+w{t + 1} AS MATERIALIZED (
+  SELECT side, n_train,
+    b0 - (r0 * (a11 * a22 - a12 * a12) - a01 * (r1 * a22 - a12 * r2) + a02 * (r1 * a12 - a11 * r2)) / det AS b0,
+    b1 - (a00 * (r1 * a22 - a12 * r2) - r0 * (a01 * a22 - a12 * a02) + a02 * (a01 * r2 - r1 * a02)) / det AS b1,
+    b2 - (a00 * (a11 * r2 - r1 * a12) - a01 * (a01 * r2 - r1 * a02) + r0 * (a01 * a12 - a11 * a02)) / det AS b2
+  FROM (SELECT *, a00 * (a11 * a22 - a12 * a12) - a01 * (a01 * a22 - a12 * a02) + a02 * (a01 * a12 - a11 * a02) AS det
+        FROM g{t}))""")
+    return ",\n".join(ctes) + f",\nfitted AS (SELECT * FROM w{NEWTON_STEPS})"
+
+
+_ALL = "SELECT CAST(NULL AS INTEGER) AS side"
+_FOLD_SIDES = "SELECT DISTINCT fold AS side FROM folded"
+# Shots without an angle (NULL or NaN) never reach training.
+GAPPY = SHOTS.replace("shots AS (", "all_shots AS (", 1) + """,
+shots AS (SELECT * FROM all_shots WHERE shot_id % 101 <> 0 AND shot_id % 103 <> 0)"""
+_FIT_R4 = f"{r4('b1')} AS coef_distance, {r4('b2')} AS coef_angle, {r4('b0')} AS intercept"
+
 _CV = ", ".join(f"{r6(f'avg({m})')} AS {m}_mean, {r6(f'stddev_pop({m})')} AS {m}_std"
                 for m in ("log_loss", "roc_auc", "brier"))
 
@@ -380,6 +420,26 @@ SELECT fold, n, goals, {r6('log_loss')} AS log_loss, {r6('roc_auc')} AS roc_auc,
     "cv_summary": f"""WITH RECURSIVE {SHOTS}, {GREEDY_FOLDS}, {SCORED}, {FOLD_METRICS}
 SELECT count(*) AS folds, {_CV} FROM fm""",
     "oof_scores": OOF.replace("WITH ", "WITH RECURSIVE ", 1),
+    "fit_folds": f"""WITH RECURSIVE {SHOTS}, {GREEDY_FOLDS}, {_newton('folded', _FOLD_SIDES, 'r.fold <> w.side')}
+SELECT side AS fold, {_FIT_R4}, n_train FROM fitted""",
+    "final_model": f"""WITH {SHOTS}, {_newton('shots', _ALL, 'true')}
+SELECT t.term, {r4('t.value')} AS value
+FROM fitted, unnest([{{'term': 'distance_to_goal', 'value': b1}}, {{'term': 'shot_angle', 'value': b2}},
+                     {{'term': 'intercept', 'value': b0}}]) AS u(t)""",
+    "train_cv_metrics": f"""WITH RECURSIVE {GAPPY}, {GREEDY_FOLDS}, {_newton('folded', _FOLD_SIDES, 'r.fold <> w.side')},
+scored AS (
+  SELECT f.*, 1.0E0 / (1.0E0 + exp(-(b0 + b1 * distance_to_goal + b2 * shot_angle))) AS p
+  FROM folded f JOIN fitted m ON f.fold = m.side), {FOLD_METRICS}
+SELECT fold, n, goals, {r4('log_loss')} AS log_loss, {r4('roc_auc')} AS roc_auc, {r4('brier')} AS brier FROM fm""",
+    "train_report": f"""WITH {GAPPY}, {_newton('shots', _ALL, 'true')}
+SELECT (SELECT count(*) FROM all_shots) - n_train AS rows_dropped, n_train AS n_rows,
+       (SELECT count(DISTINCT match_id) FROM shots) AS n_groups, {_FIT_R4} FROM fitted""",
+    "open_data_competitions": f"WITH {RAW}, {CATALOGUE}\nSELECT competition_id, competition_name, season_id, season_name FROM competitions",
+    "open_data_matches": f"WITH {RAW}, {CATALOGUE}\nSELECT match_id, season_id, season_name FROM season_matches",
+    "open_data_events": f"""WITH {RAW}
+SELECT match_id, type_name, period, minute, player_name, shot_type, outcome, body_part,
+       {r6('statsbomb_xg')} AS statsbomb_xg FROM raw""",
+    "build_shots": f"WITH {RAW}, {CATALOGUE}, {_clean_from('etl_raw')}\n{CLEAN_SELECT}",
     "csv_round_trip": f"WITH {SHOTS}\n{_SHOTS_OUT}, is_goal FROM shots",
     "model_round_trip": OOF.replace("WITH ", "WITH RECURSIVE ", 1),
     "stream_scores": _score_sql(SERVICE_MODEL),

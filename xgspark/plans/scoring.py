@@ -19,10 +19,6 @@ from xgspark.functions.geometry import to_yards
 from xgspark.functions.scoring import interpret_xg, logistic_probability, round_half_up
 from xgspark.operators.validation import ANGLE, DISTANCE, validate_json, validate_shots
 
-RESPONSE_COLUMNS = ("status", "http_status", "gateway_status", "error", "errors",
-                    "xg_probability", "distance_yards", "interpretation")
-
-
 def score_requests(validated: DataFrame, model: dict | DataFrame | None) -> DataFrame:
     """Score rows that passed validation.
 
@@ -70,8 +66,11 @@ def score_batch(requests: DataFrame, model: dict | DataFrame | None, validate: b
     if validate:
         v = validate_shots(requests, mode)
     else:
+        # No range checks, but a missing (NULL or NaN) input cannot be scored.
+        absent = [F.col(c).isNull() | F.isnan(c) for c in (DISTANCE, ANGLE)]
         v = requests.withColumn("errors", F.create_map().cast("map<string,array<string>>")) \
-                    .withColumn("status", F.lit(STATUS_OK))
+                    .withColumn("status", F.when(absent[0] | absent[1], F.lit(STATUS_REJECTED))
+                                           .otherwise(F.lit(STATUS_OK)))
     return score_requests(v, model)
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from xgspark.config import FEATURE_COLUMNS, GROUP_COLUMN, N_SPLITS, TARGET_COLUMN
 from xgspark.operators.cleaning import drop_missing
-from xgspark.operators.folds import check_no_leakage, fold_sizes, group_kfold
+from xgspark.operators.folds import check_no_leakage, group_kfold, group_summary, sizes_of_summary
 from xgspark.operators.metrics import cv_summary, fold_metrics
 from xgspark.operators.model import fit_final, fit_folds, score_oof
+from xgspark.session import materialize
 from xgspark.sources.model_io import save_model
 
 
@@ -36,26 +37,29 @@ def prepare(shots: DataFrame, k: int = N_SPLITS, method: str = "greedy") -> tupl
 
 
 def train(shots: DataFrame, out: str | None = None, k: int = N_SPLITS,
-          method: str = "greedy", mllib_out: str | None = None) -> TrainingReport:
+          method: str = "greedy", mllib_out: str | None = None, tol: float = 1e-6,
+          max_iter: int = 100) -> TrainingReport:
     """Grouped CV with MLlib fits per fold, metrics, final fit, optional save.
 
     The folded training columns are written once to the shared checkpoint
     folder, so the k fits and the metric jobs read them (and restart from
-    them after an executor loss) instead of re-reading the source.
+    them after an executor loss) instead of re-reading the source.  One
+    summary by (match, fold) answers the leakage check, the class counts, the
+    fold sizes and the totals.
     """
-    from xgspark.session import materialize
-
     folded, obs = prepare(shots, k, method)
     folded = materialize(folded, "training-folds")
     dropped = int((obs.get or {}).get("rows_dropped") or 0)
-    check_no_leakage(folded)
-    models = fit_folds(folded)
-    scored = score_oof(folded, models)
-    metrics = fold_metrics(scored)
-    final = fit_final(folded, mllib_out=mllib_out)
+    summary = materialize(group_summary(folded, label=TARGET_COLUMN), "fold-summary")
+    check_no_leakage(summary)
+    per_fold = summary.groupBy("fold").agg(F.sum("rows").alias("rows"), F.sum("pos").alias("pos"),
+                                           F.count(F.lit(1)).alias("groups")).collect()      # k rows
+    counts = sorted((int(r["fold"]), r["rows"], r["pos"] or 0) for r in per_fold)
+    models = fit_folds(folded, counts=counts, tol=tol, max_iter=max_iter)
+    metrics = materialize(fold_metrics(score_oof(folded, models)), "fold-metrics")
+    rows, pos = sum(c[1] for c in counts), sum(c[2] for c in counts)
+    final = fit_final(folded, mllib_out=mllib_out, counts=(rows, pos), tol=tol, max_iter=max_iter)
     if out:
         save_model(final, out)
-    sizes = fold_sizes(folded)
-    totals = sizes.agg(F.sum("test_rows").alias("rows"), F.sum("test_matches").alias("groups")).first()
-    return TrainingReport(models, metrics, sizes, cv_summary(metrics), final, dropped,
-                          int(totals["rows"]), int(totals["groups"]))
+    return TrainingReport(models, metrics, sizes_of_summary(summary), cv_summary(metrics), final, dropped,
+                          int(rows), sum(r["groups"] for r in per_fold))

@@ -37,35 +37,24 @@ MATCHES_SCHEMA = T.StructType([
         T.StructField("season_name", T.StringType())])),
 ])
 
-# Raw event files: nested records; ``location`` stays VARIANT so that text
-# elements and extra elements survive the read (an array<double> schema
-# would null the whole array).
-EVENTS_SCHEMA = T.StructType([
-    T.StructField("id", T.StringType()),
-    T.StructField("type", NAMED),
-    T.StructField("period", T.IntegerType()),
-    T.StructField("minute", T.IntegerType()),
-    T.StructField("location", T.VariantType()),
-    T.StructField("player", NAMED),
-    T.StructField("team", NAMED),
-    T.StructField("shot", T.StructType([
-        T.StructField("type", NAMED),
-        T.StructField("outcome", NAMED),
-        T.StructField("body_part", NAMED),
-        T.StructField("statsbomb_xg", T.DoubleType()),
-    ])),
-])
-
-SCORE_REQUEST_SCHEMA = T.StructType([
-    T.StructField("request_id", T.LongType()),
-    T.StructField("distance_meters", T.DoubleType()),
-    T.StructField("angle_degrees", T.DoubleType()),
-])
+# Raw event files.  Every ragged field is VARIANT (a record, a flat value, text
+# for a number, ...): one odd field never costs the event, and what is read
+# does not depend on which columns are asked for.
+_RAGGED = T.VariantType()
+EVENT_NAMES = ("type", "player", "team", "shot_type", "shot_outcome", "shot_body_part")
+EVENT_FLAT_NAMES = ("player_name", "team_name", "shot_type_name", "shot_outcome_name", "shot_body_part_name")
+CORRUPT = "_corrupt_record"
+EVENTS_SCHEMA = T.StructType(
+    [T.StructField(c, _RAGGED) for c in (*EVENT_NAMES, *EVENT_FLAT_NAMES, "period", "minute", "location",
+                                         "shot_statsbomb_xg")]
+    + [T.StructField("shot", T.StructType([T.StructField(c, _RAGGED)
+                                           for c in ("type", "outcome", "body_part", "statsbomb_xg")])),
+       T.StructField(CORRUPT, T.StringType())])
 
 MODEL_TABLE_SCHEMA = T.StructType([
     T.StructField("fold", T.IntegerType()),
-    T.StructField("coef_distance", T.DoubleType()),
-    T.StructField("coef_angle", T.DoubleType()),
+    T.StructField("coef_distance", T.DoubleType()),      # of distance_to_goal
+    T.StructField("coef_angle", T.DoubleType()),         # of shot_angle
     T.StructField("intercept", T.DoubleType()),
     T.StructField("feature_order", T.ArrayType(T.StringType())),
     T.StructField("n_train", T.LongType()),

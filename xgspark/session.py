@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+_scratch: list[str] = []      # intermediate tables written by this process
 
 
 def build_session(master: str | None = None, app_name: str = "xgspark",
@@ -17,8 +19,8 @@ def build_session(master: str | None = None, app_name: str = "xgspark",
 
     On a cluster leave ``master`` unset: the launcher decides.  Set
     ``shuffle_partitions`` from the largest shuffle (input bytes / ~128 MB,
-    e.g. tens of thousands for 100 TB); AQE coalesces the small ones, so a
-    high value costs little on small stages.
+    e.g. tens of thousands for 100 TB).  Unset, a shuffle starts with 2,000
+    partitions, which AQE merges to about 128 MB each (it never adds any).
     """
     b = SparkSession.builder.appName(app_name)
     if master:
@@ -45,7 +47,9 @@ def build_session(master: str | None = None, app_name: str = "xgspark",
         # threshold at its default so Catalyst may still pick small sides.
         "spark.sql.autoBroadcastJoinThreshold": str(10 * 1024 * 1024),
     }
-    if shuffle_partitions:
+    if not shuffle_partitions:
+        conf["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] = "2000"
+    else:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
@@ -58,8 +62,9 @@ def build_session(master: str | None = None, app_name: str = "xgspark",
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir``; only when the session leaves it unset
-    (local runs, tests) is a fresh local folder created and registered.
+    Read from ``spark.checkpoint.dir``.  When the session leaves it unset, a
+    ``local`` master (tests) gets a fresh folder; any other master raises, as
+    executors would not see a folder of the driver's machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -67,6 +72,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     current = sc.getConf().get(_CHECKPOINT_KEY, None)
     if not current:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError(f"{_CHECKPOINT_KEY} is not set: name a folder that the driver and "
+                               "all executors share")
         current = tempfile.mkdtemp(prefix="xgspark-ckpt-")
     sc.setCheckpointDir(current)
     # setCheckpointDir creates a per-application sub-folder; use that.
@@ -80,8 +88,9 @@ def materialize(df, name: str = "stage"):
     For small derived tables read several times (group counts, fold maps,
     distinct-score tables): one job computes them, later jobs read columnar
     files with exact size statistics instead of re-running the scan, and a
-    lost executor does not replay the upstream work.  The folder belongs to
-    the job's checkpoint location and is removed with it.
+    lost executor does not replay the upstream work.  The table stays until
+    :func:`clear_scratch` (the command-line jobs call it when they end) or
+    until the checkpoint folder itself is removed.
     """
     return materialize_counted(df, name)[0]
 
@@ -102,6 +111,24 @@ def materialize_counted(df, name: str = "stage"):
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-path of the checkpoint folder for one written table
     (unique across threads and processes)."""
-    import uuid
-
-    return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _scratch.append(path)
+    return path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its file system (any that Spark can read)."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables written so far by this process; returns
+    how many there were.  Tables read lazily from them must be consumed first."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    count = 0
+    while _scratch:
+        path = hadoop(_scratch.pop())
+        count += bool(path.getFileSystem(conf).delete(path, True))
+    return count

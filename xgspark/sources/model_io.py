@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
 
 from xgspark.schemas import MODEL_TABLE_SCHEMA
+from xgspark.session import path_exists
 
 
 class ModelUnavailable(FileNotFoundError):
@@ -19,17 +19,16 @@ def save_model(model_table: DataFrame, path: str) -> None:
 
 
 def load_model(spark: SparkSession, path: str, on_missing: str = "error") -> DataFrame | None:
-    """Read a model table.
+    """Read a model table (S8); an empty table is a missing one.
 
     ``on_missing='error'`` raises :class:`ModelUnavailable` (command-line
     behaviour); ``'mark'`` returns None so scoring marks rows
     ``model_unavailable`` (service behaviour).
     """
-    try:
+    if path_exists(spark, path):
         df = spark.read.schema(MODEL_TABLE_SCHEMA).parquet(path)
-        df.limit(1).count()
-        return df
-    except AnalysisException as e:
-        if on_missing == "mark":
-            return None
-        raise ModelUnavailable(f"model table not found at {path}") from e
+        if not df.isEmpty():
+            return df
+    if on_missing == "mark":
+        return None
+    raise ModelUnavailable(f"no model at {path}")

@@ -1,55 +1,79 @@
 """Readers for the public open-data JSON layout.
 
-Layout (paths configurable)::
+The default :class:`Layout`::
 
-    <root>/competitions.json                 array of competition-season rows
+    <root>/competitions.json                           array of competition-season rows
     <root>/matches/<competition_id>/<season_id>.json   array of matches
-    <root>/events/<match_id>.json            array of events of one match
-
-Each file is one multi-line JSON document, so one file is one read task:
-parallelism is the number of files, which suits one-file-per-match.  The
-per-season and per-match fetch loops become single multi-file scans; a
-corrupt file yields no rows and does not fail the job; identifiers missing
-from payloads come from ``_metadata.file_path``.
-For repeated use, compact the events once to Parquet (:func:`compact_events`)
-and run everything after that on Parquet.
+    <root>/events/<match_id>.json                      array of events of one match
+
+Paths, id patterns and the JSON form (one document a file, or one a line) are
+fields of the layout.  The per-season and per-match fetch loops become single
+multi-file scans; a corrupt file yields no rows and does not fail the job (it
+is counted); identifiers missing from payloads come from
+``_metadata.file_path``.  For repeated use, compact the events once to Parquet
+(:func:`compact_events`) and run everything after that on Parquet.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from xgspark.functions.fields import named_of_variant
 from xgspark.operators.joins import attach_season, events_of_matches
-from xgspark.schemas import COMPETITIONS_SCHEMA, EVENTS_SCHEMA, MATCHES_SCHEMA
-
-COMPETITIONS_FILE = "competitions.json"
-MATCHES_GLOB = "matches/{competition_id}/*.json"
-EVENTS_GLOB = "events/*.json"
+from xgspark.schemas import (
+    COMPETITIONS_SCHEMA, CORRUPT, EVENT_FLAT_NAMES, EVENTS_SCHEMA, MATCHES_SCHEMA,
+)
 
 
 class NoDataError(RuntimeError):
     """A stage produced no rows where the job cannot continue."""
 
 
-def _read_json(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
-    # DROPMALFORMED: a corrupt file yields no rows and the other files of the
-    # scan carry on (one multi-line document is one record).
-    return (spark.read.schema(schema)
-                 .option("multiLine", True)
-                 .option("mode", "DROPMALFORMED")
-                 .option("ignoreMissingFiles", True)
-                 .json(path))
+@dataclass(frozen=True)
+class Layout:
+    """Where the files are, relative to the root, and how ids are found."""
+
+    competitions: str = "competitions.json"
+    matches: str = "matches/{competition_id}/*.json"
+    events: str = "events/*.json"
+    event_files: str | None = "events/{match_ids}.json"   # glob of chosen matches; None: read all
+    season_id: str = r"(\d+)\.json$"                      # first group, from the file path
+    match_id: str = r"(\d+)\.json$"
+    multi_line: bool = True                               # one document a file; False: one a line
+
+
+DEFAULT_LAYOUT = Layout()
+
+
+def _read_json(spark: SparkSession, schema: T.StructType, path: str, layout: Layout) -> DataFrame:
+    """A scan that keeps every record: a field that does not fit is NULL, and
+    an unreadable document is one row of NULLs (dropped by the callers)."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return (spark.read.schema(schema)
+                     .option("multiLine", layout.multi_line)
+                     .option("mode", "PERMISSIVE")
+                     .option("columnNameOfCorruptRecord", CORRUPT)
+                     .option("ignoreMissingFiles", True)
+                     .json(path))
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e):
+            raise NoDataError(f"no files under {path}") from e
+        raise
 
 
-def _file_id(pattern: str = r"(\d+)\.json$"):
-    return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).cast("bigint")
+def _file_id(pattern: str) -> Column:
+    return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).try_cast("bigint")
 
 
-def read_competitions(spark: SparkSession, root: str) -> DataFrame:
-    """Competitions catalogue (S1).  An empty or unreadable catalogue is an error."""
-    df = _read_json(spark, COMPETITIONS_SCHEMA, f"{root.rstrip('/')}/{COMPETITIONS_FILE}")
+def read_competitions(spark: SparkSession, root: str, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
+    """Competitions catalogue (S1).  A missing, empty or unreadable catalogue is an error."""
+    df = _read_json(spark, COMPETITIONS_SCHEMA, f"{root.rstrip('/')}/{layout.competitions}", layout)
     # A catalogue row without its ids is unusable.
     df = df.filter(F.col("competition_id").isNotNull() & F.col("season_id").isNotNull())
     if df.isEmpty():
@@ -57,33 +81,30 @@ def read_competitions(spark: SparkSession, root: str) -> DataFrame:
     return df
 
 
-def read_matches(spark: SparkSession, root: str, seasons: DataFrame,
-                 competition_id: int) -> DataFrame:
+def read_matches(spark: SparkSession, root: str, seasons: DataFrame, competition_id: int,
+                 layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     """Matches of the given seasons, tagged with ``season_name``.
 
     One multi-file scan over the competition's folder; the season id comes
-    from the file name.  A corrupt or missing season file is skipped.
+    from the file path.  A corrupt or missing season file is skipped (the
+    audit counts seasons without a match).
     """
-    from pyspark.errors import AnalysisException
-
-    path = f"{root.rstrip('/')}/" + MATCHES_GLOB.format(competition_id=competition_id)
-    try:
-        df = _read_json(spark, MATCHES_SCHEMA, path)
-    except AnalysisException as e:  # no match file for the competition at all
-        raise NoDataError(f"no match files under {path}") from e
+    path = f"{root.rstrip('/')}/" + layout.matches.format(competition_id=competition_id)
+    df = _read_json(spark, MATCHES_SCHEMA, path, layout)
     df = (df.filter(F.col("match_id").isNotNull())
-            .select(F.col("match_id"), _file_id().alias("season_id")))
+            .select(F.col("match_id"), _file_id(layout.season_id).alias("season_id")))
     return attach_season(df, seasons)
 
 
 # Up to this many chosen match ids, only their files are read.  The glob's
 # alternation is matched against every listed file name, so it is kept
-# short; beyond it one listing plus the broadcast semi join is cheaper.
+# short; beyond it one listing plus the semi join is cheaper.  The rows read
+# are the same.
 MAX_PRUNED_IDS = 2_000
 
 
-def _events_path(root: str, match_ids: DataFrame | None) -> str:
-    """Glob of the event files to read.
+def _events_path(root: str, match_ids: DataFrame | None, layout: Layout) -> str | None:
+    """Glob of the event files to read; None when no match is chosen.
 
     With a bounded id list (checked with a bounded count) the glob names
     only those files (``events/{id1,id2,...}.json``), so other matches'
@@ -91,38 +112,55 @@ def _events_path(root: str, match_ids: DataFrame | None) -> str:
     partition columns.  Absent files simply do not match.  Otherwise every
     file is read and the semi join (J2) keeps the chosen matches.
     """
-    base = f"{root.rstrip('/')}/events"
-    if match_ids is not None:
+    base = root.rstrip("/")
+    if match_ids is not None and layout.event_files:
         ids = match_ids.select(F.col("match_id").cast("bigint").alias("match_id")) \
-                       .filter(F.col("match_id").isNotNull()).distinct()
-        if ids.limit(MAX_PRUNED_IDS + 1).count() <= MAX_PRUNED_IDS:
-            values = sorted(r["match_id"] for r in ids.collect())
-            if values:
-                return f"{base}/{{{','.join(str(v) for v in values)}}}.json"
-    return f"{root.rstrip('/')}/{EVENTS_GLOB}"
+                       .filter(F.col("match_id").isNotNull()).distinct().limit(MAX_PRUNED_IDS + 1).collect()
+        if not ids:
+            return None
+        if len(ids) <= MAX_PRUNED_IDS:
+            chosen = ",".join(str(v) for v in sorted(r["match_id"] for r in ids))
+            return f"{base}/" + layout.event_files.format(match_ids="{" + chosen + "}")
+    return f"{base}/{layout.events}"
+
 
+def _number(v: Column, dtype: str) -> Column:
+    return F.try_variant_get(v, "$", dtype)
 
-def read_events(spark: SparkSession, root: str, match_ids: DataFrame | None = None) -> DataFrame:
+
+def read_events(spark: SparkSession, root: str, match_ids: DataFrame | None = None,
+                layout: Layout = DEFAULT_LAYOUT, skipped: Observation | None = None) -> DataFrame:
     """Events of the chosen matches with ``match_id`` attached.
 
-    Nested records are flattened to the column names the cleaning expects
-    (``shot_type``, ``shot_outcome``, ``shot_body_part`` as ``{id, name}``
-    records, ``shot_statsbomb_xg``); ``location`` stays VARIANT.
+    Fields may be flat or nested (``shot.type`` or ``shot_type``; a record or
+    a bare value): names come out as ``{id, name}`` records, numbers as
+    numbers (numeric text is accepted, other text is NULL), ``location``
+    stays VARIANT.  ``skipped`` observes ``event_files_skipped``: unreadable
+    documents among the files read.
     """
-    from pyspark.errors import AnalysisException
-
-    try:
-        df = _read_json(spark, EVENTS_SCHEMA, _events_path(root, match_ids))
-    except AnalysisException as e:  # no event file for any chosen match
-        raise NoDataError(f"no event files for the chosen matches under {root}") from e
-    df = (df.select(_file_id().alias("match_id"),
-                    F.col("type"), F.col("period"), F.col("minute"), F.col("location"),
-                    F.col("player"), F.col("team"),
-                    F.col("shot.type").alias("shot_type"),
-                    F.col("shot.outcome").alias("shot_outcome"),
-                    F.col("shot.body_part").alias("shot_body_part"),
-                    F.col("shot.statsbomb_xg").alias("shot_statsbomb_xg")))
-    if match_ids is not None:
+    path = _events_path(root, match_ids, layout)
+    if path is None:
+        raw = spark.createDataFrame([], EVENTS_SCHEMA).withColumn("match_id", F.lit(None).cast("bigint"))
+    else:
+        raw = _read_json(spark, EVENTS_SCHEMA, path, layout).withColumn("match_id", _file_id(layout.match_id))
+
+    def either(flat: str, nested: str) -> Column:
+        return F.coalesce(F.col(flat), F.col(nested))
+
+    df = raw.select(
+        "match_id", named_of_variant(F.col("type")).alias("type"),
+        _number(F.col("period"), "int").alias("period"), _number(F.col("minute"), "int").alias("minute"),
+        "location", named_of_variant(F.col("player")).alias("player"), named_of_variant(F.col("team")).alias("team"),
+        named_of_variant(either("shot_type", "shot.type")).alias("shot_type"),
+        named_of_variant(either("shot_outcome", "shot.outcome")).alias("shot_outcome"),
+        named_of_variant(either("shot_body_part", "shot.body_part")).alias("shot_body_part"),
+        _number(either("shot_statsbomb_xg", "shot.statsbomb_xg"), "double").alias("shot_statsbomb_xg"),
+        *[F.try_variant_get(F.col(c), "$", "string").alias(c) for c in EVENT_FLAT_NAMES],
+        (F.col(CORRUPT).isNotNull() & F.col("type").isNull()).alias("__unreadable"))
+    if skipped is not None:
+        df = df.observe(skipped, F.count_if("__unreadable").alias("event_files_skipped"))
+    df = df.filter(~F.col("__unreadable")).drop("__unreadable")
+    if match_ids is not None and path is not None:
         df = events_of_matches(df, match_ids)
     return df
 

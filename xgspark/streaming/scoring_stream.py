@@ -4,33 +4,35 @@ Streaming job.
 Stateless: each request is validated and scored on its own, with the same
 expression chain as batch scoring (E3), so the two cannot disagree.  The
 model is loaded once per query (as literals in the plan).  The sink is
-``foreachBatch``: valid and rejected rows are written to two tables under a
-per-batch folder that is overwritten on replay, so a batch re-run after a
-failure gives the same files (exactly-once output on top of the
-checkpointed source offsets).
+``foreachBatch``: each micro-batch is one write, partitioned by ``status``
+(accepted and rejected rows land in folders of their own), under a per-batch
+folder that is overwritten on replay, so a batch re-run after a failure gives
+the same files (exactly-once output on top of the checkpointed source
+offsets).
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-from xgspark.operators.validation import split_valid
 from xgspark.plans.scoring import score_batch, score_json
 from xgspark.session import scratch_path
 from xgspark.sources.tables import REQUEST_EXPRS
 
+# Input files per micro-batch: bounds what one batch reads and rewrites on replay.
+FILES_PER_BATCH = 1_000
+
 
 def requests_stream_from_events(spark: SparkSession, sf_dir: str,
-                                max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming request rows derived from the ``events`` Parquet table."""
-    reader = (spark.readStream.schema("event_id bigint")
-                   .option("pathGlobFilter", "events.parquet"))
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(sf_dir.rstrip("/")).selectExpr(*REQUEST_EXPRS)
+                                max_files_per_trigger: int = FILES_PER_BATCH) -> DataFrame:
+    """Streaming request rows derived from the ``events`` Parquet table, which
+    is one file or a folder of part files."""
+    return (spark.readStream.schema("event_id bigint")
+                 .option("maxFilesPerTrigger", max_files_per_trigger)
+                 .parquet(f"{sf_dir.rstrip('/')}/[e]vents.parquet")     # a glob: takes a file or a folder
+                 .selectExpr(*REQUEST_EXPRS))
 
 
 def score_stream(stream: DataFrame, model: dict | None, out_dir: str, checkpoint: str,
@@ -39,21 +41,14 @@ def score_stream(stream: DataFrame, model: dict | None, out_dir: str, checkpoint
     """Start the scoring stream; returns the ``StreamingQuery``.
 
     Typed request rows, or raw JSON bodies in ``json_col`` (validated as the
-    gateway does).  Writes ``<out_dir>/scored/batch=<id>`` and
-    ``<out_dir>/rejected/batch=<id>``.
+    gateway does).  Writes ``<out_dir>/batch=<id>/status=<status>``.
     """
     scored = (score_json(stream, model, json_col, mode) if json_col
               else score_batch(stream, model, validate, mode))
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        # Two sinks from one micro-batch: persist so the source is read once.
-        held = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            ok, bad = split_valid(held)
-            ok.write.mode("overwrite").parquet(os.path.join(out_dir, "scored", f"batch={batch_id}"))
-            bad.write.mode("overwrite").parquet(os.path.join(out_dir, "rejected", f"batch={batch_id}"))
-        finally:
-            held.unpersist()
+        batch.write.mode("overwrite").partitionBy("status") \
+             .parquet(os.path.join(out_dir, f"batch={batch_id}"))
 
     w = scored.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 seconds")
@@ -62,26 +57,9 @@ def score_stream(stream: DataFrame, model: dict | None, out_dir: str, checkpoint
 
 def score_stream_to_table(spark: SparkSession, sf_dir: str, model: dict | None) -> DataFrame:
     """Run the stream over the available input to completion and read the
-    written tables back as one batch DataFrame."""
+    written table back as one batch DataFrame."""
     base = scratch_path(spark, "stream-scores")
-    q = score_stream(requests_stream_from_events(spark, sf_dir), model,
-                     os.path.join(base, "out"), os.path.join(base, "checkpoint"))
-    q.awaitTermination()
     out = os.path.join(base, "out")
-    parts = [p for p in (_read_if_exists(spark, os.path.join(out, sub))
-                         for sub in ("scored", "rejected")) if p is not None]
-    if not parts:
-        raise RuntimeError("stream produced no output")
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p)
-    return df.drop("batch")
-
-
-def _read_if_exists(spark: SparkSession, path: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    q = score_stream(requests_stream_from_events(spark, sf_dir), model, out, os.path.join(base, "checkpoint"))
+    q.awaitTermination()
+    return spark.read.parquet(out).drop("batch")
