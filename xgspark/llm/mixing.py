@@ -265,23 +265,24 @@ def mix_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     (plus ``mix_shard`` and ``mix_order`` when ``place``).  The one copy at
     the end of a source's target is cut to its taken words, joined by blanks;
     ``n_chars``, if there is such a column, is set to its new length."""
-    key = free_name(docs, "row_key")
+    key, copy = free_name(docs, "row_key"), free_name(docs, "copy")
     taken = mix(docs, doc_id=doc_id, text=text, source=source).filter(F.col("shard").isNotNull()) \
-        .select(F.col("row_key").alias("mix_key"), "words", (F.col("words") < F.col("size")).alias("cut"),
-                F.col("shard").alias("mix_shard"), F.col("shard_order").alias("mix_order"))
+        .select(F.col("row_key").alias(key),
+                F.struct("words", (F.col("words") < F.col("size")).alias("cut"), "shard", "shard_order").alias(copy))
     whole = docs.withColumn(key, row_key(doc_id, text)).dropDuplicates([key])
-    joined = whole.join(taken, F.col(key) == F.col("mix_key"))
     words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col("words"), F.lit(1)).cast("int")), " ")
+    cut = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col(copy)["words"], F.lit(1)).cast("int")), " ")
     out = []
     for c in docs.columns:
+        value = F.col(f"`{c}`")
         if c == text:
-            out.append(F.when(F.col("cut"), cut).otherwise(F.col(text)).alias(c))
+            value = F.when(F.col(copy)["cut"], cut).otherwise(value)
         elif c == n_chars:
-            out.append(F.when(F.col("cut"), F.length(cut).cast(docs.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c))
-        else:
-            out.append(F.col(f"`{c}`"))
-    return joined.select(*out, *(["mix_shard", "mix_order"] if place else []))
+            value = F.when(F.col(copy)["cut"], F.length(cut).cast(docs.schema[c].dataType)).otherwise(value)
+        out.append(value.alias(c))
+    if place:
+        out += [F.col(copy)["shard"].alias("mix_shard"), F.col(copy)["shard_order"].alias("mix_order")]
+    return whole.join(taken, key).select(*out)
 
 
 def op2_mixing(spark, sf_dir) -> DataFrame:
@@ -299,7 +300,8 @@ def oracle_sql() -> str:
     return rf"""
 WITH sized AS (
   SELECT doc_id, source, text,
-         CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS size FROM documents),
+         CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS BIGINT) AS size FROM documents),
 totals AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
          row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM sized GROUP BY source),

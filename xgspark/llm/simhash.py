@@ -207,11 +207,10 @@ def drop_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "te
     rows that share that id, the smallest row key; one of identical rows).
     All columns kept."""
     first = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "row_key")
-    kept = near_groups(docs, doc_id=doc_id, text=text, **options) \
-        .groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.row_key").alias("k"))
     key = free_name(docs, "row_key")
-    return (docs.withColumn(key, row_key(doc_id, text))
-                .join(kept, F.col(key) == F.col("k"))
+    kept = near_groups(docs, doc_id=doc_id, text=text, **options) \
+        .groupBy("root").agg(F.min(first).alias("first")).select(F.col("first.row_key").alias(key))
+    return (docs.withColumn(key, row_key(doc_id, text)).join(kept, key)
                 .dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
