@@ -1,0 +1,58 @@
+import zlib
+
+from pyspark.sql import functions as F
+
+from tests.conftest import SF_MID
+from xgspark.llm import language_id
+from xgspark.sources.tables import read_table
+
+
+def test_held_out_accuracy(spark):
+    got = language_id.op1_language_id(spark, SF_MID)
+    docs = read_table(spark, SF_MID, "documents")
+    rows = got.join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert len(rows) > 200
+    assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.95
+    kept = [r for r in rows if not r.rejected]
+    assert sum(r.lang == r.lang_pred for r in kept) / len(kept) > 0.97
+    assert len(kept) / len(rows) > 0.95 and all(0 <= r.score <= 1 for r in rows)
+    assert got.count() == docs.count()
+
+
+def test_held_out_rows_teach_nothing(spark):
+    docs = read_table(spark, SF_MID, "documents")
+    held = language_id.held_out(F.col("doc_id"))
+    poisoned = docs.withColumn("lang", F.when(held, F.lit("xx")).otherwise(F.col("lang"))) \
+                   .withColumn("text", F.when(held, F.lit("poison")).otherwise(F.col("text")))
+    assert language_id.learn(docs) == language_id.learn(poisoned)
+    for r in docs.select("doc_id", held.alias("h")).limit(50).collect():
+        assert r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_odd_texts(spark, odd_docs, no_docs):
+    model = language_id.learn(odd_docs)
+    assert sorted(model) == ["de", "en", "fr", "ja"] or set(model) <= {"de", "en", "fr", "ja"}
+    got = odd_docs.select("text", language_id.prediction(F.col("text"), model, spark).alias("p")).collect()
+    for r in got:
+        if r.text is None or not any(c.isalpha() for c in r.text):
+            assert (r.p.lang_pred, r.p.score, r.p.rejected) == ("und", 0.0, True)
+        else:
+            assert r.p.lang_pred in model
+    kept = language_id.keep_identified(odd_docs)
+    assert kept.columns == odd_docs.columns
+    assert kept.filter("text is null").count() == 0
+    assert language_id.keep_identified(no_docs).count() == 0
+
+
+def test_case_and_markup_do_not_matter():
+    c = language_id.Classifier({"a": b"the of and to in that house garden", "b": b"der die das und haus garten"})
+    assert c.predict("THE*** OF!! AND 123")[0] == c.predict("the of and")[0] == "a"
+    assert c.predict("12 34 !!") == ("und", 0.0, True)
+    long = "der die das und haus garten. " * 5000
+    assert c.predict(long)[0] == "b"
+
+
+def test_ties_are_rejected_and_go_to_the_more_frequent():
+    c = language_id.Classifier({"z": b"same words here", "a": b"same words here"})
+    assert c.predict("same words") == ("z", 0.0, True)
+    assert language_id.Classifier({}).predict("text") == ("und", 0.0, True)
