@@ -36,6 +36,9 @@ DICT_BYTES = 96 * 1024
 PIECE_BYTES = 8 * 1024
 # Shorter texts get a stronger match search: (largest size in bytes, level).
 LEVELS = ((160, 19), (1024, 12), (None, 3))
+# Put before every piece: a stretch that compresses, so that a short piece is
+# not stored as it is (which would hide the difference between dictionaries).
+PRIMER = bytes(64)
 MAX_LANGUAGES = 500
 MIN_MARGIN = 0.01        # of the smallest size
 HELD_OUT = 2             # crc32(doc_id) modulo 4 of the documents never learned from
@@ -104,7 +107,7 @@ class Classifier:
     def sizes(self, text: bytes) -> list[int]:
         compressors = self.by_level[next(lv for most, lv in LEVELS if most is None or len(text) <= most)]
         pieces = [text[i:i + PIECE_BYTES] for i in range(0, len(text), PIECE_BYTES)]
-        return [sum(len(c.compress(p)) for p in pieces) for c in compressors]
+        return [sum(len(c.compress(PRIMER + p)) for p in pieces) for c in compressors]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if text is None or not self.names or not self.letter.search(text):
