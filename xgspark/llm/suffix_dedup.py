@@ -36,7 +36,8 @@ from xgspark.llm._repeats import Bytes, merged, repeated, runs_of, unpack, with_
 
 MATCH_BYTES = 200
 GRAM_BYTES = 48
-RESOLVE_BYTES = 1_000_000
+GATHER_BYTES = 8_000_000    # segments held by a task at once
+BLOCK_BYTES = 600_000       # symbols sorted side by side
 
 
 # ------------------------------------------------------------------ construction
@@ -53,8 +54,9 @@ def _group(text: np.ndarray, first: np.ndarray):
     """First pass.  ``text`` holds, for each block, one unused cell, its symbols
     (all above 0) and the end mark 0; block ``b`` is ``first[b]:first[b + 1]``.
 
-    Returns ``(group, after)``: the first slot of each suffix's group, and the
-    position of its next smaller suffix.
+    Returns ``(group, after, end)``: the first slot of each suffix's group, the
+    position of its next smaller suffix, and the slot behind a group (by its
+    first slot).
     """
     total = len(text)
     block = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -83,7 +85,7 @@ def _group(text: np.ndarray, first: np.ndarray):
     while True:
         open_ = np.flatnonzero(top > floor)
         if not len(open_):
-            return group, after
+            return group, after, end
         low = group[at[top[open_] - 1]]
         members = np.sort(at[_ranges(low, top[open_])])
         top[open_] = low
@@ -94,11 +96,11 @@ def _group(text: np.ndarray, first: np.ndarray):
         count = np.diff(np.append(h, len(members)))
         before, behind = left[members[h]], right[members[h + count - 1]]
         right[before], left[behind] = behind, before
-        real = group[before] >= 0
-        p, count = before[real], count[real]
-        if not len(p):
+        old = group[before]
+        split = np.flatnonzero((old >= 0) & (end[old] - old > 1))    # a group of one stays as it is
+        if not len(split):
             continue
-        old = group[p]
+        p, count, old = before[split], count[split], old[split]
         o = np.lexsort((count, old))
         p, count, old = p[o], count[o], old[o]
         new_old = np.concatenate(([True], old[1:] != old[:-1]))
@@ -123,22 +125,32 @@ def _group(text: np.ndarray, first: np.ndarray):
         group[p] = np.repeat(target[part], part_size)
 
 
-def _emit(group: np.ndarray, after: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _emit(group: np.ndarray, after: np.ndarray, end: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Second pass: the suffixes in order, block by block (cell ``first[b]``
     unused)."""
     total = len(group)
+    out = np.full(total, -1)
+    out[first[:-1] + 1] = first[1:] - 1            # the end mark comes first
     placed = np.flatnonzero(after >= 0)
+    slots = group[placed]
+    alone = end[slots] - slots == 1
+    out[slots[alone]] = placed[alone]              # a group of one has its slot already
+    placed = placed[~alone]
     by_next = placed[np.argsort(after[placed], kind="stable")]
     child_count = np.bincount(after[placed], minlength=total)
     child_end = np.cumsum(child_count)
     free = np.arange(total)
-    out = np.full(total, -1)
-    out[first[:-1] + 1] = first[1:] - 1            # the end mark comes first
     longest = np.argsort(first[:-1] - first[1:], kind="stable")
     base, length = first[:-1][longest], np.diff(first)[longest]
-    for t in range(1, int(length[0]) if len(length) else 0):
-        now = out[base[:np.searchsorted(-length, -t, "left")] + t]
-        kids = by_next[_ranges(child_end[now] - child_count[now], child_end[now])]
+    still = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), "left")
+    for t in range(1, len(still)):
+        now = out[base[:still[t]] + t]
+        count = child_count[now]
+        some = np.flatnonzero(count)
+        if not len(some):
+            continue
+        stop = child_end[now[some]]
+        kids = by_next[_ranges(stop - count[some], stop)]
         g = group[kids]
         out[free[g]] = kids
         free[g] += 1
@@ -180,7 +192,24 @@ def _same(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarr
 
 def resolve(h: np.ndarray, s: np.ndarray, m: np.ndarray, bodies: list[bytes], size: int = MATCH_BYTES) -> list[list[int]]:
     """Repeated runs of each segment, from the suffix arrays of the blocks of
-    equal ``h`` (rows sorted by it)."""
+    equal ``h`` (rows sorted by it).  Blocks of like size are sorted side by
+    side, as a step takes one group of every block that is left."""
+    heads = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+    stops = np.append(heads[1:], len(h))
+    lengths = np.concatenate(([0], np.cumsum([len(x) for x in bodies])))
+    sizes = lengths[stops] - lengths[heads]
+    by_size = np.argsort(sizes, kind="stable")
+    share = np.cumsum(sizes[by_size]) // BLOCK_BYTES
+    out: list[list[int]] = [[] for _ in bodies]
+    for part in np.split(by_size, np.flatnonzero(np.diff(share)) + 1):
+        rows = _ranges(heads[part], stops[part])
+        runs = _resolve(h[rows], m[rows], [bodies[i] for i in rows.tolist()], size)
+        for i, r in zip(rows.tolist(), runs):
+            out[i] = r
+    return out
+
+
+def _resolve(h: np.ndarray, m: np.ndarray, bodies: list[bytes], size: int) -> list[list[int]]:
     count = len(bodies)
     lengths = np.fromiter((len(x) for x in bodies), dtype=np.int64, count=count)
     heads = np.concatenate(([True], h[1:] != h[:-1]))
@@ -208,7 +237,10 @@ def resolve(h: np.ndarray, s: np.ndarray, m: np.ndarray, bodies: list[bytes], si
     flag[order[1:][same]] = True
     flag[order[:-1][same]] = True
     flag[starts] |= np.repeat(m > 1, windows)
-    return [runs_of(flag[b:b + w], size) for b, w in zip(begin.tolist(), windows.tolist())]
+    found = np.concatenate(([0], np.cumsum(flag)))
+    found = found[begin + windows] - found[begin]
+    return [[0, w + size - 1] if n == w else runs_of(flag[b:b + w], size) if n else []
+            for b, w, n in zip(begin.tolist(), windows.tolist(), found.tolist())]
 
 
 # ------------------------------------------------------------------ operator
@@ -221,7 +253,7 @@ def strip_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
     def decide(h, s, m, bodies):
         return resolve(h, s, m, bodies, size)
 
-    runs = repeated(docs, Bytes, size, k, decide, doc_id=doc_id, text=text, resolve_bytes=RESOLVE_BYTES)
+    runs = repeated(docs, Bytes, size, k, decide, doc_id=doc_id, text=text, resolve_bytes=GATHER_BYTES)
 
     def strip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
