@@ -28,7 +28,7 @@ from xgspark.llm._repeats import WordUnits, merged, repeated, runs_of, unpack, w
 
 WINDOW_WORDS = 35
 GRAM_WORDS = 12
-AUTOMATON_BYTES = 1_000_000
+AUTOMATON_BYTES = 500_000
 
 
 def _edges(body: str) -> list[int]:
