@@ -35,7 +35,7 @@ from xgspark.session import materialize, scratch_path
 GRAM_BASE = 0x9E6C63D0676A9A99
 SEGMENT_BASE = 0xD8163841FDE6A8F9
 WINDOW_BASE = 0xA0761D6478BD642F
-GROUP_SEGMENTS = 64
+GROUP_SEGMENTS = 32
 BATCH_BYTES = 1_000_000
 PIECE_UNITS = 1_000_000     # longer texts are cut, pieces overlapping by a window less one
 _POSITION = np.uint64((1 << 24) - 1)
@@ -287,8 +287,9 @@ def repeated(docs: DataFrame, unit, size: int, k: int, resolve: Callable, *, doc
                       .sortWithinPartitions("h").mapInPandas(decide, RUNS_TYPE)
     windows = content.filter("off >= 0").select("h", "s", "m", "window", "off")
     often = windows.groupBy("h", "window").agg(F.sum("m").alias("c")).filter("c > 1").select("h", "window")
-    counted = windows.join(often, ["h", "window"]).groupBy("h", "s") \
-                     .agg(F.flatten(F.collect_list(F.array("off", F.col("off") + size))).alias("runs"))
+    # Every window of a segment that occurs twice is repeated; the others are looked up.
+    counted = windows.filter("m > 1").unionByName(windows.filter("m = 1").join(often, ["h", "window"]).select(*windows.columns)) \
+                     .groupBy("h", "s").agg(F.flatten(F.collect_list(F.array("off", F.col("off") + size))).alias("runs"))
     runs = gathered.unionByName(counted)
     return (found.join(runs, ["h", "s"])
                  .select("row_key", F.transform("runs", lambda x: x + F.col("lo")).alias("runs"))
