@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from xgspark.llm._frame import as_of, position
-from xgspark.session import materialize, materialize_counted
+from xgspark.session import materialize
 
 QUOTE = r"^((?:[ \t]?>)*)"
 ATTRIBUTION = r"(?i)^on .{1,200} wrote:[ \t]*$"
@@ -103,21 +103,23 @@ def reply_links(messages: DataFrame) -> DataFrame:
 
 
 def _roots(links: DataFrame) -> DataFrame:
-    """``message_id, root_id, depth`` by pointer doubling."""
-    now = links.select("message_id", F.coalesce("parent_id", "message_id").alias("root_id"),
-                       F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    now = materialize(now, "roots")
+    """``message_id, root_id, depth`` by pointer doubling.  Only messages whose
+    pointer has not reached a first message yet are joined again."""
+    start = links.select("message_id", F.coalesce("parent_id", "message_id").alias("root_id"),
+                         F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    start = materialize(start, "roots")
+    done = start.filter("root_id = message_id")
+    climbing = start.filter("root_id <> message_id")
+    arrived = climbing.limit(0)                   # replies whose first message is known
     for _ in range(MAX_ROUNDS):
-        above = now.select(F.col("message_id").alias("root_id"), F.col("root_id").alias("next"),
-                           F.col("depth").alias("more")).filter("next <> root_id")
-        # Messages whose pointer is no root yet move up; the others are done.
-        moved, count = materialize_counted(
-            now.join(above, "root_id").select("message_id", F.col("next").alias("root_id"),
-                                              (F.col("depth") + F.col("more")).alias("depth")), "roots-moved")
-        if not count:
-            return now
-        stay = now.join(moved.select("message_id"), "message_id", "left_anti")
-        now = materialize(stay.unionByName(moved), "roots")
+        above = arrived.unionByName(climbing).select(F.col("message_id").alias("root_id"),
+                                                     F.col("root_id").alias("next"), F.col("depth").alias("more"))
+        seen = materialize(climbing.join(above, "root_id", "left"), "roots-climbed")
+        arrived = arrived.unionByName(seen.filter("next is null").select("message_id", "root_id", "depth"))
+        climbing = seen.filter("next is not null").select(
+            "message_id", F.col("next").alias("root_id"), (F.col("depth") + F.col("more")).alias("depth"))
+        if climbing.isEmpty():
+            return done.unionByName(arrived)
     raise RuntimeError("reply chains did not settle")
 
 
