@@ -89,8 +89,10 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
 
     found = as_of(keyed(revisits).dropDuplicates(["id"]), keyed(responses), ["canonical_url"])
     linked = revisits.join(found.withColumnRenamed("id", "record_id"), "record_id", "left")
-    full = responses.select(F.col("record_id").alias("base_id"), F.col("headers").alias("full_headers"), "payload")
-    out = linked.join(full, "base_id", "left")
+    full = responses.select(F.col("record_id").alias("full_id"), F.col("headers").alias("full_headers"), "payload")
+    # Revisits without a response have no key: a hash of their own id spreads them.
+    spread = F.coalesce("base_id", F.xxhash64("record_id"))
+    out = linked.join(full, (spread == F.col("full_id")) & F.col("base_id").isNotNull(), "left")
 
     def differs(name: str, form=lambda c: c) -> Column:
         mine, theirs = F.col("headers")[name], F.col("full_headers")[name]
