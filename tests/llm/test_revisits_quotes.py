@@ -99,3 +99,9 @@ def test_common_passage_makes_no_pairs(spark):
     bodies = ["hello"] * 300 + ["> hello\nyes"] * 300
     got = quotes.conversations(mails(spark, bodies)).collect()
     assert len(got) == 600 and {r.parent_id for r in got if r.message_id >= 300} == {299}
+
+
+def test_very_long_bodies(spark):
+    lines = [("> " * (i // 7 % 3)) + f"line {i}" for i in range(30_000)]
+    got = quotes.conversations(mails(spark, ["\n".join(lines), "short"])).collect()
+    assert len(got) == 2 and max(len(r.text) for r in got) > 50_000

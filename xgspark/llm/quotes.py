@@ -38,28 +38,35 @@ ATTRIBUTION = r"(?i)^on .{1,200} wrote:[ \t]*$"
 MAX_ROUNDS = 64
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, not once an element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def passages(body: Column) -> Column:
     """``array<struct<level, text>>``: runs of lines of one quote level, the
     quote marks and one blank behind them removed."""
     lines = F.transform(F.split(F.coalesce(body, F.lit("")), "\r?\n"), lambda line: F.struct(
         F.length(F.regexp_replace(F.regexp_extract(line, QUOTE, 1), "[ \t]", "")).alias("level"),
         F.regexp_replace(line, r"^(?:(?:[ \t]?>)+ ?)?", "").alias("text")))
-    # An attribution line right before a quote belongs to neither side.
-    marked = F.transform(lines, lambda x, i: F.struct(
-        x["level"].alias("level"), x["text"].alias("text"),
-        (x["text"].rlike(ATTRIBUTION)
-         & F.coalesce(F.get(lines, i + 1)["level"] > x["level"], F.lit(False))).alias("intro")))
+
+    def mark(all_: Column) -> Column:
+        # An attribution line right before a quote belongs to neither side.
+        return F.transform(all_, lambda x, i: F.struct(
+            x["level"].alias("level"), x["text"].alias("text"),
+            (F.coalesce(F.get(all_, i + 1)["level"] > x["level"], F.lit(False))
+             & x["text"].rlike(ATTRIBUTION)).alias("intro")))
 
     def runs(all_: Column) -> Column:
         heads = F.filter(F.sequence(F.lit(0), F.size(all_) - 1), lambda i: (i == 0) | (
             F.get(all_, i)["level"] != F.get(all_, i - 1)["level"]))
-        return F.transform(heads, lambda i, j: F.struct(
+        return _let(heads, lambda heads: F.transform(heads, lambda i, j: F.struct(
             F.get(all_, i)["level"].alias("level"),
             F.array_join(F.transform(
                 F.filter(F.slice(all_, i + 1, F.coalesce(F.get(heads, j + 1), F.size(all_)) - i), lambda x: ~x["intro"]),
-                lambda x: x["text"]), "\n").alias("text")))
+                lambda x: x["text"]), "\n").alias("text"))))
 
-    return F.transform(F.array(marked), runs)[0]
+    return _let(_let(lines, mark), runs)
 
 
 def normal(text: Column) -> Column:
