@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from xgspark.llm._frame import row_key
 from xgspark.llm._text import BYTE_CODE, Rolling, Words, byte_batches, encode, mix64
-from xgspark.session import materialize, scratch_path
+from xgspark.operators.joins import broadcast_if_small
+from xgspark.session import materialize, materialize_counted, scratch_path
 
 GRAM_BASE = 0x9E6C63D0676A9A99
 SEGMENT_BASE = 0xD8163841FDE6A8F9
@@ -266,8 +267,11 @@ def repeated(docs: DataFrame, unit, size: int, k: int, resolve: Callable, *, doc
 
     distinct = materialize(found.groupBy("h", "s").agg(
         F.count(F.lit(1)).alias("m"), F.min(F.struct("row_key", "lo", "n")).alias("at")), "distinct-segments")
-    crowded = distinct.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > GROUP_SEGMENTS) \
-                      .select(F.col("h").alias("crowded_h"))
+    crowded, n_crowded = materialize_counted(
+        distinct.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > GROUP_SEGMENTS)
+                .select(F.col("h").alias("crowded_h")), "crowded")
+    # Broadcast when it is counted as small: no shuffle gathers a crowded anchor.
+    crowded = broadcast_if_small(crowded, known_rows=n_crowded)
     entry = F.struct("h", "s", "m", F.col("at.lo").alias("lo"), F.col("at.n").alias("n"),
                      F.col("crowded_h").isNotNull().alias("crowded"))
     wanted = distinct.join(crowded, F.col("h") == F.col("crowded_h"), "left") \
