@@ -94,13 +94,16 @@ def _ranked(counts: DataFrame, group: str, n_groups: int) -> DataFrame:
     """``counts`` plus ``__rank``: the rank (from 0) of a group among those of
     its size, larger ids first."""
     ranges = max(1, math.ceil(n_groups / GROUPS_PER_RANGE))
+    by_id = F.col(group).desc()
+    if ranges == 1:                    # one range: the rank within it is the rank
+        return counts.withColumn("__rank", F.row_number().over(Window.partitionBy("n").orderBy(by_id)) - 1)
     # Written once, so that every use sees the same range of each group.
-    cut = materialize(counts.repartitionByRange(ranges, F.col("n").desc(), F.col(group).desc())
+    cut = materialize(counts.repartitionByRange(ranges, F.col("n").desc(), by_id)
                             .withColumn("__range", F.spark_partition_id()), "group-ranges")
     sizes = cut.groupBy("n", "__range").agg(F.count(F.lit(1)).alias("__groups"))
     ahead = Window.partitionBy("n").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("n", "__range", F.coalesce(F.sum("__groups").over(ahead), F.lit(0)).alias("__offset"))
-    inside = Window.partitionBy("__range", "n").orderBy(F.col(group).desc())
+    inside = Window.partitionBy("__range", "n").orderBy(by_id)
     return (cut.withColumn("__row", F.row_number().over(inside)).join(offsets, ["n", "__range"])
                .select(group, "n", (F.col("__offset") + F.col("__row") - 1).alias("__rank")))
 
@@ -129,7 +132,8 @@ def _fold_map(df: DataFrame, group: str, k: int, method: str) -> tuple[DataFrame
     kk = effective_folds(n_groups, k)
     if method == "hash":
         return counts.withColumn("fold", F.pmod(F.xxhash64(F.col(group)), F.lit(kk)).cast("int")), n_groups
-    return materialize(_greedy_folds(counts, group, kk, n_groups), "fold-map"), n_groups
+    # Cheap to recompute from the written counts: not written itself.
+    return _greedy_folds(counts, group, kk, n_groups), n_groups
 
 
 def group_kfold(df: DataFrame, group: str = GROUP_COLUMN, k: int = N_SPLITS,
