@@ -149,3 +149,30 @@ def op7_decontaminate(spark, sf_dir) -> DataFrame:
                         F.size(h["item_ids"]).cast("long").alias("n_items"),
                         F.sha2(F.array_join(h["item_ids"], ","), 256).alias("items_sha256"),
                         (h["n_hit"] > 0).alias("contaminated")))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL of the query's rows: windows of words joined by content."""
+    def words(table: str, key: str) -> str:
+        lowered = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        return rf"""SELECT {key}, regexp_extract_all({lowered}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {table}"""
+
+    n = WINDOW_WORDS
+    return rf"""
+WITH items AS ({words('benchmark', 'item_id')}),
+docs AS (SELECT *, row_number() OVER () AS row FROM ({words('documents', 'doc_id')})),
+patterns AS (
+  SELECT DISTINCT coalesce(CAST(item_id AS VARCHAR), '') AS item, least({n}, len(w)) AS size,
+         array_to_string(w[a:a + least({n}, len(w)) - 1], ' ') AS body
+  FROM items, unnest(range(1, greatest(1, len(w) - {n - 1}) + 1)) AS u(a) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT size FROM patterns),
+windows AS (
+  SELECT row, a, size, array_to_string(w[a:a + size - 1], ' ') AS body
+  FROM docs JOIN sizes ON len(w) >= size, unnest(range(1, len(w) - size + 2)) AS u(a)),
+found AS (SELECT row, a, size, item FROM windows JOIN patterns USING (size, body)),
+hit AS (SELECT row, count(DISTINCT i) AS n FROM found, unnest(range(a, a + size)) AS u(i) GROUP BY row),
+owners AS (SELECT row, string_agg(item, ',' ORDER BY item) AS ids, count(*) AS n
+           FROM (SELECT DISTINCT row, item FROM found) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(o.n, 0) AS n_items,
+       sha256(coalesce(o.ids, '')) AS items_sha256, h.n IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hit h USING (row) LEFT JOIN owners o USING (row)"""

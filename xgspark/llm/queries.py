@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators."""
 
-from xgspark.llm import mixing, quotes, revisits
+from xgspark.llm import decontaminate, mixing, quotes, revisits
 from xgspark.llm.decontaminate import op7_decontaminate
 from xgspark.llm.language_id import op1_language_id
 from xgspark.llm.mixing import op2_mixing
@@ -29,5 +29,6 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op2_mixing": mixing.oracle_sql(),
     "op3_revisits": revisits.oracle_sql(),
+    "op7_decontaminate": decontaminate.oracle_sql(),
     "op8_quotes": quotes.oracle_sql(),
 }
