@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators."""
 
-from xgspark.llm import decontaminate, mixing, quotes, revisits
+from xgspark.llm import decontaminate, mixing, quotes, revisits, sharding
 from xgspark.llm.decontaminate import op7_decontaminate
 from xgspark.llm.language_id import op1_language_id
 from xgspark.llm.mixing import op2_mixing
@@ -31,4 +31,5 @@ ORACLE: dict[str, str] = {
     "op3_revisits": revisits.oracle_sql(),
     "op7_decontaminate": decontaminate.oracle_sql(),
     "op8_quotes": quotes.oracle_sql(),
+    "op9_sharding": sharding.oracle_sql(),
 }

@@ -139,3 +139,47 @@ def op9_sharding(spark, sf_dir) -> DataFrame:
     placed = place(read_table(spark, sf_dir, "documents"), layout(SHARDS))
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"),
                          "shard", "slot", "grown_shard")
+
+
+# ------------------------------------------------------------------ DuckDB oracle
+
+def _pick_sql(key: str, nodes: list[tuple[str, float]]) -> str:
+    """Name of the node with the smallest draw (structs compare field by field)."""
+    draws = []
+    for name, weight in nodes:
+        bits = f"CAST('0x' || substr(md5({key} || '|{name}'), 1, 13) AS BIGINT)"
+        draws.append(f"{{'draw': -ln((CAST({bits} AS DOUBLE) + 0.5) / {float(1 << 52)!r}) / {float(weight)!r}, "
+                     f"'name': '{name}'}}")
+    return f"list_min([{', '.join(draws)}]).name"
+
+
+def shard_sql(key: str, leaves: list[Leaf]) -> str:
+    """SQL of :func:`shard_of` for a text expression: one CASE a level."""
+    node = "''"
+    for of in (lambda x: ("", x.region), lambda x: (x.region, x.rack), lambda x: (x.rack, str(x.shard))):
+        branches = " ".join(f"WHEN '{p}' THEN {_pick_sql(key, nodes)}" for p, nodes in _children(leaves, of).items())
+        node = f"(CASE {node} {branches} END)"
+    return f"CAST({node} AS INTEGER)"
+
+
+def oracle_sql() -> str:
+    """SQL of the query's rows; CRC-32 is folded over the bytes of the text."""
+    leaves = layout(SHARDS)
+    key = "key"
+    return f"""
+WITH steps AS (
+  SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k:
+    CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END) AS v FROM range(256) r(i))),
+docs AS (
+  SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS key, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sized AS (
+  SELECT doc_id, key, len(h) // 2 + {ROW_BYTES} AS size,
+         xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(len(h) // 2), lambda i:
+           CAST('0x' || h[2 * i + 1:2 * i + 2] AS BIGINT))), lambda c, b: xor(t[xor(c, b) % 256 + 1], c // 256))) AS crc
+  FROM docs, steps),
+placed AS (
+  SELECT *, {shard_sql(key, leaves)} AS shard, {shard_sql(key, grow(leaves))} AS grown_shard FROM sized)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5(concat_ws('|', key, crc, size)), doc_id NULLS FIRST) - 1 AS slot,
+       grown_shard
+FROM placed"""
