@@ -105,3 +105,37 @@ def test_very_long_bodies(spark):
     lines = [("> " * (i // 7 % 3)) + f"line {i}" for i in range(30_000)]
     got = quotes.conversations(mails(spark, ["\n".join(lines), "short"])).collect()
     assert len(got) == 2 and max(len(r.text) for r in got) > 50_000
+
+
+TURNS = "conv_id long, turn long, role string, text string"
+
+
+def test_conversations_of_thousands_of_turns_lose_no_mail(spark):
+    rows = [(c, t, "user", f"mail {c} {t}") for c, n in ((0, 3000), (1, 40), (2, 2100), (-1, 3)) for t in range(n)]
+    view = quotes.mail_view(spark.createDataFrame(rows, TURNS))
+    assert view.select("message_id").distinct().count() == len(rows)
+    got = {r.text: r for r in quotes.conversations(view).collect()}
+    assert len(got) == len(rows)
+    for c, t, _, text in rows:
+        r = got[text]
+        assert r.depth == r.position == t and r.conversation_id == got[f"mail {c} 0"].message_id
+        assert r.parent_id == (got[f"mail {c} {t - 1}"].message_id if t else None)
+    order = [r.text for r in sorted(got.values(), key=lambda r: r.sent)]
+    assert order == [text for *_, text in sorted(rows)]
+
+
+def test_mail_view_keeps_every_distinct_row(spark):
+    rows = [(0, 0, "user", "a"), (0, 0, "user", "b"), (0, 0, "bot", "b"), (0, 0, "user", "b"), (0, 1, "bot", "c"),
+            (0, 1, "bot", None), (None, 0, "user", "d"), (0, None, "user", "e"), (None, None, None, None)]
+    got = quotes.conversations(quotes.mail_view(spark.createDataFrame(rows, TURNS))).collect()
+    assert sorted(r.text for r in got) == ["", "", "a", "b", "b", "c", "d", "e"]
+    by = {r.message_id: r for r in got}
+    assert {r.text: by[r.parent_id].text for r in got if r.parent_id is not None} == {"c": "b", "": "b"}
+
+
+def test_plain_mail_numbers(spark):
+    """Where conversation and turn tell the mails apart, they number them."""
+    rows = [(c, t, "user", f"{c} {t}") for c in (0, 5, 1 << 40) for t in (0, 1, 1023)] * 2
+    got = quotes.mail_view(spark.createDataFrame(rows, TURNS)).collect()
+    assert sorted(r.message_id for r in got) == sorted({c * 1024 + t for c, t, *_ in rows})
+    assert quotes.mail_view(spark.createDataFrame([], TURNS)).count() == 0

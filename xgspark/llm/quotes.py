@@ -27,7 +27,7 @@ empty table gives an empty table; extra columns are never looked at.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from xgspark.llm._frame import as_of, position
@@ -36,6 +36,9 @@ from xgspark.session import materialize
 QUOTE = r"^((?:[ \t]?>)*)"
 ATTRIBUTION = r"(?i)^on .{1,200} wrote:[ \t]*$"
 MAX_ROUNDS = 64
+# FIXED VALUES: the plain numbers of mails, and the conversations that they reach.
+TURNS = 1024
+MAX_PLAIN = (1 << 52) - 1
 
 
 def _let(value: Column, body) -> Column:
@@ -139,15 +142,40 @@ def conversations(messages: DataFrame) -> DataFrame:
     return ranked.select("conversation_id", "position", "message_id", "parent_id", "depth", "sent", "text")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` (distinct) plus ``number``, unique and rising by ``conv_id,
+    turn, role, text``: ``conv_id * TURNS + turn`` where that is unique over the
+    whole table, else the rank of the row."""
+    of_turn = F.xxhash64("role", "text")
+    plain = rows.groupBy("conv_id", "turn").agg((F.min(of_turn) == F.max(of_turn)).alias("one")) \
+                .agg(F.min(F.col("one") & F.coalesce(F.col("turn").between(0, TURNS - 1)
+                           & F.col("conv_id").between(-MAX_PLAIN, MAX_PLAIN), F.lit(False))).alias("p")).first()["p"]
+    if plain is None or plain:
+        return rows.withColumn("number", F.col("conv_id") * TURNS + F.col("turn"))
+    # Ranges of the whole order, so neither a hot conversation nor a hot turn is one task.
+    order = ["conv_id", "turn", "role", "text"]
+    in_part = F.monotonically_increasing_id()
+    placed = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", in_part), "mails")
+    placed = placed.withColumn("part", F.shiftright("at", 33)).withColumn("n", F.col("at").bitwiseAND((1 << 33) - 1))
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)      # one row a range
+    offsets = placed.groupBy("part").agg(F.count(F.lit(1)).alias("rows")) \
+                    .select("part", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("offset"))
+    return placed.join(F.broadcast(offsets), "part").withColumn("number", F.col("offset") + F.col("n")) \
+                 .drop("at", "part", "n", "offset")
+
+
 def mail_view(turns: DataFrame) -> DataFrame:
-    """Mails derived from ``conversations``: every turn is a mail that quotes
-    the turn before it, and the turn before that one level deeper.  Rows of
-    one conversation and turn are one mail, of the smallest text."""
-    rows = turns.filter("conv_id is not null and turn is not null").groupBy("conv_id", "turn") \
-                .agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    """Mails derived from ``conversations``: every distinct row is a mail that
+    quotes the turn before it, and the turn before that one level deeper.  Of
+    several rows of one turn, the first by role and text is quoted; a row
+    without a conversation or turn quotes nothing."""
+    rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).distinct()
+    rows = _numbered(rows)
+    first = rows.filter("conv_id is not null and turn is not null").groupBy("conv_id", "turn") \
+                .agg(F.min_by("text", "number").alias("text"))
 
     def earlier(n: int) -> DataFrame:
-        return rows.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(f"back{n}"))
+        return first.select("conv_id", (F.col("turn") + n).alias("turn"), F.col("text").alias(f"back{n}"))
 
     def quoted(name: str, mark: str) -> Column:
         return F.concat(F.lit(mark), F.regexp_replace(name, "\n", "\n" + mark), F.lit("\n"))
@@ -157,8 +185,7 @@ def mail_view(turns: DataFrame) -> DataFrame:
         F.when(F.col("back1").isNotNull(), F.lit("On an earlier day, someone wrote:\n")).otherwise(""),
         F.when(F.col("back1").isNotNull() & F.col("back2").isNotNull(), quoted("back2", "> > ")).otherwise(""),
         F.when(F.col("back1").isNotNull(), quoted("back1", "> ")).otherwise(""), F.col("text"))
-    number = F.col("conv_id") * 1024 + F.col("turn")
-    return both.select(number.alias("message_id"), number.alias("sent"), body.alias("body"))
+    return both.select(F.col("number").alias("message_id"), F.col("number").alias("sent"), body.alias("body"))
 
 
 def op8_quotes(spark, sf_dir) -> DataFrame:
