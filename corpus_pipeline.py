@@ -27,9 +27,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources at their target weights: a document once per
-    copy the mix takes of it, the last one of a source cut to its words."""
-    return mixing.mix_documents(docs)
+    """The mix of the sources at their target weights: a whole document once
+    per copy the mix takes of it, up to the one nearest its source's target."""
+    return mixing.mix_documents(docs, whole=True)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,3 +112,25 @@ def test_odd_and_empty_tables(odd_docs, no_docs):
     assert all(r.taken == 0 for r in rows if r["size"] == 0)
     assert mixing.mix_documents(odd_docs).columns == odd_docs.columns
     assert mixing.mix(no_docs).count() == mixing.mix_documents(no_docs).count() == 0
+
+
+def test_the_pipeline_mixes_whole_texts_nearest_the_target(spark):
+    import corpus_pipeline
+
+    rows, docs = make(spark, 5)
+    long = [(900, "\n".join(["one two  three"] * 2000), "a"), (901, "x\ny " * 700, "long")]
+    docs = docs.unionByName(spark.createDataFrame([(*r, "x") for r in long], docs.schema))
+    docs = docs.withColumn("n_chars", F.length("text"))
+    got = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    whole = {(i, t, s) for i, t, s in rows + long}
+    assert all((r.doc_id, r.text, r.source) in whole and r.n_chars == len(r.text) for r in got)
+    placed, sources = mixing.streams(docs, doc_id="doc_id", text="text", source="source")
+    of = {r.source_no: r.source for r in sources.collect()}
+    size, goal, ends = {}, {}, {}
+    for r in placed.collect():
+        size[of[r.source_no]], goal[of[r.source_no]] = r.source_size, r.goal
+        ends.setdefault(of[r.source_no], []).extend(r.start + r["size"] * (k + 1) for k in range(r.copies))
+    for s, want in goal.items():
+        words_ = sum(len(WORD.findall(r.text)) for r in got if r.source == s)
+        every = [0, *(e + k * size[s] for e in ends[s] for k in range(mixing.MAX_EPOCHS))]
+        assert abs(words_ - want) == min(abs(e - want) for e in every)

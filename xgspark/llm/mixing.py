@@ -260,16 +260,22 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
 
 def mix_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-                  n_chars: str | None = "n_chars", place: bool = False) -> DataFrame:
+                  n_chars: str | None = "n_chars", place: bool = False, whole: bool = False) -> DataFrame:
     """The documents of the mix, one row per copy, with the columns of ``docs``
-    (plus ``mix_shard`` and ``mix_order`` when ``place``).  The one copy at
-    the end of a source's target is cut to its taken words, joined by blanks;
-    ``n_chars``, if there is such a column, is set to its new length."""
+    (plus ``mix_shard`` and ``mix_order`` when ``place``).
+
+    ``whole``: no text is changed; a source's stream ends at the end of the
+    copy nearest its target (of two as near, the later), so it is off by at
+    most half of one document.  Otherwise the one copy at the end of a source's
+    target is cut to its taken words, joined by blanks; ``n_chars``, if there
+    is such a column, is set to its new length."""
     key, copy = free_name(docs, "row_key"), free_name(docs, "copy")
-    taken = mix(docs, doc_id=doc_id, text=text, source=source).filter(F.col("shard").isNotNull()) \
-        .select(F.col("row_key").alias(key),
+    mixed = mix(docs, doc_id=doc_id, text=text, source=source).filter(F.col("shard").isNotNull())
+    if whole:
+        mixed = mixed.filter(2 * F.col("words") >= F.col("size")).withColumn("words", F.col("size"))
+    taken = mixed.select(F.col("row_key").alias(key),
                 F.struct("words", (F.col("words") < F.col("size")).alias("cut"), "shard", "shard_order").alias(copy))
-    whole = docs.withColumn(key, row_key(doc_id, text)).dropDuplicates([key])
+    rows = docs.withColumn(key, row_key(doc_id, text)).dropDuplicates([key])
     words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col(copy)["words"], F.lit(1)).cast("int")), " ")
     out = []
@@ -282,7 +288,7 @@ def mix_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
         out.append(value.alias(c))
     if place:
         out += [F.col(copy)["shard"].alias("mix_shard"), F.col(copy)["shard_order"].alias("mix_order")]
-    return whole.join(taken, key).select(*out)
+    return rows.join(taken, key).select(*out)
 
 
 def op2_mixing(spark, sf_dir) -> DataFrame:
