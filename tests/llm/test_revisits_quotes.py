@@ -139,3 +139,16 @@ def test_plain_mail_numbers(spark):
     got = quotes.mail_view(spark.createDataFrame(rows, TURNS)).collect()
     assert sorted(r.message_id for r in got) == sorted({c * 1024 + t for c, t, *_ in rows})
     assert quotes.mail_view(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def test_quotes_in_part_between_lines_and_of_absent_parents(spark):
+    first = "Dear all,\nthe pump is broken\nand the valve leaks\n\nShall we order a new one?\n\nRegards"
+    bodies = [first, "Dear all,\nlunch is at noon", "> Shall we order  a new one?\nYes",                 # a paragraph
+              "> Dear all,\n> the pump is broken\nsince when?\n> and the valve leaks\nno",              # between lines
+              "> > the valve was fine\n> It was never seen here\nnew",                                   # nothing known
+              "> a mail that is not here\n> > Yes\n> > > Dear all,\nso",                                # the grandparent
+              "> since when?\n> \n> no\nyesterday", "> > since when?\nlate", "> unknown\n> Dear all,\nhm"]
+    got = {r.message_id: r for r in quotes.conversations(mails(spark, bodies)).collect()}
+    assert {k: r.parent_id for k, r in got.items()} == {
+        0: None, 1: None, 2: 0, 3: 0, 4: None, 5: 2, 6: 3, 7: 3, 8: 1}
+    assert {k: r.conversation_id for k, r in got.items()} == {0: 0, 1: 1, 2: 0, 3: 0, 4: 4, 5: 0, 6: 0, 7: 0, 8: 1}

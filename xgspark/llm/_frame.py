@@ -23,16 +23,19 @@ def as_of(probes: DataFrame, bases: DataFrame, keys: list[str], ranges: int = 40
     """For each probe, the latest base strictly before it with equal keys.
 
     Both tables have the key columns (never null), ``at`` (long, order) and
-    ``id`` (long, unique in its table).  Returns ``id, base_id`` (null: none)
-    for every probe.  Bases with equal ``at`` are ordered by id; a base at the
+    ``id`` (long, unique in its table; a probe may have several keys).  Returns
+    ``id, base_id`` (null: none) and the other columns of the probes for every
+    probe.  Bases with equal ``at`` are ordered by id; a base at the
     probe's own ``at`` counts when its id is smaller.
 
     No pairs are formed, and a hot key is no single task: the order axis is cut
     into ``ranges`` equal ranges; rows are scanned within (key, range), and the
     last base of every range is carried on over the ranges of a key.
     """
-    both = probes.select(*keys, "at", "id", F.lit(None).cast("long").alias("base")) \
-        .unionAll(bases.select(*keys, "at", "id", F.col("id").alias("base"))).filter("at is not null")
+    more = [c for c in probes.columns if c not in (*keys, "at", "id")]
+    both = probes.select(*keys, "at", "id", F.lit(None).cast("long").alias("base"), *more) \
+        .unionByName(bases.select(*keys, "at", "id", F.col("id").alias("base")), allowMissingColumns=True) \
+        .filter("at is not null")
     ends = both.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
     width = max(1, ((ends["hi"] or 0) - (ends["lo"] or 0)) // ranges + 1)
     both = both.withColumn("range", F.floor((F.col("at") - F.lit(ends["lo"] or 0)) / F.lit(width)))
@@ -44,7 +47,7 @@ def as_of(probes: DataFrame, bases: DataFrame, keys: list[str], ranges: int = 40
     ahead = Window.partitionBy(*keys).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select(*keys, "range", F.last("b.base", ignorenulls=True).over(ahead).alias("far"))
     return (scanned.filter("base is null").join(carried, [*keys, "range"])
-                   .select("id", F.coalesce("near", "far").alias("base_id")))
+                   .select("id", F.coalesce("near", "far").alias("base_id"), *more))
 
 
 def position(rows: DataFrame, key: str, at: str, tie: str, ranges: int = 4096) -> DataFrame:

@@ -5,14 +5,21 @@ built in reply order, without quotes.
 Messages have ``message_id`` (long, unique), ``sent`` (long) and ``body``.  A
 line's quote level is the number of ``>`` it starts with; neighbouring lines
 of one level are a passage.  The normal form is lower case with runs of white
-space as one blank.  A message offers its own words (level 0) as a whole, and
-each own passage; a message replies to the latest earlier message that offers
-one of its first-level passages (the latest of all, if several are quoted).
+space as one blank.  A message offers its own words (level 0) as a whole,
+each own passage, and their paragraphs and lines.  A quoted passage comes from
+the latest earlier message that offers it as a whole (own words or passage);
+else from the latest that offers it in any form; else its paragraphs, and the
+lines of those that nobody offers, are looked up in the same way.  A message
+replies to the message that most of its first-level quotes come from, by
+characters (the latest of those alike); if none of them is found, the next
+deeper level decides.
 Following replies to the first message gives the conversation; a message's
 position in it is its rank by ``sent``, so every reply follows its parent.
 
 DataFrame and SQL functions only.  Scale: bodies are parsed where they are
-read; only hashes, ids and times are shuffled.  A passage that very many
+read; only hashes, ids and times are shuffled, those of paragraphs, lines and
+deeper levels only for messages with a first-level passage (or, without any, a
+deeper one) that no message offers as a whole.  A passage that very many
 messages quote and offer makes no pairs and no single task (:func:`as_of`),
 nor does a conversation that holds much of the table (:func:`position`).  Roots
 are found by pointer doubling, one join a round, each round written to the
@@ -31,10 +38,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from xgspark.llm._frame import as_of, position
-from xgspark.session import materialize
+from xgspark.session import materialize, materialize_counted
 
 QUOTE = r"^((?:[ \t]?>)*)"
 ATTRIBUTION = r"(?i)^on .{1,200} wrote:[ \t]*$"
+PARAGRAPH = r"\n[\x20\x09-\x0D]*\n"
 MAX_ROUNDS = 64
 # FIXED VALUES: the plain numbers of mails, and the conversations that they reach.
 TURNS = 1024
@@ -84,9 +92,59 @@ def own_text(parts: Column) -> Column:
 
 
 def _hashes(texts: Column) -> Column:
-    """Distinct hashes of the normal forms that hold anything."""
-    return F.array_distinct(F.transform(F.filter(F.transform(texts, normal), lambda t: t != ""),
-                                        lambda t: F.md5(t.cast("binary"))))
+    """Distinct ``hash, chars`` of the normal forms that hold anything."""
+    return F.array_distinct(F.transform(F.filter(F.transform(texts, normal), lambda t: t != ""), lambda t: F.struct(
+        F.md5(t.cast("binary")).alias("hash"), F.length(t).alias("chars"))))
+
+
+def _texts(parts: Column, at_level) -> Column:
+    return F.transform(F.filter(parts, lambda x: at_level(x["level"])), lambda x: x["text"])
+
+
+def _pieces(quoted: DataFrame) -> DataFrame:
+    """``quoted(..., run, text)`` -> the passage, its paragraphs and its lines:
+    ``..., run, par, kind (0, 1, 2), hash, chars``."""
+    keep = [c for c in quoted.columns if c != "text"]
+    pars = quoted.select(*keep, "text", F.posexplode(F.split("text", PARAGRAPH)).alias("par", "p"))
+    every = F.concat(
+        F.when(F.col("par") == 0, F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("t")))).otherwise(F.array()),
+        F.array(F.struct(F.lit(1).alias("kind"), F.col("p").alias("t"))),
+        F.transform(F.split("p", "\n"), lambda x: F.struct(F.lit(2).alias("kind"), x.alias("t"))))
+    units = pars.select(*keep, "par", F.explode(every).alias("u")).select(*keep, "par", "u.kind", normal(F.col("u.t")).alias("t"))
+    return units.filter("t <> ''").select(*keep, "par", "kind", F.md5(F.col("t").cast("binary")).alias("hash"),
+                                          F.length("t").alias("chars"))
+
+
+def _partly_quoted(messages: DataFrame, rows: DataFrame, offers: DataFrame, found: DataFrame) -> DataFrame | None:
+    """``id, level, chars, base_id`` of what messages quote in part or at
+    deeper levels; None when every message is linked by whole passages."""
+    hits = found.groupBy(F.col("id").alias("message_id")).agg(F.collect_set(F.when(F.col("base_id").isNotNull(), F.col("passage"))).alias("known"))
+    left = rows.select("message_id", F.col("sent").alias("at"), "body_key", "quoted", "deep").join(hits, "message_id", "left")
+    known = F.coalesce("known", F.array().cast("array<string>"))
+    left = left.filter((F.size("quoted") > F.size(known)) | ((F.size("quoted") == 0) & F.col("deep"))) \
+               .select("message_id", "at", "body_key", known.alias("known"))
+    left, count = materialize_counted(left, "partly-quoted")
+    if not count:
+        return None
+    bodies = messages.select("message_id", _body_key().alias("body_key"), "body").join(left, ["message_id", "body_key"]) \
+                     .dropDuplicates(["message_id"])
+    runs = bodies.select(F.col("message_id").alias("id"), "at", "known", F.posexplode(passages(F.col("body"))).alias("run", "part")) \
+                 .select("id", "at", "run", F.col("part.level").alias("level"), F.col("part.text").alias("text"),
+                         F.array_contains("known", F.md5(normal(F.col("part.text")).cast("binary"))).alias("done"))
+    units = _pieces(runs.filter("level > 1 or level = 1 and not done").drop("done"))
+    own = rows.select(F.col("sent").alias("at"), F.col("message_id").alias("id"), F.lit(0).alias("run"), "text")
+    offered = offers.unionByName(_pieces(own).select("hash", "at", "id")).distinct() \
+                    .join(units.select("hash").distinct(), "hash", "left_semi")
+    got = as_of(units, offered, ["hash"])
+    # A piece counts when nothing larger around it was found.
+    run, par = Window.partitionBy("id", "run"), Window.partitionBy("id", "run", "par")
+    found_at = F.when(F.col("base_id").isNotNull(), F.col("kind"))
+    return got.withColumn("in_run", F.min(found_at).over(run)).withColumn("in_par", F.min(found_at).over(par)) \
+              .filter("base_id is not null and if(in_run = 0, kind = 0, kind = in_par)").select("id", "level", "chars", "base_id")
+
+
+def _body_key() -> Column:
+    return F.xxhash64("sent", "body")
 
 
 def reply_links(messages: DataFrame) -> DataFrame:
@@ -94,20 +152,27 @@ def reply_links(messages: DataFrame) -> DataFrame:
     quotes."""
     # An array of one, exploded: the parse is done once, whatever is read from it.
     parsed = (messages.dropDuplicates(["message_id"])
-              .select("message_id", F.coalesce("sent", F.lit(-1 << 62)).alias("sent"),
+              .select("message_id", F.coalesce("sent", F.lit(-1 << 62)).alias("sent"), _body_key().alias("body_key"),
                       F.explode(F.array(passages(F.col("body")))).alias("parts")))
-    own = own_text(F.col("parts"))
+    own, parts = own_text(F.col("parts")), F.col("parts")
     rows = materialize(parsed.select(
-        "message_id", "sent", own.alias("text"),
-        _hashes(F.transform(F.filter("parts", lambda x: x["level"] == 1), lambda x: x["text"])).alias("quoted"),
-        _hashes(F.concat(F.array(own), F.transform(F.filter("parts", lambda x: x["level"] == 0),
-                                                   lambda x: x["text"]))).alias("offered")), "messages")
+        "message_id", "sent", "body_key", own.alias("text"), _hashes(_texts(parts, lambda n: n == 1)).alias("quoted"),
+        F.exists("parts", lambda x: (x["level"] > 1) & x["text"].rlike(r"[^\x20\x09-\x0D]")).alias("deep"),
+        F.transform(_hashes(F.concat(F.array(own), _texts(parts, lambda n: n == 0))), lambda x: x["hash"]).alias("offered")),
+        "messages")
     offers = rows.select(F.explode("offered").alias("hash"), F.col("sent").alias("at"), F.col("message_id").alias("id"))
-    quotes = rows.select(F.explode("quoted").alias("hash"), F.col("sent").alias("at"), F.col("message_id").alias("id"))
-    found = as_of(quotes, offers, ["hash"]).filter("base_id is not null")
-    order = offers.select(F.col("id").alias("base_id"), F.col("at").alias("base_at")).distinct()
-    parents = found.join(order, "base_id").groupBy(F.col("id").alias("message_id")) \
-                   .agg(F.max(F.struct("base_at", "base_id")).alias("p")) \
+    quotes = rows.select(F.explode("quoted").alias("q"), F.col("sent").alias("at"), F.col("message_id").alias("id")) \
+                 .select("q.hash", "at", "id", "q.chars", F.col("q.hash").alias("passage"))
+    found = materialize(as_of(quotes, offers, ["hash"]), "quoted")
+    links = found.filter("base_id is not null").select("id", F.lit(1).alias("level"), "chars", "base_id")
+    parts_of = _partly_quoted(messages, rows, offers, found)
+    if parts_of is not None:
+        links = links.unionByName(parts_of)
+        least = links.groupBy("id").agg(F.min("level").alias("level"))
+        links = links.join(least, ["id", "level"])
+    order = rows.select(F.col("message_id").alias("base_id"), F.col("sent").alias("base_at"))
+    parents = links.groupBy("id", "base_id").agg(F.sum("chars").alias("chars")).join(order, "base_id") \
+                   .groupBy(F.col("id").alias("message_id")).agg(F.max(F.struct("chars", "base_at", "base_id")).alias("p")) \
                    .select("message_id", F.col("p.base_id").alias("parent_id"))
     return rows.select("message_id", "sent", "text").join(parents, "message_id", "left")
 
