@@ -115,3 +115,17 @@ def test_near_copies_at_small_scale(spark):
     want = groups_of([(a, b) for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 4], ids)
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in got} == \
         {i: (f"{prints[i]:016x}", want[i]) for i in ids}
+
+
+@pytest.mark.parametrize("max_bits", [1, 2, 3])
+def test_odd_distances_lose_no_pair(max_bits):
+    rnd = random.Random(8)
+    prints = {0, 1, 3, 7, 15, 31, 0xFFFF}
+    for _ in range(12):
+        p = rnd.getrandbits(64)
+        near = rnd.sample(range(64), 9)            # crowded: many meet on one variant
+        prints |= {p} | {p ^ sum(1 << b for b in rnd.sample(near, rnd.randrange(1, 6))) for _ in range(6)}
+    nodes = sorted(prints)
+    u, v = simhash.bucket_links(np.array(nodes, dtype=np.uint64), 0, 0, max_bits)
+    pairs = [(a, b) for a in nodes for b in nodes if a < b and (a ^ b).bit_count() <= max_bits]
+    assert groups_of(zip(u.tolist(), v.tolist()), nodes) == groups_of(pairs, nodes)

@@ -2,7 +2,7 @@
 
 Two fingerprints at most ``2 r`` bits apart share a variant: some 64-bit word
 within ``r`` bits of both.  So every fingerprint emits all variants within
-half the radius (1 + 64 + 2016 for r = 2), variants are brought together by a
+half the radius, rounded up (1 + 64 + 2016 for r = 2), variants are brought together by a
 shuffle, and fingerprints that meet on a variant are linked.
 
 Scale: variants are shuffled by a linear bucket code ``S(v)`` (parities of the
@@ -128,7 +128,7 @@ def bucket_links(prints: np.ndarray, bucket: int, bucket_bits: int, max_bits: in
     """Spanning links ``(u, v)`` of the fingerprints that meet on a variant of
     this bucket.  ``prints`` are distinct."""
     n = len(prints)
-    moves = flips(max_bits // 2)
+    moves = flips((max_bits + 1) // 2)
     slice_bits = max(0, math.ceil(math.log2(max(1.0, n * len(moves) / 2 ** bucket_bits / SLICE_VARIANTS))))
     bits = bucket_bits + slice_bits
     code, move_code = code_of(prints, bits), code_of(moves, bits)
@@ -151,10 +151,21 @@ def bucket_links(prints: np.ndarray, bucket: int, bucket_bits: int, max_bits: in
         if not variants:
             continue
         variant, owner = np.concatenate(variants), np.concatenate(owners)
-        order = np.argsort(variant)
-        variant, owner = variant[order], owner[order]
-        met = np.flatnonzero(variant[1:] == variant[:-1])
-        a, b = owner[met], owner[met + 1]
+        if max_bits % 2 == 0:
+            order = np.argsort(variant)
+            variant, owner = variant[order], owner[order]
+            met = np.flatnonzero(variant[1:] == variant[:-1])
+            a, b = owner[met], owner[met + 1]
+        else:
+            # Two at max_bits meet within max_bits // 2 bits of one of them: all
+            # on a variant are linked to the nearest, if that is so near.
+            away = np.bitwise_count(variant ^ prints[owner])
+            order = np.lexsort((away, variant))
+            variant, owner, away = variant[order], owner[order], away[order]
+            heads = np.flatnonzero(np.append(True, variant[1:] != variant[:-1]))
+            head = np.repeat(heads, np.diff(np.append(heads, len(variant))))
+            met = np.flatnonzero((away[head] <= max_bits // 2) & (head != np.arange(len(head))))
+            a, b = owner[head[met]], owner[met]
         near = np.bitwise_count(prints[a] ^ prints[b]) <= max_bits
         pairs = np.unique(root[a[near]] * np.int64(n) + root[b[near]])
         a, b = root[pairs // n], root[pairs % n]
@@ -167,7 +178,7 @@ def bucket_links(prints: np.ndarray, bucket: int, bucket_bits: int, max_bits: in
 def links(prints: DataFrame, count: int, max_bits: int = MAX_BITS) -> DataFrame:
     """``prints(fp)`` of distinct fingerprints -> links ``(u, v)`` that connect
     exactly the fingerprints reachable by steps of at most ``max_bits`` bits."""
-    moves = flips(max_bits // 2)
+    moves = flips((max_bits + 1) // 2)
     bits = min(MAX_BUCKET_BITS, max(3, math.ceil(math.log2(max(1.0, count * len(moves) / BUCKET_VARIANTS)))))
     code = F.lit(0)
     for j, mask in enumerate(parity_masks(bits).view(np.int64)):
