@@ -63,7 +63,7 @@ def test_registration():
 
     q = entry.queries()
     assert set(QUERIES) <= set(q) and "pipeline" in q and set(ORACLE) <= set(entry.oracle_sql())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_oracles_at_small_scale(spark):
