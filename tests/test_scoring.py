@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from xgspark.functions.scoring import interpret_xg, round_half_up
+from xgspark.functions.scoring import interpret_xg, round_half_even
 from xgspark.plans.scoring import score_batch
 
 # FIXED VALUES: bucket labels and the three preset shots.
@@ -25,7 +25,7 @@ def test_buckets(spark):
 
 def test_bucket_before_rounding(spark):
     r = spark.createDataFrame([(0.19996,)], "p double").select(
-        interpret_xg(F.col("p")).alias("label"), round_half_up(F.col("p"), 4).alias("shown")).first()
+        interpret_xg(F.col("p")).alias("label"), round_half_even(F.col("p"), 4).alias("shown")).first()
     assert r.shown == 0.2 and r.label == "Moderate probability effort"
 
 
@@ -70,3 +70,19 @@ def test_model_unavailable(spark):
     assert out[1].status == "model_unavailable" and out[1].http_status == 503
     assert out[1].gateway_status == 502 and out[2].gateway_status == 422
     assert out[2].status == "rejected"
+
+
+def test_responses_round_the_exact_value_half_to_even(spark):
+    import random
+
+    rnd = random.Random(1)
+    values = [m * 1.09361 for m in range(1, 1001)] + [k / 10000 + 0.00005 for k in range(2000)]
+    values += [k / 32 for k in range(-400, 400)]                                        # exact ties
+    values += [rnd.uniform(-1, 1) * 10 ** rnd.randint(-9, 19) for _ in range(2000)]
+    values += [0.0, -0.0, 5e-5, -5e-5, 4.9999e-5, 1e300, 2.0 ** 52 - 0.5, 1e400, -1e400]
+    for d in (4, 1):
+        rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", round_half_even("v", d).alias("r"))
+        for r in rows.collect():
+            assert r.r == (round(r.v, d) if math.isfinite(r.v) else r.v), r.v
+    far = spark.createDataFrame([(1, 5.0, 10.0), (2, 1e17, 10.0)], "request_id long, distance_meters double, angle_degrees double")
+    assert [r.distance_yards for r in score_batch(far, MODEL).orderBy("request_id").collect()] == [5.468, 1e17 * 1.09361]

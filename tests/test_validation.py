@@ -68,3 +68,21 @@ def test_split_valid(spark):
     ok, bad = split_valid(validate_shots(df))
     assert ok.count() == 1 and bad.count() == 1
     assert json.loads(bad.selectExpr("to_json(errors) AS j").first().j)["distance_meters"]
+
+
+def test_last_of_equal_keys_counts_and_numbers_are_finite(spark):
+    bodies = [(1, '{"distance_meters": 3, "distance_meters": 10, "angle_degrees": 40}'),
+              (2, '{"distance_meters": 3, "angle_degrees": 40, "distance_meters": "x"}'),
+              (3, '{"distance_meters": "x", "angle_degrees": 40, "distance_meters": 3}'),
+              (4, '{"distance_meters": 1e400, "angle_degrees": 40}'),
+              (5, '{"distance_meters": 3, "angle_degrees": -1e400}'),
+              (6, '{"distance_meters": {"a": 1, "a": 2}, "angle_degrees": 40}'),
+              (7, '{"distance_meters": 3, "angle_degrees": 40, "distance_meters": null}')]
+    df = spark.createDataFrame(bodies, "id long, body string")
+    out = {r.id: r for r in validate_json(df, "body", "strict").collect()}
+    assert (out[1].status, out[1].distance_meters) == ("ok", 10.0) and out[3].status == "ok"
+    number = {"distance_meters": ["distance_meters must be a number"]}
+    assert out[2].errors == out[4].errors == out[6].errors == out[7].errors == number
+    assert out[5].errors == {"angle_degrees": ["angle_degrees must be a number"]}
+    lax = {r.id: r for r in validate_json(df, "body", "lax").collect()}
+    assert (lax[1].status, lax[1].distance_meters, lax[4].distance_meters) == ("ok", 10.0, float("inf"))

@@ -51,13 +51,28 @@ def assemble(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
     return assembled.select(out, label, *([group] if group else []))
 
 
+WEIGHT = "__times"
+
+
+def distinct_rows(df: DataFrame, features: Sequence[str], label: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Equal training rows as one row with their number (``__times``): combined
+    within each task before the shuffle.  Shots repeat, as places are given to a
+    tenth of a unit, so the fits' passes read far fewer rows."""
+    return df.groupBy(*keys, *[F.col(c).cast("double").alias(c) for c in features],
+                      F.col(label).cast("double").alias(label)).agg(F.count(F.lit(1)).cast("double").alias(WEIGHT))
+
+
 def _fit(df: DataFrame, features: Sequence[str], label: str, n_train: int,
          max_iter: int, tol: float):
+    """A fit of distinct rows: with weights the loss is the same mean over all
+    ``n_train`` rows, so the objective does not change."""
     from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
 
-    assembled = assemble(df, features, label, None, "__features")
+    assembled = VectorAssembler(inputCols=list(features), outputCol="__features", handleInvalid="error") \
+        .transform(df).select("__features", label, WEIGHT)
     lr = LogisticRegression(featuresCol="__features", labelCol=label,
-                            regParam=1.0 / float(n_train), elasticNetParam=0.0,
+                            weightCol=WEIGHT, regParam=1.0 / float(n_train), elasticNetParam=0.0,
                             standardization=False, fitIntercept=True,
                             maxIter=max_iter, tol=tol, family="binomial")
     return lr.fit(assembled)
@@ -79,8 +94,9 @@ def check_order(features: Sequence[str] | None) -> None:
 
 def class_counts(df: DataFrame, label: str = TARGET_COLUMN, fold: str = "fold") -> list[tuple[int, int, int]]:
     """``(fold, rows, positives)`` of the k folds (one small aggregate)."""
-    rows = df.groupBy(fold).agg(F.count(F.lit(1)).alias("rows"),
-                                F.coalesce(F.sum(F.col(label).cast("long")), F.lit(0)).alias("pos")).collect()
+    times = F.col(WEIGHT).cast("long") if WEIGHT in df.columns else F.lit(1)
+    rows = df.groupBy(fold).agg(F.sum(times).alias("rows"),
+                                F.coalesce(F.sum(F.col(label).cast("long") * times), F.lit(0)).alias("pos")).collect()
     return sorted((int(r[fold]), r["rows"], r["pos"]) for r in rows)
 
 
@@ -91,15 +107,16 @@ def fit_folds(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
     """Fit one model per fold on the complement of the fold.
 
     Returns the model table keyed by ``fold``.  A training side with a
-    single class raises :class:`DegenerateFoldError` before any fit.  One
-    narrow (fold, features, label) copy is cached before any action; class
-    counts (unless given) and all fits read it.  Each fit caches its own
-    training side while it runs, so ``parallelism`` bounds the copies.
+    single class raises :class:`DegenerateFoldError` before any fit.  The
+    distinct (fold, features, label) rows with their counts are cached before
+    any action; class counts (unless given) and all fits read them.  Each fit
+    caches its own training side while it runs, so ``parallelism`` bounds the
+    copies.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     check_order(features)
-    work = df.select(fold, *features, label).persist(StorageLevel.MEMORY_AND_DISK)
+    work = distinct_rows(df, features, label, [fold]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         counts = counts or class_counts(work, label, fold)
         total_rows, total_pos = sum(c[1] for c in counts), sum(c[2] for c in counts)
@@ -137,7 +154,7 @@ def fit_final(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
     n, pos = counts
     if n == 0 or pos == 0 or pos == n:
         raise DegenerateFoldError(f"training data has a single class ({pos} positives of {n})")
-    m = _fit(df, features, label, n, max_iter, tol)
+    m = _fit(distinct_rows(df, features, label), features, label, n, max_iter, tol)
     if mllib_out:
         m.write().overwrite().save(mllib_out)
     return df.sparkSession.createDataFrame([_model_row(m, None, n, features)], MODEL_TABLE_SCHEMA)

@@ -20,6 +20,7 @@ from xgspark.config import (
 DISTANCE = "distance_meters"
 ANGLE = "angle_degrees"
 _ERRORS_TYPE = "map<string,array<string>>"
+_LAST_KEY_WINS = "spark.sql.variant.allowDuplicateKeys"
 _NUMERIC_VARIANT_TYPES = ("TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE")
 
 
@@ -105,6 +106,7 @@ def _json_field(body_v: Column, field: str, mode: str) -> tuple[Column, Column,
     numeric = kind.isin(*_NUMERIC_VARIANT_TYPES) | kind.startswith("DECIMAL")
     num_value = F.try_variant_get(body_v, f"$.{field}", "double")
     if mode == "strict":
+        numeric = numeric & F.coalesce(_is_finite(num_value), F.lit(False))
         return present, numeric, F.when(numeric, num_value)
     # lax: numbers, numeric text and booleans are coerced to float
     text_value = F.try_variant_get(body_v, f"$.{field}", "string").try_cast("double")
@@ -115,15 +117,25 @@ def _json_field(body_v: Column, field: str, mode: str) -> tuple[Column, Column,
     return present, value.isNotNull(), value
 
 
+def _last_key_wins(spark) -> None:
+    """Of equal keys of a JSON object the last one counts, as in the parsers of
+    both contracts; without this setting such a body would be no JSON at all."""
+    if spark.conf.get(_LAST_KEY_WINS, "false") != "true":
+        spark.conf.set(_LAST_KEY_WINS, "true")
+
+
 def validate_json(df: DataFrame, json_col: str = "body", mode: str = "strict") -> DataFrame:
     """Validate raw JSON request bodies (V2, V3).
 
     Tells apart an absent field ("is required"), a JSON null or wrong type
     ("must be a number"), and a range failure.  A body that is not a JSON
-    object is rejected with an empty field map.  Adds ``distance_meters``
+    object is rejected with an empty field map.  Of equal keys the last one
+    counts; a number beyond the range of a double is infinite, which is no
+    number in strict mode.  Adds ``distance_meters``
     and ``angle_degrees`` (parsed values, NULL where not numbers),
     ``errors`` and ``status``.
     """
+    _last_key_wins(df.sparkSession)
     # Parse once: a one-element explode keeps Catalyst from inlining (and so
     # repeating) the parse into every expression and predicate that uses it.
     parsed = df.select("*", F.explode(F.array(F.try_parse_json(F.col(json_col)))).alias("__body"))

@@ -4,7 +4,7 @@ Each string is self-contained over the benchmark tables (``events``,
 ``nation``, ``region``, ``customer`` as views) and mirrors the view
 definitions of ``sources/tables.py`` with the same integer-first arithmetic.
 Doubles are rounded half-up to 6 decimals with ``floor(v * 1e6 + 0.5) / 1e6``
-exactly as the Spark side does.
+exactly as the Spark side does; responses (P6) are printed instead.
 """
 
 from __future__ import annotations
@@ -25,6 +25,11 @@ def r4(e: str) -> str:
     return f"(floor(({e}) * 10000.0E0 + 0.5E0) / 10000.0E0)"
 
 
+def shown4(e: str) -> str:
+    """Four decimals as the C library prints them: the exact value, half to even."""
+    return f"CAST(printf('%.4f', {e}) AS DOUBLE)"
+
+
 def _lit(v: float) -> str:
     return f"({float(v)!r}E0)" if "e" not in repr(float(v)) else f"({float(v)!r})"
 
@@ -227,8 +232,8 @@ SELECT request_id, distance_meters, angle_degrees, st AS status,
        CASE WHEN st = 'ok' THEN 200 WHEN st = 'rejected' THEN 422 ELSE 502 END AS gateway_status,
        CASE WHEN st = 'rejected' THEN '{GATEWAY_VALIDATION_ERROR}' WHEN st <> 'ok' THEN '{GATEWAY_SERVICE_ERROR}' END AS error,
        errors_json,
-       CASE WHEN st = 'ok' THEN {r4('p')} END AS xg_probability,
-       CASE WHEN st = 'ok' THEN {r4(yards)} END AS distance_yards,
+       CASE WHEN st = 'ok' THEN {shown4('p')} END AS xg_probability,
+       CASE WHEN st = 'ok' THEN {shown4(yards)} END AS distance_yards,
        CASE WHEN st = 'ok' THEN {_interp('p')} END AS interpretation
 FROM sc"""
 
@@ -244,22 +249,30 @@ jreq AS (
     CASE WHEN event_id % 97 = 0 THEN '[1, 2]'
          WHEN event_id % 89 = 0 THEN 'not json'
          WHEN event_id % 83 = 0 THEN '{}'
+         WHEN event_id % 79 = 0 THEN '{"distance_meters": 1e400, "angle_degrees": ' || a || '}'
+         WHEN event_id % 73 = 0 THEN '{"distance_meters": -3, "angle_degrees": ' || a || ', "distance_meters": ' || d || '}'
+         WHEN event_id % 71 = 0 THEN '{"angle_degrees": 10, "x": {"a": 1, "a": 2}, "distance_meters": ' || d || ', "angle_degrees": null}'
          WHEN event_id % 13 = 0 THEN '{"angle_degrees": ' || a || '}'
          WHEN event_id % 17 = 0 THEN '{"distance_meters": ' || d || '}'
          WHEN event_id % 19 = 0 THEN '{"distance_meters": null, "angle_degrees": ' || a || '}'
          WHEN event_id % 11 = 0 THEN '{"distance_meters": "' || d || '", "angle_degrees": ' || a || '}'
          WHEN event_id % 7 = 0 THEN '{"distance_meters": true, "angle_degrees": ' || a || '}'
          WHEN event_id % 5 = 0 THEN '{"distance_meters": ' || d || '.5, "angle_degrees": "' || a || '"}'
-         ELSE '{"distance_meters": ' || d || ', "angle_degrees": ' || a || '}' END AS body
+         ELSE '{"distance_meters": ' || d || ', "angle_degrees": ' || a || '}' END AS body,
+    -- What such a body means, in a form without repeated keys and infinite numbers.
+    CASE WHEN event_id % 97 = 0 OR event_id % 89 = 0 OR event_id % 83 = 0 THEN NULL
+         WHEN event_id % 79 = 0 THEN '{"distance_meters": "inf", "angle_degrees": ' || a || '}'
+         WHEN event_id % 73 = 0 THEN '{"distance_meters": ' || d || ', "angle_degrees": ' || a || '}'
+         WHEN event_id % 71 = 0 THEN '{"distance_meters": ' || d || ', "angle_degrees": null}' END AS meant
   FROM jreq_src),
 jtyped AS (
   SELECT request_id, body,
-    coalesce(CASE WHEN json_valid(body) THEN json_type(body) END = 'OBJECT', false) AS body_ok,
-    CASE WHEN json_valid(body) THEN json_type(body, '$.distance_meters') END AS d_t,
-    CASE WHEN json_valid(body) THEN json_extract_string(body, '$.distance_meters') END AS dx,
-    CASE WHEN json_valid(body) THEN json_type(body, '$.angle_degrees') END AS a_t,
-    CASE WHEN json_valid(body) THEN json_extract_string(body, '$.angle_degrees') END AS ax
-  FROM jreq)"""
+    coalesce(CASE WHEN json_valid(said) THEN json_type(said) END = 'OBJECT', false) AS body_ok,
+    CASE WHEN json_valid(said) THEN json_type(said, '$.distance_meters') END AS d_t,
+    CASE WHEN json_valid(said) THEN json_extract_string(said, '$.distance_meters') END AS dx,
+    CASE WHEN json_valid(said) THEN json_type(said, '$.angle_degrees') END AS a_t,
+    CASE WHEN json_valid(said) THEN json_extract_string(said, '$.angle_degrees') END AS ax
+  FROM (SELECT *, coalesce(meant, body) AS said FROM jreq))"""
 
 _NUM = "('UBIGINT', 'BIGINT', 'DOUBLE')"
 

@@ -16,14 +16,14 @@ from xgspark.config import (
     STATUS_MODEL_UNAVAILABLE, STATUS_OK, STATUS_REJECTED,
 )
 from xgspark.functions.geometry import to_yards
-from xgspark.functions.scoring import interpret_xg, logistic_probability, round_half_up
+from xgspark.functions.scoring import interpret_xg, logistic_probability, round_half_even
 from xgspark.operators.validation import ANGLE, DISTANCE, validate_json, validate_shots
 
 def score_requests(validated: DataFrame, model: dict | DataFrame | None) -> DataFrame:
     """Score rows that passed validation.
 
     ``interpretation`` uses the unrounded probability; the response shows
-    probability and yards rounded half-up to 4 decimals.  Without a model,
+    probability and yards rounded to 4 decimals (exact value, half to even).  Without a model,
     valid rows get ``status = 'model_unavailable'``.
     """
     if isinstance(model, DataFrame):      # a model table as returned by load_model
@@ -54,8 +54,8 @@ def score_requests(validated: DataFrame, model: dict | DataFrame | None) -> Data
             .withColumn("gateway_status", gateway)
             .withColumn("error", F.when(F.col("status") == STATUS_REJECTED, F.lit(GATEWAY_VALIDATION_ERROR))
                                   .when(F.col("status") != STATUS_OK, F.lit(GATEWAY_SERVICE_ERROR)))
-            .withColumn("xg_probability", F.when(served, round_half_up(F.col("__p"), 4)))
-            .withColumn("distance_yards", F.when(served, round_half_up(yards, 4)))
+            .withColumn("xg_probability", F.when(served, round_half_even(F.col("__p"), 4)))
+            .withColumn("distance_yards", F.when(served, round_half_even(yards, 4)))
             .withColumn("interpretation", F.when(served, interpret_xg(F.col("__p"))))
             .drop("__p"))
 

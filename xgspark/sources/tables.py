@@ -195,6 +195,9 @@ JSON_BODY_EXPR = f"""CASE
     WHEN event_id % 97 = 0 THEN '[1, 2]'
     WHEN event_id % 89 = 0 THEN 'not json'
     WHEN event_id % 83 = 0 THEN '{{}}'
+    WHEN event_id % 79 = 0 THEN concat('{{"distance_meters": 1e400, "angle_degrees": ', {_A}, '}}')
+    WHEN event_id % 73 = 0 THEN concat('{{"distance_meters": -3, "angle_degrees": ', {_A}, ', "distance_meters": ', {_D}, '}}')
+    WHEN event_id % 71 = 0 THEN concat('{{"angle_degrees": 10, "x": {{"a": 1, "a": 2}}, "distance_meters": ', {_D}, ', "angle_degrees": null}}')
     WHEN event_id % 13 = 0 THEN concat('{{"angle_degrees": ', {_A}, '}}')
     WHEN event_id % 17 = 0 THEN concat('{{"distance_meters": ', {_D}, '}}')
     WHEN event_id % 19 = 0 THEN concat('{{"distance_meters": null, "angle_degrees": ', {_A}, '}}')
@@ -208,7 +211,8 @@ def json_requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw JSON request bodies: ``request_id, body``.
 
     Mixes valid bodies, absent fields, JSON nulls, numeric text, booleans,
-    fractional numbers, non-object and non-JSON bodies.
+    fractional and out-of-range numbers, repeated keys, non-object and non-JSON
+    bodies.
     """
     e = spread(read_table(spark, sf_dir, "events").select("event_id"))
     return e.selectExpr("event_id AS request_id", JSON_BODY_EXPR)
