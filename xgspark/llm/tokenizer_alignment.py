@@ -13,7 +13,9 @@ Every pair of tokens of a group whose bytes overlap is a *link*.  How often an
 id pair is linked is counted over all documents; a link is *best* when no other
 partner of its B id is linked more often (ties are all best).
 
-Scale: texts are tokenized once, in the scan.  What is kept of a document is
+Scale: texts are tokenized once, in the scan (a word that comes again in the
+task is looked up: where a letter is followed by one space and another letter,
+no token of either vocabulary reaches across, which is checked).  What is kept of a document is
 its distinct id pairs with their counts (one written table); the pair counts
 are one map-side combined aggregate.  Back at the documents, the pairs of the
 ``FREQUENT_PAIRS`` most frequent at most (those of at least a power of two of
@@ -28,11 +30,16 @@ count; whole texts of any length are tokenized; other columns stay.
 
 from __future__ import annotations
 
+import json
+import re
+from array import array
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from xgspark.llm._frame import free_name
@@ -41,9 +48,11 @@ from xgspark.session import materialize
 
 VOCABULARY_A = "/opt/tokenizers/byte_bpe_50k.json"
 VOCABULARY_B = "/opt/tokenizers/piece_bpe_32k.model"
-BATCH_BYTES = 1_000_000
+BATCH_BYTES = 500_000
 FREQUENT_PAIRS = 500_000
+KNOWN_PARTS = 400_000            # parts between words whose tokens a task remembers
 SPACE = "▁"                 # FIXED VALUE: how B writes a space
+LETTER = "[!-~\u00C0-\u024F]"    # printable ASCII and Latin letters: no white space in any reading
 
 
 def byte_letters() -> dict[str, int]:
@@ -78,19 +87,72 @@ class Vocabularies:
         self.size_b = np.array([len(x) for x in self.bytes_b], dtype=np.int64)
         digits = [[str(i) + mark for i in range(max(len(self.size_a), len(self.size_b)))] for mark in ",|;"]
         self.inner, self.last_a, self.last_b = (np.array(d, dtype=object) for d in digits)
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of non-empty texts in both vocabularies; none in either for a
-        text that one of them does not give back."""
-        spaced = [" " + t for t in texts]
-        a = [e.ids for e in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1)
-        for i, t in enumerate(spaced):
-            raw = t.encode("utf-8")
-            if (b"".join(map(self.bytes_a.__getitem__, a[i])) != raw
-                    or b"".join(map(self.bytes_b.__getitem__, b[i])) != raw):
-                a[i], b[i] = [], []
-        return a, b
+        self.border = re.compile(f"(?<={LETTER})(?= {LETTER})") if self._words_stand_alone(a) else None
+        self._forget()
+
+    def _words_stand_alone(self, a: bytes) -> bool:
+        """Whether neither vocabulary has a token that reaches over the border
+        between a printable letter and a single space before another one: A
+        splits there first (byte-level pattern), B has no piece with a space
+        behind another letter."""
+        before = json.loads(a).get("pre_tokenizer") or {}
+        return before.get("type") == "ByteLevel" and before.get("use_regex", True) and not any(
+            SPACE in self.b.id_to_piece(i).lstrip(SPACE) for i in range(self.b.get_piece_size()))
+
+    def _encode_parts(self, parts: list[str]) -> None:
+        """Adds parts (each begins with a space) to the table of known ones."""
+        sides = ([e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)],
+                 self.b.encode([p[1:] for p in parts], num_threads=1))
+        raw = [p.encode("utf-8") for p in parts]
+        exact = np.ones(len(parts), dtype=bool)
+        for ids, names, size, flat, ends in ((sides[0], self.bytes_a, self.size_a, self.flat_a, self.ends_a),
+                                             (sides[1], self.bytes_b, self.size_b, self.flat_b, self.ends_b)):
+            one = array("q", chain.from_iterable(ids))
+            if b"".join(map(names.__getitem__, one)) != b"".join(raw):
+                exact &= np.array([b"".join(map(names.__getitem__, x)) == r for x, r in zip(ids, raw)])
+            else:                                        # equal as a whole: equal where the parts' sizes agree
+                end = np.cumsum([len(x) for x in ids])
+                total = np.concatenate(([0], np.cumsum(size[np.frombuffer(one, dtype=np.int64)])))
+                exact &= total[end] == np.cumsum([len(r) for r in raw])
+            ends.extend((np.cumsum([len(x) for x in ids]) + len(flat)).tolist())
+            flat.extend(one)
+        self.known.update(zip(parts, range(len(self.exact), len(self.exact) + len(parts))))
+        self.exact.extend(exact.tobytes())
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(ids of A, how many each text has, ids of B, how many)``, the texts
+        one after the other; an empty text, and one that either vocabulary does
+        not give back byte by byte, has none.  A part between two words is
+        tokenized once and looked up after that."""
+        parts_of = [self.border.split(" " + t) if self.border else [" " + t] if t else [] for t in texts]
+        if len(self.known) > KNOWN_PARTS or len(self.flat_a) > 16 * KNOWN_PARTS:
+            self._forget()
+        missing = dict.fromkeys(p for parts in parts_of for p in parts if p not in self.known)
+        if missing:
+            self._encode_parts(list(missing))
+        n = np.array([len(p) for p in parts_of], dtype=np.int64)
+        part = np.fromiter((self.known[p] for parts in parts_of for p in parts), dtype=np.int64, count=int(n.sum()))
+        text = np.repeat(np.arange(len(texts)), n)
+        bad = np.array([not t for t in texts], dtype=bool)
+        for i in np.unique(text[~np.frombuffer(bytes(self.exact), dtype=bool)[part]]):
+            bad[i] = not self._gives_back(" " + texts[i], part[text == i])
+        part, text = part[~bad[text]], text[~bad[text]]
+        out = []
+        for flat, ends in ((self.flat_a, self.ends_a), (self.flat_b, self.ends_b)):
+            ends = np.array(ends)
+            at, of = _ragged(ends[part], ends[part + 1])
+            out += [np.array(flat)[at], np.bincount(text[of], minlength=len(texts))]
+        return tuple(out)
+
+    def _gives_back(self, text: str, parts: np.ndarray) -> bool:
+        joined = [b"".join(names[i] for p in parts for i in flat[ends[p]:ends[p + 1]])
+                  for names, flat, ends in ((self.bytes_a, self.flat_a, self.ends_a), (self.bytes_b, self.flat_b, self.ends_b))]
+        return joined[0] == joined[1] == text.encode("utf-8")
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.exact = bytearray()
+        self.flat_a, self.flat_b, self.ends_a, self.ends_b = array("q"), array("q"), array("q", [0]), array("q", [0])
 
 
 def _ragged(first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,12 +214,9 @@ def shared_cuts(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
         lo, hi = np.concatenate((lo, cut + 1)), np.concatenate((cut, hi))
 
 
-def align(ids_a: list[list[int]], ids_b: list[list[int]], v: Vocabularies) -> dict[str, list]:
-    """Groups and links of several texts (ids of both sides, same bytes)."""
-    n_a = np.array([len(x) for x in ids_a], dtype=np.int64)
-    n_b = np.array([len(x) for x in ids_b], dtype=np.int64)
-    a = np.fromiter((i for x in ids_a for i in x), dtype=np.int64, count=int(n_a.sum()))
-    b = np.fromiter((i for x in ids_b for i in x), dtype=np.int64, count=int(n_b.sum()))
+def align(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray, v: Vocabularies) -> dict:
+    """Groups and links of several texts: the ids of both sides, text after
+    text, and how many each text has (same bytes on both sides)."""
     ends_a, ends_b = np.cumsum(v.size_a[a]), np.cumsum(v.size_b[b])
     last_a = shared_cuts(ends_a, ends_b)                      # last A token of every group
     last_b = np.searchsorted(ends_b, ends_a[last_a])
@@ -186,36 +245,37 @@ def align(ids_a: list[list[int]], ids_b: list[list[int]], v: Vocabularies) -> di
     text_at, groups = np.concatenate(([0], np.cumsum(n_a + n_b))), np.searchsorted(end_of, last_a, side="right")
     return {"n_a": n_a, "n_b": n_b, "n_groups": np.bincount(groups, minlength=len(n_a)),
             "groups": ["".join(pieces[s:e].tolist())[:-1] for s, e in zip(text_at[:-1], text_at[1:])],
-            "pairs": [codes[s:e] for s, e in zip(cut[:-1], cut[1:])],
-            "links": [times[s:e] for s, e in zip(cut[:-1], cut[1:])]}
+            "pairs": pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(codes)),
+            "links": pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(times.astype(np.int64)))}
 
 
 ALIGN_TYPE = "n_a long, n_b long, n_groups long, groups string, pairs array<long>, links array<long>"
 
 
-def aligned(text: Column, spark, vocabulary_a: str = VOCABULARY_A, vocabulary_b: str = VOCABULARY_B) -> Column:
-    """Struct column of a text column: token and group counts, the groups as
-    ``a1,a2|b1;a3|b2,b3``, the distinct id pairs (``a << 32 | b``) and how many
-    links each has."""
+def aligned(docs: DataFrame, text: str, carry: Sequence[str], name: str, vocabulary_a: str = VOCABULARY_A,
+            vocabulary_b: str = VOCABULARY_B) -> DataFrame:
+    """The columns ``carry`` and a struct ``name``: token and group counts, the
+    groups as ``a1,a2|b1;a3|b2,b3``, the distinct id pairs (``a << 32 | b``) and
+    how many links each has.  Rows go out in pieces of about ``BATCH_BYTES``."""
     with open(vocabulary_a, "rb") as fa, open(vocabulary_b, "rb") as fb:
-        shared = spark.sparkContext.broadcast((fa.read(), fb.read()))      # two vocabulary files
+        shared = docs.sparkSession.sparkContext.broadcast((fa.read(), fb.read()))      # two vocabulary files
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = Vocabularies(*shared.value)
-        for texts in batches:
-            texts = [t or "" for t in texts]
-            parts = []
+        for rows in batches:
+            texts = [t or "" for t in rows.column("text").to_pylist()]
             for s, e in byte_batches(texts, BATCH_BYTES):
-                full = [i for i in range(s, e) if texts[i]]
-                a, b = v.encode([texts[i] for i in full]) if full else ([], [])
-                ids_a, ids_b = [[]] * (e - s), [[]] * (e - s)
-                for i, x, y in zip(full, a, b):
-                    ids_a[i - s], ids_b[i - s] = x, y
-                parts.append(pd.DataFrame(align(ids_a, ids_b, v)))
-            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(
-                {c.split()[0]: [] for c in ALIGN_TYPE.split(", ")})
+                found = {k: x if isinstance(x, pa.Array) else pa.array(x) for k, x in align(*v.encode(texts[s:e]), v).items()}
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("kept").slice(s, e - s), pa.StructArray.from_arrays(list(found.values()), list(found))],
+                    ["kept", "found"])
 
-    return F.pandas_udf(run, ALIGN_TYPE)(text)
+    # A constant field keeps the struct from being empty when nothing is carried.
+    kept = docs.select(F.struct(F.lit(0).alias("_"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("kept"),
+                       F.col(text).alias("text"))
+    fields = kept.schema["kept"].dataType.simpleString()
+    out = kept.mapInArrow(run, f"kept {fields}, found struct<{ALIGN_TYPE.replace(' ', ':').replace(',:', ',')}>")
+    return out.select(*[F.col(f"kept.c{i}").alias(c) for i, c in enumerate(carry)], F.col("found").alias(name))
 
 
 def pair_counts(table: DataFrame) -> DataFrame:
@@ -254,7 +314,7 @@ def align_documents(docs: DataFrame, *, text: str = "text", vocabulary_a: str =
     x = F.col(x_name)
     digest = F.when(x["groups"] != "", F.sha2(x["groups"], 256)).otherwise(F.lit(""))
     fields = [x[c].alias(c) for c in ("n_a", "n_b", "n_groups", *(["groups"] if keep_groups else []))]
-    table = materialize(docs.withColumn(x_name, aligned(F.col(text), spark, vocabulary_a, vocabulary_b)).select(
+    table = materialize(aligned(docs, text, carry, x_name, vocabulary_a, vocabulary_b).select(
         *carry, F.monotonically_increasing_id().alias(key),
         F.struct(*fields, (x["n_a"] + x["n_b"] - x["n_groups"]).alias("n_links"), digest.alias("groups_sha256"))
         .alias(name), F.struct(x["pairs"].alias("pairs"), x["links"].alias("links")).alias(x_name)), "aligned")
