@@ -48,6 +48,11 @@ def ingest_audit(matches: DataFrame, raw_shots: DataFrame | None = None, group:
         F.count(F.when(kept, 1)).alias("kept_shots"),
         F.count(F.when(F.col("passes_filters") & ~kept, 1)).alias("dropped_missing"),
         F.sum(F.when(kept, F.col(TARGET_COLUMN)).cast("long")).alias("goals"))
+    return audit_of_counts(matches, per_match, group)
+
+
+def audit_of_counts(matches: DataFrame, per_match: DataFrame, group: str = GROUP_COLUMN) -> DataFrame:
+    """The audit from per-match counts of the matches that have shots."""
     joined = matches.select(group).join(per_match, group, "left")
     zero = F.lit(0).cast("long")
     out = joined.agg(

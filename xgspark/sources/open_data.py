@@ -49,7 +49,7 @@ class Layout:
 DEFAULT_LAYOUT = Layout()
 
 
-def _read_json(spark: SparkSession, schema: T.StructType, path: str, layout: Layout) -> DataFrame:
+def read_json(spark: SparkSession, schema: T.StructType, path: str | list[str], layout: Layout) -> DataFrame:
     """A scan that keeps every record: a field that does not fit is NULL, and
     an unreadable document is one row of NULLs (dropped by the callers)."""
     from pyspark.errors import AnalysisException
@@ -67,13 +67,13 @@ def _read_json(spark: SparkSession, schema: T.StructType, path: str, layout: Lay
         raise
 
 
-def _file_id(pattern: str) -> Column:
+def file_id(pattern: str) -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).try_cast("bigint")
 
 
 def read_competitions(spark: SparkSession, root: str, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     """Competitions catalogue (S1).  A missing, empty or unreadable catalogue is an error."""
-    df = _read_json(spark, COMPETITIONS_SCHEMA, f"{root.rstrip('/')}/{layout.competitions}", layout)
+    df = read_json(spark, COMPETITIONS_SCHEMA, f"{root.rstrip('/')}/{layout.competitions}", layout)
     # A catalogue row without its ids is unusable.
     df = df.filter(F.col("competition_id").isNotNull() & F.col("season_id").isNotNull())
     if df.isEmpty():
@@ -81,6 +81,17 @@ def read_competitions(spark: SparkSession, root: str, layout: Layout = DEFAULT_L
     return df
 
 
+def match_records(spark: SparkSession, root: str, competition_id: int,
+                  layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
+    """Every record of the competition's match files, parsed once: ``match_id``,
+    ``season_id`` (from the file path), ``file``, ``unreadable``."""
+    path = f"{root.rstrip('/')}/" + layout.matches.format(competition_id=competition_id)
+    schema = T.StructType([*MATCHES_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+    return read_json(spark, schema, path, layout).select(
+        "match_id", file_id(layout.season_id).alias("season_id"), F.col("_metadata.file_path").alias("file"),
+        (F.col(CORRUPT).isNotNull() & F.col("match_id").isNull()).alias("unreadable"))
+
+
 def read_matches(spark: SparkSession, root: str, seasons: DataFrame, competition_id: int,
                  layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     """Matches of the given seasons, tagged with ``season_name``.
@@ -90,9 +101,9 @@ def read_matches(spark: SparkSession, root: str, seasons: DataFrame, competition
     audit counts seasons without a match).
     """
     path = f"{root.rstrip('/')}/" + layout.matches.format(competition_id=competition_id)
-    df = _read_json(spark, MATCHES_SCHEMA, path, layout)
+    df = read_json(spark, MATCHES_SCHEMA, path, layout)
     df = (df.filter(F.col("match_id").isNotNull())
-            .select(F.col("match_id"), _file_id(layout.season_id).alias("season_id")))
+            .select(F.col("match_id"), file_id(layout.season_id).alias("season_id")))
     return attach_season(df, seasons)
 
 
@@ -103,7 +114,7 @@ def read_matches(spark: SparkSession, root: str, seasons: DataFrame, competition
 MAX_PRUNED_IDS = 2_000
 
 
-def _events_path(root: str, match_ids: DataFrame | None, layout: Layout) -> str | None:
+def events_path(root: str, match_ids: DataFrame | None, layout: Layout) -> str | None:
     """Glob of the event files to read; None when no match is chosen.
 
     With a bounded id list (checked with a bounded count) the glob names
@@ -138,31 +149,37 @@ def read_events(spark: SparkSession, root: str, match_ids: DataFrame | None = No
     stays VARIANT.  ``skipped`` observes ``event_files_skipped``: unreadable
     documents among the files read.
     """
-    path = _events_path(root, match_ids, layout)
+    path = events_path(root, match_ids, layout)
     if path is None:
         raw = spark.createDataFrame([], EVENTS_SCHEMA).withColumn("match_id", F.lit(None).cast("bigint"))
     else:
-        raw = _read_json(spark, EVENTS_SCHEMA, path, layout).withColumn("match_id", _file_id(layout.match_id))
+        raw = read_json(spark, EVENTS_SCHEMA, path, layout).withColumn("match_id", file_id(layout.match_id))
 
+    df = raw.select(*event_columns())
+    if skipped is not None:
+        df = df.observe(skipped, F.count_if("unreadable").alias("event_files_skipped"))
+    df = df.filter(~F.col("unreadable")).drop("unreadable")
+    if match_ids is not None and path is not None:
+        df = events_of_matches(df, match_ids)
+    return df
+
+
+def event_columns() -> list[Column]:
+    """The columns of an event from a raw record with its ``match_id``;
+    ``unreadable`` marks a document that is no JSON."""
     def either(flat: str, nested: str) -> Column:
         return F.coalesce(F.col(flat), F.col(nested))
 
-    df = raw.select(
-        "match_id", named_of_variant(F.col("type")).alias("type"),
+    return [
+        F.col("match_id"), named_of_variant(F.col("type")).alias("type"),
         _number(F.col("period"), "int").alias("period"), _number(F.col("minute"), "int").alias("minute"),
-        "location", named_of_variant(F.col("player")).alias("player"), named_of_variant(F.col("team")).alias("team"),
+        F.col("location"), named_of_variant(F.col("player")).alias("player"), named_of_variant(F.col("team")).alias("team"),
         named_of_variant(either("shot_type", "shot.type")).alias("shot_type"),
         named_of_variant(either("shot_outcome", "shot.outcome")).alias("shot_outcome"),
         named_of_variant(either("shot_body_part", "shot.body_part")).alias("shot_body_part"),
         _number(either("shot_statsbomb_xg", "shot.statsbomb_xg"), "double").alias("shot_statsbomb_xg"),
         *[F.try_variant_get(F.col(c), "$", "string").alias(c) for c in EVENT_FLAT_NAMES],
-        (F.col(CORRUPT).isNotNull() & F.col("type").isNull()).alias("__unreadable"))
-    if skipped is not None:
-        df = df.observe(skipped, F.count_if("__unreadable").alias("event_files_skipped"))
-    df = df.filter(~F.col("__unreadable")).drop("__unreadable")
-    if match_ids is not None and path is not None:
-        df = events_of_matches(df, match_ids)
-    return df
+        (F.col(CORRUPT).isNotNull() & F.col("type").isNull()).alias("unreadable")]
 
 
 def compact_events(events: DataFrame, out: str, partition_by: str | None = None) -> None:
