@@ -37,8 +37,8 @@ from collections.abc import Iterator, Sequence
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,8 +50,11 @@ VOCABULARY_A = "/opt/tokenizers/byte_bpe_50k.json"
 VOCABULARY_B = "/opt/tokenizers/piece_bpe_32k.model"
 BATCH_BYTES = 500_000
 FREQUENT_PAIRS = 500_000
+LOOK_UP_ROWS = 1_000
 KNOWN_PARTS = 400_000            # parts between words whose tokens a task remembers
 SPACE = "▁"                 # FIXED VALUE: how B writes a space
+# FIXED VALUE: how byte-level vocabularies split a text before merging.
+BYTE_LEVEL_PATTERN = (r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 LETTER = "[!-~\u00C0-\u024F]"    # printable ASCII and Latin letters: no white space in any reading
 
 
@@ -87,7 +90,11 @@ class Vocabularies:
         self.size_b = np.array([len(x) for x in self.bytes_b], dtype=np.int64)
         digits = [[str(i) + mark for i in range(max(len(self.size_a), len(self.size_b)))] for mark in ",|;"]
         self.inner, self.last_a, self.last_b = (np.array(d, dtype=object) for d in digits)
+        self.word = re.compile(f" {LETTER}+")
+        self.ranked = None
         self.border = re.compile(f"(?<={LETTER})(?= {LETTER})") if self._words_stand_alone(a) else None
+        if self.border:
+            self.ranked = self._by_rank(a)
         self._forget()
 
     def _words_stand_alone(self, a: bytes) -> bool:
@@ -99,10 +106,33 @@ class Vocabularies:
         return before.get("type") == "ByteLevel" and before.get("use_regex", True) and not any(
             SPACE in self.b.id_to_piece(i).lstrip(SPACE) for i in range(self.b.get_piece_size()))
 
+    def _encode_a(self, parts: list[str]) -> list[list[int]]:
+        """Ids of A: single words by the merge ranks, everything else by the
+        tokenizer itself."""
+        if not self.ranked:
+            return [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
+        word = [self.word.fullmatch(p) is not None for p in parts]
+        others = iter(self.a.encode_batch_fast([p for p, w in zip(parts, word) if not w], add_special_tokens=False))
+        by_rank = self.ranked.encode_ordinary
+        return [by_rank(p) if w else next(others).ids for p, w in zip(parts, word)]
+
+    def _by_rank(self, a: bytes):
+        """A tiktoken encoder of the same vocabulary, when its ids stand in the
+        order of its merges; else None."""
+        import tiktoken
+
+        model = json.loads(a)["model"]
+        vocabulary = model.get("vocab") or {}
+        made = [vocabulary.get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model.get("merges") or []]
+        if None in made or made != sorted(made) or model.get("type") != "BPE" or min(made, default=0) < 256:
+            return None
+        merged = set(made)
+        ranks = {raw: i for i, raw in self.bytes_a.items() if i in merged or len(raw) == 1}
+        return tiktoken.Encoding("a", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
     def _encode_parts(self, parts: list[str]) -> None:
         """Adds parts (each begins with a space) to the table of known ones."""
-        sides = ([e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)],
-                 self.b.encode([p[1:] for p in parts], num_threads=1))
+        sides = (self._encode_a(parts), self.b.encode([p[1:] for p in parts], num_threads=1))
         raw = [p.encode("utf-8") for p in parts]
         exact = np.ones(len(parts), dtype=bool)
         for ids, names, size, flat, ends in ((sides[0], self.bytes_a, self.size_a, self.flat_a, self.ends_a),
@@ -325,25 +355,32 @@ def align_documents(docs: DataFrame, *, text: str = "text", vocabulary_a: str =
     shared = spark.sparkContext.broadcast(
         tuple(known[c].to_numpy()[order] for c in ("pair", "n", "best")))
 
-    def look_up(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, n, best = shared.value
-        for pair_lists, link_lists in batches:
-            size = np.array([len(p) for p in pair_lists], dtype=np.int64)
-            of = np.repeat(np.arange(len(size)), size)
-            pair = np.concatenate([*pair_lists, np.zeros(0, dtype=np.int64)]).astype(np.int64)
-            links = np.concatenate([*link_lists, np.zeros(0, dtype=np.int64)]).astype(np.int64)
-            at = np.minimum(np.searchsorted(codes, pair), max(len(codes) - 1, 0))
-            hit = codes[at] == pair if len(codes) else np.zeros(len(pair), dtype=bool)
-            out = np.zeros((2, len(size)), dtype=np.int64)
-            np.add.at(out[0], of[hit], links[hit] * best[at[hit]])
-            np.add.at(out[1], of[hit], links[hit] * n[at[hit]])
-            cut = np.searchsorted(of[~hit], np.arange(len(size) + 1))
-            spare = [np.stack((pair[~hit], links[~hit]))[:, s:e] for s, e in zip(cut[:-1], cut[1:])]
-            yield pd.DataFrame({"n_best": out[0], "count_sum": out[1], "rare": [s[0] for s in spare],
-                                "rare_links": [s[1] for s in spare]})
-
-    looked = F.pandas_udf(look_up, "n_best long, count_sum long, rare array<long>, rare_links array<long>")
-    found = table.withColumn(x_name, looked(x["pairs"], x["links"]))
+        for whole in batches:
+            for start in range(0, whole.num_rows, LOOK_UP_ROWS):
+                rows = whole.slice(start, LOOK_UP_ROWS)
+                pairs = rows.column("pairs")
+                of = np.asarray(pc.list_parent_indices(pairs), dtype=np.int64)
+                pair, links = np.asarray(pairs.flatten()), np.asarray(rows.column("links").flatten())
+                at = np.minimum(np.searchsorted(codes, pair), max(len(codes) - 1, 0))
+                hit = codes[at] == pair if len(codes) else np.zeros(len(pair), dtype=bool)
+                sums = np.zeros((2, len(rows)), dtype=np.int64)
+                np.add.at(sums[0], of[hit], links[hit] * best[at[hit]])
+                np.add.at(sums[1], of[hit], links[hit] * n[at[hit]])
+                cut = pa.array(np.searchsorted(of[~hit], np.arange(len(rows) + 1)), pa.int32())
+                found = {"n_best": pa.array(sums[0]), "count_sum": pa.array(sums[1]),
+                         "rare": pa.ListArray.from_arrays(cut, pa.array(pair[~hit])),
+                         "rare_links": pa.ListArray.from_arrays(cut, pa.array(links[~hit]))}
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("kept"), pa.StructArray.from_arrays(list(found.values()), list(found))], ["kept", "found"])
+
+    kept = table.select(F.struct(F.col(key).alias("k"), F.col(name).alias("a"),
+                                 *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]).alias("kept"), f"{x_name}.*")
+    found = kept.mapInArrow(look_up, f"kept {kept.schema['kept'].dataType.simpleString()}, found struct<n_best:long,"
+                                     "count_sum:long,rare:array<long>,rare_links:array<long>>") \
+                .select(*[F.col(f"kept.c{i}").alias(c) for i, c in enumerate(carry)], F.col("kept.k").alias(key),
+                        F.col("kept.a").alias(name), F.col("found").alias(x_name))
     rest = (found.select(F.col(key).alias(k_name), x["rare"].alias("rare"), x["rare_links"].alias("rare_links"))
                  .select(k_name, F.explode(F.arrays_zip("rare", "rare_links")).alias("r"))
                  .select(k_name, F.col("r.rare").alias("pair"), F.col("r.rare_links").alias("l"))
