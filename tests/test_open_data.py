@@ -180,3 +180,22 @@ def test_no_valid_shots_is_an_error(spark, tmp_path):
                                                           _shot([100.0, 40.0], period=5)]))
     with pytest.raises(NoDataError):
         build_shots(spark, str(root), None, competition_id=43)
+
+
+def test_csv_files_are_bound_by_their_own_headers(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "part-0.csv").write_text("match_id,distance_to_goal,shot_angle,is_goal\n1,10.5,20.5,1\n")
+    (folder / "part-1.csv").write_text('is_goal,"shot_angle",note,match_id,distance_to_goal\n0,30.5,"a, b",2,40.5\n')
+    (folder / "part-2.csv").write_text("")
+    (folder / "_SUCCESS").write_text("")
+    rows = {r.match_id: r for r in read_shots(spark, str(folder), "csv").collect()}
+    assert (rows[1].distance_to_goal, rows[1].shot_angle, rows[1].is_goal, rows[1].note) == (10.5, 20.5, 1, None)
+    assert (rows[2].distance_to_goal, rows[2].shot_angle, rows[2].is_goal, rows[2].note) == (40.5, 30.5, 0, "a, b")
+    one = read_shots(spark, str(folder / "part-0.csv"), "csv")
+    assert one.columns == ["match_id", "distance_to_goal", "shot_angle", "is_goal"] and one.count() == 1
+    (folder / "part-3.csv").write_text("match_id,distance_to_goal,is_goal\n1,10.5,1\n")
+    with pytest.raises(MissingColumnsError, match="part-3.csv.*shot_angle"):
+        read_shots(spark, str(folder), "csv")
+    with pytest.raises(MissingColumnsError):
+        read_shots(spark, str(tmp_path / "none*"), "csv")

@@ -9,6 +9,7 @@ Doubles compared against the SQL oracle are rounded half-up to 6 decimals
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from xgspark.plans.scoring import score_batch, score_json
 from xgspark.plans.training import train
 from xgspark.schemas import MODEL_TABLE_SCHEMA
 from xgspark.session import scratch_path
-from xgspark.sources import model_io, shots_io, tables
+from xgspark.sources import event_store, model_io, shots_io, tables
 from xgspark.sources.open_data import Layout, read_competitions, read_events, read_matches
 
 # --- FIXED VALUES: fixture parameters of the registered queries ---
@@ -316,6 +317,27 @@ WRITTEN_LAYOUT = Layout(competitions="competitions", matches="matches/season_id=
                         season_id=r"season_id=(\d+)/", match_id=r"match_id=(\d+)/", multi_line=False)
 
 
+# Events of one match go to files of at most about this many: a match with a
+# third of the table is many files, not one task.
+EVENTS_PER_FILE = 50_000
+
+
+def _event_records(spark, sf_dir) -> DataFrame:
+    raw = tables.raw_events_view(spark, sf_dir)
+    shot = F.struct(F.struct(F.lit(0).alias("id"), F.col("shot_outcome").alias("name")).alias("outcome"),
+                    F.col("shot_body_part").alias("body_part"), F.col("shot_statsbomb_xg").alias("statsbomb_xg"))
+    return raw.select("event_id", "match_id", "type", "period", "minute", F.try_parse_json("location").alias("location"),
+                      "player", "team_name", "team", "shot_type", shot.alias("shot"))
+
+
+def _write_events(records: DataFrame, root: str, replace: bool = False) -> None:
+    """JSON lines, one folder a match (``replace``: in place of what the folder held)."""
+    files = records.groupBy("match_id").agg(F.ceil(F.count(F.lit(1)) / EVENTS_PER_FILE).alias("files"))
+    dealt = records.join(files, "match_id").withColumn("file", F.pmod(F.xxhash64("event_id"), F.col("files")))
+    dealt.repartition("match_id", "file").drop("event_id", "files", "file").write.partitionBy("match_id") \
+         .mode("overwrite" if replace else "append").option("partitionOverwriteMode", "dynamic").json(f"{root}/events")
+
+
 def _open_data(spark, sf_dir, *parts: str) -> str:
     """The catalogue views written as open-data JSON under the shared folder."""
     root = scratch_path(spark, "open-data")
@@ -324,12 +346,7 @@ def _open_data(spark, sf_dir, *parts: str) -> str:
     if "matches" in parts:
         tables.matches_view(spark, sf_dir).repartition("season_id").write.partitionBy("season_id").json(f"{root}/matches")
     if "events" in parts:
-        raw = tables.raw_events_view(spark, sf_dir)
-        shot = F.struct(F.struct(F.lit(0).alias("id"), F.col("shot_outcome").alias("name")).alias("outcome"),
-                        F.col("shot_body_part").alias("body_part"), F.col("shot_statsbomb_xg").alias("statsbomb_xg"))
-        raw.select("match_id", "type", "period", "minute", F.try_parse_json("location").alias("location"), "player",
-                   "team_name", "team", "shot_type", shot.alias("shot")) \
-           .repartition("match_id").write.partitionBy("match_id").json(f"{root}/events")
+        _write_events(_event_records(spark, sf_dir), root)
     return root
 
 
@@ -364,6 +381,76 @@ def q_build_shots(spark, sf_dir) -> DataFrame:
     return _clean_out(build_shots(spark, root, competition_id=ETL_COMPETITION_ID, layout=WRITTEN_LAYOUT).shots)
 
 
+# Files of any ending: what stands for broken and empty files is written as text.
+PLANTED_LAYOUT = replace(WRITTEN_LAYOUT, matches="matches/season_id=*/part-*", events="events/match_id=*/part-*",
+                         event_files="events/match_id={match_ids}/part-*")
+
+
+def _write_text(keys: DataFrame, line: str, path: str) -> None:
+    """A file of one line for each key, in the key's folder."""
+    keys.select("*", F.lit(line).alias("value")).distinct().write.mode("append").partitionBy(keys.columns[0]).text(path)
+
+
+def q_event_file_ledger(spark, sf_dir) -> DataFrame:
+    """The outcome of every expected season and match file, with
+    unreadable, empty and absent files among the written ones."""
+    root = _open_data(spark, sf_dir, "competitions")
+    matches = tables.matches_view(spark, sf_dir)
+    season, match = F.col("season_id") % 5, F.col("match_id") % 19
+    matches.filter(~season.isin(2, 3)).repartition("season_id").write.partitionBy("season_id").json(f"{root}/matches")
+    _write_text(matches.filter(season == 3).select("season_id"), "{ no json", f"{root}/matches")
+    _write_events(_event_records(spark, sf_dir).filter(~match.isin(3, 5, 7)), root)
+    _write_text(matches.filter(match == 3).select("match_id"), "{ no json", f"{root}/events")
+    _write_text(matches.filter(match == 5).select("match_id"), " ", f"{root}/events")
+    etl = build_shots(spark, root, competition_id=ETL_COMPETITION_ID, layout=PLANTED_LAYOUT,
+                      store=scratch_path(spark, "event-store"))
+    # A hot match has several files: the ledger has a row for each, here added up.
+    return etl.ledger.groupBy("kind", "id", "outcome").agg(F.sum("records").alias("records"),
+                                                           F.sum("unreadable").alias("unreadable"))
+
+
+def q_incremental_ingest(spark, sf_dir) -> DataFrame:
+    """S3 in two runs: the second parses new and changed files only; per match
+    the events that count and the run that parsed them."""
+    root, store = scratch_path(spark, "open-data"), scratch_path(spark, "event-store")
+    records, match = _event_records(spark, sf_dir), F.col("match_id")
+    _write_events(records.filter(match % 3 != 0), root)
+    event_store.sync_events(spark, root, store, layout=WRITTEN_LAYOUT)
+    later = ((match % 10 == 1) & (F.col("event_id") % 2 == 0)) | ((match % 10 != 1) & (match % 3 == 0))
+    _write_events(records.filter(later), root, replace=True)
+    event_store.sync_events(spark, root, store, layout=WRITTEN_LAYOUT)
+    return event_store.read_store(spark, store).groupBy("match_id", "run").agg(F.count(F.lit(1)).alias("events"))
+
+
+def _build_from_store(spark, sf_dir):
+    root = _open_data(spark, sf_dir, "competitions", "matches", "events")
+    return build_shots(spark, root, competition_id=ETL_COMPETITION_ID, layout=WRITTEN_LAYOUT,
+                       store=scratch_path(spark, "event-store"))
+
+
+def q_stored_build_shots(spark, sf_dir) -> DataFrame:
+    """E1 on stored events."""
+    return _clean_out(_build_from_store(spark, sf_dir).shots)
+
+
+def q_stored_audit(spark, sf_dir) -> DataFrame:
+    """A3 from the per-file counts of the store."""
+    return _build_from_store(spark, sf_dir).audit
+
+
+def q_csv_column_orders(spark, sf_dir) -> DataFrame:
+    """S6 on files whose columns stand in different orders (one has a column more)."""
+    path = scratch_path(spark, "shots-csv-orders")
+    src = tables.shots_view(spark, sf_dir)
+    halves = [src.filter("shot_id % 2 = 0"), src.filter("shot_id % 2 = 1").select(*reversed(src.columns), F.lit("n").alias("note"))]
+    for i, half in enumerate(halves):
+        shots_io.write_shots(half, f"{path}/half-{i}", "csv")
+    back = shots_io.read_shots(spark, f"{path}/half-*", "csv")
+    return back.select(F.col("shot_id").cast("bigint").alias("shot_id"), "match_id", "x", "y",
+                       r6("distance_to_goal").alias("distance_to_goal"),
+                       r6("shot_angle").alias("shot_angle"), "is_goal", "note")
+
+
 def q_csv_round_trip(spark, sf_dir) -> DataFrame:
     """Write shots as CSV, read them back with the required-column check."""
     path = scratch_path(spark, "shots-csv")
@@ -428,7 +515,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "open_data_matches": q_open_data_matches,
     "open_data_events": q_open_data_events,
     "build_shots": q_build_shots,
+    "event_file_ledger": q_event_file_ledger,
+    "incremental_ingest": q_incremental_ingest,
+    "stored_build_shots": q_stored_build_shots,
+    "stored_audit": q_stored_audit,
     "csv_round_trip": q_csv_round_trip,
+    "csv_column_orders": q_csv_column_orders,
     "model_round_trip": q_model_round_trip,
     "stream_scores": q_stream_scores,
 }

@@ -453,7 +453,37 @@ SELECT (SELECT count(*) FROM all_shots) - n_train AS rows_dropped, n_train AS n_
 SELECT match_id, type_name, period, minute, player_name, shot_type, outcome, body_part,
        {r6('statsbomb_xg')} AS statsbomb_xg FROM raw""",
     "build_shots": f"WITH {RAW}, {CATALOGUE}, {_clean_from('etl_raw')}\n{CLEAN_SELECT}",
+    "event_file_ledger": f"""WITH {RAW}, {CATALOGUE},
+per_season AS (SELECT CAST(c_nationkey AS BIGINT) AS season_id, count(*) AS n FROM customer GROUP BY 1),
+per_match AS (SELECT match_id, count(*) AS n FROM raw GROUP BY match_id),
+season_files AS (
+  SELECT 'matches' AS kind, s.season_id AS id, coalesce(p.n, 0) AS n,
+         CASE WHEN p.n IS NULL OR s.season_id % 5 = 2 THEN 'missing' WHEN s.season_id % 5 = 3 THEN 'corrupt' ELSE 'read' END AS outcome
+  FROM seasons s LEFT JOIN per_season p USING (season_id)),
+event_files AS (
+  SELECT 'events' AS kind, i.match_id AS id, coalesce(p.n, 0) AS n,
+         CASE WHEN i.match_id % 19 = 3 THEN 'corrupt' WHEN i.match_id % 19 = 5 THEN 'empty'
+              WHEN i.match_id % 19 = 7 OR p.n IS NULL THEN 'missing' ELSE 'read' END AS outcome
+  FROM (SELECT DISTINCT match_id FROM season_matches WHERE season_id % 5 NOT IN (2, 3)) i LEFT JOIN per_match p USING (match_id))
+SELECT kind, id, outcome, CAST(CASE WHEN outcome = 'read' THEN n ELSE 0 END AS BIGINT) AS records,
+       CAST(CASE WHEN outcome = 'corrupt' THEN 1 ELSE 0 END AS BIGINT) AS unreadable
+FROM (SELECT * FROM season_files UNION ALL SELECT * FROM event_files)""",
+    "incremental_ingest": f"""WITH {RAW},
+per AS (SELECT match_id, count(*) AS n, count(CASE WHEN event_id % 2 = 0 THEN 1 END) AS even FROM raw GROUP BY match_id)
+SELECT match_id, CAST(CASE WHEN match_id % 10 = 1 AND even > 0 OR match_id % 10 <> 1 AND match_id % 3 = 0
+                           THEN 2 ELSE 1 END AS INTEGER) AS run,
+       CASE WHEN match_id % 10 = 1 AND even > 0 THEN even ELSE n END AS events
+FROM per WHERE match_id IS NOT NULL AND NOT (match_id % 10 = 1 AND even = 0 AND match_id % 3 = 0)""",
+    "stored_build_shots": f"WITH {RAW}, {CATALOGUE}, {_clean_from('etl_raw')}\n{CLEAN_SELECT}",
+    "csv_column_orders": f"""WITH {SHOTS}
+{_SHOTS_OUT}, is_goal, CASE WHEN shot_id % 2 = 1 THEN 'n' END AS note FROM shots""",
     "csv_round_trip": f"WITH {SHOTS}\n{_SHOTS_OUT}, is_goal FROM shots",
     "model_round_trip": OOF.replace("WITH ", "WITH RECURSIVE ", 1),
     "stream_scores": _score_sql(SERVICE_MODEL),
 }
+
+ORACLE["stored_audit"] = ORACLE["ingest_audit"].replace(
+    "FROM m, c, f", """,
+       (SELECT count(*) FROM seasons WHERE season_id NOT IN (SELECT season_id FROM season_matches)) AS seasons_without_matches,
+       CAST(0 AS BIGINT) AS event_files_skipped
+FROM m, c, f""").replace("dropped_missing, goals\n,", "dropped_missing, goals,")
