@@ -2,24 +2,31 @@
 and the raw-corpus multinomial, length-normalised, and one fixed threshold for
 every document.
 
-Words and word pairs are hashed into ``BUCKETS`` buckets.  Two multinomials are
-counted over them: the raw corpus (all documents) and the trusted target
-(documents labelled good quality and not toxic).  A document's score is the
-mean over its n-grams of ``log(target / raw)``, both smoothed; it is kept when
-the score reaches ``MIN_SCORE`` and the base rules pass.  The decision depends
-on the document and the two count tables alone: no sampling of documents.
-
-Scale: two scans of the documents, no shuffle of texts.  Each task adds its
-n-grams into one array of fixed size and sends the buckets it filled; the sum
-is a table of at most ``BUCKETS`` rows, which is broadcast.  The trusted ids
-are a sample of at most about ``MAX_TRUSTED`` labelled documents, chosen by
-hash, so their broadcast is bounded too.
+The n-grams are the runs of three bytes of a text, hashed into ``BUCKETS``
+buckets: short enough that a text that was never seen is judged by its
+language, case and punctuation, not by the words it happens to share.  Two
+multinomials are counted over them: the raw corpus (all documents) and the
+trusted target (all documents labelled good quality and not toxic).  A
+document's score is the mean over its n-grams of ``log(target / raw)``; it is
+kept when the score reaches ``MIN_SCORE`` and the base rules pass.
+
+Every document is scored against the counts *without its own n-grams* (taken
+out of the raw counts, and of the target's if it is trusted), so a document
+that was labelled is judged like one that was not.  The target is mixed with a
+share ``BACKOFF`` of the raw multinomial: an n-gram that no trusted document has
+costs ``log(BACKOFF)``, at any size of the corpus.
+
+Scale: two scans of the documents; each task adds its n-grams into one array of
+fixed size and sends the buckets it filled, so the sum is a table of at most
+``BUCKETS`` rows, which is broadcast.  The trusted ids are marked by a join,
+broadcast behind a count; no label is left out.
 
 Edge cases: null and empty texts have no words, fail the base rules and score
-0; labels of absent documents, null or repeated labels add nothing (an id is
-trusted when some row says good and none says toxic); without any trusted
-document both multinomials are uniform apart from the raw counts and the
-verdict falls back to the base rules; other columns are never looked at.
+0, as do texts under three bytes; labels of absent documents, null or repeated
+labels add nothing (an id is trusted when some row says good and none says
+toxic); rows that repeat an id are each a document of its own; without any
+trusted document every score is 0 and the verdict is that of the base rules;
+whole texts of any length count; other columns are never looked at.
 """
 
 from collections.abc import Iterator
@@ -30,15 +37,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from xgspark.llm._frame import free_name
-from xgspark.llm._text import Rolling, Words, byte_batches, encode, mix64
+from xgspark.llm._text import BYTE_CODE, Rolling, Words, byte_batches, encode, mix64
+from xgspark.operators.joins import broadcast_if_small
+from xgspark.session import materialize
 
 BUCKETS = 1 << 16
-MAX_TRUSTED = 20_000
-SMOOTHING = 1.0
-MIN_SCORE = -0.15
+NGRAM_BYTES = 3
+BACKOFF = 0.005          # share of the raw multinomial in the target
+MIN_SCORE = -1.0
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 BATCH_BYTES = 2_000_000
+UNITS = 2 ** 24
 
 # FIXED VALUES: the characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -47,7 +57,7 @@ _IS_SYMBOL = np.zeros(256, dtype=np.int64)
 _IS_SYMBOL[list(SYMBOLS)] = 1
 _LINE_BLANK = " \t\r\x0b\x0c"
 
-PAIR_BASE = 0xC2B2AE3D27D4EB4F
+NGRAM_BASE = 0xC2B2AE3D27D4EB4F
 TRIPLE_BASE = 0x9FB21C651E98DF25
 
 
@@ -57,14 +67,14 @@ def _sum_by_text(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-def ngram_buckets(words: Words, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, text) of every word and every pair of neighbouring words."""
-    count = len(words.first) - 1
-    text = np.repeat(np.arange(count), np.diff(words.first))
-    pair = np.flatnonzero(text[1:] == text[:-1])
-    pairs = Rolling(codes, PAIR_BASE).slice_hash(pair, pair + 2) if len(pair) else codes[:0]
-    bucket = np.concatenate((codes, pairs)) % np.uint64(BUCKETS)
-    return bucket.astype(np.int64), np.concatenate((text, text[pair]))
+def ngram_buckets(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, text) of every run of ``NGRAM_BYTES`` bytes within a text."""
+    size = np.diff(words.offset) - 1                   # one blank ends each text
+    runs = np.maximum(size - NGRAM_BYTES + 1, 0)
+    text = np.repeat(np.arange(len(runs)), runs)
+    at = np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs) + words.offset[:-1][text]
+    run = Rolling(BYTE_CODE[words.data], NGRAM_BASE).slice_hash(at, at + NGRAM_BYTES)
+    return (run % np.uint64(BUCKETS)).astype(np.int64), text
 
 
 def repeated_words(words: Words, codes: np.ndarray, n: int = 3) -> np.ndarray:
@@ -108,8 +118,8 @@ def count_ngrams(docs: DataFrame, trusted: Column, text: Column) -> DataFrame:
         both = np.zeros((2, BUCKETS), dtype=np.int64)
         for rows in batches:
             good = rows["trusted"].to_numpy(dtype=bool)
-            for a, _, words, codes in _batches(rows["text"]):
-                bucket, of = ngram_buckets(words, codes)
+            for a, _, words, _ in _batches(rows["text"]):
+                bucket, of = ngram_buckets(words)
                 both[0] += np.bincount(bucket, minlength=BUCKETS)
                 both[1] += np.bincount(bucket[good[a + of]], minlength=BUCKETS)
         filled = np.flatnonzero(both[0])
@@ -120,54 +130,54 @@ def count_ngrams(docs: DataFrame, trusted: Column, text: Column) -> DataFrame:
                 .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
 
 
-def trusted_ids(labels: DataFrame, limit: int = MAX_TRUSTED) -> DataFrame:
-    """Ids labelled good and never toxic: all of them, or about ``limit``
-    chosen by hash when there are more."""
-    good = (labels.groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids labelled good and never toxic."""
+    return (labels.groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
                   .filter("doc_id is not null and q = 1 and coalesce(t, 0) = 0").select("doc_id"))
-    count = good.count()
-    if count > limit:
-        share = 1 << 30
-        good = good.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) < int(share * limit / count))
-    return good
-
-
-def log_ratios(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
-               max_trusted: int = MAX_TRUSTED) -> np.ndarray:
-    """``log(target / raw)`` of every bucket (the model: ``BUCKETS`` doubles)."""
-    ids = trusted_ids(labels, max_trusted).select(F.col("doc_id").alias("good_id"))
-    marked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("body")) \
-                 .join(F.broadcast(ids), F.col("id") == F.col("good_id"), "left")
-    rows = count_ngrams(marked, F.col("good_id").isNotNull(), F.col("body")).collect()  # <= BUCKETS rows
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in rows:
-        raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
-    if not target.sum():
-        return np.zeros(BUCKETS)
-    smooth = SMOOTHING * raw / max(raw.sum(), 1.0) * BUCKETS + 1e-3   # prior: the raw multinomial
-    return np.log((target + smooth) / (target.sum() + smooth.sum())) - \
-        np.log((raw + smooth) / (raw.sum() + smooth.sum()))
+
+
+def ngram_counts(docs: DataFrame, trusted: Column, text: Column) -> np.ndarray:
+    """The two count arrays (raw, target): the model, ``2 * BUCKETS`` numbers."""
+    both = np.zeros((2, BUCKETS), dtype=np.int64)
+    for r in count_ngrams(docs, trusted, text).collect():           # at most BUCKETS rows
+        both[:, r["bucket"]] = r["raw"], r["target"]
+    return both
+
+
+def log_ratios(both: np.ndarray, bucket: np.ndarray, of: np.ndarray, trusted: np.ndarray) -> np.ndarray:
+    """Summed ``log(target / raw)`` of the n-grams of each text, the text's own
+    n-grams left out of both; in whole units of ``2 ** -24``, so that a sum is
+    the same in any order."""
+    summed = np.zeros(len(trusted), dtype=np.int64)
+    if not len(bucket) or not both[1].any():
+        return summed
+    key, times = np.unique(of * BUCKETS + bucket, return_counts=True)
+    text, bucket = key // BUCKETS, key % BUCKETS
+    own = np.bincount(of, minlength=len(trusted))
+    of_target = np.where(trusted[text], times, 0)
+    raw = (both[0][bucket] - times + 0.5) / (both[0].sum() - own[text] + 0.5 * BUCKETS)
+    left = both[1].sum() - np.where(trusted, own, 0)[text]
+    target = (1 - BACKOFF) * (both[1][bucket] - of_target) / np.maximum(left, 1) + BACKOFF * raw
+    np.add.at(summed, text, np.round(np.log(target / raw) * UNITS).astype(np.int64) * times)
+    summed[(both[1].sum() - np.where(trusted, own, 0)) == 0] = 0      # nothing trusted but the text itself
+    return summed
 
 
 SCORE_TYPE = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, "
               "n_repeat_words long, n_ngrams long, log_ratio double")
 
 
-def measures(text: Column, ratios: np.ndarray, spark) -> Column:
+def measures(text: Column, trusted: Column, both: np.ndarray, spark) -> Column:
     """Struct of the base counts, the n-gram count and the summed log ratio."""
-    shared = spark.sparkContext.broadcast(ratios)
+    shared = spark.sparkContext.broadcast(both)
 
-    def measure(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        ratio = shared.value
-        for texts in batches:
-            parts = []
+    def measure(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        both = shared.value
+        for texts, good in batches:
+            good, parts = good.to_numpy(dtype=bool), []
             for a, b, words, codes in _batches(texts):
-                bucket, of = ngram_buckets(words, codes)
+                bucket, of = ngram_buckets(words)
                 letters = words.inside & ((words.data & 0xC0) != 0x80)
-                # Whole units of 2**-32, so the sum is the same in any order.
-                units = np.round(ratio[bucket] * 2 ** 32).astype(np.int64)
-                summed = np.zeros(b - a, dtype=np.int64)
-                np.add.at(summed, of, units)
                 parts.append(pd.DataFrame({
                     "n_words": np.diff(words.first),
                     "word_chars": _sum_by_text(letters.astype(np.int64), words.offset),
@@ -175,20 +185,23 @@ def measures(text: Column, ratios: np.ndarray, spark) -> Column:
                     "n_dup_lines": [duplicate_lines(t) for t in texts.iloc[a:b]],
                     "n_repeat_words": repeated_words(words, codes),
                     "n_ngrams": np.bincount(of, minlength=b - a),
-                    "log_ratio": summed / 2 ** 32}))
+                    "log_ratio": log_ratios(both, bucket, of, good[a:b]) / UNITS}))
             yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(
                 {c.split()[0]: [] for c in SCORE_TYPE.split(", ")})
 
-    return F.pandas_udf(measure, SCORE_TYPE)(text)
+    return F.pandas_udf(measure, SCORE_TYPE)(text, trusted)
 
 
 def score(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
-          min_score: float = MIN_SCORE, max_trusted: int = MAX_TRUSTED) -> DataFrame:
+          min_score: float = MIN_SCORE) -> DataFrame:
     """All columns of the documents plus one struct column ``quality`` (a
     longer name if taken): base counts, ``base_failed``, ``score``, ``kept``."""
-    ratios = log_ratios(docs, labels, doc_id=doc_id, text=text, max_trusted=max_trusted)
-    m_name = free_name(docs, "measures")
-    out = docs.withColumn(m_name, measures(F.col(text), ratios, docs.sparkSession))
+    m_name, good = free_name(docs, "measures"), free_name(docs, "good_id")
+    ids = materialize(trusted_ids(labels).withColumnRenamed("doc_id", good), "trusted-ids")
+    marked = docs.join(broadcast_if_small(ids), docs[doc_id] == ids[good], "left")
+    trusted = F.col(good).isNotNull()
+    both = ngram_counts(marked.select(trusted.alias("trusted"), F.col(text).alias("body")), F.col("trusted"), F.col("body"))
+    out = marked.withColumn(m_name, measures(F.col(text), trusted, both, docs.sparkSession)).drop(good)
     m = F.col(m_name)
     failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
     mean = F.when(m["n_ngrams"] > 0, m["log_ratio"] / m["n_ngrams"]).otherwise(0.0)
