@@ -1,8 +1,6 @@
 import hashlib
 import re
 
-from pyspark.sql import functions as F
-
 from tests.conftest import SF_SMALL
 from xgspark.llm import decontaminate
 from xgspark.sources.tables import read_table
@@ -55,29 +53,57 @@ def test_short_overlapping_and_odd_items(spark):
     texts = [None, "", "--", "alpha... BETA\n\ngamma", "alphabeta gamma", "x " + " ".join(f"Q{i}" for i in range(3, 14)) + " y",
              "Alpha beta gamma alpha beta gamma", "zu über, Straße", "ÜBER straße", "omega  one", "q1 q2"]
     d, b = make(spark, items, texts)
-    hit = d.select("doc_id", "text", decontaminate.hits(F.col("text"), b).alias("r")).orderBy("doc_id").collect()
+    for limit in (decontaminate.MAX_WINDOWS, 2):                      # one automaton, several
+        check_odd_items(d, b, texts, items, limit)
+
+
+def check_odd_items(d, b, texts, items, limit):
+    marked = decontaminate.mark_hits(d, b, max_windows=limit)
+    hit = marked.withColumnRenamed("hits", "r").orderBy("doc_id").collect()
     want = brute([(i, t) for i, t in enumerate(texts)], [(i if i is not None else "", t) for i, t in items])
     assert [(r.r.n_words, r.r.n_hit, len(r.r.item_ids)) for r in hit] == [(w[1], w[2], w[3]) for w in want]
     assert hit[3].r.item_ids == ["1", "5"]
     # spans point into the original text
     assert [hit[3].text[s.start:s.end] for s in hit[3].r.spans] == ["alpha... BETA\n\ngamma"]
     assert [hit[7].text[s.start:s.end] for s in hit[7].r.spans] == ["über, Straße"]
-    clean = decontaminate.decontaminate(d, b)
+    clean = decontaminate.decontaminate(d, b, max_windows=limit)
     assert clean.columns == d.columns and sorted(r.doc_id for r in clean.collect()) == [0, 1, 2, 4, 8, 10]
 
 
-def test_empty_tables_and_size_bound(spark, odd_docs, no_docs):
-    import pytest
-
+def test_empty_and_odd_tables(spark, odd_docs, no_docs):
     _, none = make(spark, [], [])
     _, one = make(spark, [(1, "w1 w2")], [])
     assert decontaminate.decontaminate(odd_docs, none).count() == odd_docs.count()
     assert decontaminate.decontaminate(no_docs, one).count() == 0
-    with pytest.raises(ValueError):
-        decontaminate.hits(F.col("text"), one, max_benchmark_bytes=3)
+    named = odd_docs.withColumnRenamed("k", "hits").withColumnRenamed("size", "row")
+    for limit in (decontaminate.MAX_WINDOWS, 1):
+        _, two = make(spark, [(1, "w1 w2"), (2, "w3")], [])
+        marked = decontaminate.mark_hits(named, two, max_windows=limit)
+        assert marked.columns == [*named.columns, "hits_"] and marked.count() == odd_docs.count()
+        want = brute([(0, r.text) for r in odd_docs.collect()], [(1, "w1 w2"), (2, "w3")])
+        assert sorted((r.hits_.n_words, r.hits_.n_hit) for r in marked.collect()) == sorted((w[1], w[2]) for w in want)
+        assert any(r.hits_.n_hit for r in marked.collect())
+
+
+def test_an_automaton_is_bounded_and_the_result_the_same(spark, monkeypatch):
+    """However large the benchmark, no automaton has more windows than the bound."""
+    docs, items = read_table(spark, SF_SMALL, "documents").select("doc_id", "text"), read_table(spark, SF_SMALL, "benchmark")
+    built = []
+    share = decontaminate._shared
+    monkeypatch.setattr(decontaminate, "_shared", lambda spark, w: built.append(w.count()) or share(spark, w))
+    one = sorted(map(str, decontaminate.mark_hits(docs, items).collect()))
+    n = built.pop()
+    many = sorted(map(str, decontaminate.mark_hits(docs, items, max_windows=n // 4).collect()))
+    assert many == one and len(built) > 4 and max(built) <= n // 4 and sum(built) == n
+
+
+def test_a_node_is_a_word():
+    windows = [(" ".join(f"word{i + k:07d}" for k in range(10)), ["1"]) for i in range(2000)]
+    matcher = decontaminate.Matcher(windows)
+    assert matcher.automaton.get_stats()["nodes_count"] <= 10 * len(windows) + 1
 
 
 def test_very_long_text(spark):
     d, b = make(spark, [(1, "needle in the hay")], ["hay " * 300_000 + "needle in the hay " + "é" * 5])
-    r = d.select("text", decontaminate.hits(F.col("text"), b).alias("r")).first()
+    r = decontaminate.mark_hits(d, b).withColumnRenamed("hits", "r").first()
     assert (r.r.n_words, r.r.n_hit) == (300_005, 4) and r.text[r.r.spans[0].start:r.r.spans[0].end] == "needle in the hay"

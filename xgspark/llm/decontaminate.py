@@ -4,27 +4,43 @@ benchmark items, each document scanned once, hits mapped to the original text.
 Normalising lower-cases A-Z and takes words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+``
 (digits, letters, everything beyond ASCII).  A window is ``n`` consecutive
 words of an item; an item of fewer words (but not none) is one window.  Every
-distinct window is one pattern of the automaton, bounded by a space on both
-sides, so it can only match whole words.
+distinct window is one pattern of the automaton.  It works on word numbers: a
+node is a word, not a letter, and a pattern can only match whole words.
 
-Scale: documents are scanned where they are read; no shuffle.  The benchmark
-is broadcast, and its size is checked first (``max_benchmark_bytes``): test
-sets are bounded by nature, a larger table raises instead of being cut.
+Scale: documents are scanned where they are read; no shuffle of texts.  The
+distinct windows are made and counted in Spark.  Up to ``MAX_WINDOWS`` of them
+(``n`` nodes each at most) make the automaton, which every worker process builds
+once.  A larger benchmark is dealt by a hash of the window to as many automata
+as that bound asks for; each is built, used for one pass over the documents and
+given up, and the marks of the passes are put together by document.  So a worker
+never holds more than one bounded automaton, and the result does not depend on
+their number.
 
 Edge cases: a null item id counts as the empty string; null and empty texts, or texts without a word, have no words and
 no hits; items without a word have no window; repeated items each count;
-documents keep any extra columns, whatever their names.
+very long texts are scanned whole; documents keep any extra columns, whatever
+their names.
 """
 
+import sys
+import types
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from xgspark.llm._frame import free_name
+from xgspark.session import materialize, materialize_counted
+
 WINDOW_WORDS = 10
-MAX_BENCHMARK_BYTES = 256 * 1024 * 1024
+# Windows of one automaton: at most ten nodes each, about 160 MB a worker.
+MAX_WINDOWS = 300_000
+# (window, item) pairs of one automaton.
+MAX_OWNERS = 4_000_000
 
+MARKS = "array<struct<word:int,words:int>>"
 HIT_TYPE = ("n_words long, n_hit long, item_ids array<string>, "
             "spans array<struct<start:int,end:int>>")
 
@@ -37,56 +53,75 @@ def blanked(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8").lower().translate(_TABLE)
 
 
+def text_words(text: str | None) -> list[bytes]:
+    return blanked(text).split()
+
+
 def item_windows(text: str | None, n: int) -> set[str]:
-    """The windows of one benchmark item, each as `` w1 w2 ... ``."""
-    words = blanked(text).decode("utf-8").split(" ")
-    words = [w for w in words if w]
+    """The windows of one benchmark item, each as its words joined by blanks."""
+    words = text_words(text)
     if not words:
         return set()
-    return {" " + " ".join(words[i:i + n]) + " " for i in range(max(1, len(words) - n + 1))}
-
-
-def build_automaton(items: list[tuple[str, str | None]], n: int):
-    """Automaton whose values are ``(words in the window, item ids)``; None
-    when no item has a window."""
-    import ahocorasick
-
-    owners: dict[str, list[str]] = {}
-    for item_id, text in items:
-        for w in item_windows(text, n):
-            owners.setdefault(w, []).append(item_id)
-    if not owners:
-        return None
-    a = ahocorasick.Automaton()
-    for w, ids in owners.items():
-        a.add_word(w, (w.count(" ") - 1, ids))
-    a.make_automaton()
-    return a
-
-
-def scan(text: str | None, automaton) -> tuple[int, int, list[str], list[tuple[int, int]]]:
-    """(words, hit words, ids of occurring items, hit spans in code points of
-    the original text)."""
-    blank = blanked(text)
-    words = blank.split()
-    if not words or automaton is None:
-        return len(words), 0, [], []
-    norm = (b" " + b" ".join(words) + b" ").decode("utf-8")
-    found = list(automaton.iter(norm))
-    if not found:
-        return len(words), 0, [], []
-    starts, at = {}, 1                       # position in norm -> word index
-    for i, w in enumerate(norm[1:-1].split(" ")):
-        starts[at + len(w)] = i              # the blank that ends word i
-        at += len(w) + 1
+    return {b" ".join(words[i:i + n]).decode("utf-8") for i in range(max(1, len(words) - n + 1))}
+
+
+def windows_of(benchmark: DataFrame, *, item_id: str, item_text: str, n: int) -> DataFrame:
+    """``(window, item_ids)``: the distinct windows of all items."""
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            pairs = [(w, i) for i, t in zip(rows["i"], rows["t"]) for w in item_windows(t, n)]
+            yield pd.DataFrame(pairs, columns=["window", "item_id"])
+
+    return items.mapInPandas(cut, "window string, item_id string") \
+                .groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("item_ids"))
+
+
+class Matcher:
+    """Word numbers and the automaton of a set of windows."""
+
+    def __init__(self, windows: list[tuple[str, list[str]]]):
+        import ahocorasick
+
+        self.numbers: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for window, item_ids in windows:
+            words = window.encode("utf-8").split(b" ")
+            key = tuple(self.numbers.setdefault(w, len(self.numbers) + 1) for w in words)
+            self.automaton.add_word(key, (len(words), item_ids))
+        self.automaton.make_automaton()
+
+    def find(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[str]]:
+        """((first word, words) of every occurrence, sorted ids of the items)."""
+        number = self.numbers.get
+        marks, ids = [], set()
+        for last, (size, owners) in self.automaton.iter(tuple([number(w, 0) for w in words])):
+            marks.append((last - size + 1, size))
+            ids.update(owners)
+        return marks, sorted(ids)
+
+
+def worker_matcher(shared) -> Matcher | None:
+    """The matcher of a broadcast, built once in a worker process (tasks of one
+    worker share it; the one before it is given up)."""
+    kept = sys.modules.setdefault("_xgspark_matchers", types.ModuleType("_xgspark_matchers"))
+    key, matcher = getattr(kept, "last", (None, None))
+    windows = shared.value
+    if key != windows["key"]:
+        kept.last = (None, None)
+        matcher = Matcher(windows["windows"]) if windows["windows"] else None
+        kept.last = (windows["key"], matcher)
+    return matcher
+
+
+def spans_of(text: str | None, words: list[bytes], marks) -> tuple[int, list[tuple[int, int]]]:
+    """(hit words, their runs as code points ``[start, end)`` of the original text)."""
     step = [0] * (len(words) + 1)
-    ids: set[str] = set()
-    for end, (size, owners) in found:
-        last = starts[end]
-        step[last - size + 1] += 1
-        step[last + 1] -= 1
-        ids.update(owners)
-    depth, hit, spans, runs = 0, 0, [], []
+    for first, size in marks:
+        step[first] += 1
+        step[first + size] -= 1
+    depth, hit, runs = 0, 0, []
     for i in range(len(words)):
         depth += step[i]
         if depth:
@@ -96,59 +131,120 @@ def scan(text: str | None, automaton) -> tuple[int, int, list[str], list[tuple[i
             else:
                 runs.append([i, i + 1])
     # Words back to the original: bytes of the blanked text, then code points.
-    where, at = [], 0
-    for w in words:
+    blank, raw, edges, at, run = blanked(text), text.encode("utf-8"), [], 0, 0
+    for i, w in enumerate(words):
+        if run == len(runs):
+            break
         at = blank.index(w, at)
-        where.append((at, at + len(w)))
+        if i == runs[run][0]:
+            start = at
         at += len(w)
-    raw = text.encode("utf-8")
-    for a, b in runs:
-        s, e = where[a][0], where[b - 1][1]
-        s_cp = len(raw[:s].decode("utf-8"))
-        spans.append((s_cp, s_cp + len(raw[s:e].decode("utf-8"))))
-    return len(words), hit, sorted(ids), spans
-
-
-def hits(text: Column, benchmark: DataFrame, *, item_id: str = "item_id",
-         item_text: str = "text", n: int = WINDOW_WORDS,
-         max_benchmark_bytes: int = MAX_BENCHMARK_BYTES) -> Column:
-    """Column ``struct<n_words, n_hit, item_ids, spans>`` of a text column.
-
-    ``spans`` are code-point offsets ``[start, end)`` in the original text.
-    """
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.col(item_text).alias("t"))
-    size = items.agg(F.sum(F.octet_length("t") + F.lit(16)).alias("b")).first()["b"] or 0
-    if size > max_benchmark_bytes:
-        raise ValueError(f"benchmark of {size} bytes exceeds max_benchmark_bytes={max_benchmark_bytes}")
-    shared = spark.sparkContext.broadcast([(r["i"], r["t"]) for r in items.collect()])
+        if i == runs[run][1] - 1:
+            edges.append((start, at))
+            run += 1
+    spans, seen, code = [], 0, 0
+    for s, e in edges:
+        code += len(raw[seen:s].decode("utf-8"))
+        width = len(raw[s:e].decode("utf-8"))
+        spans.append((code, code + width))
+        code, seen = code + width, e
+    return hit, spans
+
 
-    def scan_batches(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        automaton = build_automaton(shared.value, n)
+def _shared(spark, windows: DataFrame):
+    """A broadcast of one automaton's windows (bounded by the caller)."""
+    rows = windows.collect()
+    return spark.sparkContext.broadcast({"key": uuid.uuid4().hex, "windows": [(r["window"], list(r["item_ids"])) for r in rows]})
+
+
+def _one_pass(docs: DataFrame, text: str, name: str, shared) -> DataFrame:
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        matcher = worker_matcher(shared)
         for texts in batches:
-            yield pd.DataFrame([scan(t, automaton) for t in texts],
-                               columns=["n_words", "n_hit", "item_ids", "spans"])
+            rows = []
+            for t in texts:
+                words = text_words(t)
+                marks, ids = matcher.find(words) if matcher else ([], [])
+                hit, spans = spans_of(t, words, marks) if marks else (0, [])
+                rows.append((len(words), hit, ids, spans))
+            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "item_ids", "spans"])
+
+    return docs.withColumn(name, F.pandas_udf(scan, HIT_TYPE)(F.col(text)))
+
+
+def _passes(docs: DataFrame, text: str, name: str, windows: DataFrame, shards: int) -> DataFrame:
+    """One pass an automaton; the marks of all passes, put together by row."""
+    spark, key = docs.sparkSession, free_name(docs, "row")
+    table = materialize(docs.withColumn(key, F.monotonically_increasing_id()), "documents")
+    dealt = materialize(windows.withColumn("shard", F.pmod(F.xxhash64("window"), F.lit(shards))), "windows")
+    found = None
+    for shard in range(shards):
+        shared = _shared(spark, dealt.filter(F.col("shard") == shard))
+
+        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            matcher = worker_matcher(shared)
+            for rows in batches:
+                out = []
+                for k, t in zip(rows["k"], rows["t"]):
+                    marks, ids = matcher.find(text_words(t)) if matcher else ([], [])
+                    if marks:
+                        out.append((k, [{"word": a, "words": b} for a, b in marks], ids))
+                yield pd.DataFrame(out, columns=["k", "marks", "ids"])
+
+        part = materialize(table.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(
+            scan, f"k long, marks {MARKS}, ids array<string>"), "marks")
+        shared.unpersist()
+        found = part if found is None else found.unionByName(part)
+    marks, ids, again = (free_name(table, n) for n in ("marks", "ids", "row_again"))
+    merged = found.groupBy(F.col("k").alias(again)).agg(F.flatten(F.collect_list("marks")).alias(marks),
+                                                        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias(ids))
+
+    def finish(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for texts, marks, ids in batches:
+            rows = []
+            for t, m, i in zip(texts, marks, ids):
+                words = text_words(t)
+                hit, spans = (0, []) if m is None else spans_of(t, words, [(x["word"], x["words"]) for x in m])
+                rows.append((len(words), hit, [] if i is None else list(i), spans))
+            yield pd.DataFrame(rows, columns=["n_words", "n_hit", "item_ids", "spans"])
+
+    out = table.join(merged, F.col(key) == F.col(again), "left")
+    return out.withColumn(name, F.pandas_udf(finish, HIT_TYPE)(F.col(text), F.col(marks), F.col(ids))) \
+              .select(*docs.columns, name)
+
 
-    return F.pandas_udf(scan_batches, HIT_TYPE)(text)
+def mark_hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id",
+              item_text: str = "text", n: int = WINDOW_WORDS, max_windows: int = MAX_WINDOWS) -> DataFrame:
+    """All columns of the documents plus one struct column ``hits`` (a longer
+    name if taken): ``n_words, n_hit, item_ids, spans``; ``spans`` are
+    code-point offsets ``[start, end)`` in the original text."""
+    name = free_name(docs, "hits")
+    windows, count = materialize_counted(windows_of(benchmark, item_id=item_id, item_text=item_text, n=n), "windows")
+    owners = windows.agg(F.sum(F.size("item_ids"))).first()[0] or 0
+    shards = max(1, -(-count // max_windows), -(-owners // MAX_OWNERS))
+    if shards == 1:
+        return _one_pass(docs, text, name, _shared(docs.sparkSession, windows))
+    # A hash deals unevenly by a little: a few automata more keep each within the bound.
+    return _passes(docs, text, name, windows, shards + shards // 8 + 1)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without any occurrence of a benchmark window; all columns kept."""
-    return docs.filter(hits(F.col(text), benchmark, **options)["n_hit"] == 0)
+    marked = mark_hits(docs, benchmark, **options)
+    return marked.filter(F.col(marked.columns[-1])["n_hit"] == 0).select(*docs.columns)
 
 
 def op7_decontaminate(spark, sf_dir) -> DataFrame:
     """Contract digest: one row per document."""
     from xgspark.sources.tables import read_table
 
-    docs = read_table(spark, sf_dir, "documents")
-    hit = hits(F.col("text"), read_table(spark, sf_dir, "benchmark"))
-    h = F.col("h")
-    return (docs.select("doc_id", hit.alias("h"))
-                .select("doc_id", h["n_words"].alias("n_words"), h["n_hit"].alias("n_hit"),
-                        F.size(h["item_ids"]).cast("long").alias("n_items"),
-                        F.sha2(F.array_join(h["item_ids"], ","), 256).alias("items_sha256"),
-                        (h["n_hit"] > 0).alias("contaminated")))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.col("hits")
+    return mark_hits(docs, read_table(spark, sf_dir, "benchmark")).select(
+        "doc_id", h["n_words"].alias("n_words"), h["n_hit"].alias("n_hit"),
+        F.size(h["item_ids"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(h["item_ids"], ","), 256).alias("items_sha256"),
+        (h["n_hit"] > 0).alias("contaminated"))
 
 
 def oracle_sql() -> str:
