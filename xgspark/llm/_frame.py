@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +17,18 @@ def free_name(df: DataFrame, base: str) -> str:
     return base
 
 
+def once_a_worker(name: str, key: str, build):
+    """``build()``, kept in the worker process for the tasks to come: one value
+    a ``name``, given up when another ``key`` is asked for."""
+    kept = sys.modules.setdefault("_xgspark_kept", types.ModuleType("_xgspark_kept"))
+    have, value = getattr(kept, name, (None, None))
+    if have != key:
+        setattr(kept, name, (None, None))
+        value = build()
+        setattr(kept, name, (key, value))
+    return value
+
+
 def row_key(doc_id: str, text: str) -> Column:
     """A 64-bit key of a document row (id and text); never null."""
     return F.xxhash64(F.col(doc_id), F.col(text))

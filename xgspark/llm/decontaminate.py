@@ -22,8 +22,6 @@ very long texts are scanned whole; documents keep any extra columns, whatever
 their names.
 """
 
-import sys
-import types
 import uuid
 from collections.abc import Iterator
 
@@ -31,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xgspark.llm._frame import free_name
+from xgspark.llm._frame import free_name, once_a_worker
 from xgspark.session import materialize, materialize_counted
 
 WINDOW_WORDS = 10
@@ -103,16 +101,10 @@ class Matcher:
 
 
 def worker_matcher(shared) -> Matcher | None:
-    """The matcher of a broadcast, built once in a worker process (tasks of one
-    worker share it; the one before it is given up)."""
-    kept = sys.modules.setdefault("_xgspark_matchers", types.ModuleType("_xgspark_matchers"))
-    key, matcher = getattr(kept, "last", (None, None))
+    """The matcher of a broadcast, built once in a worker process."""
     windows = shared.value
-    if key != windows["key"]:
-        kept.last = (None, None)
-        matcher = Matcher(windows["windows"]) if windows["windows"] else None
-        kept.last = (windows["key"], matcher)
-    return matcher
+    return once_a_worker("matcher", windows["key"],
+                         lambda: Matcher(windows["windows"]) if windows["windows"] else None)
 
 
 def spans_of(text: str | None, words: list[bytes], marks) -> tuple[int, list[tuple[int, int]]]:

@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from array import array
 from collections.abc import Iterator, Sequence
 from itertools import chain
@@ -42,7 +43,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from xgspark.llm._frame import free_name
+from xgspark.llm._frame import free_name, once_a_worker
 from xgspark.llm._text import byte_batches
 from xgspark.session import materialize
 
@@ -288,10 +289,11 @@ def aligned(docs: DataFrame, text: str, carry: Sequence[str], name: str, vocabul
     groups as ``a1,a2|b1;a3|b2,b3``, the distinct id pairs (``a << 32 | b``) and
     how many links each has.  Rows go out in pieces of about ``BATCH_BYTES``."""
     with open(vocabulary_a, "rb") as fa, open(vocabulary_b, "rb") as fb:
-        shared = docs.sparkSession.sparkContext.broadcast((fa.read(), fb.read()))      # two vocabulary files
+        shared = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, fa.read(), fb.read()))   # two files
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabularies(*shared.value)
+        key, *files = shared.value
+        v = once_a_worker("vocabularies", key, lambda: Vocabularies(*files))
         for rows in batches:
             texts = [t or "" for t in rows.column("text").to_pylist()]
             for s, e in byte_batches(texts, BATCH_BYTES):
