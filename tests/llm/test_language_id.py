@@ -2,7 +2,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from tests.conftest import SF_MID
+from tests.conftest import SF_MID, SF_SMALL
 from xgspark.llm import language_id
 from xgspark.sources.tables import read_table
 
@@ -56,3 +56,44 @@ def test_ties_are_rejected_and_go_to_the_more_frequent():
     c = language_id.Classifier({"z": b"same words here", "a": b"same words here"})
     assert c.predict("same words") == ("z", 0.0, True)
     assert language_id.Classifier({}).predict("text") == ("und", 0.0, True)
+
+
+def direct(text, dictionaries):
+    """(language, score, rejected) from zstandard called on each piece by itself."""
+    import re
+
+    import zstandard as z
+
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0, True
+    raw = re.sub(rb"[^a-z\x80-\xff]+", b" ", text.lower().encode()).strip()
+    sizes = []
+    for name, content in dictionaries.items():
+        d = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
+        c = z.ZstdCompressor(level=12, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+        sizes.append((sum(len(c.compress(bytes(64) + raw[at:at + 8192])) for at in range(0, len(raw), 8192)), name))
+    best = min(s for s, _ in sizes)
+    name = next(n for s, n in sizes if s == best)
+    margin = (min(s for s, n in sizes if n != name) - best) / best
+    return name, min(1.0, margin), margin < 0.01
+
+
+def test_query_equals_brute_force(spark):
+    docs = read_table(spark, SF_SMALL, "documents")
+    model = language_id.learn(docs)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = language_id.op1_language_id(spark, SF_SMALL).collect()
+    assert len(rows) == len(texts) == docs.count()
+    for r in rows:
+        assert (r.lang_pred, r.score, r.rejected) == direct(texts[r.doc_id], model)
+
+
+def test_very_long_and_bordering_texts_are_judged_by_one_rule(spark):
+    docs = read_table(spark, SF_MID, "documents")
+    model = language_id.learn(docs)
+    base = docs.filter("lang = 'de' and length(text) > 3000").first().text
+    c = language_id.Classifier(model)
+    for n in (159, 160, 161, 1023, 1024, 1025):
+        assert c.predict(base[:n]) == direct(base[:n], model)
+    long = base * 400
+    assert len(long) > 1_000_000 and c.predict(long) == direct(long, model) and c.predict(long)[0] == "de"

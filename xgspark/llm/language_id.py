@@ -18,7 +18,8 @@ Edge cases: null texts and texts without a letter are ``und`` with score 0 and
 rejected; equal sizes go to the language with more learned documents (then by
 code point) and are rejected;
 null labels teach nothing; without any labelled document every text is
-``und``; documents keep extra columns, whatever their names.
+``und``; repeated rows teach once a row and are each judged alike; texts of any
+length are judged whole; documents keep extra columns, whatever their names.
 """
 
 from collections.abc import Iterator
@@ -34,8 +35,8 @@ SAMPLE_DOCS = 400
 SAMPLE_CHARS = 4_000
 DICT_BYTES = 96 * 1024
 PIECE_BYTES = 8 * 1024
-# Shorter texts get a stronger match search: (largest size in bytes, level).
-LEVELS = ((160, 19), (1024, 12), (None, 3))
+# One level for texts of every length.
+LEVEL = 12
 # Put before every piece: a stretch that compresses, so that a short piece is
 # not stored as it is (which would hide the difference between dictionaries).
 PRIMER = bytes(64)
@@ -93,21 +94,17 @@ class Classifier:
 
         self.letter = regex.compile(r"\p{L}")
         self.names = list(dictionaries)
-        self.by_level = {}
-        for _, level in LEVELS:
-            made = []
-            for name in self.names:
-                # A raw dictionary must not be empty; one blank carries no language.
-                d = z.ZstdCompressionDict(dictionaries[name] or b" " * 8, dict_type=z.DICT_TYPE_RAWCONTENT)
-                d.precompute_compress(level=level)
-                made.append(z.ZstdCompressor(level=level, dict_data=d, write_checksum=False,
-                                             write_content_size=False, write_dict_id=False))
-            self.by_level[level] = made
+        self.compressors = []
+        for name in self.names:
+            # A raw dictionary must not be empty; one blank carries no language.
+            d = z.ZstdCompressionDict(dictionaries[name] or b" " * 8, dict_type=z.DICT_TYPE_RAWCONTENT)
+            d.precompute_compress(level=LEVEL)
+            self.compressors.append(z.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False,
+                                                     write_content_size=False, write_dict_id=False))
 
     def sizes(self, text: bytes) -> list[int]:
-        compressors = self.by_level[next(lv for most, lv in LEVELS if most is None or len(text) <= most)]
         pieces = [text[i:i + PIECE_BYTES] for i in range(0, len(text), PIECE_BYTES)]
-        return [sum(len(c.compress(PRIMER + p)) for p in pieces) for c in compressors]
+        return [sum(len(c.compress(PRIMER + p)) for p in pieces) for c in self.compressors]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if text is None or not self.names or not self.letter.search(text):
