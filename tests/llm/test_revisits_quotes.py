@@ -32,6 +32,8 @@ def test_position_equals_row_number(spark):
 
 def test_canonical_urls(spark):
     urls = {"HTTP://WWW.Example.com:80/A/?utm_source=x#top": "example.com/A", "https://example.com/A": "example.com/A",
+            "http://a.com:443/x": "a.com:443/x", "https://a.com:80/x": "a.com:80/x", "https://a.com:443/x": "a.com/x",
+            "http://a.com:80": "a.com", "http://a.com/%7Eme/a%2db%5fc%2E": "a.com/~me/a-b_c.",
             "example.com/a?b=1&utm_x=2&c=3": "example.com/a?b=1&c=3", "": "", None: None}
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     assert {r.url: r.c for r in df.select("url", revisits.canonical(F.col("url")).alias("c")).collect()} == urls
@@ -60,6 +62,33 @@ def test_revisit_outcomes(spark):
     assert revisits.resolve_revisits(spark.createDataFrame([], CAPTURES)).count() == 0
 
 
+def test_repeated_ids_have_defined_winners(spark):
+    rows = [(1, "http://x.org/b", 1, 200, {"A": "1"}, "late url", ""), (1, "http://x.org/a", 5, 200, None, "z", ""),
+            (1, "http://x.org/a", 3, 200, {"A": "2"}, "y", ""), (1, "http://x.org/a", 3, 200, {"A": "1"}, "x", ""),
+            (2, "http://x.org/a", 9, 304, None, None, ""), (2, "http://x.org/b", 9, 304, None, None, ""),
+            (2, "http://x.org/a", 2, 304, None, None, ""), (3, "http://x.org/a", 9, 304, {"clash": "1"}, None, "")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, CAPTURES).withColumns({"id": F.lit(1), "base_id": F.lit(2), "at": F.lit("x")})
+        got = {(r.record_id, r.canonical_url, r.ts): (r.outcome, r.payload) for r in revisits.resolve_revisits(df.repartition(3)).collect()}
+        assert got == {(2, "x.org/a", 9): ("resolved", "x"), (2, "x.org/b", 9): ("no_earlier_response", None),
+                       (2, "x.org/a", 2): ("no_earlier_response", None), (3, "x.org/a", 9): ("resolved", "x")}
+
+
+def test_very_long_payloads_and_urls(spark):
+    url, text = "http://x.org/" + "a" * 200_000, "b" * 2_000_000
+    df = spark.createDataFrame([(1, url, 1, 200, None, text, ""), (2, url, 2, 304, None, None, "")], CAPTURES)
+    r = revisits.resolve_revisits(df).first()
+    assert (r.outcome, r.payload, len(r.canonical_url)) == ("resolved", text, 200_006)
+
+
+def test_far_off_times_stretch_no_range(spark):
+    df = spark.createDataFrame([(-(1 << 62),)] * 5 + [(i,) for i in range(1000)], "at long")
+    sizes = [r["count"] for r in df.groupBy(_frame.cut_ranges(df, "at", 16).alias("r")).count().collect()]
+    assert len(sizes) >= 15 and max(sizes) < 100
+    cut = df.select("at", _frame.cut_ranges(df, "at", 16).alias("r")).distinct().orderBy("at").collect()
+    assert [c.r for c in cut] == sorted(c.r for c in cut)
+
+
 def mails(spark, bodies, sent=None):
     rows = [(i, sent[i] if sent else i * 10, b, "x") for i, b in enumerate(bodies)]
     return spark.createDataFrame(rows, "message_id long, sent long, body string, text string")

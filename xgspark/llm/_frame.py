@@ -34,6 +34,23 @@ def row_key(doc_id: str, text: str) -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
+def cut_ranges(rows: DataFrame, at: str, ranges: int) -> Column:
+    """The number of the range that ``at`` (long) falls in, rising with ``at``:
+    the cuts are quantiles of the rows (one small aggregate), so a few far-off
+    values, such as those that stand for null, stretch nothing."""
+    shares = F.lit([i / ranges for i in range(1, ranges)] or [1.0])
+    found = rows.agg(F.percentile_approx(at, shares, F.lit(10 * ranges)).alias("cuts")).first()["cuts"]
+    cuts = F.array(*[F.lit(c) for c in sorted(set(found or []))]).cast("array<bigint>")
+    # Bisect: how many cuts lie below the value.
+    steps = F.sequence(F.lit(1), F.lit(max(1, len(found or []).bit_length())))
+    middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")            # noqa: E731
+    below = lambda s: F.coalesce(F.get(cuts, middle(s)) < F.col(at), F.lit(False))
+    halved = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi")), lambda s, _: F.struct(
+        F.when((s["lo"] < s["hi"]) & below(s), middle(s) + 1).otherwise(s["lo"]).alias("lo"),
+        F.when((s["lo"] < s["hi"]) & ~below(s), middle(s)).otherwise(s["hi"]).alias("hi")), lambda s: s["lo"])
+    return halved.cast("bigint")
+
+
 def as_of(probes: DataFrame, bases: DataFrame, keys: list[str], ranges: int = 4096) -> DataFrame:
     """For each probe, the latest base strictly before it with equal keys.
 
@@ -44,16 +61,14 @@ def as_of(probes: DataFrame, bases: DataFrame, keys: list[str], ranges: int = 40
     probe's own ``at`` counts when its id is smaller.
 
     No pairs are formed, and a hot key is no single task: the order axis is cut
-    into ``ranges`` equal ranges; rows are scanned within (key, range), and the
+    into about ``ranges`` ranges of like many rows (:func:`cut_ranges`); rows are scanned within (key, range), and the
     last base of every range is carried on over the ranges of a key.
     """
     more = [c for c in probes.columns if c not in (*keys, "at", "id")]
     both = probes.select(*keys, "at", "id", F.lit(None).cast("long").alias("base"), *more) \
         .unionByName(bases.select(*keys, "at", "id", F.col("id").alias("base")), allowMissingColumns=True) \
         .filter("at is not null")
-    ends = both.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
-    width = max(1, ((ends["hi"] or 0) - (ends["lo"] or 0)) // ranges + 1)
-    both = both.withColumn("range", F.floor((F.col("at") - F.lit(ends["lo"] or 0)) / F.lit(width)))
+    both = both.withColumn("range", cut_ranges(both, "at", ranges))
     inside = Window.partitionBy(*keys, "range").orderBy("at", "id", F.col("base").asc_nulls_first())
     scanned = both.withColumn("near", F.last("base", ignorenulls=True).over(
         inside.rowsBetween(Window.unboundedPreceding, -1)))
@@ -69,9 +84,7 @@ def position(rows: DataFrame, key: str, at: str, tie: str, ranges: int = 4096) -
     """All columns plus ``position``: the gapless rank (from 0) of each row of
     a key by ``at`` (long, not null), then ``tie``; ranked within ranges of
     ``at``, so a hot key is no single task."""
-    ends = rows.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
-    width = max(1, ((ends["hi"] or 0) - (ends["lo"] or 0)) // ranges + 1)
-    cut = rows.withColumn("range", F.floor((F.col(at) - F.lit(ends["lo"] or 0)) / F.lit(width)))
+    cut = rows.withColumn("range", cut_ranges(rows, at, ranges))
     sizes = cut.groupBy(key, "range").agg(F.count(F.lit(1)).alias("rows"))
     ahead = Window.partitionBy(key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(key, "range", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("offset"))

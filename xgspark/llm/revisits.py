@@ -19,9 +19,11 @@ a plain shuffle join, which Spark splits when many revisits share a response.
 
 Edge cases: a null URL or time resolves nothing (``no_earlier_response``); null
 headers are an empty map; header names that differ in case only are one (the
-last wins); repeated records of one id and responses without a payload are
-not candidates beyond the first; an empty table gives an empty table; extra
-columns are never looked at.
+last wins); a response without a payload is no candidate; of responses that
+repeat an id the one with the smallest URL, time, headers and payload counts;
+revisits that repeat an id are each resolved by their own URL and time; very
+long payloads and URLs are taken whole; an empty table gives an empty table;
+extra columns are never looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,9 +39,14 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "la
 # FIXED VALUES: canonical form, as (pattern, replacement) in order.
 CANONICAL_RULES = (
     (r"#.*$", ""),
+    (r"%2[Dd]", "-"),
+    (r"%2[Ee]", "."),
+    (r"%5[Ff]", "_"),
+    (r"%7[Ee]", "~"),
+    (r"^(http://[^/?]*?):80(/|\?|$)", "$1$2"),
+    (r"^(https://[^/?]*?):443(/|\?|$)", "$1$2"),
     (r"^[a-z][a-z0-9+.-]*://", ""),
     (r"^www\.", ""),
-    (r"^([^/?]*?):(80|443)(/|\?|$)", "$1$3"),
     (r"([?&])utm_[a-z]+=[^&]*", "$1"),
     (r"([?&])&+", "$1"),
     (r"[?&]+$", ""),
@@ -48,8 +55,9 @@ CANONICAL_RULES = (
 
 
 def canonical(url: Column) -> Column:
-    """Scheme, ``www.``, default port, fragment, ``utm_*`` parameters and
-    trailing slashes removed; the host in lower case."""
+    """Scheme, ``www.``, the scheme's own default port, fragment, ``utm_*``
+    parameters and trailing slashes removed; the host in lower case; the marks
+    that need no escape (``- . _ ~``) unescaped."""
     head = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     out = F.concat(F.lower(head), F.substring(url, F.length(head) + 1, F.length(url)))
     for pattern, replacement in CANONICAL_RULES:
@@ -81,14 +89,20 @@ def resolve_revisits(captures: DataFrame) -> DataFrame:
     rows = captures.select("record_id", canonical(F.col("url")).alias("canonical_url"), "ts", "status",
                            _lowered(F.col("headers")).alias("headers"), "payload")
     revisits = rows.filter("status = 304").drop("payload", "status")
-    responses = rows.filter("status = 200 and payload is not null").dropDuplicates(["record_id"])
+    # Of repeated ids the smallest row: maps have no order, their entries do.
+    entries = F.array_sort(F.map_entries("headers"))
+    responses = rows.filter("status = 200 and payload is not null").groupBy("record_id").agg(
+        F.min(F.struct("canonical_url", "ts", entries.alias("entries"), "payload")).alias("r")) \
+        .select("record_id", "r.canonical_url", "r.ts", F.map_from_entries("r.entries").alias("headers"), "r.payload")
 
     def keyed(df):
         return df.filter("canonical_url is not null and ts is not null") \
                  .select("canonical_url", F.col("ts").alias("at"), F.col("record_id").alias("id"))
 
-    found = as_of(keyed(revisits).dropDuplicates(["id"]), keyed(responses), ["canonical_url"])
-    linked = revisits.join(found.withColumnRenamed("id", "record_id"), "record_id", "left")
+    probes = keyed(revisits).distinct().withColumns({"probe_url": F.col("canonical_url"), "probe_at": F.col("at")})
+    found = as_of(probes, keyed(responses), ["canonical_url"]).withColumnRenamed("id", "probe_id")
+    linked = revisits.join(found, (F.col("record_id") == F.col("probe_id")) & (F.col("canonical_url") == F.col("probe_url"))
+                           & (F.col("ts") == F.col("probe_at")), "left")
     full = responses.select(F.col("record_id").alias("full_id"), F.col("headers").alias("full_headers"), "payload")
     # Revisits without a response have no key: a hash of their own id spreads them.
     spread = F.coalesce("base_id", F.xxhash64("record_id"))
