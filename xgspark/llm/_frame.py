@@ -40,22 +40,27 @@ def cut_ranges(rows: DataFrame, at: str, ranges: int) -> Column:
     values, such as those that stand for null, stretch nothing."""
     shares = F.lit([i / ranges for i in range(1, ranges)] or [1.0])
     found = rows.agg(F.percentile_approx(at, shares, F.lit(10 * ranges)).alias("cuts")).first()["cuts"]
-    cuts = F.array(*[F.lit(c) for c in sorted(set(found or []))]).cast("array<bigint>")
-    # Bisect: how many cuts lie below the value.
-    steps = F.sequence(F.lit(1), F.lit(max(1, len(found or []).bit_length())))
-    middle = lambda s: F.floor((s["lo"] + s["hi"]) / 2).cast("int")            # noqa: E731
-    below = lambda s: F.coalesce(F.get(cuts, middle(s)) < F.col(at), F.lit(False))
-    halved = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi")), lambda s, _: F.struct(
-        F.when((s["lo"] < s["hi"]) & below(s), middle(s) + 1).otherwise(s["lo"]).alias("lo"),
-        F.when((s["lo"] < s["hi"]) & ~below(s), middle(s)).otherwise(s["hi"]).alias("hi")), lambda s: s["lo"])
-    return halved.cast("bigint")
+    cuts = sorted(set(found or []))
+    steps = F.sequence(F.lit(1), F.lit(max(1, len(cuts).bit_length())))
+
+    def bisect(bounds: Column) -> Column:                      # how many cuts lie below the value
+        def halve(s, _):
+            middle = F.shiftright(s["lo"] + s["hi"], 1)
+            below = F.get(bounds, middle) < F.col(at)
+            open_ = s["lo"] < s["hi"]
+            return F.struct(F.when(open_ & below, middle + 1).otherwise(s["lo"]).alias("lo"),
+                            F.when(open_ & ~below, middle).otherwise(s["hi"]).alias("hi"))
+        return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), halve, lambda s: s["lo"])
+
+    written = F.expr(f"cast(array({', '.join(f'{c}L' for c in cuts)}) as array<bigint>)")
+    return F.transform(F.array(written), bisect)[0].cast("bigint")
 
 
 def as_of(probes: DataFrame, bases: DataFrame, keys: list[str], ranges: int = 4096) -> DataFrame:
     """For each probe, the latest base strictly before it with equal keys.
 
     Both tables have the key columns (never null), ``at`` (long, order) and
-    ``id`` (long, unique in its table; a probe may have several keys).  Returns
+    ``id`` (unique in its table, of one type; a probe may have several keys).  Returns
     ``id, base_id`` (null: none) and the other columns of the probes for every
     probe.  Bases with equal ``at`` are ordered by id; a base at the
     probe's own ``at`` counts when its id is smaller.
@@ -65,7 +70,7 @@ def as_of(probes: DataFrame, bases: DataFrame, keys: list[str], ranges: int = 40
     last base of every range is carried on over the ranges of a key.
     """
     more = [c for c in probes.columns if c not in (*keys, "at", "id")]
-    both = probes.select(*keys, "at", "id", F.lit(None).cast("long").alias("base"), *more) \
+    both = probes.select(*keys, "at", "id", F.lit(None).cast(dict(bases.dtypes)["id"]).alias("base"), *more) \
         .unionByName(bases.select(*keys, "at", "id", F.col("id").alias("base")), allowMissingColumns=True) \
         .filter("at is not null")
     both = both.withColumn("range", cut_ranges(both, "at", ranges))

@@ -2,7 +2,7 @@
 a normal form and joined to the messages they come from, and conversations are
 built in reply order, without quotes.
 
-Messages have ``message_id`` (long, unique), ``sent`` (long) and ``body``.  A
+Messages have ``message_id`` (unique, of any type with an order), ``sent`` (long) and ``body``.  A
 line's quote level is the number of ``>`` it starts with; neighbouring lines
 of one level are a passage.  The normal form is lower case with runs of white
 space as one blank.  A message offers its own words (level 0) as a whole,
@@ -44,9 +44,8 @@ QUOTE = r"^((?:[ \t]?>)*)"
 ATTRIBUTION = r"(?i)^on .{1,200} wrote:[ \t]*$"
 PARAGRAPH = r"\n[\x20\x09-\x0D]*\n"
 MAX_ROUNDS = 64
-# FIXED VALUES: the plain numbers of mails, and the conversations that they reach.
+# FIXED VALUE: the time between the first mails of two neighbouring conversations.
 TURNS = 1024
-MAX_PLAIN = (1 << 52) - 1
 
 
 def _let(value: Column, body) -> Column:
@@ -207,35 +206,22 @@ def conversations(messages: DataFrame) -> DataFrame:
     return ranked.select("conversation_id", "position", "message_id", "parent_id", "depth", "sent", "text")
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """``rows`` (distinct) plus ``number``, unique and rising by ``conv_id,
-    turn, role, text``: ``conv_id * TURNS + turn`` where that is unique over the
-    whole table, else the rank of the row."""
-    of_turn = F.xxhash64("role", "text")
-    plain = rows.groupBy("conv_id", "turn").agg((F.min(of_turn) == F.max(of_turn)).alias("one")) \
-                .agg(F.min(F.col("one") & F.coalesce(F.col("turn").between(0, TURNS - 1)
-                           & F.col("conv_id").between(-MAX_PLAIN, MAX_PLAIN), F.lit(False))).alias("p")).first()["p"]
-    if plain is None or plain:
-        return rows.withColumn("number", F.col("conv_id") * TURNS + F.col("turn"))
-    # Ranges of the whole order, so neither a hot conversation nor a hot turn is one task.
-    order = ["conv_id", "turn", "role", "text"]
-    in_part = F.monotonically_increasing_id()
-    placed = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", in_part), "mails")
-    placed = placed.withColumn("part", F.shiftright("at", 33)).withColumn("n", F.col("at").bitwiseAND((1 << 33) - 1))
-    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)      # one row a range
-    offsets = placed.groupBy("part").agg(F.count(F.lit(1)).alias("rows")) \
-                    .select("part", F.coalesce(F.sum("rows").over(ahead), F.lit(0)).alias("offset"))
-    return placed.join(F.broadcast(offsets), "part").withColumn("number", F.col("offset") + F.col("n")) \
-                 .drop("at", "part", "n", "offset")
+def mail_id(conv_id: Column, turn: Column, role: Column, text: Column) -> Column:
+    """``conversation.turn.hash of role and text``: of the row alone, whatever
+    else the table holds."""
+    said = F.md5(F.concat(F.coalesce(F.concat(F.lit("1"), role), F.lit("0")), F.lit("|"), text).cast("binary"))
+    return F.concat_ws(".", F.coalesce(conv_id.cast("string"), F.lit("-")), F.coalesce(turn.cast("string"), F.lit("-")),
+                       F.substring(said, 1, 16))
 
 
 def mail_view(turns: DataFrame) -> DataFrame:
     """Mails derived from ``conversations``: every distinct row is a mail that
     quotes the turn before it, and the turn before that one level deeper.  Of
-    several rows of one turn, the first by role and text is quoted; a row
+    several rows of one turn, the one with the smallest id is quoted; a row
     without a conversation or turn quotes nothing."""
     rows = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).distinct()
-    rows = _numbered(rows)
+    rows = rows.withColumn("number", mail_id(*[F.col(c) for c in ("conv_id", "turn", "role", "text")])) \
+               .withColumn("sent", F.try_add(F.try_multiply(F.col("conv_id").cast("long"), F.lit(TURNS)), F.col("turn")))
     first = rows.filter("conv_id is not null and turn is not null").groupBy("conv_id", "turn") \
                 .agg(F.min_by("text", "number").alias("text"))
 
@@ -250,7 +236,7 @@ def mail_view(turns: DataFrame) -> DataFrame:
         F.when(F.col("back1").isNotNull(), F.lit("On an earlier day, someone wrote:\n")).otherwise(""),
         F.when(F.col("back1").isNotNull() & F.col("back2").isNotNull(), quoted("back2", "> > ")).otherwise(""),
         F.when(F.col("back1").isNotNull(), quoted("back1", "> ")).otherwise(""), F.col("text"))
-    return both.select(F.col("number").alias("message_id"), F.col("number").alias("sent"), body.alias("body"))
+    return both.select(F.col("number").alias("message_id"), "sent", body.alias("body"))
 
 
 def op8_quotes(spark, sf_dir) -> DataFrame:
@@ -265,24 +251,28 @@ def op8_quotes(spark, sf_dir) -> DataFrame:
 def oracle_sql() -> str:
     """DuckDB SQL of the query's rows."""
     return r"""
-WITH RECURSIVE rows AS (
-  SELECT conv_id, turn, conv_id * 1024 + turn AS id, min(coalesce(text, '')) AS text
-  FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
-normal AS (SELECT *, trim(regexp_replace(lower(text), '[\x20\x09-\x0D]+', ' ', 'g')) AS own FROM rows),
+WITH RECURSIVE rows AS (SELECT DISTINCT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+mails AS (
+  SELECT *, concat_ws('.', coalesce(CAST(conv_id AS VARCHAR), '-'), coalesce(CAST(turn AS VARCHAR), '-'),
+              substr(md5(coalesce('1' || role, '0') || '|' || text), 1, 16)) AS id,
+         coalesce(TRY_CAST(CAST(conv_id AS HUGEINT) * 1024 + turn AS BIGINT), -4611686018427387904) AS sent FROM rows),
+normal AS (SELECT *, trim(regexp_replace(lower(text), '[\x20\x09-\x0D]+', ' ', 'g')) AS own FROM mails),
+firsts AS (SELECT conv_id, turn, arg_min(own, id) AS own FROM normal
+           WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn),
 quotes AS (
-  SELECT m.id, p.own AS quoted FROM normal m JOIN normal p ON p.conv_id = m.conv_id AND p.turn + 1 = m.turn
+  SELECT m.id, m.sent, p.own AS quoted FROM normal m JOIN firsts p ON p.conv_id = m.conv_id AND p.turn + 1 = m.turn
   WHERE p.own <> ''),
 events AS (
-  SELECT own AS h, id, id AS base, 0 AS probe FROM normal WHERE own <> ''
-  UNION ALL SELECT quoted, id, NULL, 1 FROM quotes),
+  SELECT own AS h, sent, id, id AS base, 0 AS probe FROM normal WHERE own <> ''
+  UNION ALL SELECT quoted, sent, id, NULL, 1 FROM quotes),
 links AS (
-  SELECT id, probe, last_value(base IGNORE NULLS) OVER (PARTITION BY h ORDER BY id, probe DESC
+  SELECT id, probe, last_value(base IGNORE NULLS) OVER (PARTITION BY h ORDER BY sent, id, probe DESC
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS parent FROM events),
-parents AS (SELECT n.id, n.own, l.parent FROM normal n LEFT JOIN (SELECT * FROM links WHERE probe = 1) l USING (id)),
+parents AS (SELECT n.id, n.sent, n.own, l.parent FROM normal n LEFT JOIN (SELECT * FROM links WHERE probe = 1) l USING (id)),
 walk AS (
   SELECT id, id AS root, CAST(0 AS BIGINT) AS depth FROM parents WHERE parent IS NULL
   UNION ALL SELECT p.id, w.root, w.depth + 1 FROM parents p JOIN walk w ON p.parent = w.id)
 SELECT w.root AS conversation_id,
-       CAST(row_number() OVER (PARTITION BY w.root ORDER BY w.id) - 1 AS BIGINT) AS position,
+       CAST(row_number() OVER (PARTITION BY w.root ORDER BY p.sent, w.id) - 1 AS BIGINT) AS position,
        w.id AS message_id, p.parent AS parent_id, w.depth, md5(p.own) AS text_md5
 FROM walk w JOIN parents p USING (id)"""
