@@ -38,8 +38,8 @@ def cut_ranges(rows: DataFrame, at: str, ranges: int) -> Column:
     """The number of the range that ``at`` (long) falls in, rising with ``at``:
     the cuts are quantiles of the rows (one small aggregate), so a few far-off
     values, such as those that stand for null, stretch nothing."""
-    shares = F.lit([i / ranges for i in range(1, ranges)] or [1.0])
-    found = rows.agg(F.percentile_approx(at, shares, F.lit(10 * ranges)).alias("cuts")).first()["cuts"]
+    shares = ", ".join(f"{i / ranges!r}D" for i in range(1, ranges)) or "1.0D"
+    found = rows.agg(F.expr(f"percentile_approx(`{at}`, array({shares}), {10 * ranges})").alias("cuts")).first()["cuts"]
     cuts = sorted(set(found or []))
     steps = F.sequence(F.lit(1), F.lit(max(1, len(cuts).bit_length())))
 
