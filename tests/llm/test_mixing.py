@@ -98,11 +98,44 @@ def test_documents_of_the_mix(spark):
     rows, docs = make(spark, 2)
     got = mixing.mix_documents(docs, place=True)
     assert got.columns == [*docs.columns, "mix_shard", "mix_order"]
-    taken = mixing.mix(docs).filter("shard is not null").agg(F.count("*"), F.sum("words")).first()
+    taken = mixing.mix(docs).filter("shard is not null and 2 * words >= size").agg(F.count("*"), F.sum("size")).first()
     texts = [r.text for r in got.collect()]
     assert (len(texts), sum(len(WORD.findall(t)) for t in texts)) == tuple(taken)
-    whole = {t for _, t, _ in rows}
-    assert sum(t not in whole for t in texts) <= 6           # one cut copy a source at most
+    assert set(texts) <= {t for _, t, _ in rows}
+
+
+def test_blocks_are_drawn_in_a_permuted_order(spark, monkeypatch):
+    """The draws decide what is taken: with blocks in their own order other
+    documents are; and no source's order of blocks is a rotation."""
+    rows, docs = make(spark, 3)
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 40)
+
+    def taken():
+        got = mixing.mix(docs).groupBy("row_key", "copy").agg(F.coalesce(F.sum("words"), F.lit(0)).alias("w")).collect()
+        return {(r.row_key, r.copy): r.w for r in got}
+
+    permuted = taken()
+    shards = {(r.source_no, r.block): r.shard for r in mixing.block_shards(
+        mixing.streams(docs, doc_id="doc_id", text="text", source="source")[1]).collect()}
+    monkeypatch.setattr(mixing, "drawn", lambda rows: rows)
+    plain = taken()
+    assert permuted.keys() == plain.keys() and sum(permuted.values()) == sum(plain.values()) and permuted != plain
+    for quota in (2, 3, 7, 31, 331):
+        blocks = spark.range(quota).select(F.lit(0).alias("source_no"), F.col("id").alias("block")) \
+                      .withColumn("at", F.xxhash64(F.lit(mixing.SEED), "source_no", "block"))
+        order = [r.block for r in mixing.position(blocks, "source_no", "at", "block").orderBy("position").collect()]
+        assert sorted(order) == list(range(quota))
+        steps = {(b - a) % quota for a, b in zip(order, order[1:])}
+        assert quota < 4 or len(steps) > 1
+    assert len(set(shards.values())) > 1 or len(shards) <= mixing.SHARD_BLOCKS
+
+
+def test_one_id_and_text_under_two_sources_are_two_documents(spark):
+    rows = [(1, "a b c d", "x"), (1, "a b c d", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for _ in range(2):
+        got = mixing.mix_documents(docs.repartition(3)).collect()
+        assert {tuple(r) for r in got} == set(rows)
 
 
 def test_odd_and_empty_tables(odd_docs, no_docs):

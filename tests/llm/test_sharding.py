@@ -93,3 +93,9 @@ def test_with_shard_refuses_a_taken_name(odd_docs):
     with pytest.raises(ValueError):
         sharding.with_shard(odd_docs, sharding.layout())
     assert sharding.with_shard(odd_docs, sharding.layout(), name="home").columns == [*odd_docs.columns, "home"]
+
+
+def test_a_count_beyond_the_first_tree_has_one_layout():
+    assert sharding.layout(25) == sharding.grow(sharding.layout(24))
+    assert sharding.layout(27) == sharding.grow(sharding.grow(sharding.layout(25)))
+    assert [x.shard for x in sharding.layout(30)] == list(range(30))

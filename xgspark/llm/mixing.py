@@ -6,10 +6,11 @@ share the size of the whole corpus; no target passes ``MAX_EPOCHS`` times its
 source, the excess is shared again by weight.
 
 Every source is one stream of words: its documents in the order of a hash of
-their id.  The mix takes the first ``target`` words of the stream, read as
-often as needed (so whole epochs, then a random part).  The taken stream is
-cut into blocks of ``BLOCK_WORDS``; a copy of a document belongs to the block
-its first word falls in.  The number of blocks of a source is its exact quota.
+their id, cut into blocks of ``BLOCK_WORDS`` (a document belongs to the block its
+first word falls in), and the blocks drawn in a permuted order, a keyed hash of
+their number.  The mix takes the first ``target`` words of what is drawn, read as
+often as needed: whole epochs, then the blocks drawn first.  What is taken is
+cut into blocks again; the number of blocks of a source is its exact quota.
 
 The quotas are then split among the output shards by a binary tree: at each
 node the left half of the shards receives a multivariate hypergeometric draw
@@ -17,20 +18,23 @@ of the node's quotas (source after source, each draw by inversion of the
 hypergeometric distribution), the right half the rest.  So every shard has its
 exact number of blocks, every source its exact quota, and the composition of
 a shard is that of a random draw without replacement.  Within a source the
-blocks are permuted and each shard takes the next ones of the permutation:
+blocks are permuted by a keyed hash again and each shard takes the next ones:
 disjoint by construction.  Inside a shard, copies are ordered by a hash.
 
 DataFrame and SQL functions only.  Scale: stream positions are sums over
 hash ranges of a source plus a running sum within a range, so a source with
 most of the corpus is spread over ``4,096`` tasks' worth of ranges; rows equal
 in source, id and size are counted together first.  Tree and quota tables have
-one row per node, with one entry per source.  Texts move once, and only in
+one row per node, with one entry per source; after ``TREE_LEVELS`` levels the
+nodes are dealt to many tasks.  Texts move once, and only in
 :func:`mix_documents`.
 
 Edge cases: a null or wordless text has size 0 and is never taken; sources of
 size 0 have target 0; a null source is one source, weighed last; repeated rows
-follow each other in the stream; an empty table gives an empty mix; extra
-columns are kept by :func:`mix_documents`, whatever their names.
+follow each other in the stream; one id and text under two sources are two
+documents; texts of any length are counted whole and never cut; an empty table
+gives an empty mix; extra columns are kept by :func:`mix_documents`, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from xgspark.llm._frame import free_name, row_key
+from xgspark.llm._frame import free_name, position
 from xgspark.session import materialize
 
 # FIXED VALUES: the weights of the sources in order, repeating.
@@ -52,8 +56,7 @@ RANGE_DIGITS = 3
 SEED = "mix"
 WORD = r"[^\x20\x09-\x0D]+"
 
-# FIXED VALUES: a prime above any number of blocks of a source, for the block permutation.
-PERMUTING_PRIME = 2_147_483_647
+TREE_LEVELS = 10
 LOG_FACTORIALS = tuple(math.lgamma(n + 1) for n in range(16))
 
 
@@ -61,6 +64,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def document_key(doc_id: str, text: str, source: str) -> Column:
+    """A 128-bit key of a row's id, text and source; never null."""
+    return F.concat(F.hex(F.xxhash64(F.col(doc_id), F.col(text), F.col(source))),
+                    F.hex(F.xxhash64(F.lit(SEED), F.col(source), F.col(text), F.col(doc_id))))
+
+
 # ------------------------------------------------------------------ targets
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -98,7 +107,7 @@ def streams(docs: DataFrame, *, doc_id: str, text: str, source: str) -> tuple[Da
     """
     sized = materialize(
         docs.select(F.col(source).alias("source"), F.col(doc_id).alias("doc_id"),
-                    row_key(doc_id, text).alias("row_key"), word_count(F.col(text)).alias("size"))
+                    document_key(doc_id, text, source).alias("row_key"), word_count(F.col(text)).alias("size"))
             .groupBy("source", "doc_id", "row_key", "size").agg(F.count(F.lit(1)).alias("copies")), "mix-sizes")
     sources = materialize(targets(sized), "mix-targets")
     order = F.md5(F.concat(F.lit(SEED + "|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
@@ -113,9 +122,28 @@ def streams(docs: DataFrame, *, doc_id: str, text: str, source: str) -> tuple[Da
     offsets = ranges.select("source_no", "range", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("offset"))
     rows = rows.withColumn("before", before).join(offsets, ["source_no", "range"])
     goal = F.floor(F.col("target") + F.lit(0.5)).cast("bigint")
-    return rows.select("doc_id", "row_key", "source_no", "size", "copies", "source_size", "target",
-                       (F.col("offset") + F.col("before")).cast("bigint").alias("start"),
-                       goal.alias("goal")), sources
+    hashed = rows.select("doc_id", "row_key", "source_no", "size", "copies", "source_size", "target",
+                         (F.col("offset") + F.col("before")).cast("bigint").alias("start"), goal.alias("goal"))
+    return drawn(hashed), sources
+
+
+def drawn(rows: DataFrame) -> DataFrame:
+    """The rows with ``start`` in the order in which their blocks are drawn: the
+    words of the blocks drawn before, then the place within the block."""
+    rows = rows.withColumn("drawn_block", F.floor(F.col("start") / BLOCK_WORDS).cast("bigint"))
+    blocks = rows.groupBy("source_no", "drawn_block").agg(F.sum(F.col("size") * F.col("copies")).alias("words"),
+                                                          F.min("start").alias("first"))
+    # Rows follow each other in the stream: a block holds what starts in it, from its first row on.
+    draw = F.md5(F.concat_ws("|", F.lit(SEED), F.col("source_no").cast("string"), F.col("drawn_block").cast("string")).cast("binary"))
+    blocks = materialize(blocks.withColumn("draw", draw).withColumn("range", F.substring("draw", 1, RANGE_DIGITS)), "mix-blocks")
+    inside = Window.partitionBy("source_no", "range").orderBy("draw", "drawn_block").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = blocks.groupBy("source_no", "range").agg(F.sum("words").alias("all"))
+    ahead = Window.partitionBy("source_no").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.select("source_no", "range", F.coalesce(F.sum("all").over(ahead), F.lit(0)).alias("offset"))
+    moved = blocks.withColumn("before", F.coalesce(F.sum("words").over(inside), F.lit(0))).join(offsets, ["source_no", "range"]) \
+                  .select("source_no", "drawn_block", (F.col("offset") + F.col("before") - F.col("first")).alias("shift"))
+    return rows.join(moved, ["source_no", "drawn_block"]).withColumn("start", (F.col("start") + F.col("shift")).cast("bigint")) \
+               .drop("drawn_block", "shift")
 
 
 def copies_of(rows: DataFrame) -> DataFrame:
@@ -198,7 +226,9 @@ def split_quotas(quotas: DataFrame, shards: int) -> DataFrame:
     def capacity(shard: Column) -> Column:      # blocks of the shards before this one
         return F.floor(shard.cast("bigint") * F.col("all") / F.lit(shards)).cast("bigint")
 
-    for _ in range(max(0, math.ceil(math.log2(max(1, shards))))):
+    for level in range(max(0, math.ceil(math.log2(max(1, shards))))):
+        if level == TREE_LEVELS:
+            node = materialize(node.repartition("a"), "mix-tree")
         middle = F.floor((F.col("a") + F.col("b") + 1) / 2).cast("int")
         node = node.withColumn("m", middle).withColumn("n", capacity(F.col("m")) - capacity(F.col("a"))) \
                    .withColumn("t", F.aggregate("q", F.lit(0).cast("bigint"), lambda s, x: s + x["quota"]))
@@ -235,16 +265,15 @@ def block_shards(sources: DataFrame) -> DataFrame:
     quota = F.ceil(F.floor(F.col("target") + 0.5) / BLOCK_WORDS).cast("bigint")
     quotas = sources.select("source_no", quota.alias("quota")).filter("quota > 0")
     total = quotas.agg(F.sum("quota").alias("n")).first()["n"] or 0
-    if total >= PERMUTING_PRIME:
-        raise ValueError("too many blocks; raise BLOCK_WORDS")
     shards = max(1, math.ceil(total / SHARD_BLOCKS))
     split = materialize(split_quotas(quotas, shards), "mix-quotas").filter("quota > 0")
-    ranks = split.withColumn("rank", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("quota") - 1)))
-    # The block of a rank: multiplying by a prime and shifting permutes 0 .. quota - 1.
-    step = F.pmod(F.lit(PERMUTING_PRIME) * F.col("rank") + F.pmod(F.xxhash64(F.lit(SEED), "source_no"), F.col("all_blocks")),
-                  F.col("all_blocks"))
-    return (ranks.join(quotas.withColumnRenamed("quota", "all_blocks"), "source_no")
-                 .select("source_no", step.alias("block"), "shard"))
+    ranks = split.select("source_no", "shard", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("quota") - 1)).alias("position"))
+    # The blocks of a source in the order of a keyed hash: ranks found in many ranges.
+    runs = quotas.select("source_no", "quota", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("quota") - 1, F.lit(4096).cast("bigint"))).alias("a"))
+    blocks = runs.select("source_no", F.explode(F.sequence("a", F.least(F.col("a") + 4095, F.col("quota") - 1))).alias("block")) \
+                 .withColumn("at", F.xxhash64(F.lit(SEED), "source_no", "block"))
+    return position(materialize(blocks, "mix-ranks"), "source_no", "at", "block").join(ranks, ["source_no", "position"]) \
+        .select("source_no", "block", "shard")
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -260,32 +289,19 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
 
 
 def mix_documents(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source",
-                  n_chars: str | None = "n_chars", place: bool = False, whole: bool = False) -> DataFrame:
+                  place: bool = False) -> DataFrame:
     """The documents of the mix, one row per copy, with the columns of ``docs``
     (plus ``mix_shard`` and ``mix_order`` when ``place``).
 
-    ``whole``: no text is changed; a source's stream ends at the end of the
-    copy nearest its target (of two as near, the later), so it is off by at
-    most half of one document.  Otherwise the one copy at the end of a source's
-    target is cut to its taken words, joined by blanks; ``n_chars``, if there
-    is such a column, is set to its new length."""
+    No text is changed; a source's stream ends at the end of the copy nearest
+    its target (of two as near, the later), so it is off by at most half of one
+    document."""
     key, copy = free_name(docs, "row_key"), free_name(docs, "copy")
-    mixed = mix(docs, doc_id=doc_id, text=text, source=source).filter(F.col("shard").isNotNull())
-    if whole:
-        mixed = mixed.filter(2 * F.col("words") >= F.col("size")).withColumn("words", F.col("size"))
-    taken = mixed.select(F.col("row_key").alias(key),
-                F.struct("words", (F.col("words") < F.col("size")).alias("cut"), "shard", "shard_order").alias(copy))
-    rows = docs.withColumn(key, row_key(doc_id, text)).dropDuplicates([key])
-    words = F.filter(F.split(F.col(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    cut = F.array_join(F.slice(words, F.lit(1), F.greatest(F.col(copy)["words"], F.lit(1)).cast("int")), " ")
-    out = []
-    for c in docs.columns:
-        value = F.col(f"`{c}`")
-        if c == text:
-            value = F.when(F.col(copy)["cut"], cut).otherwise(value)
-        elif c == n_chars:
-            value = F.when(F.col(copy)["cut"], F.length(cut).cast(docs.schema[c].dataType)).otherwise(value)
-        out.append(value.alias(c))
+    mixed = mix(docs, doc_id=doc_id, text=text, source=source) \
+        .filter(F.col("shard").isNotNull() & (2 * F.col("words") >= F.col("size")))
+    taken = mixed.select(F.col("row_key").alias(key), F.struct("shard", "shard_order").alias(copy))
+    rows = docs.withColumn(key, document_key(doc_id, text, source)).dropDuplicates([key])
+    out = [F.col(f"`{c}`") for c in docs.columns]
     if place:
         out += [F.col(copy)["shard"].alias("mix_shard"), F.col(copy)["shard_order"].alias("mix_order")]
     return rows.join(taken, key).select(*out)
@@ -320,16 +336,23 @@ filling AS (
 shared AS (SELECT *, rest * weight >= {MAX_EPOCHS} * source_size * open AS full_ FROM filling),
 level AS (SELECT arg_max(rest, open) AS rest, max(open) AS open FROM shared WHERE NOT full_),
 goals AS (
-  SELECT s.source, s.source_size,
+  SELECT s.source, s.source_size, s.no,
          CASE WHEN full_ THEN CAST({MAX_EPOCHS} * source_size AS DOUBLE)
               ELSE CAST(l.rest * weight AS DOUBLE) / CAST(l.open AS DOUBLE) END AS target
   FROM shared s CROSS JOIN level l),
-placed AS (
-  SELECT d.doc_id, d.size, g.source_size, g.target, CAST(floor(g.target + 0.5) AS BIGINT) AS goal,
+hashed AS (
+  SELECT d.doc_id, d.size, g.no, g.source_size, g.target, CAST(floor(g.target + 0.5) AS BIGINT) AS goal,
          coalesce(sum(d.size) OVER (PARTITION BY d.source
            ORDER BY md5('{SEED}|' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id NULLS FIRST, size, text
-           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source)
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos
+  FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source),
+blocks AS (SELECT no, pos // {BLOCK_WORDS} AS block, sum(size) AS words, min(pos) AS first FROM hashed GROUP BY ALL),
+moved AS (
+  SELECT no, block, coalesce(sum(words) OVER (PARTITION BY no
+           ORDER BY md5(concat_ws('|', '{SEED}', CAST(no AS VARCHAR), CAST(CAST(block AS BIGINT) AS VARCHAR)))
+           ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - first AS shift FROM blocks),
+placed AS (
+  SELECT h.*, h.pos + m.shift AS start FROM hashed h JOIN moved m ON h.no = m.no AND h.pos // {BLOCK_WORDS} = m.block)
 SELECT doc_id, size, source_size, target,
        CAST(CASE WHEN source_size = 0 THEN 0 ELSE goal // source_size * size
          + greatest(0, least(size, goal % source_size - start)) END AS BIGINT) AS taken

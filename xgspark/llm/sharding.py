@@ -44,7 +44,11 @@ class Leaf:
 
 
 def layout(n: int = SHARDS) -> list[Leaf]:
-    """``n`` shards of equal weight: racks of 4, regions of 3 racks."""
+    """``n`` shards of equal weight: up to ``SHARDS`` in racks of 4 and regions
+    of 3 racks; every further one is grown, so a count has one tree however it
+    was reached from there."""
+    if n > SHARDS:
+        return grow(layout(n - 1))
     out = []
     for s in range(n):
         rack = s // SHARDS_PER_RACK
