@@ -127,3 +127,23 @@ def op5_phrase_dedup(spark, sf_dir) -> DataFrame:
     got = strip_phrases(read_table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda t, x: t + x["end"] - x["start"])
     return got.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def oracle_sql() -> str:
+    """DuckDB SQL of the query's rows: every window counted by its content."""
+    n = WINDOW_WORDS
+    return rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (
+  SELECT row, a, md5(array_to_string(w[a:a + {n - 1}], ' ')) AS h
+  FROM docs, unnest(range(1, len(w) - {n - 2})) AS u(a) WHERE len(w) >= {n}),
+repeated AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT row, i FROM windows JOIN repeated USING (h), unnest(range(a, a + {n})) AS u(i)),
+words AS (SELECT row, i, w[i] AS word FROM docs, unnest(range(1, len(w) + 1)) AS u(i)),
+kept AS (
+  SELECT row, string_agg(word, ' ' ORDER BY i) AS body, count(*) AS n
+  FROM words ANTI JOIN gone USING (row, i) GROUP BY row)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.body, '')) AS kept_sha256
+FROM docs LEFT JOIN kept k USING (row)"""

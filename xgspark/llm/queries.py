@@ -1,6 +1,6 @@
 """Registered queries of the training-data operators."""
 
-from xgspark.llm import decontaminate, hard_negatives, mixing, quotes, revisits, sharding
+from xgspark.llm import decontaminate, hard_negatives, mixing, phrase_dedup, quotes, revisits, sharding
 from xgspark.llm.decontaminate import op7_decontaminate
 from xgspark.llm.hard_negatives import op11_hard_negatives
 from xgspark.llm.language_id import op1_language_id
@@ -35,6 +35,7 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op2_mixing": mixing.oracle_sql(),
     "op3_revisits": revisits.oracle_sql(),
+    "op5_phrase_dedup": phrase_dedup.oracle_sql(),
     "op7_decontaminate": decontaminate.oracle_sql(),
     "op8_quotes": quotes.oracle_sql(),
     "op9_sharding": sharding.oracle_sql(),
