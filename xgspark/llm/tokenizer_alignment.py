@@ -158,21 +158,22 @@ class Vocabularies:
         parts_of = [self.border.split(" " + t) if self.border else [" " + t] if t else [] for t in texts]
         if len(self.known) > KNOWN_PARTS or len(self.flat_a) > 16 * KNOWN_PARTS:
             self._forget()
-        missing = dict.fromkeys(p for parts in parts_of for p in parts if p not in self.known)
+        parts = list(chain.from_iterable(parts_of))
+        missing = set(parts).difference(self.known)
         if missing:
-            self._encode_parts(list(missing))
-        n = np.array([len(p) for p in parts_of], dtype=np.int64)
-        part = np.fromiter((self.known[p] for parts in parts_of for p in parts), dtype=np.int64, count=int(n.sum()))
-        text = np.repeat(np.arange(len(texts)), n)
+            self._encode_parts(sorted(missing))
+        part = np.fromiter(map(self.known.__getitem__, parts), dtype=np.int64, count=len(parts))
+        text = np.repeat(np.arange(len(texts)), [len(p) for p in parts_of])
         bad = np.array([not t for t in texts], dtype=bool)
-        for i in np.unique(text[~np.frombuffer(bytes(self.exact), dtype=bool)[part]]):
+        # Views of the tables, not copies: they are let go before the tables grow again.
+        for i in np.unique(text[~np.frombuffer(self.exact, dtype=bool)[part]]) if len(part) else ():
             bad[i] = not self._gives_back(" " + texts[i], part[text == i])
         part, text = part[~bad[text]], text[~bad[text]]
         out = []
         for flat, ends in ((self.flat_a, self.ends_a), (self.flat_b, self.ends_b)):
-            ends = np.array(ends)
+            ends = np.frombuffer(ends, dtype=np.int64)
             at, of = _ragged(ends[part], ends[part + 1])
-            out += [np.array(flat)[at], np.bincount(text[of], minlength=len(texts))]
+            out += [np.frombuffer(flat, dtype=np.int64)[at] if len(at) else np.zeros(0, dtype=np.int64), np.bincount(text[of], minlength=len(texts))]
         return tuple(out)
 
     def _gives_back(self, text: str, parts: np.ndarray) -> bool:
