@@ -11,6 +11,12 @@ def test_cli_etl_train_score(spark, open_data, tmp_path, capsys):  # noqa: F811
     assert main(["etl", "--root", open_data, "--out", shots, "--competition", "43"]) == 0
     audit = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert audit["kept_shots"] == 3
+    store = ["--store", str(tmp_path / "store")]
+    assert main(["etl", "--root", open_data, "--out", shots, "--competition", "43", *store]) == 0
+    stored = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    files = stored.pop("files")
+    assert stored == audit and files == {"events corrupt": 1, "events missing": 1, "events read": 2,
+                                         "matches corrupt": 1, "matches read": 2}
     train_in = str(tmp_path / "train_in")
     shots_view(spark, SF_MID).write.parquet(train_in)
     model = str(tmp_path / "model")

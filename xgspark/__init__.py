@@ -21,6 +21,9 @@ _EXPORTS = {
     "score_batch": "xgspark.plans.scoring",
     "score_json": "xgspark.plans.scoring",
     "score_stream": "xgspark.streaming.scoring_stream",
+    "read_scores": "xgspark.streaming.scoring_stream",
+    "sync_events": "xgspark.sources.event_store",
+    "read_store": "xgspark.sources.event_store",
 }
 __all__ = sorted(_EXPORTS)
 

@@ -1,6 +1,6 @@
 """Job entry points (also usable with ``spark-submit``)::
 
-    python -m xgspark etl   --root OPEN_DATA --out SHOTS [--competition 43] [--format parquet|csv]
+    python -m xgspark etl   --root OPEN_DATA --out SHOTS [--competition 43] [--format parquet|csv] [--store STORE]
     python -m xgspark train --shots SHOTS --model-out MODEL [--format parquet|csv] [--folds 5]
     python -m xgspark score --model MODEL --distance 11 --angle 37
     python -m xgspark score --model MODEL --requests REQUESTS --out SCORED
@@ -27,8 +27,12 @@ def _spark():
 def cmd_etl(a) -> dict:
     from xgspark.plans.etl import build_shots
 
-    res = build_shots(_spark(), a.root, a.out, a.competition, a.format)
-    return res.audit.first().asDict()
+    res = build_shots(_spark(), a.root, a.out, a.competition, a.format, store=a.store)
+    summary = res.audit.first().asDict()
+    if res.ledger is not None:
+        by = res.ledger.groupBy("kind", "outcome").count().collect()
+        summary["files"] = {f"{r['kind']} {r['outcome']}": r["count"] for r in sorted(by)}
+    return summary
 
 
 def cmd_train(a) -> dict:
@@ -75,6 +79,7 @@ def main(argv: list[str] | None = None) -> int:
     e.add_argument("--out", required=True)
     e.add_argument("--competition", type=int, default=DEFAULT_COMPETITION_ID)
     e.add_argument("--format", choices=("parquet", "csv"), default="parquet")
+    e.add_argument("--store", help="folder of parsed events kept between runs: only new and changed files are parsed")
     t = sub.add_parser("train", help="grouped CV + final model")
     t.add_argument("--shots", required=True)
     t.add_argument("--model-out", required=True)

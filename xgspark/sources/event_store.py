@@ -22,7 +22,6 @@ skips row groups, as the rows of every file are sorted by match.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -198,9 +197,3 @@ def file_ledger(expected: DataFrame, files: DataFrame, key: str = "match_id") ->
                     .select(key, "file", outcome.alias("outcome"), F.coalesce("records", F.lit(0)).alias("records"),
                             F.coalesce("unreadable", F.lit(0)).alias("unreadable")))
 
-
-def scratch_store(spark: SparkSession) -> str:
-    """A fresh store in the session's shared folder."""
-    from xgspark.session import scratch_path
-
-    return scratch_path(spark, f"event-store-{uuid.uuid4().hex[:8]}")

@@ -10,8 +10,9 @@ Paths, id patterns and the JSON form (one document a file, or one a line) are
 fields of the layout.  The per-season and per-match fetch loops become single
 multi-file scans; a corrupt file yields no rows and does not fail the job (it
 is counted); identifiers missing from payloads come from
-``_metadata.file_path``.  For repeated use, compact the events once to Parquet
-(:func:`compact_events`) and run everything after that on Parquet.
+``_metadata.file_path``.  For repeated use, keep the parsed events in a store
+(:mod:`xgspark.sources.event_store`), or write them once to Parquet
+(:func:`compact_events`).
 """
 
 from __future__ import annotations
