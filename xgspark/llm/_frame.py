@@ -54,7 +54,7 @@ def cut_ranges(rows: DataFrame, at: str, ranges: int) -> Column:
     def cell(i: int, j: int) -> str:                       # the cells i .. j - 1
         if j - i > 1:
             middle = (i + j) // 2
-            return f"if(`{at}` < {bounds[middle]}L, {cell(i, middle)}, {cell(middle, j)})"
+            return f"if(`{at}` < bigint('{bounds[middle]}'), {cell(i, middle)}, {cell(middle, j)})"
         share = f"{parts / (bounds[i + 1] - bounds[i])!r}D * (cast(`{at}` as double) - {float(bounds[i])!r}D)"
         return f"{i * parts} + least({parts - 1}, cast({share} as int))"
 
