@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +18,7 @@ from xgspark.config import FEATURE_COLUMNS, GROUP_COLUMN, TARGET_COLUMN
 from xgspark.functions.scoring import logistic_probability
 from xgspark.operators.joins import broadcast_if_small
 from xgspark.schemas import MODEL_TABLE_SCHEMA
+from xgspark.session import materialize
 
 
 class DegenerateFoldError(ValueError):
@@ -108,33 +108,31 @@ def fit_folds(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
 
     Returns the model table keyed by ``fold``.  A training side with a
     single class raises :class:`DegenerateFoldError` before any fit.  The
-    distinct (fold, features, label) rows with their counts are cached before
-    any action; class counts (unless given) and all fits read them.  Each fit
+    distinct (fold, features, label) rows with their counts are written once, in
+    as few files as they need (every pass of a fit is a task a file); class
+    counts (unless given) and all fits read them.  Each fit
     caches its own training side while it runs, so ``parallelism`` bounds the
     copies.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     check_order(features)
-    work = distinct_rows(df, features, label, [fold]).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        counts = counts or class_counts(work, label, fold)
-        total_rows, total_pos = sum(c[1] for c in counts), sum(c[2] for c in counts)
-
-        def one(f_rows_pos):
-            f, rows, pos = f_rows_pos
-            m = _fit(work.filter(F.col(fold) != F.lit(f)), features, label, total_rows - rows, max_iter, tol)
-            return _model_row(m, f, total_rows - rows, features)
-
-        for f, rows, pos in counts:
-            n_train, pos_train = total_rows - rows, total_pos - pos
-            if n_train == 0 or pos_train == 0 or pos_train == n_train:
-                raise DegenerateFoldError(
-                    f"fold {f}: training side has a single class ({pos_train} positives of {n_train})")
-        with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(counts)))) as ex:
-            rows = list(ex.map(one, counts))
-    finally:
-        work.unpersist()
+    work = materialize(distinct_rows(df, features, label, [fold]), "training-rows")
+    counts = counts or class_counts(work, label, fold)
+    total_rows, total_pos = sum(c[1] for c in counts), sum(c[2] for c in counts)
+
+    def one(f_rows_pos):
+        f, rows, pos = f_rows_pos
+        m = _fit(work.filter(F.col(fold) != F.lit(f)), features, label, total_rows - rows, max_iter, tol)
+        return _model_row(m, f, total_rows - rows, features)
+
+    for f, rows, pos in counts:
+        n_train, pos_train = total_rows - rows, total_pos - pos
+        if n_train == 0 or pos_train == 0 or pos_train == n_train:
+            raise DegenerateFoldError(
+                f"fold {f}: training side has a single class ({pos_train} positives of {n_train})")
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(counts)))) as ex:
+        rows = list(ex.map(one, counts))
     return df.sparkSession.createDataFrame(rows, MODEL_TABLE_SCHEMA)
 
 
@@ -154,7 +152,7 @@ def fit_final(df: DataFrame, features: Sequence[str] = FEATURE_COLUMNS,
     n, pos = counts
     if n == 0 or pos == 0 or pos == n:
         raise DegenerateFoldError(f"training data has a single class ({pos} positives of {n})")
-    m = _fit(distinct_rows(df, features, label), features, label, n, max_iter, tol)
+    m = _fit(materialize(distinct_rows(df, features, label), "training-rows"), features, label, n, max_iter, tol)
     if mllib_out:
         m.write().overwrite().save(mllib_out)
     return df.sparkSession.createDataFrame([_model_row(m, None, n, features)], MODEL_TABLE_SCHEMA)
