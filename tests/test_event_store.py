@@ -114,3 +114,22 @@ def test_empty_store_and_no_files(spark, tmp_path, store):
     assert read_store(spark, store).count() == 0 and current_files(spark, store).count() == 0
     assert sync_events(spark, str(tmp_path / "nowhere"), store) == Sync(0, 0, 0)
     assert store_counts(spark, store).count() == 0
+
+
+def test_planted_files_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    """One file a key, whatever the number of tasks; a replaced folder keeps no older file."""
+    from xgspark.plans import catalog
+
+    monkeypatch.setattr(catalog, "FILES_PER_TASK", 3)
+    monkeypatch.setattr(catalog, "EVENTS_PER_FILE", 2)
+    catalog._write_text(spark.range(20).select(F.col("id").alias("match_id")), "{ no json", f"file:{tmp_path}/events")
+    files = sorted(p for p in (tmp_path / "events").rglob("*") if p.is_file())
+    assert len(files) == 20 and {p.read_text() for p in files} == {"{ no json\n"}
+    records = spark.sql("SELECT id AS event_id, id % 3 AS match_id, CAST(NULL AS INT) AS minute, 'é' AS team FROM range(30) "
+                        "UNION ALL SELECT 99, NULL, 1, 'x'")
+    catalog._write_events(records, str(tmp_path), replace=True)
+    lines = {m: [ln for p in (tmp_path / "events" / f"match_id={m}").iterdir() for ln in p.read_text().splitlines()] for m in range(4)}
+    assert [lines[m] for m in range(3)] == [['{"team":"é"}'] * 10] * 3 and lines[3] == ["{ no json"]
+    assert len(list((tmp_path / "events" / "match_id=0").iterdir())) > 1
+    catalog._write_events(records.filter("event_id < 1"), str(tmp_path), replace=True)
+    assert len(list((tmp_path / "events" / "match_id=0").iterdir())) == 1

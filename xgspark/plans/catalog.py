@@ -8,6 +8,8 @@ Doubles compared against the SQL oracle are rounded half-up to 6 decimals
 
 from __future__ import annotations
 
+import re
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -20,7 +22,7 @@ from xgspark.plans.etl import build_shots, shots_from_catalogue
 from xgspark.plans.scoring import score_batch, score_json
 from xgspark.plans.training import train
 from xgspark.schemas import MODEL_TABLE_SCHEMA
-from xgspark.session import scratch_path
+from xgspark.session import materialize, scratch_path
 from xgspark.sources import event_store, model_io, shots_io, tables
 from xgspark.sources.open_data import Layout, read_competitions, read_events, read_matches
 
@@ -330,12 +332,77 @@ def _event_records(spark, sf_dir) -> DataFrame:
                       "player", "team_name", "team", "shot_type", shot.alias("shot"))
 
 
+# Files that one task writes, about.
+FILES_PER_TASK = 500
+
+
+def _write_lines(lines: DataFrame, files: int, folder: str) -> None:
+    """One file for each ``key=value`` folder (the first column) and ``file``
+    number, of the ``line`` texts; ``files``: how many there are.
+
+    Written by the tasks through Arrow's file systems: Spark's writer commits
+    folder by folder on the driver and, on a local disk, starts two processes
+    for each file, which takes longer than all else here."""
+    key, name, target = lines.columns[0], f"{uuid.uuid4().hex}.json", _arrow_uri(folder)
+
+    def write(batches):
+        import os
+
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(target)
+        current, out = None, None
+        for batch in batches:
+            for value, number, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if (value, number) != current:
+                    if out is not None:
+                        out.close()
+                    current, at = (value, number), f"{base}/{key}={value}"
+                    system.create_dir(at, recursive=True)
+                    out = system.open_output_stream(os.path.join(at, f"part-{number:05d}-{name}"))
+                out.write(line.encode() + b"\n")
+        if out is not None:
+            out.close()
+        yield from ()
+
+    dealt = lines.select(key, "file", "line").repartition(max(1, -(-files // FILES_PER_TASK)), key, "file")
+    dealt.sortWithinPartitions(key, "file").mapInArrow(write, "done int").write.format("noop").mode("overwrite").save()
+
+
+def _arrow_uri(path: str) -> str:
+    """``file:/a`` and ``/a`` as Arrow writes them: ``file:///a``."""
+    return re.sub("^(file:)?/+", "file:///", path)
+
+
+def _delete_folders(keys: DataFrame, folder: str) -> None:
+    key, target = keys.columns[0], _arrow_uri(folder)
+
+    def delete(batches):
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(target)
+        for batch in batches:
+            for value in batch.column(0).to_pylist():
+                at = f"{base}/{key}={value}"
+                if system.get_file_info(at).type != fs.FileType.NotFound:
+                    system.delete_dir(at)
+        yield from ()
+
+    keys.mapInArrow(delete, "done int").write.format("noop").mode("overwrite").save()
+
+
 def _write_events(records: DataFrame, root: str, replace: bool = False) -> None:
     """JSON lines, one folder a match (``replace``: in place of what the folder held)."""
-    files = records.groupBy("match_id").agg(F.ceil(F.count(F.lit(1)) / EVENTS_PER_FILE).alias("files"))
+    files = records.filter("match_id is not null").groupBy("match_id").agg(
+        F.ceil(F.count(F.lit(1)) / EVENTS_PER_FILE).alias("files"))
+    files = materialize(files, "match-files")
+    if replace:
+        _delete_folders(files.select("match_id").repartition(4 * files.sparkSession.sparkContext.defaultParallelism),
+                        f"{root}/events")
     dealt = records.join(files, "match_id").withColumn("file", F.pmod(F.xxhash64("event_id"), F.col("files")))
-    dealt.repartition("match_id", "file").drop("event_id", "files", "file").write.partitionBy("match_id") \
-         .mode("overwrite" if replace else "append").option("partitionOverwriteMode", "dynamic").json(f"{root}/events")
+    line = F.to_json(F.struct(*[c for c in records.columns if c not in ("match_id", "event_id")]))
+    _write_lines(dealt.select("match_id", "file", line.alias("line")), files.agg(F.sum("files")).first()[0] or 0,
+                 f"{root}/events")
 
 
 def _open_data(spark, sf_dir, *parts: str) -> str:
@@ -388,7 +455,8 @@ PLANTED_LAYOUT = replace(WRITTEN_LAYOUT, matches="matches/season_id=*/part-*", e
 
 def _write_text(keys: DataFrame, line: str, path: str) -> None:
     """A file of one line for each key, in the key's folder."""
-    keys.select("*", F.lit(line).alias("value")).distinct().write.mode("append").partitionBy(keys.columns[0]).text(path)
+    keys = materialize(keys.distinct(), "planted-keys")
+    _write_lines(keys.select("*", F.lit(0).alias("file"), F.lit(line).alias("line")), keys.count(), path)
 
 
 def q_event_file_ledger(spark, sf_dir) -> DataFrame:
