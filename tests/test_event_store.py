@@ -116,6 +116,43 @@ def test_empty_store_and_no_files(spark, tmp_path, store):
     assert store_counts(spark, store).count() == 0
 
 
+def test_a_glob_and_its_folder_list_the_same_files(spark, tmp_path):
+    """The folder above the wildcards is listed once; only what the glob names counts."""
+    for name in ("events/match_id=1/a.json", "events/match_id=1/b.txt", "events/match_id=1/deep/c.json", "events/d.json",
+                 "events/match_id=2/part 1.json", "events/match_id=2/_hidden.json", "events/x/match_id=3/e.json"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("{}")
+    (tmp_path / "events" / "match_id=2" / "empty.json").write_text("")
+    (tmp_path / "events" / "empty.json").write_text("")
+
+    def listed(pattern):
+        return sorted((os.path.relpath(r.path.removeprefix("file:").replace("///", "/"), tmp_path), r.size)
+                      for r in event_store.list_files(spark, f"{tmp_path}/{pattern}").collect())
+
+    found = [("events/match_id=1/a.json", 2), ("events/match_id=2/empty.json", 0), ("events/match_id=2/part 1.json", 2)]
+    assert [(f, n) for f, n in listed("events/match_id=*/*.json") if "part" not in f] == found[:2]
+    assert [n for f, n in listed("events/match_id=*/*.json") if "part" in f] == [2]
+    assert listed("events/match_id={1,2}/a.json") == found[:1] and listed("events/match_id=?/a.json") == found[:1]
+    assert listed("events/*.json") == [("events/d.json", 2), ("events/empty.json", 0)]
+    jobs = event_store._folder(f"{tmp_path}/events/match_id=*/*.json")
+    assert jobs == f"{tmp_path}/events" and event_store._folder(f"{tmp_path}/events/{{1,2}}.json") is None
+
+
+def test_older_files_are_not_opened_again(spark, open_data, store, monkeypatch):  # noqa: F811
+    """Many new files: those older than every new one are left out of the scan, and listing makes few tasks."""
+    sync_events(spark, open_data, store)
+    monkeypatch.setattr(event_store, "MAX_NAMED_FILES", 0)
+    _write(open_data, 201, [_shot([93.0, 22.0])])
+    later = os.path.getmtime(os.path.join(open_data, "events", "100.json")) + 100
+    os.utime(os.path.join(open_data, "events", "201.json"), (later, later))
+    scans = []
+    parse = event_store._parse
+    monkeypatch.setattr(event_store, "_parse", lambda *a: scans.append(parse(*a)) or scans[-1])
+    assert sync_events(spark, open_data, store) == Sync(2, 1, 0)
+    assert "file_modification_time >= " in scans[0]._jdf.queryExecution().executedPlan().toString()
+    assert rows(read_store(spark, store)) == rows(read_events(spark, open_data))
+
+
 def test_planted_files_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
     """One file a key, whatever the number of tasks; a replaced folder keeps no older file."""
     from xgspark.plans import catalog

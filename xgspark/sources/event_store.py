@@ -22,6 +22,7 @@ skips row groups, as the rows of every file are sorted by match.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -32,12 +33,13 @@ from xgspark.config import TARGET_COLUMN
 from xgspark.operators.cleaning import only_shots, shot_flags
 from xgspark.operators.joins import broadcast_if_small, events_of_matches
 from xgspark.schemas import EVENTS_SCHEMA
-from xgspark.session import materialize, path_exists
+from xgspark.session import few_listing_tasks, materialize, materialize_counted, path_exists, qualified_path
 from xgspark.sources.open_data import DEFAULT_LAYOUT, Layout, event_columns, events_path, file_id, read_json
 
 # Up to this many new files are read by name; beyond it the listing is read again
 # and a semi join on the file keeps the new ones.  The rows are the same.
 MAX_NAMED_FILES = 5_000
+LISTED_PER_TASK, PARSED_PER_TASK = 5_000, 1_000
 MAX_PUSHED_IDS = 2_000
 
 FILES_SCHEMA = ("file string, path string, size long, modified timestamp, match_id long, records long, "
@@ -54,24 +56,50 @@ class Sync:
     removed: int
 
 
+def _folder(pattern: str) -> str | None:
+    """The folder above the first wildcard, if the wildcards are ``*`` and ``?``
+    only: it is listed as a whole, in parallel.  A glob is walked by the driver,
+    a folder at a time, and each file it names is then looked up again."""
+    parts = pattern.split("/")
+    first = next((i for i, part in enumerate(parts) if set(part) & set("*?[]{}\\")), 0)
+    return "/".join(parts[:first]) if first and not set("/".join(parts[first:])) & set("[]{}\\") else None
+
+
+def _tasks(spark: SparkSession, files: int, per_task: int) -> int:
+    """Tasks for a scan of many small files: Spark's own splits hold a few dozen."""
+    return max(4 * spark.sparkContext.defaultParallelism, files // per_task)
+
+
 def list_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """``file, path, size, modified`` of the files a pattern names; no content
-    is read.  A scan leaves empty files out: they are added from the index that
-    it was planned with, with the time 0."""
+    """``file, path, size, modified`` of the files a pattern names, listed once
+    (files in folders that Spark hides, ``_x`` or ``.x``, do not count); no
+    content is read.  A scan leaves empty files out: if there are any, they are
+    added from the index that it was planned with, with the time 0."""
+    folder = _folder(pattern)
     try:
-        found = spark.read.format("binaryFile").load(pattern)
+        with few_listing_tasks(spark):
+            found = spark.read.format("binaryFile").option("recursiveFileLookup", folder is not None).load(folder or pattern)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], "file string, path string, size long, modified timestamp")
-    listed = found.select(F.col("_metadata.file_path").alias("file"), "path", F.col("length").alias("size"),
-                          F.col("modificationTime").alias("modified"))
-    names = spark.createDataFrame([(n,) for n in found.inputFiles()], "path string")
-    plain = F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/")       # file:/a and file:///a are one file
-    empty = names.withColumn("key", plain).join(listed.select(F.regexp_replace(
-        "file", "^([a-z0-9]+):/+", "$1:/").alias("key")), "key", "left_anti")
-    return listed.unionByName(empty.select(F.col("path").alias("file"), "path", F.lit(0).cast("long").alias("size"),
-                                           F.timestamp_seconds(F.lit(0)).alias("modified")))
+    indexed = found._jdf.inputFiles()
+    listed, n_listed = materialize_counted(found.select(
+        F.col("_metadata.file_path").alias("file"), "path", F.col("length").alias("size"),
+        F.col("modificationTime").alias("modified")).coalesce(_tasks(spark, len(indexed), LISTED_PER_TASK)), "listing")
+    if n_listed < len(indexed):
+        names = spark.createDataFrame([(n,) for n in found.inputFiles()], "path string")
+        plain = F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/")   # file:/a and file:///a are one file
+        empty = names.withColumn("key", plain).join(listed.select(F.regexp_replace(
+            "file", "^([a-z0-9]+):/+", "$1:/").alias("key")), "key", "left_anti")
+        listed = listed.unionByName(empty.select(F.col("path").alias("file"), "path", F.lit(0).cast("long").alias("size"),
+                                                 F.timestamp_seconds(F.lit(0)).alias("modified")))
+    if folder is None:
+        return listed
+    names = re.escape(pattern[len(folder):]).replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+    depth = qualified_path(spark, folder).rstrip("/").count("/")       # of "scheme:/a/b", so without a host's "//"
+    below = F.array_join(F.slice(F.split(F.regexp_replace("path", "^([a-z0-9]+):///", "$1:/"), "/"), depth + 2, 1_000), "/")
+    return listed.filter(F.concat(F.lit("/"), below).rlike(f"^{names}(/[^/]+)?$"))
 
 
 def committed_runs(spark: SparkSession, store: str) -> list[int]:
@@ -93,14 +121,23 @@ def current_files(spark: SparkSession, store: str) -> DataFrame:
 
 
 def _parse(spark: SparkSession, new: DataFrame, count: int, pattern: str, layout: Layout) -> DataFrame:
-    if count <= MAX_NAMED_FILES:
+    named = count <= MAX_NAMED_FILES
+    if named:
         paths = [r["path"] for r in new.select("path").collect()]
         raw = read_json(spark, EVENTS_SCHEMA, paths, layout)
     else:
-        raw = read_json(spark, EVENTS_SCHEMA, pattern, layout)
+        folder = _folder(pattern)
+        raw = read_json(spark, EVENTS_SCHEMA, folder or pattern, layout, recursive=folder is not None)
+        # No new file is older than this: older ones are left out of the listing, unopened.
+        oldest = new.filter("size > 0").agg(F.min(F.unix_micros("modified")).alias("t")).first()["t"]
+        if oldest is not None:
+            raw = raw.filter(F.col("_metadata.file_modification_time") >= F.timestamp_micros(F.lit(oldest)))
     raw = raw.withColumn("match_id", file_id(layout.match_id)).withColumn("file", F.col("_metadata.file_path"))
     parsed = raw.select("file", *event_columns())
-    return parsed if count <= MAX_NAMED_FILES else parsed.join(broadcast_if_small(new.select("file")), "file", "left_semi")
+    if named:
+        return parsed
+    kept = parsed.join(broadcast_if_small(new.select("file"), known_rows=count), "file", "left_semi")
+    return kept.coalesce(_tasks(spark, count, PARSED_PER_TASK))
 
 
 def _counts(events: DataFrame) -> DataFrame:
@@ -125,7 +162,8 @@ def sync_events(spark: SparkSession, root: str, store: str, match_ids: DataFrame
     and vanished ones no longer count."""
     store = store.rstrip("/")
     pattern = events_path(root, match_ids, layout)
-    listed = list_files(spark, pattern or f"{root.rstrip('/')}/{layout.events}")
+    pattern = pattern or f"{root.rstrip('/')}/{layout.events}"
+    listed = list_files(spark, pattern)
     listed = listed.withColumn("match_id", F.regexp_extract("file", layout.match_id, 1).try_cast("bigint"))
     known = current_files(spark, store)
     if match_ids is not None:

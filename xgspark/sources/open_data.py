@@ -28,6 +28,7 @@ from xgspark.operators.joins import attach_season, events_of_matches
 from xgspark.schemas import (
     COMPETITIONS_SCHEMA, CORRUPT, EVENT_FLAT_NAMES, EVENTS_SCHEMA, MATCHES_SCHEMA,
 )
+from xgspark.session import few_listing_tasks
 
 
 class NoDataError(RuntimeError):
@@ -50,18 +51,22 @@ class Layout:
 DEFAULT_LAYOUT = Layout()
 
 
-def read_json(spark: SparkSession, schema: T.StructType, path: str | list[str], layout: Layout) -> DataFrame:
+def read_json(spark: SparkSession, schema: T.StructType, path: str | list[str], layout: Layout,
+              recursive: bool = False) -> DataFrame:
     """A scan that keeps every record: a field that does not fit is NULL, and
-    an unreadable document is one row of NULLs (dropped by the callers)."""
+    an unreadable document is one row of NULLs (dropped by the callers).
+    ``recursive``: every file at any depth below the path."""
     from pyspark.errors import AnalysisException
 
     try:
-        return (spark.read.schema(schema)
-                     .option("multiLine", layout.multi_line)
-                     .option("mode", "PERMISSIVE")
-                     .option("columnNameOfCorruptRecord", CORRUPT)
-                     .option("ignoreMissingFiles", True)
-                     .json(path))
+        with few_listing_tasks(spark):
+            return (spark.read.schema(schema)
+                         .option("multiLine", layout.multi_line)
+                         .option("mode", "PERMISSIVE")
+                         .option("columnNameOfCorruptRecord", CORRUPT)
+                         .option("ignoreMissingFiles", True)
+                         .option("recursiveFileLookup", recursive)
+                         .json(path))
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             raise NoDataError(f"no files under {path}") from e
