@@ -157,6 +157,7 @@ def test_planted_files_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
     """One file a key, whatever the number of tasks; a replaced folder keeps no older file."""
     from xgspark.plans import catalog
 
+    tmp_path = tmp_path / "a b"
     monkeypatch.setattr(catalog, "FILES_PER_TASK", 3)
     monkeypatch.setattr(catalog, "EVENTS_PER_FILE", 2)
     catalog._write_text(spark.range(20).select(F.col("id").alias("match_id")), "{ no json", f"file:{tmp_path}/events")

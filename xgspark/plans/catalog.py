@@ -12,6 +12,7 @@ import re
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -370,8 +371,8 @@ def _write_lines(lines: DataFrame, files: int, folder: str) -> None:
 
 
 def _arrow_uri(path: str) -> str:
-    """``file:/a`` and ``/a`` as Arrow writes them: ``file:///a``."""
-    return re.sub("^(file:)?/+", "file:///", path)
+    """``file:/a b`` and ``/a b`` as Arrow writes them: ``file:///a%20b``."""
+    return quote(re.sub("^(file:)?/+", "file:///", path), safe="/:@")
 
 
 def _delete_folders(keys: DataFrame, folder: str) -> None:
