@@ -171,3 +171,23 @@ def test_planted_files_are_dealt_over_tasks(spark, tmp_path, monkeypatch):
     assert len(list((tmp_path / "events" / "match_id=0").iterdir())) > 1
     catalog._write_events(records.filter("event_id < 1"), str(tmp_path), replace=True)
     assert len(list((tmp_path / "events" / "match_id=0").iterdir())) == 1
+
+
+def test_many_new_files_among_more_are_read_by_name(spark, open_data, store, monkeypatch):  # noqa: F811
+    """New files that are at most half of those listed are read by name, in several scans; no other file is opened."""
+    ids = spark.createDataFrame([(i,) for i in (101, 201, 202, 203, 204, 205)], "match_id long")
+    for match in (201, 202, 203, 204, 205, *range(400, 412)):
+        _write(open_data, match, [_shot([93.0, 22.0]), _shot([94.0, match - 180.0])])
+    monkeypatch.setattr(event_store, "MAX_NAMED_FILES", 1)
+    monkeypatch.setattr(event_store, "SCANS_NAMED", 2)
+    monkeypatch.setattr(event_store, "events_path", lambda *a: None)            # as with more ids than a glob takes
+    scans = []
+    parse = event_store.read_json
+    monkeypatch.setattr(event_store, "read_json", lambda s, schema, paths, *a, **k: scans.append(paths) or parse(s, schema, paths, *a, **k))
+    assert sync_events(spark, open_data, store, ids) == Sync(1, 6, 0)
+    assert len(scans) == 3 and sorted(os.path.basename(p) for paths in scans for p in paths) == [
+        "101.json", "201.json", "202.json", "203.json", "204.json", "205.json"]
+    assert rows(read_store(spark, store)) == rows(read_events(spark, open_data, ids))
+    monkeypatch.setattr(event_store, "MAX_PUSHED_IDS", 0)
+    some = ids.filter("match_id > 202").union(ids.filter("match_id > 203"))
+    assert rows(read_store(spark, store, some)) == rows(read_events(spark, open_data, some)) != []

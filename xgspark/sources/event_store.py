@@ -14,8 +14,8 @@ committed and is done over under the same number.  Per-file counts (events,
 shots, kept shots, goals) are taken from what was just written, so the audit,
 the group sizes and the ledger read one row a file and never the events.
 
-Scale: no shuffle of events.  Reading joins them with the current files (one
-row a file, broadcast behind a count) and the chosen matches; up to
+Scale: no shuffle of events.  Reading joins them with the current files of the
+chosen matches (one row a file, broadcast behind a count); up to
 ``MAX_PUSHED_IDS`` matches also go into the Parquet scan as a filter, which
 skips row groups, as the rows of every file are sorted by match.
 """
@@ -36,10 +36,13 @@ from xgspark.schemas import EVENTS_SCHEMA
 from xgspark.session import few_listing_tasks, materialize, materialize_counted, path_exists, qualified_path
 from xgspark.sources.open_data import DEFAULT_LAYOUT, Layout, event_columns, events_path, file_id, read_json
 
-# Up to this many new files are read by name; beyond it the listing is read again
-# and a semi join on the file keeps the new ones.  The rows are the same.
-MAX_NAMED_FILES = 5_000
+# Up to this many new files are read by name in one scan.  More are read by name in
+# several scans, unless they are most of the listed files: then the folder is read
+# again and a semi join on the file keeps the new ones.  The rows are the same.
+MAX_NAMED_FILES = 5_000                               # 0: never by name
+SCANS_NAMED = 10                                      # a scan of several names this many times as many
 LISTED_PER_TASK, PARSED_PER_TASK = 5_000, 1_000
+PARSED_BYTES_PER_TASK = 128 << 20
 MAX_PUSHED_IDS = 2_000
 
 FILES_SCHEMA = ("file string, path string, size long, modified timestamp, match_id long, records long, "
@@ -65,9 +68,9 @@ def _folder(pattern: str) -> str | None:
     return "/".join(parts[:first]) if first and not set("/".join(parts[first:])) & set("[]{}\\") else None
 
 
-def _tasks(spark: SparkSession, files: int, per_task: int) -> int:
+def _tasks(spark: SparkSession, files: int, per_task: int, size: int = 0) -> int:
     """Tasks for a scan of many small files: Spark's own splits hold a few dozen."""
-    return max(4 * spark.sparkContext.defaultParallelism, files // per_task)
+    return max(4 * spark.sparkContext.defaultParallelism, files // per_task, size // PARSED_BYTES_PER_TASK)
 
 
 def list_files(spark: SparkSession, pattern: str) -> DataFrame:
@@ -120,24 +123,35 @@ def current_files(spark: SparkSession, store: str) -> DataFrame:
     return latest.select("file", "f.*").filter(~F.col("removed"))
 
 
-def _parse(spark: SparkSession, new: DataFrame, count: int, pattern: str, layout: Layout) -> DataFrame:
-    named = count <= MAX_NAMED_FILES
+def _scans(new: DataFrame, count: int, listed: int) -> list[tuple[DataFrame, int, bool]]:
+    """The new files in the parts that one scan reads: files, their number (about),
+    whether they are read by name."""
+    if count <= MAX_NAMED_FILES:
+        return [(new, count, True)]
+    if not MAX_NAMED_FILES or 2 * count > listed:
+        return [(new, count, False)]
+    n = -(-count // (SCANS_NAMED * MAX_NAMED_FILES))
+    part = F.pmod(F.xxhash64("file"), F.lit(n))
+    return [(new.filter(part == i), -(-count // n), True) for i in range(n)]
+
+
+def _parse(spark: SparkSession, new: DataFrame, count: int, pattern: str, layout: Layout, named: bool) -> DataFrame:
     if named:
-        paths = [r["path"] for r in new.select("path").collect()]
-        raw = read_json(spark, EVENTS_SCHEMA, paths, layout)
+        chosen = new.select("path", "size").collect()
+        size = sum(r["size"] for r in chosen)
+        raw = read_json(spark, EVENTS_SCHEMA, [r["path"] for r in chosen], layout)
     else:
         folder = _folder(pattern)
         raw = read_json(spark, EVENTS_SCHEMA, folder or pattern, layout, recursive=folder is not None)
         # No new file is older than this: older ones are left out of the listing, unopened.
-        oldest = new.filter("size > 0").agg(F.min(F.unix_micros("modified")).alias("t")).first()["t"]
+        oldest, size = new.filter("size > 0").agg(F.min(F.unix_micros("modified")), F.sum("size")).first()
         if oldest is not None:
             raw = raw.filter(F.col("_metadata.file_modification_time") >= F.timestamp_micros(F.lit(oldest)))
     raw = raw.withColumn("match_id", file_id(layout.match_id)).withColumn("file", F.col("_metadata.file_path"))
     parsed = raw.select("file", *event_columns())
-    if named:
-        return parsed
-    kept = parsed.join(broadcast_if_small(new.select("file"), known_rows=count), "file", "left_semi")
-    return kept.coalesce(_tasks(spark, count, PARSED_PER_TASK))
+    if not named:
+        parsed = parsed.join(broadcast_if_small(new.select("file"), known_rows=count), "file", "left_semi")
+    return parsed.coalesce(_tasks(spark, count, PARSED_PER_TASK, size or 0))
 
 
 def _counts(events: DataFrame) -> DataFrame:
@@ -165,6 +179,7 @@ def sync_events(spark: SparkSession, root: str, store: str, match_ids: DataFrame
     pattern = pattern or f"{root.rstrip('/')}/{layout.events}"
     listed = list_files(spark, pattern)
     listed = listed.withColumn("match_id", F.regexp_extract("file", layout.match_id, 1).try_cast("bigint"))
+    n_listed = listed.count()
     known = current_files(spark, store)
     if match_ids is not None:
         listed, known = (events_of_matches(t, match_ids) for t in (listed, known))
@@ -178,8 +193,9 @@ def sync_events(spark: SparkSession, root: str, store: str, match_ids: DataFrame
     run = max(committed_runs(spark, store), default=0) + 1
     counts = None
     if n_new:
-        _parse(spark, new, n_new, pattern, layout).sortWithinPartitions("match_id") \
-            .write.mode("overwrite").parquet(f"{store}/events/run={run}")
+        for i, (files, count, named) in enumerate(_scans(new, n_new, n_listed)):
+            _parse(spark, files, count, pattern, layout, named).sortWithinPartitions("match_id") \
+                .write.mode("append" if i else "overwrite").parquet(f"{store}/events/run={run}")
         counts = _counts(spark.read.parquet(f"{store}/events/run={run}"))
     zero = [c for c in ("records", "unreadable", "raw_shots", "kept_shots", "dropped_missing", "goals")]
     rows = gone.withColumn("removed", F.lit(True)).drop("run")
@@ -209,7 +225,7 @@ def read_store(spark: SparkSession, store: str, match_ids: DataFrame | None = No
         if len(few) <= MAX_PUSHED_IDS:
             events = events.filter(F.col("match_id").isin([r["match_id"] for r in few]))
         else:
-            events = events_of_matches(events, ids)
+            files = events_of_matches(files, ids)          # a file is of one match: the events need no join with the ids
     latest = broadcast_if_small(files.select("file", F.col("run").cast("int").alias("run")))
     return events.join(latest, ["file", "run"], "left_semi").filter(~F.col("unreadable")).drop("unreadable", "file")
 
