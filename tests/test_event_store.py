@@ -191,3 +191,22 @@ def test_many_new_files_among_more_are_read_by_name(spark, open_data, store, mon
     monkeypatch.setattr(event_store, "MAX_PUSHED_IDS", 0)
     some = ids.filter("match_id > 202").union(ids.filter("match_id > 203"))
     assert rows(read_store(spark, store, some)) == rows(read_events(spark, open_data, some)) != []
+
+
+def test_records_are_made_after_the_rows_are_dealt(spark, tmp_path, monkeypatch):
+    """Only narrow rows are shuffled; lines of one file may come in several batches."""
+    from xgspark.plans import catalog
+
+    monkeypatch.setattr(catalog, "EVENTS_PER_FILE", 1_000)
+    data, dealt = spark.range(60).select(F.col("id").alias("event_id"), (F.col("id") % 4).alias("match_id")), []
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        catalog._write_events(data, str(tmp_path), to_records=lambda d: dealt.append(d) or d.withColumn("wide", F.concat(F.lit("é"), "event_id")))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    plan = dealt[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" in plan and "wide" not in plan
+    for match in range(4):
+        (file,) = (tmp_path / "events" / f"match_id={match}").iterdir()
+        assert sorted(file.read_text().splitlines()) == sorted(f'{{"wide":"é{i}"}}' for i in range(match, 60, 4))

@@ -325,11 +325,17 @@ WRITTEN_LAYOUT = Layout(competitions="competitions", matches="matches/season_id=
 EVENTS_PER_FILE = 50_000
 
 
-def _event_records(spark, sf_dir) -> DataFrame:
-    raw = tables.raw_events_view(spark, sf_dir)
+def _event_rows(spark, sf_dir) -> DataFrame:
+    """What the event records are made of: these narrow rows are dealt to the files."""
+    return tables.read_table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("match_id"),
+                                                             "event_type", "value")
+
+
+def _event_records(rows: DataFrame) -> DataFrame:
+    raw = rows.withColumnRenamed("match_id", "user_id").selectExpr("file", *tables.RAW_EVENT_EXPRS)
     shot = F.struct(F.struct(F.lit(0).alias("id"), F.col("shot_outcome").alias("name")).alias("outcome"),
                     F.col("shot_body_part").alias("body_part"), F.col("shot_statsbomb_xg").alias("statsbomb_xg"))
-    return raw.select("event_id", "match_id", "type", "period", "minute", F.try_parse_json("location").alias("location"),
+    return raw.select("file", "event_id", "match_id", "type", "period", "minute", F.try_parse_json("location").alias("location"),
                       "player", "team_name", "team", "shot_type", shot.alias("shot"))
 
 
@@ -337,37 +343,51 @@ def _event_records(spark, sf_dir) -> DataFrame:
 FILES_PER_TASK = 500
 
 
-def _write_lines(lines: DataFrame, files: int, folder: str) -> None:
+def _write_lines(rows: DataFrame, files: int, folder: str,
+                 to_lines: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
     """One file for each ``key=value`` folder (the first column) and ``file``
-    number, of the ``line`` texts; ``files``: how many there are.
+    number, of the ``line`` texts; ``files``: how many there are.  ``to_lines``
+    makes the lines of the rows after these are dealt, so that texts, which
+    are many times wider, are neither shuffled nor sorted.
 
     Written by the tasks through Arrow's file systems: Spark's writer commits
     folder by folder on the driver and, on a local disk, starts two processes
     for each file, which takes longer than all else here."""
-    key, name, target = lines.columns[0], f"{uuid.uuid4().hex}.json", _arrow_uri(folder)
+    key, name, target = rows.columns[0], f"{uuid.uuid4().hex}.json", _arrow_uri(folder)
 
     def write(batches):
         import os
 
-        from pyarrow import fs
+        import numpy as np
+        import pyarrow.types as pt
+        from pyarrow import compute, fs
 
         system, base = fs.FileSystem.from_uri(target)
         current, out = None, None
         for batch in batches:
-            for value, number, line in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            values, numbers, text = batch.columns
+            _, at, data = text.buffers()
+            at = np.frombuffer(at, np.int64 if pt.is_large_string(text.type) else np.int32)[text.offset:]
+            # Lines of one file stand together: each run of them is written as the piece of the batch that it is.
+            ends = {e for column in (values, numbers) for e in compute.run_end_encode(column).run_ends.to_pylist()}
+            begin = 0
+            for end in sorted(ends):
+                value, number = values[begin].as_py(), numbers[begin].as_py()
                 if (value, number) != current:
                     if out is not None:
                         out.close()
-                    current, at = (value, number), f"{base}/{key}={value}"
-                    system.create_dir(at, recursive=True)
-                    out = system.open_output_stream(os.path.join(at, f"part-{number:05d}-{name}"))
-                out.write(line.encode() + b"\n")
+                    current, folder = (value, number), f"{base}/{key}={value}"
+                    system.create_dir(folder, recursive=True)
+                    out = system.open_output_stream(os.path.join(folder, f"part-{number:05d}-{name}"))
+                out.write(data.slice(int(at[begin]), int(at[end] - at[begin])))
+                begin = end
         if out is not None:
             out.close()
         yield from ()
 
-    dealt = lines.select(key, "file", "line").repartition(max(1, -(-files // FILES_PER_TASK)), key, "file")
-    dealt.sortWithinPartitions(key, "file").mapInArrow(write, "done int").write.format("noop").mode("overwrite").save()
+    dealt = rows.repartition(max(1, -(-files // FILES_PER_TASK)), key, "file").sortWithinPartitions(key, "file")
+    lines = to_lines(dealt).select(key, "file", F.concat("line", F.lit("\n")).alias("line"))
+    lines.mapInArrow(write, "done int").write.format("noop").mode("overwrite").save()
 
 
 def _arrow_uri(path: str) -> str:
@@ -392,18 +412,24 @@ def _delete_folders(keys: DataFrame, folder: str) -> None:
     keys.mapInArrow(delete, "done int").write.format("noop").mode("overwrite").save()
 
 
-def _write_events(records: DataFrame, root: str, replace: bool = False) -> None:
-    """JSON lines, one folder a match (``replace``: in place of what the folder held)."""
-    files = records.filter("match_id is not null").groupBy("match_id").agg(
+def _write_events(rows: DataFrame, root: str, replace: bool = False,
+                  to_records: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+    """JSON lines, one folder a match (``replace``: in place of what the folder
+    held), of the records that ``to_records`` makes of the rows."""
+    files = rows.filter("match_id is not null").groupBy("match_id").agg(
         F.ceil(F.count(F.lit(1)) / EVENTS_PER_FILE).alias("files"))
     files = materialize(files, "match-files")
     if replace:
         _delete_folders(files.select("match_id").repartition(4 * files.sparkSession.sparkContext.defaultParallelism),
                         f"{root}/events")
-    dealt = records.join(files, "match_id").withColumn("file", F.pmod(F.xxhash64("event_id"), F.col("files")))
-    line = F.to_json(F.struct(*[c for c in records.columns if c not in ("match_id", "event_id")]))
-    _write_lines(dealt.select("match_id", "file", line.alias("line")), files.agg(F.sum("files")).first()[0] or 0,
-                 f"{root}/events")
+    dealt = rows.join(files, "match_id").withColumn("file", F.pmod(F.xxhash64("event_id"), F.col("files"))).drop("files")
+
+    def to_lines(dealt: DataFrame) -> DataFrame:
+        records = to_records(dealt)
+        fields = F.struct(*[c for c in records.columns if c not in ("match_id", "event_id", "file")])
+        return records.select("match_id", "file", F.to_json(fields).alias("line"))
+
+    _write_lines(dealt, files.agg(F.sum("files")).first()[0] or 0, f"{root}/events", to_lines)
 
 
 def _open_data(spark, sf_dir, *parts: str) -> str:
@@ -414,7 +440,7 @@ def _open_data(spark, sf_dir, *parts: str) -> str:
     if "matches" in parts:
         tables.matches_view(spark, sf_dir).repartition("season_id").write.partitionBy("season_id").json(f"{root}/matches")
     if "events" in parts:
-        _write_events(_event_records(spark, sf_dir), root)
+        _write_events(_event_rows(spark, sf_dir), root, to_records=_event_records)
     return root
 
 
@@ -468,7 +494,7 @@ def q_event_file_ledger(spark, sf_dir) -> DataFrame:
     season, match = F.col("season_id") % 5, F.col("match_id") % 19
     matches.filter(~season.isin(2, 3)).repartition("season_id").write.partitionBy("season_id").json(f"{root}/matches")
     _write_text(matches.filter(season == 3).select("season_id"), "{ no json", f"{root}/matches")
-    _write_events(_event_records(spark, sf_dir).filter(~match.isin(3, 5, 7)), root)
+    _write_events(_event_rows(spark, sf_dir).filter(~match.isin(3, 5, 7)), root, to_records=_event_records)
     _write_text(matches.filter(match == 3).select("match_id"), "{ no json", f"{root}/events")
     _write_text(matches.filter(match == 5).select("match_id"), " ", f"{root}/events")
     etl = build_shots(spark, root, competition_id=ETL_COMPETITION_ID, layout=PLANTED_LAYOUT,
@@ -482,11 +508,11 @@ def q_incremental_ingest(spark, sf_dir) -> DataFrame:
     """S3 in two runs: the second parses new and changed files only; per match
     the events that count and the run that parsed them."""
     root, store = scratch_path(spark, "open-data"), scratch_path(spark, "event-store")
-    records, match = _event_records(spark, sf_dir), F.col("match_id")
-    _write_events(records.filter(match % 3 != 0), root)
+    rows, match = _event_rows(spark, sf_dir), F.col("match_id")
+    _write_events(rows.filter(match % 3 != 0), root, to_records=_event_records)
     event_store.sync_events(spark, root, store, layout=WRITTEN_LAYOUT)
     later = ((match % 10 == 1) & (F.col("event_id") % 2 == 0)) | ((match % 10 != 1) & (match % 3 == 0))
-    _write_events(records.filter(later), root, replace=True)
+    _write_events(rows.filter(later), root, replace=True, to_records=_event_records)
     event_store.sync_events(spark, root, store, layout=WRITTEN_LAYOUT)
     return event_store.read_store(spark, store).groupBy("match_id", "run").agg(F.count(F.lit(1)).alias("events"))
 
