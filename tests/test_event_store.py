@@ -210,3 +210,62 @@ def test_records_are_made_after_the_rows_are_dealt(spark, tmp_path, monkeypatch)
     for match in range(4):
         (file,) = (tmp_path / "events" / f"match_id={match}").iterdir()
         assert sorted(file.read_text().splitlines()) == sorted(f'{{"wide":"é{i}"}}' for i in range(match, 60, 4))
+
+
+def test_a_large_folder_is_listed_some_of_its_entries_at_a_time(spark, tmp_path, monkeypatch):
+    """No index of Spark's holds the files of more entries than the bound; the listing is the same."""
+    for name in ("a.json", "b 1.json", "[c].json", "d{1,2}.json", "é%20.json", "_e.json", ".f.json", "_metadata.json", "g.txt",
+                 "h.json/i.json", "h.json/_j.json", "h.json/deep/k.json", "_l.json/m.json", "_n=1.json/o.json"):
+        (tmp_path / "events" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "events" / name).write_text("{}")
+    (tmp_path / "events" / "empty.json").write_text("")
+
+    def listed(root=tmp_path):
+        found = [tuple(map(str, r)) for p in ("*.json", "?.json", "*/*.json", "none*")
+                 for r in event_store.list_files(spark, f"{root}/events/{p}").collect()]
+        return sorted(found)
+
+    whole, parts, part = listed(), [], event_store._list
+    assert [os.path.basename(r[1]) for r in whole].count("i.json") == 3
+    monkeypatch.setattr(event_store, "_list", lambda s, paths, *a: parts.append(len(paths)) or part(s, paths, *a))
+    monkeypatch.setattr(event_store, "LISTED_AT_ONCE", 3)
+    assert listed() == whole and len(parts) > 6 and max(parts) == 3
+    # Through a file system that only Spark's readers know.
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.parts.link./in", f"file:{tmp_path}")
+    parts.clear()
+    assert sorted((os.path.basename(r[0]), r[2:]) for r in listed("viewfs://parts/in")) == sorted((os.path.basename(r[0]), r[2:]) for r in whole)
+    assert len(parts) > 6 and max(parts) == 3
+    # An entry that goes while the folder is listed is left out.
+    monkeypatch.setattr(event_store, "_pieces", lambda *a: iter([[f"{tmp_path}/events/a.json", f"{tmp_path}/events/gone.json"],
+                                                                 [f"{tmp_path}/events/gone.json"]]))
+    assert [os.path.basename(r.path) for r in event_store.list_files(spark, f"{tmp_path}/events/*.json").collect()] == ["a.json"]
+
+
+def test_new_files_that_one_scan_cannot_hold_are_read_in_several(spark, open_data, store, monkeypatch):  # noqa: F811
+    """Even where all listed files are new, no scan is of many more files than the bound."""
+    for match in range(400, 420):
+        _write(open_data, match, [_shot([93.0, 22.0]), _shot([94.0, match - 380.0])])
+    for name in ("no id.json", "[500].json", "no event.json"):
+        with open(os.path.join(open_data, "events", name), "w") as f:
+            f.write(json.dumps([_shot([95.0, 23.0])]) if "event" not in name else "")
+    monkeypatch.setattr(event_store, "MAX_NAMED_FILES", 2)
+    monkeypatch.setattr(event_store, "SCANS_NAMED", 2)
+    monkeypatch.setattr(event_store, "LISTED_AT_ONCE", 5)
+    scans, parse = [], event_store.read_json
+    monkeypatch.setattr(event_store, "read_json", lambda s, schema, paths, *a, **k: scans.append(paths) or parse(s, schema, paths, *a, **k))
+    assert sync_events(spark, open_data, store) == Sync(1, 27, 0)
+    assert len(scans) == 7 and all(isinstance(paths, list) for paths in scans) and sum(map(len, scans)) == 27
+    assert rows(read_store(spark, store)) == rows(read_events(spark, open_data))
+    assert read_store(spark, store).filter("match_id IS NULL").count() == 2
+
+
+def test_file_names_are_not_broadcast(spark, open_data, store):  # noqa: F811
+    """The files that count are known by hashes of their names; changed files' older rows do not count."""
+    sync_events(spark, open_data, store)
+    _write(open_data, 101, [_shot([91.0, 20.0])])
+    assert sync_events(spark, open_data, store).parsed == 1
+    stored = read_store(spark, store)
+    plan = stored._jdf.queryExecution().optimizedPlan().toString()
+    join = next(line for line in plan.splitlines() if "Join LeftSemi" in line)
+    assert "rightHint=(strategy=broadcast)" in join and "file#" not in join and "file_1" in join
+    assert rows(stored) == rows(read_events(spark, open_data)) and "file_1" not in stored.columns

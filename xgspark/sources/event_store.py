@@ -14,16 +14,22 @@ committed and is done over under the same number.  Per-file counts (events,
 shots, kept shots, goals) are taken from what was just written, so the audit,
 the group sizes and the ledger read one row a file and never the events.
 
-Scale: no shuffle of events.  Reading joins them with the current files of the
-chosen matches (one row a file, broadcast behind a count); up to
+Scale: no shuffle of events.  The driver holds the names of a folder's entries,
+and what Spark knows of the files of a bounded number of them.  Reading joins them with the current files of the
+chosen matches (one row a file, hashes, broadcast behind a count); up to
 ``MAX_PUSHED_IDS`` matches also go into the Parquet scan as a filter, which
 skips row groups, as the rows of every file are sorted by match.
 """
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -33,14 +39,20 @@ from xgspark.config import TARGET_COLUMN
 from xgspark.operators.cleaning import only_shots, shot_flags
 from xgspark.operators.joins import broadcast_if_small, events_of_matches
 from xgspark.schemas import EVENTS_SCHEMA
-from xgspark.session import few_listing_tasks, materialize, materialize_counted, path_exists, qualified_path
-from xgspark.sources.open_data import DEFAULT_LAYOUT, Layout, event_columns, events_path, file_id, read_json
+from xgspark.session import (
+    few_listing_tasks, materialize, materialize_counted, path_exists, qualified_path, scratch_path,
+)
+from xgspark.sources.open_data import (
+    DEFAULT_LAYOUT, Layout, event_columns, events_path, file_id, literal_paths, read_json,
+)
 
 # Up to this many new files are read by name in one scan.  More are read by name in
-# several scans, unless they are most of the listed files: then the folder is read
-# again and a semi join on the file keeps the new ones.  The rows are the same.
+# several scans, unless one scan can hold all listed files and most of them are new:
+# then the folder is read again and a semi join on the file keeps the new ones.  The
+# rows are the same.
 MAX_NAMED_FILES = 5_000                               # 0: never by name
-SCANS_NAMED = 10                                      # a scan of several names this many times as many
+SCANS_NAMED = 2                                       # a scan of several names this many times as many
+LISTED_AT_ONCE = 8_000                                # entries of a folder that the driver lists the files of
 LISTED_PER_TASK, PARSED_PER_TASK = 5_000, 1_000
 PARSED_BYTES_PER_TASK = 128 << 20
 MAX_PUSHED_IDS = 2_000
@@ -50,6 +62,9 @@ FILES_SCHEMA = ("file string, path string, size long, modified timestamp, match_
                 "removed boolean, run int")
 
 
+LISTED_SCHEMA = "file string, path string, size long, modified timestamp"
+
+
 @dataclass
 class Sync:
     """What one run did: its number (0: nothing to do) and its files."""
@@ -73,36 +88,100 @@ def _tasks(spark: SparkSession, files: int, per_task: int, size: int = 0) -> int
     return max(4 * spark.sparkContext.defaultParallelism, files // per_task, size // PARSED_BYTES_PER_TASK)
 
 
+def _glob_regex(pattern: str) -> str:
+    """Of a pattern whose wildcards are ``*`` and ``?`` only."""
+    return re.escape(pattern).replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
+
+
+def _hidden(name: str) -> bool:
+    """Whether Spark leaves a folder's entry out of a listing."""
+    return (name.startswith((".", "_")) and not (name.startswith("_") and "=" in name) or name.endswith("._COPYING_")) \
+        and not name.startswith(("_common_metadata", "_metadata"))
+
+
+def _names(spark: SparkSession, folder: str) -> Iterator[list[str]]:
+    """Names of a folder's entries, up to ``LISTED_AT_ONCE`` at a time."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.getUri().getScheme() == "file" and os.path.isdir(local := path.toUri().getPath()):
+        with os.scandir(local) as entries:            # the names alone: Hadoop makes a status of each, all at once
+            while names := [e.name for e in islice(entries, LISTED_AT_ONCE)]:
+                yield names
+        return
+    entries = jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(system.listStatus(path))
+    for at in range(0, len(entries), LISTED_AT_ONCE):
+        count = min(LISTED_AT_ONCE, len(entries) - at)
+        some = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, count)
+        jvm.java.lang.System.arraycopy(entries, at, some, 0, count)
+        yield [p.rpartition("/")[2] for p in jvm.org.apache.commons.lang3.StringUtils.join(some, "\0").split("\0")]
+
+
+def _pieces(spark: SparkSession, folder: str, glob: str) -> Iterator[list[str]]:
+    """The folder itself if it has few entries, or else the paths of the entries
+    that the glob names, ``LISTED_AT_ONCE`` of the entries at a time: an index of
+    Spark's holds some kB a file on the driver, which keeps the names only."""
+    if not path_exists(spark, folder):
+        return
+    named, pieces, count = re.compile(_glob_regex(glob)), [], 0
+    for names in _names(spark, folder):
+        count += len(names)
+        pieces.append("\0".join(n for n in names if named.fullmatch(n) and not _hidden(n)))
+    if count <= LISTED_AT_ONCE:
+        yield [folder]
+        return
+    for names in filter(None, pieces):
+        yield [f"{folder}/{name}" for name in names.split("\0")]
+
+
+def _list(spark: SparkSession, paths: list[str], recursive: bool, out: str) -> bool:
+    """Append the files at the paths (``recursive``: or below; else the path is a
+    glob) to the listing in ``out``; False if there is nothing at any of them.  A
+    scan leaves empty files out: if there are any, they are added from the index
+    that it was planned with, with the time 0."""
+    while True:
+        try:
+            with few_listing_tasks(spark):
+                found = (spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+                              .load(literal_paths(paths) if recursive else paths))
+            break
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            # Some are gone since the folder was listed.
+            paths = [p for p in paths if path_exists(spark, p)] if recursive else []
+            if not paths:
+                return False
+    indexed = len(found._jdf.inputFiles())
+    part, n_listed = materialize_counted(found.select(
+        F.col("_metadata.file_path").alias("file"), "path", F.col("length").alias("size"),
+        F.col("modificationTime").alias("modified")).coalesce(_tasks(spark, indexed, LISTED_PER_TASK)), "listing", f"{out}/{uuid.uuid4().hex}")
+    if n_listed < indexed:
+        names = spark.createDataFrame([(n, unquote(n)) for n in found.inputFiles()], "file string, path string")
+        plain = F.regexp_replace("file", "^([a-z0-9]+):/+", "$1:/")   # file:/a and file:///a are one file
+        empty = names.withColumn("key", plain).join(part.select(F.regexp_replace(
+            "file", "^([a-z0-9]+):/+", "$1:/").alias("key")), "key", "left_anti")
+        empty = empty.select("file", "path", F.lit(0).cast("long").alias("size"),
+                             F.timestamp_seconds(F.lit(0)).alias("modified"))
+        empty.write.parquet(f"{out}/{uuid.uuid4().hex}")
+    return True
+
+
 def list_files(spark: SparkSession, pattern: str) -> DataFrame:
     """``file, path, size, modified`` of the files a pattern names, listed once
     (files in folders that Spark hides, ``_x`` or ``.x``, do not count); no
-    content is read.  A scan leaves empty files out: if there are any, they are
-    added from the index that it was planned with, with the time 0."""
-    folder = _folder(pattern)
-    try:
-        with few_listing_tasks(spark):
-            found = spark.read.format("binaryFile").option("recursiveFileLookup", folder is not None).load(folder or pattern)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], "file string, path string, size long, modified timestamp")
-    indexed = found._jdf.inputFiles()
-    listed, n_listed = materialize_counted(found.select(
-        F.col("_metadata.file_path").alias("file"), "path", F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified")).coalesce(_tasks(spark, len(indexed), LISTED_PER_TASK)), "listing")
-    if n_listed < len(indexed):
-        names = spark.createDataFrame([(n,) for n in found.inputFiles()], "path string")
-        plain = F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/")   # file:/a and file:///a are one file
-        empty = names.withColumn("key", plain).join(listed.select(F.regexp_replace(
-            "file", "^([a-z0-9]+):/+", "$1:/").alias("key")), "key", "left_anti")
-        listed = listed.unionByName(empty.select(F.col("path").alias("file"), "path", F.lit(0).cast("long").alias("size"),
-                                                 F.timestamp_seconds(F.lit(0)).alias("modified")))
+    content is read.  A large folder is listed some of its entries at a time."""
+    folder, out = _folder(pattern), scratch_path(spark, "listing")
+    below = pattern[len(folder) + 1:] if folder is not None else ""
+    pieces = [[pattern]] if folder is None else _pieces(spark, folder, below.split("/")[0])
+    if not sum(_list(spark, paths, folder is not None, out) for paths in pieces):
+        return spark.createDataFrame([], LISTED_SCHEMA)
+    listed = spark.read.schema(LISTED_SCHEMA).option("recursiveFileLookup", True).parquet(out)
     if folder is None:
         return listed
-    names = re.escape(pattern[len(folder):]).replace(r"\*", "[^/]*").replace(r"\?", "[^/]")
     depth = qualified_path(spark, folder).rstrip("/").count("/")       # of "scheme:/a/b", so without a host's "//"
-    below = F.array_join(F.slice(F.split(F.regexp_replace("path", "^([a-z0-9]+):///", "$1:/"), "/"), depth + 2, 1_000), "/")
-    return listed.filter(F.concat(F.lit("/"), below).rlike(f"^{names}(/[^/]+)?$"))
+    at = F.array_join(F.slice(F.split(F.regexp_replace("path", "^([a-z0-9]+):///", "$1:/"), "/"), depth + 2, 1_000), "/")
+    return listed.filter(at.rlike(f"^{_glob_regex(below)}(/[^/]+)?$"))
 
 
 def committed_runs(spark: SparkSession, store: str) -> list[int]:
@@ -128,9 +207,10 @@ def _scans(new: DataFrame, count: int, listed: int) -> list[tuple[DataFrame, int
     whether they are read by name."""
     if count <= MAX_NAMED_FILES:
         return [(new, count, True)]
-    if not MAX_NAMED_FILES or 2 * count > listed:
+    most = SCANS_NAMED * MAX_NAMED_FILES
+    if not MAX_NAMED_FILES or 2 * count > listed and listed <= most:
         return [(new, count, False)]
-    n = -(-count // (SCANS_NAMED * MAX_NAMED_FILES))
+    n = -(-count // most)
     part = F.pmod(F.xxhash64("file"), F.lit(n))
     return [(new.filter(part == i), -(-count // n), True) for i in range(n)]
 
@@ -226,8 +306,11 @@ def read_store(spark: SparkSession, store: str, match_ids: DataFrame | None = No
             events = events.filter(F.col("match_id").isin([r["match_id"] for r in few]))
         else:
             files = events_of_matches(files, ids)          # a file is of one match: the events need no join with the ids
-    latest = broadcast_if_small(files.select("file", F.col("run").cast("int").alias("run")))
-    return events.join(latest, ["file", "run"], "left_semi").filter(~F.col("unreadable")).drop("unreadable", "file")
+    # Two hashes (128 bits) stand for the name, which is many times longer: this side may be broadcast.
+    key = [F.xxhash64("file").alias("file_1"), F.xxhash64(F.lit(1), "file").alias("file_2")]
+    latest = broadcast_if_small(files.select(*key, F.col("run").cast("int").alias("run")))
+    return events.select("*", *key).join(latest, ["file_1", "file_2", "run"], "left_semi") \
+        .filter(~F.col("unreadable")).drop("unreadable", "file", "file_1", "file_2")
 
 
 def store_counts(spark: SparkSession, store: str) -> DataFrame:

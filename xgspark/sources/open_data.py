@@ -17,6 +17,7 @@ is counted); identifiers missing from payloads come from
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -51,11 +52,17 @@ class Layout:
 DEFAULT_LAYOUT = Layout()
 
 
+def literal_paths(paths: list[str]) -> list[str]:
+    """The names as patterns that name nothing else."""
+    return [re.sub(r"([{}\[\]*?\\])", r"\\\1", path) for path in paths]
+
+
 def read_json(spark: SparkSession, schema: T.StructType, path: str | list[str], layout: Layout,
               recursive: bool = False) -> DataFrame:
     """A scan that keeps every record: a field that does not fit is NULL, and
     an unreadable document is one row of NULLs (dropped by the callers).
-    ``recursive``: every file at any depth below the path."""
+    ``recursive``: every file at any depth below the path.  A list is of names,
+    not of patterns."""
     from pyspark.errors import AnalysisException
 
     try:
@@ -66,7 +73,7 @@ def read_json(spark: SparkSession, schema: T.StructType, path: str | list[str],
                          .option("columnNameOfCorruptRecord", CORRUPT)
                          .option("ignoreMissingFiles", True)
                          .option("recursiveFileLookup", recursive)
-                         .json(path))
+                         .json(path if isinstance(path, str) else literal_paths(path)))
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             raise NoDataError(f"no files under {path}") from e
