@@ -15,10 +15,11 @@ shots, kept shots, goals) are taken from what was just written, so the audit,
 the group sizes and the ledger read one row a file and never the events.
 
 Scale: no shuffle of events.  The driver holds the names of a folder's entries,
-and what Spark knows of the files of a bounded number of them.  Reading joins them with the current files of the
-chosen matches (one row a file, hashes, broadcast behind a count); up to
-``MAX_PUSHED_IDS`` matches also go into the Parquet scan as a filter, which
-skips row groups, as the rows of every file are sorted by match.
+and what Spark knows of the files of a bounded number of them.  Reading joins
+the events with the current files of the chosen matches (one row a file, hashes,
+broadcast behind a count); up to ``MAX_PUSHED_IDS`` matches also go into the
+Parquet scan as a filter, which skips row groups, as the rows of every file are
+sorted by match.
 """
 
 from __future__ import annotations
@@ -149,13 +150,17 @@ def _list(spark: SparkSession, paths: list[str], recursive: bool, out: str) -> b
             if "PATH_NOT_FOUND" not in str(e):
                 raise
             # Some are gone since the folder was listed.
-            paths = [p for p in paths if path_exists(spark, p)] if recursive else []
-            if not paths:
+            left = [p for p in paths if path_exists(spark, p)] if recursive else []
+            if not left:
                 return False
+            if len(left) == len(paths):
+                raise
+            paths = left
     indexed = len(found._jdf.inputFiles())
-    part, n_listed = materialize_counted(found.select(
-        F.col("_metadata.file_path").alias("file"), "path", F.col("length").alias("size"),
-        F.col("modificationTime").alias("modified")).coalesce(_tasks(spark, indexed, LISTED_PER_TASK)), "listing", f"{out}/{uuid.uuid4().hex}")
+    there = found.select(F.col("_metadata.file_path").alias("file"), "path", F.col("length").alias("size"),
+                         F.col("modificationTime").alias("modified"))
+    part, n_listed = materialize_counted(there.coalesce(_tasks(spark, indexed, LISTED_PER_TASK)), "listing",
+                                         f"{out}/{uuid.uuid4().hex}")
     if n_listed < indexed:
         names = spark.createDataFrame([(n, unquote(n)) for n in found.inputFiles()], "file string, path string")
         plain = F.regexp_replace("file", "^([a-z0-9]+):/+", "$1:/")   # file:/a and file:///a are one file
